@@ -101,6 +101,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+TRAIN = "datetime < TIMESTAMP '1999-01-01'"
+
+
+def train_rows() -> Column:
+    """Rows the fits may see."""
+    return F.col("datetime") < F.lit("1999-01-01").cast("timestamp_ntz")
+
+
 # ---- output of the Spark side -------------------------------------------------------------------
 def rnd(c: str | Column, digits: int = 4) -> Column:
     c = F.col(c) if isinstance(c, str) else c

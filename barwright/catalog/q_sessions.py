@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barwright.catalog.base import (BARS_D, BARS_H, GAP_D, GAP_H, HORIZON, KEY, MONTH, PANEL_D, PANEL_H, ROWS, SESS_D,
                                     SESS_H, YEAR, Tables, avg_rank, clip_sql, i, out, pct_rank, probit_sql, query, r,
-                                    rs, sessions_sql, z_sql)
+                                    rs, sessions_sql, train_rows, z_sql)
 from barwright.operators import labels, sessions
 from barwright.sources import bars as src
 
@@ -321,7 +321,7 @@ def _(t: Tables):
    {r(clip_sql('(high - low - m2) / (s2 + 1e-8)', 8.0), 'rng_norm')} FROM panel, s""")
 def _(t: Tables):
     d = t.d.withColumn("rng", F.col("high") - F.col("low"))
-    train = F.col("datetime") < F.lit("1999-01-01").cast("timestamp_ntz")
+    train = train_rows()
     return out(labels.standardise_on_train(d, ["volume", "rng"], train), ("volume_norm", "rng_norm"))
 
 
@@ -376,7 +376,7 @@ from barwright.catalog.base import PREDS  # noqa: E402
 @query("lb13_residual_target", f"""WITH {PREDS}, b AS (SELECT sum(p3 * label) / sum(p3 * p3) AS beta FROM preds WHERE datetime < TIMESTAMP '1999-01-01')
    SELECT {KEY}, {r('beta')}, {r(clip_sql('label - beta * p3', 8.0), 'residual')} FROM preds, b""")
 def _(t: Tables):
-    train = F.col("datetime") < F.lit("1999-01-01").cast("timestamp_ntz")
+    train = train_rows()
     return out(labels.residual_target(t.preds, "p3", "label", train), ("beta", "residual"))
 
 
@@ -390,5 +390,5 @@ def _(t: Tables):
    m AS (SELECT avg(tw) AS m, stddev_pop(tw) AS s FROM x WHERE datetime < TIMESTAMP '1999-01-01')
    SELECT {KEY}, {r('tw', 'target_w')}, {r('(tw - m) / greatest(s, 1e-8)', 'target_std')} FROM x, m""")
 def _(t: Tables):
-    train = F.col("datetime") < F.lit("1999-01-01").cast("timestamp_ntz")
+    train = train_rows()
     return out(labels.winsorised_target(t.preds, "label", train, 0.05), ("target_w", "target_std"))

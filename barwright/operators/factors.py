@@ -212,7 +212,8 @@ def autocorr(r: Rolling, ws: Sequence[int]) -> Cols:
 
 # ---- volume, amount, open interest ------------------------------------------------------------
 def _z(r: Rolling, x: str, w: int) -> Column:
-    return (c_(x) - r.mean(x, w)) / _eps(r.std(x, w))
+    sd = r.std(x, w)
+    return F.when(sd > 0, (c_(x) - r.mean(x, w)) / _eps(sd)).otherwise(0.0)
 
 
 def activity_z(r: Rolling, ws: Sequence[int]) -> Cols:

@@ -31,9 +31,10 @@ def open_chunks(df: DataFrame, before: int, after: int = 0, rows: int = CHUNK_RO
             .drop("_place"))
 
 
-def bars() -> WindowSpec:
-    """All bars of a piece in time order; every frame of the operators derives from it."""
-    return Window.partitionBy(*CHUNK_KEYS).orderBy("bar_no")
+def bars(session: bool = False) -> WindowSpec:
+    """All bars of a piece in time order (of one session if asked); all frames derive from it."""
+    keys = (*CHUNK_KEYS, "session_id") if session else CHUNK_KEYS
+    return Window.partitionBy(*keys).orderBy("bar_no")
 
 
 def trailing(k: int) -> WindowSpec:

@@ -29,9 +29,12 @@ def ewm_bars(span: int) -> int:
 
 
 class Rolling:
-    def __init__(self, df: DataFrame, lookback: int, lookahead: int = 0, rows: int = chunks.CHUNK_ROWS):
+    """``session=True`` keeps every frame inside the bar's session."""
+
+    def __init__(self, df: DataFrame, lookback: int, lookahead: int = 0, rows: int = chunks.CHUNK_ROWS,
+                 session: bool = False):
         self.df = chunks.open_chunks(df, lookback, lookahead, rows)
-        self.win = chunks.bars()
+        self.win = chunks.bars(session)
         self._reset()
 
     def _reset(self) -> None:
@@ -54,18 +57,40 @@ class Rolling:
         return F.lag(x, k).over(self.win)
 
     # ---- running-sum statistics ----------------------------------------------------------
-    def _run(self, name: str, term: Column, w: int) -> Column:
+    def _run(self, name: str, term: Column, w: int, shift: int = 0) -> Column:
+        """Sum of ``term`` over the ``w`` bars that end ``shift`` bars ago."""
         total = f"__s_{name}"
         self._terms[total] = term
-        back = f"{total}__{w}"
-        self._lags[back] = (total, w)
-        return F.col(total) - F.coalesce(F.col(back), F.lit(0.0))
-
-    def sum(self, x: str, w: int) -> Column:
-        return self._run(x, F.coalesce(F.col(x).cast("double"), F.lit(0.0)), w)
-
-    def count(self, x: str, w: int) -> Column:
-        return self._run(f"n_{x}", F.col(x).isNotNull().cast("double"), w)
+        back = f"{total}__{w + shift}"
+        self._lags[back] = (total, w + shift)
+        top = F.col(total)
+        if shift:
+            self._lags[f"{total}__{shift}"] = (total, shift)
+            top = F.coalesce(F.col(f"{total}__{shift}"), F.lit(0.0))
+        return top - F.coalesce(F.col(back), F.lit(0.0))
+
+    def sum(self, x: str, w: int, shift: int = 0) -> Column:
+        return self._run(x, F.coalesce(F.col(x).cast("double"), F.lit(0.0)), w, shift)
+
+    def count(self, x: str, w: int, shift: int = 0) -> Column:
+        return self._run(f"n_{x}", F.col(x).isNotNull().cast("double"), w, shift)
+
+    def stats(self, x: str, w: int, shift: int = 0) -> tuple[Column, Column, Column]:
+        """Count, mean and population variance of the non-null values."""
+        c = self._centre(x)
+        n = self.count(x, w, shift)
+        s1 = self.sum(c, w, shift)
+        s2 = self._run(f"{c}_x_{c}", F.coalesce(F.col(c) * F.col(c), F.lit(0.0)), w, shift)
+        m = F.try_divide(s1, n)
+        var = F.greatest(F.try_divide(s2, n) - m * m, F.lit(0.0))
+        return n, m + F.col(f"__f_{x}"), var
+
+    def covariance(self, x: str, y: str, w: int) -> Column:
+        """Population covariance over bars that have both values (no value may be missing)."""
+        a, b = self._centre(x), self._centre(y)
+        n = self.count(x, w)
+        ab = self._run(f"{a}_x_{b}", F.coalesce(F.col(a) * F.col(b), F.lit(0.0)), w)
+        return F.try_divide(ab, n) - F.try_divide(self.sum(a, w), n) * F.try_divide(self.sum(b, w), n)
 
     def mean(self, x: str, w: int, nullable: bool = False) -> Column:
         n = self.count(x, w) if nullable else F.lit(float(w))
@@ -119,7 +144,7 @@ class Rolling:
         if w <= DIRECT_EXTREME:
             fn = F.max if kind == "max" else F.min
             name = f"__{kind}_{x}__{w}"
-            self._terms[name + "!"] = fn(x).over(chunks.trailing(w))
+            self._terms[name + "!"] = fn(x).over(self.win.rowsBetween(-(w - 1), 0))
             return F.col(name)
         level = int(math.floor(math.log2(w)))
         key = (kind, x)
