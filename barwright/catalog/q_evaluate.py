@@ -139,7 +139,7 @@ def _(t: Tables):
     return out(ev.evaluation_bundle(t.preds, t.g, "p1", min_symbols=6, stride=10)["monthly"], ("n", "mean"), ("month",))
 
 
-@query("ev12_bundle_sector", f"""WITH {VARIANTS}, k AS (SELECT *, {avg_rank('snz', 'sector')} AS rp, {avg_rank('label', 'sector')} AS ry FROM v1 WHERE snz IS NOT NULL)
+@query("ev12_bundle_sector", f"""WITH {VARIANTS}, v2 AS (SELECT *, round(snz, 9) + 0.0 AS sr FROM v1), k AS (SELECT *, {avg_rank('sr', 'sector')} AS rp, {avg_rank('label', 'sector')} AS ry FROM v2 WHERE snz IS NOT NULL)
    SELECT sector, count(*) AS n, {r(VAR_OK.format(a='snz', b='label'), 'merged_ic', 6)}, {r('CASE WHEN var_pop(rp) > 1e-18 THEN corr(rp, ry) END', 'rank_ic', 5)} FROM k GROUP BY sector""")
 def _(t: Tables):
     b = ev.evaluation_bundle(t.preds, t.g, "p1", min_symbols=6, stride=10)["sector"]
@@ -267,12 +267,12 @@ def _(t: Tables):
 
 
 @query("jn06_prior_months", f"""WITH {PREDS}, m AS (SELECT month, sum(p1 * label) AS xy, sum(p1 * p1) AS xx, count(*) AS n FROM preds GROUP BY month), s AS (SELECT DISTINCT month AS split FROM preds)
-   SELECT split, {r('sum(xy)', 'xy')}, {r('sum(xx)', 'xx')}, {i('sum(n)', 'n')} FROM s LEFT JOIN m ON m.month < split AND m.month >= strftime((split || '-01')::DATE - INTERVAL 6 MONTH, '%Y-%m') GROUP BY split""")
+   SELECT split, {r('coalesce(sum(xy), 0)', 'xy')}, {r('coalesce(sum(xx), 0)', 'xx')}, {i('coalesce(sum(n), 0)', 'n')} FROM s LEFT JOIN m ON m.month < split AND m.month >= strftime((split || '-01')::DATE - INTERVAL 6 MONTH, '%Y-%m') GROUP BY split""")
 def _(t: Tables):
     st = t.preds.groupBy("month").agg(F.sum(F.col("p1") * F.col("label")).alias("xy"), F.sum(F.col("p1") * F.col("p1")).alias("xx"), F.count(F.lit(1)).alias("n"))
     sp = t.preds.select(F.col("month").alias("split")).distinct().select(
         "split", F.col("split").alias("eval_start"), F.date_format(F.add_months(F.concat("split", F.lit("-01")).cast("date"), -6), "yyyy-MM").alias("tr_start"))
-    return out(rel.prior_sums(st, sp, ("xy", "xx", "n")), ("xy", "xx", "n"), ("split",))
+    return out(rel.prior_sums(st, sp, ("xy", "xx", "n")).na.fill(0), ("xy", "xx", "n"), ("split",))
 
 
 @query("jn07_market_state", f"""WITH {PREDS}, st AS (SELECT symbol, datetime, (high - low) / close AS state_range, ln(1 + volume) AS state_logvol, close / lag(close) OVER {NS} - 1 AS state_ret1 FROM panel)

@@ -91,7 +91,7 @@ def adjusted_skew(n: Column, s1: Column, s2: Column, s3: Column) -> Column:
     m = s1 / n
     m2 = s2 / n - m * m
     m3 = s3 / n - F.lit(3.0) * m * s2 / n + F.lit(2.0) * m * m * m
-    g1 = m3 / F.pow(m2, F.lit(1.5))
+    g1 = F.try_divide(m3, F.pow(m2, F.lit(1.5)))
     return (F.when(n < 3, None)
             .when(m2 <= F.lit(1e-14), F.lit(0.0))
             .otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2)))
@@ -103,16 +103,26 @@ def adjusted_kurt(n: Column, s1: Column, s2: Column, s3: Column, s4: Column) ->
     m2 = s2 / n - m * m
     m4 = (s4 / n - F.lit(4.0) * m * s3 / n + F.lit(6.0) * m * m * s2 / n
           - F.lit(3.0) * m * m * m * m)
-    g2 = m4 / (m2 * m2) - F.lit(3.0)
+    g2 = F.try_divide(m4, m2 * m2) - F.lit(3.0)
     return (F.when(n < 4, None)
             .when(m2 <= F.lit(1e-14), F.lit(-3.0))
             .otherwise(((n + 1) * g2 + F.lit(6.0)) * (n - 1) / ((n - 2) * (n - 3))))
 
 
-def edges_at_or_below(x: str | Column, edges: Column) -> Column:
+def literal_array(values: Sequence[float]) -> Column:
+    return F.lit([float(v) for v in values]) if len(values) else F.array().cast("array<double>")
+
+
+def edges_at_or_below(x: str | Column, edges: Sequence[float]) -> Column:
     """Number of (distinct, sorted) edges that are <= x: a right-sided sorted search."""
     c = col(x)
-    return F.when(c.isNotNull(), F.size(F.filter(edges, lambda e: e <= c)).cast("long"))
+    return F.when(c.isNotNull(), F.size(F.filter(literal_array(edges), lambda e: e <= c)).cast("long"))
+
+
+def edges_below(x: str | Column, edges: Sequence[float]) -> Column:
+    """Number of edges that are < x: a left-sided sorted search."""
+    c = col(x)
+    return F.when(c.isNotNull(), F.size(F.filter(literal_array(edges), lambda e: e < c)).cast("long"))
 
 
 def minute_of_day(t: str | Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barwright.functions.expr import col, hash_uniform, month_key
+from barwright.functions.expr import col, edges_below, hash_uniform, month_key
 from barwright.operators import views
 from barwright.plans import xsec
 from barwright.plans.ordinal import time_bucket, with_ordinal
@@ -34,7 +34,8 @@ def pearson(p: str | Column, y: str | Column) -> Column:
     a, b = col(p), col(y)
     ok = a.isNotNull() & b.isNotNull()
     v = lambda x: F.when(ok, x)
-    return F.when((F.var_pop(v(a)) > 1e-18) & (F.var_pop(v(b)) > 1e-18), F.corr(v(a), v(b)))
+    va, vb = F.var_pop(v(a)), F.var_pop(v(b))
+    return F.try_divide(F.covar_pop(v(a), v(b)), F.when((va > 1e-18) & (vb > 1e-18), F.sqrt(va * vb)))
 
 
 def pooled_ic(df: DataFrame, p: str, y: str = "label") -> DataFrame:
@@ -115,8 +116,8 @@ def stride_ics(df: DataFrame, g: Groups, p: str, y: str = "label", stride: int =
         F.sum(c_("p") * c_("y")).alias("xy"), F.sum(c_("p") * c_("p")).alias("xx"), F.sum(c_("y") * c_("y")).alias("yy"))
     per = with_ordinal(per, [], ["datetime"], time_bucket("datetime", YEAR), "_i")
     root = lambda v: F.sqrt(c_(v) * c_("vy"))
-    raw = F.when(root("vp") > 1e-15, c_("c") / root("vp"))
-    sn = F.when(root("vs") > 1e-15, c_("cs") / root("vs"))
+    raw = F.try_divide(c_("c"), F.when(root("vp") > 1e-15, root("vp")))
+    sn = F.try_divide(c_("cs"), F.when(root("vs") > 1e-15, root("vs")))
     pick = c_("_i") % stride == 0
     return per.agg(
         (F.sum("xy") / F.sqrt(F.sum("xx") * F.sum("yy"))).alias("pooled_ic"),
@@ -193,8 +194,10 @@ def evaluation_bundle(df: DataFrame, g: Groups, p: str, y: str = "label", min_sy
     sn = tables["nonoverlap_sector_neutral_cs_ic"]
     tables["monthly"] = summarise_series(sn, ["month"])
     tables["session"] = summarise_series(sn, ["session_type"])
+    # z values that agree up to rounding are ties, not an order
+    d = d.withColumn("_snz", F.round("pred_sector_neutral_zscore", 9))
     tables["sector"] = merged_ic(d, "pred_sector_neutral_zscore", y, ["sector"]).join(
-        rank_ic(d, "pred_sector_neutral_zscore", y, ["sector"]).select("sector", "rank_ic"), "sector", "left")
+        rank_ic(d, "_snz", y, ["sector"]).select("sector", "rank_ic"), "sector", "left")
     return tables
 
 
@@ -220,14 +223,13 @@ def bin_returns(df: DataFrame, g: Groups, p: str, y: str = "label", bins: int =
     return d.groupBy(b.cast("long").alias("bin")).agg(F.avg(y).alias("mean_return"), F.count(F.lit(1)).alias("rows"))
 
 
-def quantile_bins(df: DataFrame, p: str, y: str = "label", bins: int = 30, largest: int | None = None) -> DataFrame:
+def quantile_bins(df: DataFrame, p: str, y: str = "label", bins: int = 30) -> DataFrame:
     """Mean prediction and label per prediction quantile, duplicate edges dropped."""
     d = df.where(both(p, y))
-    e = xsec.quantiles(d, [], p, [i / bins for i in range(bins + 1)], largest, "_e")
-    e = e.select(F.array_distinct("_e").alias("_e"))
+    e = xsec.edges(d, p, [i / bins for i in range(bins + 1)], distinct=True)
     # right-closed intervals; the smallest value belongs to the first
-    b = F.greatest(F.size(F.filter("_e", lambda v: v < c_(p))), F.lit(1))
-    return (d.crossJoin(F.broadcast(e)).groupBy(b.cast("long").alias("bin"))  # one row
+    b = F.greatest(edges_below(p, e), F.lit(1))
+    return (d.groupBy(b.cast("long").alias("bin"))
             .agg(F.avg(p).alias("pred"), F.avg(y).alias("label"), F.count(F.lit(1)).alias("n")))
 
 

@@ -164,12 +164,11 @@ def residual_label(pred: str, y: str, bound: float | None = None) -> Column:
     return clip(r, -bound, bound) if bound else r
 
 
-def winsorised_target(df: DataFrame, y: str, train: Column, q: float = 0.01, largest: int | None = None) -> DataFrame:
+def winsorised_target(df: DataFrame, y: str, train: Column, q: float = 0.01) -> DataFrame:
     """Clip to the [q, 1-q] quantiles of the train rows, then standardise with their moments."""
     src = df.where(train)
-    edges = xsec.quantiles(src, [], y, [q, 1 - q], largest, "_e")
-    cut = lambda d: d.crossJoin(F.broadcast(edges)).withColumn(  # one row
-        "target_w", F.when(F.col(y).isNotNull(), F.least(F.greatest(F.col(y), F.col("_e")[0]), F.col("_e")[1]))).drop("_e")
+    lo, hi = xsec.edges(src, y, [q, 1 - q])
+    cut = lambda d: d.withColumn("target_w", clip(y, lo, hi))
     one = cut(src).agg(F.avg("target_w").alias("_m"), F.stddev_pop("target_w").alias("_s"))
     return (cut(df).crossJoin(F.broadcast(one))
             .withColumn("target_std", (F.col("target_w") - F.col("_m")) / F.greatest(F.col("_s"), F.lit(1e-8)))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barwright.functions.expr import clip, finite, minute_of_day, probit
+from barwright.functions.expr import clip, edges_below, finite, minute_of_day, probit
 from barwright.plans import chunks, xsec
 from barwright.plans.rolling import Rolling
 from barwright.plans.xsec import Groups
@@ -206,29 +206,24 @@ def event_score(df: DataFrame, g: Groups, weights: dict[str, float], bound: floa
     return df.withColumn("event_score", score).drop(*[f"_e_{x}" for x in weights])
 
 
-def shape_transforms(df: DataFrame, x: str, train: Column, gamma: float = 0.8, q: float = 0.02, scale_q: float = 0.9,
-                     largest: int | None = None) -> DataFrame:
+def shape_transforms(df: DataFrame, x: str, train: Column, gamma: float = 0.8, q: float = 0.02, scale_q: float = 0.9) -> DataFrame:
     """Power, winsorised power, softsign and asinh with quantiles of the train rows."""
     src = df.where(train)
-    e = xsec.quantiles(src, [], x, [q, 1 - q], largest, "_e")
-    s = xsec.quantiles(src.withColumn("_abs", F.abs(x)), [], "_abs", [scale_q], largest, "_sc")
-    df = df.crossJoin(F.broadcast(e)).crossJoin(F.broadcast(s))  # one row each
+    lo, hi = xsec.edges(src, x, [q, 1 - q])
+    scale = F.lit(max(xsec.edges(src, F.abs(x), [scale_q])[0], 1e-12))
     power = lambda v: F.signum(v) * F.pow(F.abs(v), F.lit(gamma))
-    scale = F.greatest(c_("_sc")[0], F.lit(1e-12))
     return df.withColumns({
-        "s_power": power(c_(x)), "s_winsor": power(F.least(F.greatest(c_(x), c_("_e")[0]), c_("_e")[1])),
-        "s_softsign": c_(x) / (F.lit(1.0) + F.abs(x) / scale), "s_asinh": F.asinh(c_(x) / scale)}).drop("_e", "_sc")
+        "s_power": power(c_(x)), "s_winsor": power(clip(x, lo, hi)),
+        "s_softsign": c_(x) / (F.lit(1.0) + F.abs(x) / scale), "s_asinh": F.asinh(c_(x) / scale)})
 
 
-def rank_gauss(df: DataFrame, x: str, train: Column, n: int = 1001, largest: int | None = None) -> DataFrame:
+def rank_gauss(df: DataFrame, x: str, train: Column, n: int = 1001) -> DataFrame:
     """Feature to normal scores through train quantiles (left-sided search, capped)."""
     lo, hi = 0.001, 0.999
     probs = [lo + (hi - lo) * k / (n - 1) for k in range(n)]
-    e = xsec.quantiles(df.where(train), [], x, probs, largest, "_e")
-    below = F.size(F.filter("_e", lambda v: v < F.coalesce(c_(x), F.lit(0.0))))
+    below = edges_below(F.coalesce(c_(x), F.lit(0.0)), xsec.edges(df.where(train), x, probs))
     pos = F.least(below, F.lit(n - 1))
-    return (df.crossJoin(F.broadcast(e))  # one row
-            .withColumn(f"{x}_rg", probit(F.lit(lo) + F.lit((hi - lo) / (n - 1)) * pos)).drop("_e"))
+    return df.withColumn(f"{x}_rg", probit(F.lit(lo) + F.lit((hi - lo) / (n - 1)) * pos))
 
 
 def postprocess(df: DataFrame, g: Groups, mode: str, x: str = "pred", symbols: Groups | None = None) -> DataFrame:

@@ -57,13 +57,29 @@ def with_time_number(df: DataFrame, time_col: str = "datetime", seconds: int = 3
     return with_ordinal(times, [], [order], bucket, out)
 
 
-def first_n_by_hash(df: DataFrame, strata: Sequence[str], score: Column, tie: Sequence[str], n: int | Column,
-                    slices: int = 1 << 16) -> DataFrame:
-    """Exactly the ``n`` rows with the lowest score in each stratum; ``score`` lies in [0, 1)."""
-    scored = df.withColumn("_u", score)
-    numbered = with_ordinal(scored, strata, ["_u", *tie], hash_slice("_u", slices), "_pos")
-    return numbered.where(F.col("_pos") < (F.lit(n) if isinstance(n, int) else n)).drop("_u", "_pos")
+def log_slice(key: str, per_octave: int = 1 << 14) -> Column:
+    """Slices for positive keys of any scale, so that extreme weights do not pile up in one slice."""
+    return F.floor(F.log2(F.greatest(F.col(key), F.lit(1e-300))) * F.lit(per_octave)).cast("long")
 
 
-__all__ = ["time_bucket", "with_ordinal", "hash_slice", "with_time_number", "first_n_by_hash",
+def first_n(df: DataFrame, strata: Sequence[str], score: Column, tie: Sequence[str], n: int | Column,
+            weighted: bool = False) -> DataFrame:
+    """Exactly the ``n`` rows with the lowest score in each stratum.
+
+    Slices that start beyond ``n`` are dropped before any ordering, so about ``n`` rows are sorted.
+    """
+    strata, limit = list(strata), (F.lit(n) if isinstance(n, int) else n)
+    by = [*strata, "_bk"]
+    d = df.withColumn("_u", score)
+    d = d.withColumns({"_bk": log_slice("_u") if weighted else hash_slice("_u"), "_limit": limit})
+    seq = Window.partitionBy(*strata).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select(*by, F.coalesce(F.sum("_n").over(seq), F.lit(0)).alias("_start"))
+    near = d.join(starts, by, "inner").where(F.col("_start") < F.col("_limit"))
+    rn = F.row_number().over(Window.partitionBy(*by).orderBy("_u", *tie))
+    return (near.withColumn("_rn", rn).where(F.col("_start") + F.col("_rn") <= F.col("_limit"))
+            .drop("_u", "_bk", "_limit", "_start", "_rn"))
+
+
+__all__ = ["time_bucket", "with_ordinal", "hash_slice", "with_time_number", "log_slice", "first_n",
            "epoch_seconds", "hash_uniform"]

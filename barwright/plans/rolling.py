@@ -137,7 +137,7 @@ class Rolling:
         cov = sab - F.try_divide(sa * sb, n)
         tiny = F.lit(1e-12)
         ok = (n >= F.lit(float(min_pairs if min_pairs else w))) & (va > tiny) & (vb > tiny)
-        return F.when(ok, cov / F.sqrt(va * vb))
+        return F.try_divide(cov, F.when(ok, F.sqrt(va * vb)))
 
     # ---- extremes ------------------------------------------------------------------------
     def _extreme(self, kind: str, x: str, w: int) -> Column:

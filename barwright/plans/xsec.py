@@ -14,6 +14,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 WINDOW_ROWS = 200_000
+EXACT_ROWS = 1_000_000
 RANGES = 256
 
 
@@ -103,7 +104,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float]
               largest: int | None = None, out: str = "edges") -> DataFrame:
     """Linearly interpolated quantiles per group, as one array column in the order of ``probs``."""
     keys = list(keys)
-    if largest is not None and largest <= WINDOW_ROWS * 5:
+    if largest is not None and largest <= EXACT_ROWS:
         return df.groupBy(*keys).agg(F.percentile(x, F.array(*[F.lit(float(p)) for p in probs])).alias(out))
     vc = value_counts(df, keys, x)
     want = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
@@ -119,3 +120,14 @@ def quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float]
     return (near.groupBy(*keys)
             .agg(F.array_sort(F.collect_list(F.struct("_i", value.alias("v")))).alias("_a"))
             .select(*keys, F.transform("_a", lambda s: s["v"]).alias(out)))
+
+
+def edges(df: DataFrame, x: str | Column, probs: Sequence[float], distinct: bool = False) -> list[float]:
+    """Quantiles of a whole frame as numbers: as many as ``probs``, whatever the size of the frame.
+
+    The rows are counted first; beyond ``EXACT_ROWS`` they go through counts of distinct values.
+    """
+    d = df.select((F.col(x) if isinstance(x, str) else x).alias("_x")).where(F.col("_x").isNotNull())
+    row = quantiles(d, [], "_x", probs, d.count()).head()
+    out = [float(v) for v in (row[0] or []) if v is not None] if row else []
+    return sorted(set(out)) if distinct else out
