@@ -262,7 +262,7 @@ def _(t: Tables):
     return out(views.tsz(d, ("close", "logv"), 60, 20, rows=ROWS), ("tsz_close", "tsz_logv"))
 
 
-@query("vw04_selected_views", f"""WITH {BASE_D} SELECT {KEY}, {r(f'coalesce({clip_sql(tsz_sql("close"), 20.0)}, 0)', 'tsz_close')}, {r(z_sql('loga', 'datetime'), 'csz_loga')},
+@query("vw04_selected_views", f"""WITH {BASE_D} SELECT {KEY}, {r(f'coalesce({clip_sql(tsz_sql("close"), 20.0)}, 0)', 'tsz_close')}, {r('coalesce(' + z_sql('loga', 'datetime') + ', 0)', 'csz_loga')},
    {r(pct_rank('close', 'datetime') + ' - 0.5', 'csr_close')}, {r('least(loga, 20.0)', 'loga')} FROM base""")
 def _(t: Tables):
     d = t.d.withColumn("loga", F.log1p("amount"))

@@ -451,7 +451,7 @@ def _(t: Tables):
 # ---- branches, guards, rules ----------------------------------------------------------------------------
 @query("en25_greedy_branches")
 def _(t: Tables):
-    return _names(t, blend.greedy_branches(row_stats(t, ~train_rows()), P, (0.1, 0.25, 0.5), start=1), "step long, candidate string, weight double, ic double")
+    return _names(t, blend.greedy_branches(row_stats(t, ~train_rows()), P, (-0.5, -0.25, -0.1, 0.1, 0.25, 0.5), start=1), "step long, candidate string, weight double, ic double")
 
 
 def _dl(x: str) -> str:
@@ -477,7 +477,7 @@ def _(t: Tables):
 
 @query("en28_candidate_guard")
 def _(t: Tables):
-    return _names(t, memory.candidate_guard(t.preds, train_rows(), "p2", ["p1", "p3"], (0.25, 0.5), min_count=100) or [("none", "none", 0.0, 0.0)],
+    return _names(t, memory.candidate_guard(t.preds, train_rows(), "p2", ["p1", "p3"], (-0.5, -0.25, 0.25, 0.5), min_count=100),
                   "symbol string, candidate string, weight double, ic double")
 
 

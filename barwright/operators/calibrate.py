@@ -214,7 +214,7 @@ def shifted(df: DataFrame, val: Column, p: str, mode: str, y: str = "label", shr
     if mode == "ic_grid":
         one = shift_grid(df, val, p, y).agg(F.max_by("shift", F.struct("ic", -c_("step"))).alias("_shift"))
     elif mode == "median":
-        return df.withColumn(out, c_(p) - F.lit(shrink * xsec.edges(df.where(val), p, [0.5])[0]))
+        return df.withColumn(out, c_(p) - F.lit(shrink * (xsec.edges(df.where(val), p, [0.5]) or [0.0])[0]))
     else:
         one = df.where(val).agg((F.lit(shrink) * F.avg(p)).alias("_shift"))
     return df.crossJoin(F.broadcast(one)).withColumn(out, c_(p) - c_("_shift")).drop("_shift")  # one row

@@ -39,12 +39,12 @@ def pearson(p: str | Column, y: str | Column) -> Column:
 
 
 def pooled_ic(df: DataFrame, p: str, y: str = "label") -> DataFrame:
-    return df.agg(ic(p, y).alias("ic"), F.sum(both(p, y).cast("long")).alias("n"))
+    return df.agg(ic(p, y).alias("ic"), F.count_if(both(p, y)).alias("n"))
 
 
 def ic_by_period(df: DataFrame, p: str, y: str = "label", period: Column | None = None, name: str = "month") -> DataFrame:
     key = (period if period is not None else month_key("datetime")).alias(name)
-    return df.groupBy(key).agg(ic(p, y).alias("ic"), F.sum(both(p, y).cast("long")).alias("n"))
+    return df.groupBy(key).agg(ic(p, y).alias("ic"), F.count_if(both(p, y)).alias("n"))
 
 
 def ic_summary(df: DataFrame, p: str, y: str = "label", years: Sequence[str] = ()) -> DataFrame:
@@ -77,7 +77,7 @@ def rank_ic(df: DataFrame, p: str, y: str = "label", keys: Sequence[str] = ()) -
 
 
 def merged_ic(df: DataFrame, p: str, y: str = "label", keys: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*keys).agg(pearson(p, y).alias("merged_ic"), F.sum(both(p, y).cast("long")).alias("n"))
+    return df.groupBy(*keys).agg(pearson(p, y).alias("merged_ic"), F.count_if(both(p, y)).alias("n"))
 
 
 def metric_by_group(df: DataFrame, keys: Sequence[str], p: str, y: str = "label") -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barwright.functions.expr import adjusted_kurt, adjusted_skew
-from barwright.operators.sessions import masked
+from barwright.operators.sessions import bars_since_break
 from barwright.plans import chunks
 from barwright.plans.rolling import Rolling, ewm_bars
 
@@ -29,6 +29,11 @@ Cols = dict[str, Column]
 c_ = F.col
 
 
+def masked(x: Column, lookback: int) -> Column:
+    """NULL where the lookback would reach over a long break (the counter is a base series here)."""
+    return F.when(c_("_bss") >= lookback, x)
+
+
 def _eps(x: Column) -> Column:
     return x + F.lit(E9)
 
@@ -40,7 +45,7 @@ def _abs_close() -> Column:
 def base_series(r: Rolling) -> Rolling:
     """Log return (0 at a break), log volume/amount/oi, true range, up and down moves, bar shape."""
     fill = lambda x: F.coalesce(c_(x), F.lit(0.0))
-    r.define(volume=fill("volume"), amount=fill("amount"), oi=fill("oi"),
+    r.define(_bss=bars_since_break(), volume=fill("volume"), amount=fill("amount"), oi=fill("oi"),
              typ=(c_("high") + c_("low") + c_("close")) / F.lit(3.0),
              hl=F.greatest(c_("high") - c_("low"), F.lit(E9)))
     r.define(_pc=r.lag("close"), _pt=r.lag("typ"), _poi=r.lag("oi"))

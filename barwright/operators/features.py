@@ -128,7 +128,7 @@ def stable_columns(df: DataFrame, feature_set: str = "base", g: Groups | None =
 
 def prior_z(r: Rolling, x: str, w: int, min_periods: int, bound: float, eps: float = E8) -> Column:
     """z against the ``w`` bars before the current one, population deviation, 0 when too few."""
-    n, m, var = r.stats(x, w, shift=1)
+    n, m, var = r.stats(x, w, 1)
     z = clip((c_(x) - m) / (F.sqrt(var) + F.lit(eps)), -bound, bound)
     return F.when(n >= min_periods, F.coalesce(z, F.lit(0.0))).otherwise(F.lit(0.0))
 

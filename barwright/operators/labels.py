@@ -167,7 +167,7 @@ def residual_label(pred: str, y: str, bound: float | None = None) -> Column:
 def winsorised_target(df: DataFrame, y: str, train: Column, q: float = 0.01) -> DataFrame:
     """Clip to the [q, 1-q] quantiles of the train rows, then standardise with their moments."""
     src = df.where(train)
-    lo, hi = xsec.edges(src, y, [q, 1 - q])
+    lo, hi = xsec.edges(src, y, [q, 1 - q]) or (float("-inf"), float("inf"))
     cut = lambda d: d.withColumn("target_w", clip(y, lo, hi))
     one = cut(src).agg(F.avg("target_w").alias("_m"), F.stddev_pop("target_w").alias("_s"))
     return (cut(df).crossJoin(F.broadcast(one))

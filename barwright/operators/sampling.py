@@ -84,7 +84,7 @@ def event_tail(df: DataFrame, n: int, seed: int, q: float = 0.72, share: float =
     """The top event scores above a quantile up to a share of the sample, the rest by month and bin."""
     d = df.withColumn("event_score", F.coalesce("event_score", F.lit(0.0)))
     d = stage(d, "event-pool")  # read several times below
-    high = c_("event_score") >= F.lit(xsec.edges(d, "event_score", [q])[0])
+    high = c_("event_score") >= F.lit((xsec.edges(d, "event_score", [q]) or [0.0])[0])
     falling = F.greatest(F.lit(1.0) - c_("event_score") / F.lit(EVENT_BOUND), F.lit(0.0))
     top = with_ordinal(d.where(high).withColumn("_u", falling), [], ["_u", *TIE], hash_slice("_u"), "_pos").drop("_u")
     event = top.where(c_("_pos") < int(n * share)).drop("_pos")

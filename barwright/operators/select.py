@@ -58,7 +58,7 @@ def correlation_long(df: DataFrame, cols: Sequence[str], y: str = "label") -> Da
     cov = lambda q, i, j: c_("g")[q] / c_("w") - c_("sx")[i] * c_("sx")[j] / (c_("w") * c_("w"))
     diag = {i: q for q, (i, j) in enumerate(pairs) if i == j}
     rows = [F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"),
-                     (cov(q, i, j) / F.sqrt(cov(diag[i], i, i) * cov(diag[j], j, j))).alias("corr")) for q, (i, j) in enumerate(pairs) if i < j]
+                     F.try_divide(cov(q, i, j), F.sqrt(cov(diag[i], i, i) * cov(diag[j], j, j))).alias("corr")) for q, (i, j) in enumerate(pairs) if i < j]
     return s.select(F.inline(F.array(*rows)))
 
 

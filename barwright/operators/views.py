@@ -78,7 +78,7 @@ def causal_z(df: DataFrame, cols: Sequence[str], window: int = 240, min_periods:
     r = Rolling(df, window + 2, 0, rows, session=session)
     out = {}
     for x in cols:
-        n, m, var = r.stats(x, window, shift=1)
+        n, m, var = r.stats(x, window, 1)
         sd = F.sqrt(F.greatest(var, F.lit(1e-12)))
         z = clip((c_(x) - m) / (sd + F.lit(1e-8)), -bound, bound)
         out[prefix + x] = F.when(n >= min_periods, F.coalesce(z, F.lit(0.0))).otherwise(F.lit(0.0))
@@ -209,8 +209,8 @@ def event_score(df: DataFrame, g: Groups, weights: dict[str, float], bound: floa
 def shape_transforms(df: DataFrame, x: str, train: Column, gamma: float = 0.8, q: float = 0.02, scale_q: float = 0.9) -> DataFrame:
     """Power, winsorised power, softsign and asinh with quantiles of the train rows."""
     src = df.where(train)
-    lo, hi = xsec.edges(src, x, [q, 1 - q])
-    scale = F.lit(max(xsec.edges(src, F.abs(x), [scale_q])[0], 1e-12))
+    lo, hi = xsec.edges(src, x, [q, 1 - q]) or (float("-inf"), float("inf"))
+    scale = F.lit(max([*xsec.edges(src, F.abs(x), [scale_q]), 1e-12]))
     power = lambda v: F.signum(v) * F.pow(F.abs(v), F.lit(gamma))
     return df.withColumns({
         "s_power": power(c_(x)), "s_winsor": power(clip(x, lo, hi)),

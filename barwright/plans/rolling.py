@@ -14,6 +14,8 @@ chunked frame costs a single shuffle and a single sort:
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -23,6 +25,19 @@ DIRECT_EXTREME = 32
 EWM_TAIL = 40.0
 
 
+def _once(method: Callable) -> Callable:
+    """Build a requested expression once per stage: families share most of their statistics."""
+
+    @wraps(method)
+    def cached(self, *args):
+        key = (method.__name__, *args)
+        if key not in self._built:
+            self._built[key] = method(self, *args)
+        return self._built[key]
+
+    return cached
+
+
 def ewm_bars(span: int) -> int:
     """Bars after which the weight of an exponential average is below exp(-40)."""
     return int(math.ceil(EWM_TAIL * (span + 1) / 2.0))
@@ -38,6 +53,7 @@ class Rolling:
         self._reset()
 
     def _reset(self) -> None:
+        self._built: dict[tuple, object] = {}
         self._terms: dict[str, Column] = {}
         self._lags: dict[str, tuple[str, int]] = {}
         self._pyramids: dict[tuple[str, str], int] = {}
@@ -53,14 +69,16 @@ class Rolling:
     def lag(self, x: str, k: int = 1) -> Column:
         return F.lag(x, k).over(self.win)
 
+    @_once
     def prev(self, x: str, k: int = 1) -> Column:
         return F.lag(x, k).over(self.win)
 
     # ---- running-sum statistics ----------------------------------------------------------
-    def _run(self, name: str, term: Column, w: int, shift: int = 0) -> Column:
+    def _run(self, name: str, term: Callable[[], Column], w: int, shift: int = 0) -> Column:
         """Sum of ``term`` over the ``w`` bars that end ``shift`` bars ago."""
         total = f"__s_{name}"
-        self._terms[total] = term
+        if total not in self._terms:
+            self._terms[total] = term()
         back = f"{total}__{w + shift}"
         self._lags[back] = (total, w + shift)
         top = F.col(total)
@@ -69,29 +87,34 @@ class Rolling:
             top = F.coalesce(F.col(f"{total}__{shift}"), F.lit(0.0))
         return top - F.coalesce(F.col(back), F.lit(0.0))
 
+    @_once
     def sum(self, x: str, w: int, shift: int = 0) -> Column:
-        return self._run(x, F.coalesce(F.col(x).cast("double"), F.lit(0.0)), w, shift)
+        return self._run(x, lambda: F.coalesce(F.col(x).cast("double"), F.lit(0.0)), w, shift)
 
+    @_once
     def count(self, x: str, w: int, shift: int = 0) -> Column:
-        return self._run(f"n_{x}", F.col(x).isNotNull().cast("double"), w, shift)
+        return self._run(f"n_{x}", lambda: F.col(x).isNotNull().cast("double"), w, shift)
 
+    @_once
     def stats(self, x: str, w: int, shift: int = 0) -> tuple[Column, Column, Column]:
         """Count, mean and population variance of the non-null values."""
         c = self._centre(x)
         n = self.count(x, w, shift)
         s1 = self.sum(c, w, shift)
-        s2 = self._run(f"{c}_x_{c}", F.coalesce(F.col(c) * F.col(c), F.lit(0.0)), w, shift)
+        s2 = self._run(f"{c}_x_{c}", lambda: F.coalesce(F.col(c) * F.col(c), F.lit(0.0)), w, shift)
         m = F.try_divide(s1, n)
         var = F.greatest(F.try_divide(s2, n) - m * m, F.lit(0.0))
         return n, m + F.col(f"__f_{x}"), var
 
+    @_once
     def covariance(self, x: str, y: str, w: int) -> Column:
         """Population covariance over bars that have both values (no value may be missing)."""
         a, b = self._centre(x), self._centre(y)
         n = self.count(x, w)
-        ab = self._run(f"{a}_x_{b}", F.coalesce(F.col(a) * F.col(b), F.lit(0.0)), w)
+        ab = self._run(f"{a}_x_{b}", lambda: F.coalesce(F.col(a) * F.col(b), F.lit(0.0)), w)
         return F.try_divide(ab, n) - F.try_divide(self.sum(a, w), n) * F.try_divide(self.sum(b, w), n)
 
+    @_once
     def mean(self, x: str, w: int, nullable: bool = False) -> Column:
         n = self.count(x, w) if nullable else F.lit(float(w))
         return F.try_divide(self.sum(x, w), n)
@@ -101,10 +124,10 @@ class Rolling:
         self._centred[x] = f"__c_{x}"
         return self._centred[x]
 
-    def _moment(self, x: str, y: str, w: int, both: str | None = None) -> Column:
-        term = F.col(x) * F.col(y)
-        return self._run(f"{x}_x_{y}", F.coalesce(term, F.lit(0.0)), w)
+    def _moment(self, x: str, y: str, w: int) -> Column:
+        return self._run(f"{x}_x_{y}", lambda: F.coalesce(F.col(x) * F.col(y), F.lit(0.0)), w)
 
+    @_once
     def std(self, x: str, w: int, ddof: int = 1, nullable: bool = False) -> Column:
         n = self.count(x, w) if nullable else F.lit(float(w))
         c = self._centre(x)
@@ -114,25 +137,28 @@ class Rolling:
         return F.when(var.isNotNull(), F.when(var > floor, F.sqrt(F.greatest(var, F.lit(0.0))))
                       .otherwise(F.lit(0.0)))
 
+    @_once
     def power_sums(self, x: str, w: int) -> tuple[Column, Column, Column, Column]:
         v = F.col(x)
         return (self.sum(x, w),
-                self._run(f"{x}_p2", v * v, w),
-                self._run(f"{x}_p3", v * v * v, w),
-                self._run(f"{x}_p4", v * v * v * v, w))
+                self._run(f"{x}_p2", lambda: v * v, w),
+                self._run(f"{x}_p3", lambda: v * v * v, w),
+                self._run(f"{x}_p4", lambda: v * v * v * v, w))
 
+    @_once
     def corr(self, x: str, y: str, w: int, min_pairs: int | None = None) -> Column:
         """Correlation over the pairs that have both values."""
         a, b = self._centre(x), self._centre(y)
         both = F.col(x).isNotNull() & F.col(y).isNotNull()
         tag = f"{x}_and_{y}"
-        n = self._run(f"n_{tag}", both.cast("double"), w)
+        n = self._run(f"n_{tag}", lambda: both.cast("double"), w)
 
-        def s(name: str, term: Column) -> Column:
-            return self._run(f"{tag}_{name}", F.when(both, term).otherwise(F.lit(0.0)), w)
+        def s(name: str, term: Callable[[], Column]) -> Column:
+            return self._run(f"{tag}_{name}", lambda: F.when(both, term()).otherwise(F.lit(0.0)), w)
 
-        sa, sb = s("a", F.col(a)), s("b", F.col(b))
-        saa, sbb, sab = s("aa", F.col(a) * F.col(a)), s("bb", F.col(b) * F.col(b)), s("ab", F.col(a) * F.col(b))
+        sa, sb = s("a", lambda: F.col(a)), s("b", lambda: F.col(b))
+        saa, sbb = s("aa", lambda: F.col(a) * F.col(a)), s("bb", lambda: F.col(b) * F.col(b))
+        sab = s("ab", lambda: F.col(a) * F.col(b))
         va, vb = saa - F.try_divide(sa * sa, n), sbb - F.try_divide(sb * sb, n)
         cov = sab - F.try_divide(sa * sb, n)
         tiny = F.lit(1e-12)
@@ -157,13 +183,16 @@ class Rolling:
         self._lags[back] = (base, rest)
         return pick(F.col(base), F.col(back))
 
+    @_once
     def max(self, x: str, w: int) -> Column:
         return self._extreme("max", x, w)
 
+    @_once
     def min(self, x: str, w: int) -> Column:
         return self._extreme("min", x, w)
 
     # ---- exponential average -------------------------------------------------------------
+    @_once
     def ewm(self, x: str, span: int) -> Column:
         """Recursive average seeded with the symbol's first value (no weight adjustment).
 
