@@ -9,6 +9,7 @@ from barwright.catalog.base import (BARS_D, KEY, PANEL_D, PREDS, ROWS, TRAIN, Ta
 from barwright.catalog.q_features import VARIANTS
 from barwright.functions.expr import hash_uniform
 from barwright.operators import evaluate as ev, relational as rel, views
+from barwright.plans.xsec import scalars
 
 IC = ic_sql("p1", "label")
 NS = "(PARTITION BY symbol ORDER BY datetime)"
@@ -107,7 +108,7 @@ def _(t: Tables):
    SELECT n, {r('mean', 'mean', 6)}, {r('mean / sqrt(greatest(v, 1e-18) / n)', 't_stat')} FROM v""")
 def _(t: Tables):
     d = ev.newey_west(series(t))
-    return out(d, ("t_stat",), ()).crossJoin(out(d, ("n", "mean"), (), 6))
+    return out(d, ("t_stat",), ()).transform(scalars(out(d, ("n", "mean"), (), 6)))
 
 
 BLOCK = 20
@@ -152,7 +153,7 @@ def _(t: Tables):
     return out(ev.cross_section_summary(t.preds, t.g, "p1", min_count=6), ("mean", "std", "ir", "positive_frac", "n"), ())
 
 
-@query("ev14_bin_returns", f"""WITH {PREDS}, b AS (SELECT label, row_number() OVER (PARTITION BY datetime ORDER BY p1, symbol) / count(*) OVER (PARTITION BY datetime)::DOUBLE AS s FROM preds)
+@query("ev14_bin_returns", f"""WITH {PREDS}, b AS (SELECT label, row_number() OVER (PARTITION BY datetime ORDER BY p1, {uniform_sql(0, 'symbol')}, symbol) / count(*) OVER (PARTITION BY datetime)::DOUBLE AS s FROM preds)
    SELECT least(floor(s * 20), 19)::BIGINT + 1 AS bin, {r('avg(label)', 'mean_return')}, count(*) AS rows FROM b GROUP BY 1""")
 def _(t: Tables):
     return out(ev.bin_returns(t.preds, t.g, "p1"), ("mean_return", "rows"), ("bin",))

@@ -12,6 +12,7 @@ from barwright.operators import linear, relational, views
 from barwright.plans import xsec
 from barwright.plans.moments import Stats, add_up, gram, score, total
 from barwright.plans.xsec import Groups
+from barwright.plans.xsec import scalars
 
 c_ = F.col
 
@@ -86,7 +87,7 @@ def closed_weights(stats: DataFrame, k: int, rule: str) -> DataFrame:
 def apply_weights(df: DataFrame, table: DataFrame, keys: Sequence[str], xs: Sequence[str], out: str = "pred") -> DataFrame:
     """Weights joined by key (or a single row of them) and applied as one projection."""
     w = table.select(*keys, "weights")
-    d = df.join(w, list(keys), "left") if keys else df.crossJoin(F.broadcast(w))  # one row of weights
+    d = df.join(w, list(keys), "left") if keys else df.transform(scalars(w))
     return d.withColumn(out, sum((c_("weights")[i] * c_(x) for i, x in enumerate(xs)), F.lit(0.0))).drop("weights")
 
 
@@ -164,7 +165,7 @@ def rolling_alpha(df: DataFrame, p: str, q: str, by: Sequence[str] = (), y: str
 
 def static_alpha(df: DataFrame, val: Column, p: str, q: str, y: str = "label", steps: int = 41, out: str = "pred") -> DataFrame:
     one = best_alpha(alpha_grid(pair_moments(df.where(val), [], p, q, y), steps), []).select(c_("alpha").alias("_a"))
-    return df.crossJoin(F.broadcast(one)).withColumn(out, (F.lit(1.0) - c_("_a")) * c_(p) + c_("_a") * c_(q)).withColumnRenamed("_a", "alpha")  # one row
+    return df.transform(scalars(one)).withColumn(out, (F.lit(1.0) - c_("_a")) * c_(p) + c_("_a") * c_(q)).withColumnRenamed("_a", "alpha")
 
 
 # ---- groups and buckets -------------------------------------------------------------------------
@@ -293,7 +294,7 @@ def market_overlay(df: DataFrame, g: Groups, train: Column, xs: Sequence[str], p
                                           for i, k, a, gm in combos])))
     best = rows.agg(F.max_by(F.struct("i", "gamma"), F.struct("ic", -c_("i"), -c_("gamma"))).alias("_b"))
     pick = F.element_at(F.array(*[c_(f"over_{i}") for i in range(len(alphas))]), c_("_b.i") + 1)
-    out = j.crossJoin(F.broadcast(best)).withColumn("pred", c_(p) + c_("_b.gamma") * pick)  # one row
+    out = j.transform(scalars(best)).withColumn("pred", c_(p) + c_("_b.gamma") * pick)
     return out.drop("_b", *[f"over_{i}" for i in range(len(alphas))]), rows
 
 
@@ -302,7 +303,7 @@ def gate_features(df: DataFrame, train: Column, xs: Sequence[str], bound: float
     one = df.where(train).agg(*[e for x in xs for e in (F.avg(x).alias(f"_m_{x}"), F.stddev_pop(x).alias(f"_s_{x}"))])
     z = F.array(*[clip((F.coalesce(c_(x), F.lit(0.0)) - c_(f"_m_{x}")) / (c_(f"_s_{x}") + F.lit(1e-6)), -bound, bound) for x in xs])
     k = F.lit(float(len(xs)))
-    d = df.crossJoin(F.broadcast(one)).withColumn("_z", z)  # one row
+    d = df.transform(scalars(one)).withColumn("_z", z)
     total_ = lambda f: F.aggregate("_z", F.lit(0.0), lambda a, v: a + f(v))
     d = d.withColumns({"gate_mean": total_(lambda v: v) / k, "gate_abs": total_(F.abs) / k, "gate_max": F.array_max("_z"), "gate_min": F.array_min("_z"),
                        "_sq": total_(lambda v: v * v) / k})
@@ -349,7 +350,7 @@ def cross_section_blend(df: DataFrame, g: Groups, val: Column, p: str, mode: str
     t = t.withColumn("ic", (b * c_("py") + c_("w") * c_("qy")) / F.sqrt(F.greatest(q * c_("yy"), F.lit(1e-30))))
     one = t.agg(F.max_by("w", F.struct("ic", -F.abs("w"))).alias("_w"), F.max("ic").alias("_best"), F.max(F.when(c_("w") == 0, c_("ic"))).alias("_base"))
     one = one.select(F.when(c_("_best") >= c_("_base") + F.lit(min_delta), c_("_w")).otherwise(0.0).alias("cs_weight"))
-    return d.crossJoin(F.broadcast(one)).withColumn("pred", (F.lit(1.0) - c_("cs_weight")) * c_(p) + c_("cs_weight") * c_("_cs")).drop("_cs")  # one row
+    return d.transform(scalars(one)).withColumn("pred", (F.lit(1.0) - c_("cs_weight")) * c_(p) + c_("cs_weight") * c_("_cs")).drop("_cs")
 
 
 def candidate_catalog(components: DataFrame, views_: Sequence[str], rules: Sequence[str], calibrations: Sequence[tuple[int, float]], cal_rules: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barwright.functions.expr import clip, edges_at_or_below, minute_of_day
 from barwright.plans import xsec
+from barwright.plans.xsec import scalars
 
 c_ = F.col
 
@@ -42,7 +43,7 @@ def fit_multiplier(train: DataFrame, key: str, p: str, y: str = "label", k: floa
     one = per.agg((F.sum("xy") / F.greatest(F.sum("xx"), F.lit(1e-30))).alias("_g"))
     raw = clip((c_("xy") / F.greatest(c_("xx"), F.lit(1e-30))) / c_("_g"), lo, hi)
     rel = F.when(c_("n") >= min_count, c_("n") / (c_("n") + F.lit(float(k)))).otherwise(0.0)
-    return (per.crossJoin(F.broadcast(one))  # one row
+    return (per.transform(scalars(one))
             .select(key, "n", F.when(F.abs("_g") < 1e-30, F.lit(1.0)).otherwise(F.lit(1.0) + F.lit(alpha) * rel * (raw - 1)).alias("mult")))
 
 
@@ -149,10 +150,10 @@ def group_time_affine(df: DataFrame, train: Column, group: str, p: str, y: str =
     vxx = c_("sxx") - c_("sx") * c_("sx") / c_("n")
     own = F.try_divide(c_("sxy") - c_("sx") * c_("sy") / c_("n"), vxx)
     a = c_("n") / (c_("n") + F.lit(float(k)))
-    t = per.where(c_("n") >= min_rows).crossJoin(F.broadcast(one)).withColumns({"_own": own, "_a": a})  # one row
+    t = per.where(c_("n") >= min_rows).transform(scalars(one)).withColumns({"_own": own, "_a": a})
     t = t.select(group, "_tb", ((F.lit(1.0) - c_("_a")) * c_("gs") + c_("_a") * clip("_own", lo, hi)).alias("_s"),
                  (c_("_a") * F.lit(0.35) * (c_("sy") / c_("n") - c_("_own") * c_("sx") / c_("n"))).alias("_i"))
-    j = d.join(t, [group, "_tb"], "left").crossJoin(F.broadcast(one.select("gs")))
+    j = d.join(t, [group, "_tb"], "left").transform(scalars(one.select("gs")))
     return j.withColumn(out, F.coalesce(c_("_s"), c_("gs")) * c_(p) + F.coalesce(c_("_i"), F.lit(0.0))).drop("_tb", "_s", "_i", "gs")
 
 
@@ -217,7 +218,7 @@ def shifted(df: DataFrame, val: Column, p: str, mode: str, y: str = "label", shr
         return df.withColumn(out, c_(p) - F.lit(shrink * (xsec.edges(df.where(val), p, [0.5]) or [0.0])[0]))
     else:
         one = df.where(val).agg((F.lit(shrink) * F.avg(p)).alias("_shift"))
-    return df.crossJoin(F.broadcast(one)).withColumn(out, c_(p) - c_("_shift")).drop("_shift")  # one row
+    return df.transform(scalars(one)).withColumn(out, c_(p) - c_("_shift")).drop("_shift")
 
 
 def aux_scale(df: DataFrame, main: str, aux: Sequence[str], train: Column, lo: float = 0.25, hi: float = 4.0, power: float = 1.0,
@@ -225,7 +226,7 @@ def aux_scale(df: DataFrame, main: str, aux: Sequence[str], train: Column, lo: f
     """Scale by mean(max(aux, 0) / |train mean|), clipped and raised; averaged per timestamp if groups are given."""
     one = df.where(train).agg(*[F.greatest(F.abs(F.avg(a)), F.lit(1e-8)).alias(f"_m_{a}") for a in aux])
     rel = sum((F.greatest(c_(a), F.lit(0.0)) / c_(f"_m_{a}") for a in aux), F.lit(0.0)) / F.lit(float(len(aux)))
-    d = df.crossJoin(F.broadcast(one)).withColumn("_s", F.pow(clip(F.coalesce(rel, F.lit(1.0)), lo, hi), F.lit(power)))  # one row
+    d = df.transform(scalars(one)).withColumn("_s", F.pow(clip(F.coalesce(rel, F.lit(1.0)), lo, hi), F.lit(power)))
     if g is not None:
         d = xsec.with_stats(d, g, {"_sg": F.avg("_s")}).withColumn("_s", c_("_sg")).drop("_sg")
     return d.withColumn(out, c_(main) * c_("_s")).drop("_s", *[f"_m_{a}" for a in aux])

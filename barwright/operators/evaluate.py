@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barwright.functions.expr import col, edges_below, hash_uniform, month_key
 from barwright.operators import views
 from barwright.plans import xsec
-from barwright.plans.ordinal import time_bucket, with_ordinal
+from barwright.plans.ordinal import hash_slice, time_bucket, with_ordinal
 from barwright.plans.xsec import Groups
+from barwright.plans.xsec import scalars
 
 c_ = F.col
 YEAR = 31536000
@@ -139,7 +140,7 @@ def newey_west(series: DataFrame, x: str = "ic", lag: int = 5, bucket_seconds: i
     s = series.where(c_(x).isNotNull()).select("datetime", x)
     s = with_ordinal(s, [], ["datetime"], time_bucket("datetime", bucket_seconds), "i")
     one = s.agg(F.avg(x).alias("_mu"), F.count(x).alias("_n"))
-    s = s.crossJoin(F.broadcast(one)).select("i", (c_(x) - c_("_mu")).alias("a"), "_mu", "_n")  # one row
+    s = s.transform(scalars(one)).select("i", (c_(x) - c_("_mu")).alias("a"), "_mu", "_n")
     back = s.select(c_("a").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(lag))).alias("k"), "i")
     back = back.select("b", "k", (c_("i") + c_("k")).alias("i"))
     gamma = (s.join(back, "i").groupBy("k")
@@ -163,10 +164,10 @@ def bootstrap_ci(series: DataFrame, x: str = "ic", block: int = 20, draws: int =
     # the block branch only ever sees a series of at most ``large`` values
     small = one.where(c_("n") <= large)
     pos = with_ordinal(s, [], ["datetime"], time_bucket("datetime", bucket_seconds), "i")
-    pos = pos.crossJoin(F.broadcast(one.select(c_("n").alias("_n")))).where(c_("_n") <= large)
+    pos = pos.transform(scalars(one.select(c_("n").alias("_n")))).where(c_("_n") <= large)
     cum = pos.select(c_("i").alias("at"), F.sum(x).over(Window.partitionBy(F.lit(0)).orderBy("i")).alias("cum"))
     spark = series.sparkSession
-    grid = spark.range(draws).withColumnRenamed("id", "d").crossJoin(F.broadcast(small.select("n")))
+    grid = spark.range(draws).withColumnRenamed("id", "d").transform(scalars(small.select("n")))
     grid = grid.withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(c_("n") / F.lit(block)).cast("int") - 1)))
     grid = grid.withColumn("start", F.floor(hash_uniform(seed, "d", "b") * c_("n")).cast("long"))
     grid = grid.withColumn("stop", F.least(c_("start") + block, c_("n")))
@@ -174,7 +175,7 @@ def bootstrap_ci(series: DataFrame, x: str = "ic", block: int = 20, draws: int =
     ends = ends.join(cum.select((c_("at") + 1).alias("start"), c_("cum").alias("_lo")), "start", "left")
     means = ends.groupBy("d").agg((F.sum(c_("_hi") - F.coalesce(c_("_lo"), F.lit(0.0))) / F.sum(c_("stop") - c_("start"))).alias("m"))
     q = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    blocks = small.crossJoin(F.broadcast(q)).select("n", c_("q")[0].alias("lo"), c_("q")[1].alias("hi"))
+    blocks = small.transform(scalars(q)).select("n", c_("q")[0].alias("lo"), c_("q")[1].alias("hi"))
     return blocks.unionByName(normal.where(c_("n") > large))
 
 
@@ -208,17 +209,15 @@ def cross_section_summary(df: DataFrame, g: Groups, p: str, y: str = "label", mi
 
 
 def bin_returns(df: DataFrame, g: Groups, p: str, y: str = "label", bins: int = 20) -> DataFrame:
-    """Mean label by rank bin inside each timestamp; ties broken by symbol."""
-    d = df.where(both(p, y))
+    """Mean label by rank bin inside each timestamp; ties broken by a hash of the symbol."""
+    d = df.where(both(p, y)).withColumn("_u", hash_uniform(0, "symbol"))
     if g.fits:
         w = Window.partitionBy(*g.keys)
-        share = F.row_number().over(w.orderBy(p, "symbol")) / F.count(F.lit(1)).over(w)
-        d = d.withColumn("_s", share)
+        d = d.withColumn("_s", F.row_number().over(w.orderBy(p, "_u", "symbol")) / F.count(F.lit(1)).over(w))
     else:
         vc = xsec.value_counts(d, g.keys, p)
-        ties = Window.partitionBy(*g.keys, p).orderBy("symbol")
-        d = (d.join(vc, [*g.keys, p], "inner")
-             .withColumn("_s", (c_("_below") + F.row_number().over(ties)) / c_("_n")))
+        d = with_ordinal(d, [*g.keys, p], ["_u", "symbol"], hash_slice("_u"), "_t")
+        d = d.join(vc, [*g.keys, p], "inner").withColumn("_s", (c_("_below") + c_("_t") + 1) / c_("_n"))
     b = F.least(F.floor(c_("_s") * bins), F.lit(bins - 1)) + 1
     return d.groupBy(b.cast("long").alias("bin")).agg(F.avg(y).alias("mean_return"), F.count(F.lit(1)).alias("rows"))
 
@@ -237,7 +236,7 @@ def histogram(df: DataFrame, x: str, bins: int = 100) -> DataFrame:
     d = df.where(c_(x).isNotNull())
     one = d.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     b = F.least(F.floor((c_(x) - c_("_lo")) / F.greatest(c_("_hi") - c_("_lo"), F.lit(1e-300)) * bins), F.lit(bins - 1)).cast("long")
-    return (d.crossJoin(F.broadcast(one)).groupBy(b.alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("n"))  # one row
+    return (d.transform(scalars(one)).groupBy(b.alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("n"))
             .select("bin", (c_("_lo") + (c_("_hi") - c_("_lo")) * c_("bin") / bins).alias("left_edge"), "n"))
 
 
@@ -275,13 +274,13 @@ def align_external(base: DataFrame, ext: DataFrame) -> DataFrame:
 def audit(aligned: DataFrame) -> DataFrame:
     s = ic_summary(aligned, "pred")
     miss = aligned.agg(F.sum(c_("missing").cast("long")).alias("missing_filled"), F.count(F.lit(1)).alias("rows"))
-    return s.drop("coverage", "n").crossJoin(F.broadcast(miss))  # one row each
+    return s.drop("coverage", "n").transform(scalars(miss))
 
 
 def keep_gate(metrics: DataFrame, baseline: str, a: str, b: str) -> DataFrame:
     """Keep a candidate only if both metrics rise over the baseline row."""
     base = metrics.where(c_("name") == baseline).select(c_(a).alias("_a"), c_(b).alias("_b"))
-    return (metrics.where(c_("name") != baseline).crossJoin(F.broadcast(base))  # one row
+    return (metrics.where(c_("name") != baseline).transform(scalars(base))
             .withColumn("decision", F.when((c_(a) > c_("_a")) & (c_(b) > c_("_b")), F.lit("keep")).otherwise(F.lit("reject")))
             .drop("_a", "_b"))
 

@@ -10,6 +10,7 @@ from barwright.functions.expr import clip, div, ln_pos, probit
 from barwright.plans import chunks, xsec
 from barwright.plans.rolling import Rolling
 from barwright.plans.xsec import Groups
+from barwright.plans.xsec import scalars
 
 
 def _ahead_in_session(x: str | Column, h: int) -> Column:
@@ -83,7 +84,7 @@ def standardise_on_train(df: DataFrame, cols: Sequence[str], train: Column, boun
     """Mean and deviation of the train rows only, applied to every row."""
     one = df.where(train).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
                               *[F.stddev_samp(c).alias(f"_s_{c}") for c in cols])
-    df = df.crossJoin(F.broadcast(one))  # exactly one row
+    df = df.transform(scalars(one))  # exactly one row
     return df.withColumns({f"{c}_norm": clip((F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + F.lit(eps)),
                                              -bound, bound) for c in cols}).drop(*one.columns)
 
@@ -155,7 +156,7 @@ def residual_target(df: DataFrame, pred: str, y: str, train: Column | None = Non
     src = df.where(train) if train is not None else df
     one = src.where(F.col(pred).isNotNull() & F.col(y).isNotNull()).agg(
         F.try_divide(F.sum(F.col(pred) * F.col(y)), F.sum(F.col(pred) * F.col(pred))).alias("beta"))
-    return (df.crossJoin(F.broadcast(one))  # one row
+    return (df.transform(scalars(one))
             .withColumn("residual", clip(F.col(y) - F.col("beta") * F.col(pred), -bound, bound)))
 
 
@@ -170,6 +171,6 @@ def winsorised_target(df: DataFrame, y: str, train: Column, q: float = 0.01) ->
     lo, hi = xsec.edges(src, y, [q, 1 - q]) or (float("-inf"), float("inf"))
     cut = lambda d: d.withColumn("target_w", clip(y, lo, hi))
     one = cut(src).agg(F.avg("target_w").alias("_m"), F.stddev_pop("target_w").alias("_s"))
-    return (cut(df).crossJoin(F.broadcast(one))
+    return (cut(df).transform(scalars(one))
             .withColumn("target_std", (F.col("target_w") - F.col("_m")) / F.greatest(F.col("_s"), F.lit(1e-8)))
             .drop("_m", "_s"))

@@ -136,7 +136,7 @@ def rolling_stats(stats: DataFrame, time: str, lookback: int, by: Sequence[str]
         age = c_("_t") - c_("_i")
         f = F.pow(F.lit(0.5), (age - 1) / F.lit(float(half_life))) if half_life else F.lit(1.0)
         moved = cells.withColumn("_t", F.explode(F.sequence(c_("_i") + 1, c_("_i") + lookback)))
-        past = moved.groupBy("_t", *by, "_p").agg(F.sum(f * c_("_x")).alias("_x"), F.count_distinct("_i").alias("_times"), F.max("_x").alias("_raw"))
+        past = moved.groupBy("_t", *by, "_p").agg(F.sum(f * c_("_x")).alias("_x"), F.count(F.lit(1)).alias("_times"), F.max("_x").alias("_raw"))
     else:
         w = Window.partitionBy(*by, "_p").orderBy("_i").rowsBetween(Window.unboundedPreceding if not lookback else -lookback, -1)
         past = cells.select(c_("_i").alias("_t"), *by, "_p", F.sum("_x").over(w).alias("_x"), F.count("_x").over(w).alias("_times"), F.max("_x").over(w).alias("_raw"))

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barwright.operators import calibrate, evaluate, relational
+from barwright.plans.xsec import scalars
 
 c_ = F.col
 
@@ -27,7 +28,7 @@ def regime_memory(df: DataFrame, train: Column, features: Sequence[str], quantil
     if half_life_days:
         last = src.agg(F.max("datetime").alias("_last"))
         age = F.timestamp_diff("SECOND", c_("datetime"), c_("_last")) / F.lit(86400.0)
-        src = src.crossJoin(F.broadcast(last)).withColumn("_w", F.greatest(F.pow(F.lit(0.5), age / F.lit(half_life_days)), F.lit(1e-6)))  # one row
+        src = src.transform(scalars(last)).withColumn("_w", F.greatest(F.pow(F.lit(0.5), age / F.lit(half_life_days)), F.lit(1e-6)))
     else:
         src = src.withColumn("_w", F.lit(1.0))
     keys = ["symbol", "_tb", *bins]
@@ -37,9 +38,9 @@ def regime_memory(df: DataFrame, train: Column, features: Sequence[str], quantil
     mean = agg.where(c_("_gid") == gid([])).select((c_("_wy") / c_("_ws")).alias("_global"))
     tables = []
     for s in sets:
-        t = agg.where((c_("_gid") == gid(s)) & (c_("_n") >= min_count)).crossJoin(F.broadcast(mean))  # one row
+        t = agg.where((c_("_gid") == gid(s)) & (c_("_n") >= min_count)).transform(scalars(mean))
         tables.append((t.select(*s, ((c_("_wy") + F.lit(shrink) * c_("_global")) / (c_("_ws") + F.lit(shrink))).alias("_mem")), s))
-    d = relational.lookup_chain(d.crossJoin(F.broadcast(mean)), tables, "_mem", out, float("nan"))
+    d = relational.lookup_chain(d.transform(scalars(mean)), tables, "_mem", out, float("nan"))
     return d.withColumn(out, F.when(F.isnan(out), c_("_global")).otherwise(c_(out))).drop("_tb", "_global", *bins)
 
 

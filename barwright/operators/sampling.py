@@ -14,6 +14,7 @@ from barwright.functions.expr import hash_uniform
 from barwright.plans import xsec
 from barwright.plans.ordinal import first_n, hash_slice, log_slice, with_ordinal
 from barwright.plans.staging import stage
+from barwright.plans.xsec import scalars
 
 c_ = F.col
 TIE = ("symbol", "datetime")
@@ -48,7 +49,7 @@ def _quota_then_fill(df: DataFrame, strata: Sequence[str], need: int | Column, p
     marked = with_ordinal(df.withColumn("_u", draw(seed)), list(strata), ["_u", *TIE], hash_slice("_u"), "_pos")
     marked = stage(marked.withColumn("_in", c_("_pos") < per), "quota")
     got = marked.where("_in").agg(F.count(F.lit(1)).alias("_got"))
-    rest = marked.where(~c_("_in")).crossJoin(F.broadcast(got))  # one row
+    rest = marked.where(~c_("_in")).transform(scalars(got))
     need_col = F.lit(need) if isinstance(need, int) else need
     extra = first_n(rest.drop("_u", "_pos"), [], fill, TIE, F.greatest(need_col - c_("_got"), F.lit(0)), weighted)
     return marked.where("_in").drop("_u", "_pos", "_in").unionByName(extra.drop("_in", "_got"))
@@ -64,7 +65,7 @@ def stratified_months(df: DataFrame, n: int, seed: int, rank: str = "label_xrank
     """Equal quota per month and label-rank bin; the fill may prefer eventful rows."""
     d = df.withColumn("_st", F.concat(F.date_format("datetime", "yyyy-MM"), F.lit("/"), rank_bin(rank, bins)))
     k = d.agg(F.count_distinct("_st").alias("_k"))
-    d = d.crossJoin(F.broadcast(k))  # one row
+    d = d.transform(scalars(k))
     per = F.greatest(F.lit(1), F.floor(F.lit(n) / c_("_k")).cast("long"))
     fill = weighted_draw(seed + 1, event_weight()) if weighted_fill else draw(seed + 1)
     return _quota_then_fill(d, ["_st"], n, per, seed, fill, weighted_fill).drop("_st", "_k")
@@ -92,8 +93,8 @@ def event_tail(df: DataFrame, n: int, seed: int, q: float = 0.72, share: float =
     rest = top.where(c_("_pos") >= int(n * share)).drop("_pos").unionByName(d.where(~high))
     rest = stage(rest, "event-rest")
     st = rest.withColumn("_st", F.concat(F.date_format("datetime", "yyyy-MM"), F.lit("/"), rank_bin(rank, 6)))
-    one = st.agg(F.count_distinct("_st").alias("_k")).crossJoin(F.broadcast(got))  # one row each
-    st = st.crossJoin(F.broadcast(one))
+    one = st.agg(F.count_distinct("_st").alias("_k")).transform(scalars(got))
+    st = st.transform(scalars(one))
     need = F.lit(n) - c_("_g")
     per = F.greatest(F.lit(1), F.floor(need / c_("_k")).cast("long"))
     picked = _quota_then_fill(st.withColumn("_need", need), ["_st"], c_("_need"), per, seed, weighted_draw(seed + 1, event_weight()), True)
@@ -102,7 +103,7 @@ def event_tail(df: DataFrame, n: int, seed: int, q: float = 0.72, share: float =
 
 def recency_sample(df: DataFrame, n: int, seed: int, half_life_days: float) -> DataFrame:
     one = df.agg(F.max("datetime").alias("_last"))
-    d = df.crossJoin(F.broadcast(one))  # one row
+    d = df.transform(scalars(one))
     age = F.timestamp_diff("SECOND", c_("datetime"), c_("_last")) / F.lit(86400.0)
     w = F.greatest(F.exp(F.lit(-0.6931471805599453 / half_life_days) * age), F.lit(1e-12))
     return first_n(d.withColumn("_w", w), [], weighted_draw(seed, c_("_w")), TIE, n, True).drop("_last", "_w")
@@ -144,4 +145,4 @@ def day_weights(df: DataFrame, end: str, half_life_days: float, lo: float = 0.0,
     w = F.least(w, F.lit(hi)) if hi > 0 else w
     d = df.withColumn("weight", w)
     one = d.agg(F.greatest(F.avg("weight"), F.lit(1e-6)).alias("_m"))
-    return d.crossJoin(F.broadcast(one)).withColumn("weight", c_("weight") / c_("_m")).drop("_m")  # one row
+    return d.transform(scalars(one)).withColumn("weight", c_("weight") / c_("_m")).drop("_m")

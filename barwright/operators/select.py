@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from barwright.functions.expr import hash_normal, scrub
 from barwright.plans.moments import Stats, gram, score, total
+from barwright.plans.xsec import scalars
 
 c_ = F.col
 
@@ -102,7 +103,7 @@ def leave_one_out(train: Stats, val: Stats, alpha: float) -> list[float]:
 def noise_importance(df: DataFrame, cols: Sequence[str], weights: Sequence[float], y: str = "label", seed: int = 17) -> DataFrame:
     """IC lost when a column is replaced by Gaussian noise of its mean and deviation; one aggregate for all."""
     one = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    d = df.crossJoin(F.broadcast(one)).withColumn("_p", score(cols, weights))  # one row
+    d = df.transform(scalars(one)).withColumn("_p", score(cols, weights))
     stamp = F.date_format("datetime", "yyyy-MM-dd HH:mm")
     d = d.withColumns({f"_q_{c}": c_("_p") + F.lit(float(w)) * (c_(f"_m_{c}") + c_(f"_s_{c}") * hash_normal(f"{seed}/{c}", "symbol", stamp) - c_(c))
                        for c, w in zip(cols, weights)})

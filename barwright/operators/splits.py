@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barwright.plans import chunks
+from barwright.plans.xsec import scalars
 
 c_ = F.col
 
@@ -123,7 +124,7 @@ def materialise_windows(panel: DataFrame, cols: Sequence[str], length: int, anch
 def train_scale(index: DataFrame, target: str, train: Column) -> DataFrame:
     """Target standardised with the mean and deviation of the train anchors."""
     one = index.where(train).agg(F.avg(target).alias("_m"), F.stddev_pop(target).alias("_s"))
-    return (index.crossJoin(F.broadcast(one))  # one row
+    return (index.transform(scalars(one))
             .withColumn("target_z", (c_(target) - c_("_m")) / F.greatest(c_("_s"), F.lit(1e-8))).drop("_m", "_s"))
 
 

@@ -10,6 +10,7 @@ from barwright.functions.expr import clip, edges_below, finite, minute_of_day, p
 from barwright.plans import chunks, xsec
 from barwright.plans.rolling import Rolling
 from barwright.plans.xsec import Groups
+from barwright.plans.xsec import scalars
 
 c_ = F.col
 PREFIXES = ("tsz_", "csz_", "csr_")
@@ -244,4 +245,4 @@ def rescale_to_reference(df: DataFrame, x: str, ref: str, fit: Column, out: str)
     """Affine map that gives x the mean and deviation of ref on the fit rows, applied everywhere."""
     one = df.where(fit).agg(F.avg(x).alias("_mx"), F.stddev_pop(x).alias("_sx"), F.avg(ref).alias("_mr"), F.stddev_pop(ref).alias("_sr"))
     v = ((c_(x) - c_("_mx")) / F.greatest(c_("_sx"), F.lit(1e-8)) * F.greatest(c_("_sr"), F.lit(1e-8)) + c_("_mr"))
-    return df.crossJoin(F.broadcast(one)).withColumn(out, v).drop("_mx", "_sx", "_mr", "_sr")
+    return df.transform(scalars(one)).withColumn(out, v).drop("_mx", "_sx", "_mr", "_sr")

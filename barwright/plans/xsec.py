@@ -8,7 +8,7 @@ from counts of distinct values cut into value ranges, so no group is ever gather
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -38,6 +38,13 @@ def measure(df: DataFrame, keys: Sequence[str]) -> Groups:
     return Groups(tuple(keys), int(top or 0))
 
 
+def scalars(one: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Add the columns of a one-row frame to every row, as a scalar subquery: no join, no exchange."""
+    names = one.columns
+    row = one.select(F.struct(*names).alias("_one")).scalar()
+    return lambda df: df.withColumn("_one", row).withColumns({n: F.col(f"_one.{n}") for n in names}).drop("_one")
+
+
 def with_stats(df: DataFrame, g: Groups, aggs: dict[str, Column]) -> DataFrame:
     """Add group aggregates to every row."""
     if g.fits:
@@ -57,10 +64,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     probs = [i / RANGES for i in range(1, RANGES)]
     cuts = vals.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(x, probs, RANGES * 40)).alias("_cuts"))
-    if keys:
-        ranged = vals.join(cuts, keys, "inner")
-    else:
-        ranged = vals.crossJoin(F.broadcast(cuts))  # one row
+    ranged = vals.join(cuts, keys, "inner") if keys else vals.transform(scalars(cuts))
     ranged = ranged.withColumn(
         "_r", F.size(F.filter("_cuts", lambda e: e <= F.col(x)))).drop("_cuts")
     seq = Window.partitionBy(*keys).orderBy("_r")

@@ -43,12 +43,22 @@ def normalise_bars(raw: DataFrame, fill_missing: float | None = None) -> DataFra
         .dropDuplicates(["symbol", "datetime"]))
 
 
-def read_csv_bars(spark: SparkSession, path: str, fill_missing: float | None = None) -> DataFrame:
+def _csv_part(spark: SparkSession, files: str | Sequence[str], names: Sequence[str], fill_missing: float | None) -> DataFrame:
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    raw = (spark.read.schema(schema).option("header", True).csv(files if isinstance(files, str) else list(files))
+           .withColumn("symbol", F.upper(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))))
+    return normalise_bars(raw, fill_missing)
+
+
+def read_csv_bars(spark: SparkSession, path: str, fill_missing: float | None = None,
+                  columns: Sequence[str] | None = None) -> DataFrame:
     """One CSV file per symbol; the upper-cased file stem is the symbol.
 
-    Files may order or name their columns differently, so files with the same header are read
-    together: one scan per distinct header, not one per file.
+    With ``columns`` all files share one layout and are read in a single scan. Otherwise files with
+    the same header are read together, after a pass over the text that finds the header lines.
     """
+    if columns:
+        return _csv_part(spark, path, columns, fill_missing)
     heads = (spark.read.option("wholetext", False).text(path)
              .select(F.input_file_name().alias("f"), "value", F.col("_metadata.file_block_start").alias("at"))
              .where((F.col("at") == 0) & F.col("value").rlike("(?i)(time|date|^dt|open)"))
@@ -56,10 +66,7 @@ def read_csv_bars(spark: SparkSession, path: str, fill_missing: float | None = N
     parts: DataFrame | None = None
     for head in heads.toLocalIterator():  # one row per distinct header line
         names = [c.strip() for c in head["value"].split(",")]
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-        raw = (spark.read.schema(schema).option("header", True).csv(head["files"])
-               .withColumn("symbol", F.upper(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))))
-        part = normalise_bars(raw, fill_missing)
+        part = _csv_part(spark, head["files"], names, fill_missing)
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:
         raise FileNotFoundError(f"no bar files with a header under {path}")
