@@ -70,7 +70,7 @@ class Tables:
 
     @cached_property
     def dim(self) -> DataFrame:
-        return src.symbol_dimension(self.d)
+        return src.symbol_dimension(self.d, known=11)
 
     @cached_property
     def preds(self) -> DataFrame:

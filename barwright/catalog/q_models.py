@@ -442,6 +442,16 @@ def _(t: Tables):
     return out(blend.best_alpha(g, []), ("alpha", "ic"), (), 6)
 
 
+RW = (0.0, 0.5, 1.0, 2.0)
+
+
+@query("en24_residual_weight", f"WITH {PREDS}, {_mem_sql()}, mm AS (SELECT {MM} FROM mem WHERE NOT ({TRAIN})), g AS (SELECT w, (py + w * qy) / sqrt((pp + 2 * w * pq + w * w * qq) * yy) AS ic FROM mm, (VALUES "
+       + ", ".join(f"({w}::DOUBLE)" for w in RW) + f") v(w)) SELECT {r('w', 'weight')}, {r('ic', 'ic', 6)} FROM g")
+def _(t: Tables):
+    m = blend.pair_moments(remembered(t).where(~train_rows()), [], "p3", "memory")
+    return out(blend.residual_grid(m, RW), ("weight", "ic"), (), 6)
+
+
 @query("en24_multi_memory_grid", f"WITH {PREDS}, s AS (SELECT {STAT} FROM preds WHERE NOT ({TRAIN})), {grid_sql(5, 0.6, total_to_one=False)} SELECT {r('w1')}, {r('w2')}, {r('w3')}, {r('ic', 'ic', 6)} FROM grid")
 def _(t: Tables):
     g = blend.weight_grid(gram(t.preds.where(~train_rows()), [], P, "label"), 3, 0.2, cap=0.6, total_max=1.0).where("ic is not null")

@@ -328,7 +328,7 @@ def _(t: Tables):
 @query("sm08_timestamp_batches", f"""WITH {SAMPLE}, ts AS (SELECT datetime, (row_number() OVER (ORDER BY {uniform_sql(17, DT)}, datetime) - 1) // 16 AS batch FROM (SELECT datetime FROM pool GROUP BY datetime HAVING count(*) >= 8)),
    k AS (SELECT *, row_number() OVER (PARTITION BY datetime ORDER BY {u(18)}, symbol) AS k FROM pool) SELECT {KEY}, {r('label')}, {i('batch')} FROM k JOIN ts USING (datetime) WHERE k <= 6""")
 def _(t: Tables):
-    return out(sampling.timestamp_batches(pool(t), 16, 6, 8, 17), ("label", "batch"))
+    return out(sampling.timestamp_batches(pool(t), t.g, 16, 6, 8, 17), ("label", "batch"))
 
 
 @query("sm09_month_weights", f"WITH {PREDS} SELECT {KEY}, {r('exp(-ln(2) * (2001 * 12 + 6 - year(datetime) * 12 - month(datetime)) / 9.0)', 'weight', 6)} FROM preds WHERE month < '2001-06'")

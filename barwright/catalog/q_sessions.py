@@ -8,6 +8,7 @@ from barwright.catalog.base import (BARS_D, BARS_H, GAP_D, GAP_H, HORIZON, KEY,
                                     SESS_H, YEAR, Tables, avg_rank, clip_sql, i, out, pct_rank, probit_sql, query, r,
                                     rs, sessions_sql, train_rows, z_sql)
 from barwright.operators import labels, sessions
+from barwright.plans import xsec
 from barwright.sources import bars as src
 
 OHLC = ("open", "high", "low", "close", "volume", "amount", "oi")
@@ -101,13 +102,51 @@ def _(t: Tables):
     return per.groupBy("month_key").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_symbols"))
 
 
-@query("io09_factor_columns", "SELECT * FROM (VALUES (1::BIGINT, 'close'), (2::BIGINT, 'volume'), (3::BIGINT, 'open')) v(pos, factor)")
+@query("io08_materialised_panel", f"""WITH {BARS_D}, x AS (SELECT symbol, datetime, CASE WHEN count(close) OVER f >= 20 THEN (close - avg(close) OVER f) / (stddev_samp(close) OVER f + 1e-9) END AS z,
+     {z_sql('volume', 'datetime')} AS v FROM bars WINDOW f AS (PARTITION BY symbol ORDER BY datetime ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
+   SELECT {KEY}, {r(f"coalesce({clip_sql('z', 20.0)}, 0)", 'tsz_close')}, {r(f"coalesce({clip_sql('v', 20.0)}, 0)", 'csz_volume')} FROM x WHERE datetime >= TIMESTAMP '1998-03-01' AND datetime < TIMESTAMP '1998-09-01'""")
 def _(t: Tables):
-    names = src.factor_columns(t.d.select("symbol", "datetime", *OHLC), ("symbol", "datetime"),
-                               accepted=("close", "missing", "volume"), top_n=3)
-    # names come from the schema of the panel; the rows of the panel are not touched
-    return t.d.limit(1).select(F.posexplode(F.array(*[F.lit(n) for n in names])).alias("pos", "factor")).select(
-        (F.col("pos") + 1).cast("long").alias("pos"), "factor")
+    from barwright.operators import views
+    from barwright.plans.staging import shared_dir
+    import uuid
+    names, path = ["tsz_close", "csz_volume"], f"{shared_dir(t.spark)}/panel-{uuid.uuid4().hex}"
+    src.materialise_panel(views.selected_views(t.d, t.g, names, 20.0, 60, 20, ROWS), path, "1998-03-01", "1998-09-01")
+    return out(src.read_months(t.spark, path, ["symbol", "datetime", *names], "1998-03-01", "1998-09-01"), names)
+
+
+@query("io11_metric_files", f"""WITH {PANEL_D} SELECT strftime(datetime, '%Y') AS year, count(label) AS n, {r('avg(label)', 'mean_label', 6)} FROM panel GROUP BY 1""")
+def _(t: Tables):
+    from barwright.plans.staging import shared_dir
+    import uuid
+    path = f"{shared_dir(t.spark)}/metrics-{uuid.uuid4().hex}"
+    m = t.d.groupBy(F.date_format("datetime", "yyyy").alias("year")).agg(F.count("label").alias("n"), F.avg("label").alias("mean_label"))
+    src.write_metrics({"yearly": m}, path)
+    back = t.spark.read.schema("year string, n long, mean_label double").option("header", True).csv(f"{path}/yearly")
+    return out(back, ("n", "mean_label"), ("year",), 6)
+
+
+@query("io12_cache_reuse", f"""WITH {PANEL_D} SELECT {KEY}, {r('ln(volume)', 'feature')}, {r('label * label', 'target')} FROM panel""")
+def _(t: Tables):
+    from barwright.plans.staging import reuse
+    meta = {"folder": t.folder, "columns": ["feature"], "app": t.spark.sparkContext.applicationId}
+    make = lambda: t.d.select("symbol", "datetime", "label", F.ln("volume").alias("feature"))
+    reuse(t.spark, "features", meta, make)
+    features, _ = reuse(t.spark, "features", meta, make)  # the second call only reads
+    return out(features.withColumn("target", F.col("label") * F.col("label")), ("feature", "target"))
+
+
+_PICK = ("close", "volume", "open")
+
+
+@query("io09_factor_columns", f"WITH {BARS_D} " + " UNION ALL ".join(
+    f"SELECT {k + 1}::BIGINT AS pos, '{c}' AS factor, count({c}) AS n, {r(f'avg(ln({c}))', 'mean_log', 6)} FROM bars" for k, c in enumerate(_PICK)))
+def _(t: Tables):
+    d = t.d.select("symbol", "datetime", *OHLC)
+    names = src.factor_columns(d, ("symbol", "datetime"), accepted=("close", "missing", "volume"), top_n=3)
+    one = d.select(*names).agg(*[e for c in names for e in (F.count(c).alias(f"n_{c}"), F.avg(F.ln(c)).alias(f"m_{c}"))])
+    rows = [F.struct(F.lit(k + 1).cast("long").alias("pos"), F.lit(c).alias("factor"), F.col(f"n_{c}").alias("n"), F.col(f"m_{c}").alias("mean_log"))
+            for k, c in enumerate(names)]
+    return out(one.select(F.inline(F.array(*rows))), ("n", "mean_log"), ("pos", "factor"), 6)
 
 
 @query("io10_asset_audit", """SELECT * FROM (SELECT 'lineitem.parquet' AS asset, TRUE AS readable, 11::BIGINT AS n_columns,
@@ -222,7 +261,8 @@ def _(t: Tables):
 @query("se16_invalid_near_roll", f"""WITH {ROLL_CTE.format(m=4.0)} SELECT {KEY}, max(roll::INT) OVER (PARTITION BY symbol
    ORDER BY datetime ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 1 AS near_roll FROM rolls""")
 def _(t: Tables):
-    c = sessions.roll_candidates(t.d, mad_multiplier=4.0, rows=ROWS).select("symbol", "datetime", F.lit(True).alias("roll"))
+    longest = xsec.measure(t.d, ["symbol"]).largest
+    c = sessions.roll_candidates(t.d, mad_multiplier=4.0, largest=longest, rows=ROWS).select("symbol", "datetime", F.lit(True).alias("roll"))
     p = t.d.join(c, ["symbol", "datetime"], "left").withColumn("roll", F.coalesce("roll", F.lit(False)))
     return out(sessions.invalid_near(p, "roll", 6, ROWS), ("near_roll",))
 

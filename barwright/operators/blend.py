@@ -150,6 +150,14 @@ def best_alpha(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
     return grid.groupBy(*keys).agg(F.max_by("alpha", F.struct("ic", -c_("alpha"))).alias("alpha"), F.max("ic").alias("ic"))
 
 
+def residual_grid(moments: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """IC of p + w * q for each weight, from the same moments."""
+    d = moments.withColumn("weight", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
+    w = c_("weight")
+    q = c_("pp") + F.lit(2.0) * w * c_("pq") + w * w * c_("qq")
+    return d.select("weight", ((c_("py") + w * c_("qy")) / F.sqrt(F.greatest(q * c_("yy"), F.lit(1e-30)))).alias("ic"))
+
+
 def rolling_alpha(df: DataFrame, p: str, q: str, by: Sequence[str] = (), y: str = "label", month: str = "month", lookback: int = 12,
                   min_rows: int = 5000, steps: int = 21, default: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Mixing weight per month (and group) from the months before it."""

@@ -14,7 +14,7 @@ from barwright.functions.expr import hash_uniform
 from barwright.plans import xsec
 from barwright.plans.ordinal import first_n, hash_slice, log_slice, with_ordinal
 from barwright.plans.staging import stage
-from barwright.plans.xsec import scalars
+from barwright.plans.xsec import Groups, scalars
 
 c_ = F.col
 TIE = ("symbol", "datetime")
@@ -121,13 +121,17 @@ def whole_timestamps(df: DataFrame, budget: int, min_group: int, seed: int) -> D
     return df.join(keep, "datetime", "left_semi")
 
 
-def timestamp_batches(df: DataFrame, per_batch: int, symbols: int, min_symbols: int, seed: int) -> DataFrame:
+def timestamp_batches(df: DataFrame, g: Groups, per_batch: int, symbols: int, min_symbols: int, seed: int) -> DataFrame:
     """At most ``symbols`` members per timestamp, timestamps with enough members numbered into batches."""
     t = df.groupBy("datetime").agg(F.count(F.lit(1)).alias("_n")).where(c_("_n") >= min_symbols)
     t = t.withColumn("_u", hash_uniform(seed, F.date_format("datetime", "yyyy-MM-dd HH:mm")))
     t = with_ordinal(t, [], ["_u", "datetime"], hash_slice("_u"), "_i")
     t = t.select("datetime", F.floor(c_("_i") / per_batch).cast("long").alias("batch"))
-    picked = first_n(df, ["datetime"], draw(seed + 1), TIE, symbols)
+    if g.fits:
+        w = Window.partitionBy("datetime").orderBy(draw(seed + 1), "symbol")
+        picked = df.withColumn("_k", F.row_number().over(w)).where(c_("_k") <= symbols).drop("_k")
+    else:
+        picked = first_n(df, ["datetime"], draw(seed + 1), TIE, symbols)
     return picked.join(t, "datetime", "inner")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barwright.functions.expr import ln_pos, minute_of_day
 from barwright.plans import chunks, xsec
-from barwright.plans.ordinal import time_bucket
+from barwright.plans.ordinal import time_bucket, with_codes
 from barwright.plans.rolling import Rolling
 
 UNBOUND = (Window.unboundedPreceding, 0)
@@ -73,10 +73,8 @@ def masked(x: Column, lookback: int) -> Column:
 
 def session_key(df: DataFrame) -> DataFrame:
     """64-bit key: symbol code in the high half, session number in the low half."""
-    codes = df.select("symbol").distinct().withColumn(
-        "symbol_code", F.row_number().over(Window.orderBy("symbol")) - 1)  # symbols only, not bars
-    return (df.join(codes, "symbol", "inner")
-            .withColumn("session_key", F.shiftleft(F.col("symbol_code").cast("long"), 32) + F.col("session_id")))
+    return with_codes(df, "symbol", "symbol_code").withColumn(
+        "session_key", F.shiftleft(F.col("symbol_code").cast("long"), 32) + F.col("session_id"))
 
 
 def bars_to_month_end(df: DataFrame) -> DataFrame:

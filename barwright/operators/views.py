@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from barwright.functions.expr import clip, edges_below, finite, minute_of_day, probit
 from barwright.plans import chunks, xsec
+from barwright.plans.ordinal import with_codes
 from barwright.plans.rolling import Rolling
 from barwright.plans.xsec import Groups
 from barwright.plans.xsec import scalars
@@ -190,8 +191,7 @@ def group_return_pivot(df: DataFrame, x: str, groups: Sequence[str], group: str
 def calendar_encoding(df: DataFrame) -> DataFrame:
     tau = F.lit(2.0) * F.pi()
     m, d, mo = minute_of_day("datetime"), F.weekday("datetime"), F.month("datetime")
-    codes = df.select("symbol").distinct().withColumn("symbol_code", F.row_number().over(Window.orderBy("symbol")) - 1)
-    return df.join(codes, "symbol", "inner").withColumns({
+    return with_codes(df, "symbol", "symbol_code").withColumns({
         "minute_sin": F.sin(tau * m / F.lit(1440.0)), "minute_cos": F.cos(tau * m / F.lit(1440.0)),
         "dow_sin": F.sin(tau * d / F.lit(7.0)), "dow_cos": F.cos(tau * d / F.lit(7.0)),
         "month_sin": F.sin(tau * mo / F.lit(12.0)), "month_cos": F.cos(tau * mo / F.lit(12.0)),

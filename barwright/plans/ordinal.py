@@ -46,6 +46,18 @@ def hash_slice(u: str, slices: int = 1 << 16) -> Column:
     return F.floor(F.col(u) * F.lit(slices)).cast("long")
 
 
+def text_bucket(x: str) -> Column:
+    """Slice of a text order by its first three characters; never decreases along the order."""
+    at = lambda i: F.ascii(F.substring(x, i, 1)).cast("long")
+    return F.shiftleft(at(1), 42) + F.shiftleft(at(2), 21) + at(3)
+
+
+def with_codes(df: DataFrame, x: str, out: str) -> DataFrame:
+    """Dense 0-based code of a text column in sorted order."""
+    codes = with_ordinal(df.select(x).distinct(), [], [x], text_bucket(x), out)
+    return df.join(codes, x, "inner")
+
+
 def with_time_number(df: DataFrame, time_col: str = "datetime", seconds: int = 31536000,
                      out: str = "time_no", desc: bool = False) -> DataFrame:
     """Distinct timestamps with their 0-based position over the whole panel."""
@@ -81,5 +93,5 @@ def first_n(df: DataFrame, strata: Sequence[str], score: Column, tie: Sequence[s
             .drop("_u", "_bk", "_limit", "_start", "_rn"))
 
 
-__all__ = ["time_bucket", "with_ordinal", "hash_slice", "with_time_number", "log_slice", "first_n",
+__all__ = ["time_bucket", "with_ordinal", "hash_slice", "with_time_number", "text_bucket", "with_codes", "log_slice", "first_n",
            "epoch_seconds", "hash_uniform"]

@@ -7,9 +7,13 @@ pushed filters and file statistics, which an RDD checkpoint would lose.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
@@ -37,3 +41,18 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def reuse(spark: SparkSession, name: str, meta: dict, build: Callable[[], DataFrame], folder: str | None = None) -> tuple[DataFrame, bool]:
+    """A table built once per description: same ``meta``, same table; anything else is built anew.
+
+    Keep what is costly (features) and what varies (targets) under separate descriptions, so that a
+    change of target mode reuses the features. Returns the table and whether it was there already.
+    """
+    tag = hashlib.sha256(json.dumps(meta, sort_keys=True, default=str).encode()).hexdigest()[:20]
+    path = f"{folder or shared_dir(spark)}/{name}-{tag}"
+    try:
+        return spark.read.parquet(path), True
+    except AnalysisException:  # absent, or a failed write that committed nothing
+        build().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path), False

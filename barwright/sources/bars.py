@@ -85,16 +85,19 @@ def trim(df: DataFrame, start: str, end: str) -> DataFrame:
     return load_range(df, start, end, 0, 0)
 
 
-def symbol_dimension(bars: DataFrame) -> DataFrame:
-    """Symbol attributes derived from the symbol number: sector, exchange, group and chain."""
+def symbol_dimension(bars: DataFrame, known: int | None = None) -> DataFrame:
+    """Symbol attributes derived from the symbol number: sector, exchange, group and chain.
+
+    Symbols numbered ``known`` or above stay out, as in a map kept by hand.
+    """
     n = F.regexp_extract("symbol", "([0-9]+)$", 1).cast("int")
-    return (bars.select("symbol").distinct().select(
+    dim = bars.select("symbol").distinct().select(
         "symbol",
         F.concat(F.lit("sector"), n % 4).alias("sector"),
         F.concat(F.lit("X"), n % 2).alias("exchange"),
         F.concat(F.lit("g"), n % 3).alias("grp"),
         F.when(n % 5 == 0, F.lit("chain0")).when(n % 5 == 1, F.lit("chain1")).alias("chain"))
-        .where(n < 11))
+    return dim if known is None else dim.where(n < known)
 
 
 def enrich(bars: DataFrame, dim: DataFrame, columns: Sequence[str], default: str = UNKNOWN) -> DataFrame:
@@ -150,6 +153,21 @@ def read_months(spark: SparkSession, path: str, columns: Sequence[str], start: s
     return load_range(df.where(months), start, end, 0, 0).select(*columns)
 
 
+def materialise_panel(views: DataFrame, path: str, start: str | None = None, end: str | None = None) -> None:
+    """Write selected factor views by month, whole or for a range of months.
+
+    The caller's plan keeps the warm-up bars before ``start`` (see ``load_range``); they feed the
+    windows and are cut here, so a rerun of some months replaces exactly those folders.
+    """
+    write_month_parts(trim(views, start, end) if start and end else views, path)
+
+
+def write_metrics(tables: dict[str, DataFrame], path: str) -> None:
+    """Metric tables as CSV folders with a header; they are small, so each is one file."""
+    for name, df in tables.items():
+        df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+
+
 def factor_columns(df: DataFrame, meta: Sequence[str], accepted: Sequence[str] | None = None,
                    top_n: int | None = None) -> list[str]:
     """Factor columns of a frame: those accepted first and in their order, then schema order."""
