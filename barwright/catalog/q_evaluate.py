@@ -131,13 +131,13 @@ def _sn_series(rank: bool) -> str:
 
 @query("ev12_bundle_sn_rank", f"WITH {_sn_series(True)} SELECT count(ic) AS n, {r('avg(ic)', 'mean', 5)}, {r('stddev_samp(ic)', 'std', 5)} FROM s WHERE i % 10 = 0")
 def _(t: Tables):
-    b = ev.evaluation_bundle(t.preds, t.g, "p1", min_symbols=6, stride=10)
+    b = ev.evaluation_bundle(t.preds, t.g, "p1", min_symbols=6, stride=10, sectors=False)
     return out(b["metrics"].where("metric = 'nonoverlap_sector_neutral_cs_rankic'"), ("n", "mean", "std"), (), 5)
 
 
 @query("ev12_bundle_monthly", f"WITH {_sn_series(False)} SELECT strftime(datetime, '%Y-%m') AS month, count(ic) AS n, {r('avg(ic)', 'mean')} FROM s WHERE i % 10 = 0 GROUP BY 1")
 def _(t: Tables):
-    return out(ev.evaluation_bundle(t.preds, t.g, "p1", min_symbols=6, stride=10)["monthly"], ("n", "mean"), ("month",))
+    return out(ev.evaluation_bundle(t.preds, t.g, "p1", min_symbols=6, stride=10, sectors=False)["monthly"], ("n", "mean"), ("month",))
 
 
 @query("ev12_bundle_sector", f"""WITH {VARIANTS}, v2 AS (SELECT *, round(snz, 9) + 0.0 AS sr FROM v1), k AS (SELECT *, {avg_rank('sr', 'sector')} AS rp, {avg_rank('label', 'sector')} AS ry FROM v2 WHERE snz IS NOT NULL)

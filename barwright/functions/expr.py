@@ -113,16 +113,27 @@ def literal_array(values: Sequence[float]) -> Column:
     return F.lit([float(v) for v in values]) if len(values) else F.array().cast("array<double>")
 
 
+def _passed(edges: Sequence[float], passes) -> Column:
+    """Length of the prefix of sorted edges that passes; two levels keep long lists at sqrt(n) comparisons."""
+    if len(edges) <= 64:
+        return F.size(F.filter(literal_array(edges), passes))
+    k = int(len(edges) ** 0.5)
+    blocks = [list(edges[i:i + k]) for i in range(0, len(edges), k)]
+    whole = F.size(F.filter(literal_array([b[-1] for b in blocks]), passes))
+    part = F.get(F.array(*[literal_array(b) for b in blocks]), whole)
+    return whole * k + F.when(part.isNotNull(), F.size(F.filter(part, passes))).otherwise(0)
+
+
 def edges_at_or_below(x: str | Column, edges: Sequence[float]) -> Column:
     """Number of (distinct, sorted) edges that are <= x: a right-sided sorted search."""
     c = col(x)
-    return F.when(c.isNotNull(), F.size(F.filter(literal_array(edges), lambda e: e <= c)).cast("long"))
+    return F.when(c.isNotNull(), _passed(edges, lambda e: e <= c).cast("long"))
 
 
 def edges_below(x: str | Column, edges: Sequence[float]) -> Column:
     """Number of edges that are < x: a left-sided sorted search."""
     c = col(x)
-    return F.when(c.isNotNull(), F.size(F.filter(literal_array(edges), lambda e: e < c)).cast("long"))
+    return F.when(c.isNotNull(), _passed(edges, lambda e: e < c).cast("long"))
 
 
 def minute_of_day(t: str | Column) -> Column:

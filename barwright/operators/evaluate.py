@@ -179,7 +179,8 @@ def bootstrap_ci(series: DataFrame, x: str = "ic", block: int = 20, draws: int =
     return blocks.unionByName(normal.where(c_("n") > large))
 
 
-def evaluation_bundle(df: DataFrame, g: Groups, p: str, y: str = "label", min_symbols: int = 8, stride: int = 30) -> dict[str, DataFrame]:
+def evaluation_bundle(df: DataFrame, g: Groups, p: str, y: str = "label", min_symbols: int = 8, stride: int = 30,
+                      sectors: bool = True) -> dict[str, DataFrame]:
     """All series, their summaries, and the monthly, session and sector tables."""
     d = views.pred_variants(df, g, p)
     spec = {"dense_cs_ic": ("pred_cs_zscore", False, 1), "dense_cs_rankic": ("pred_cs_zscore", True, 1),
@@ -195,6 +196,8 @@ def evaluation_bundle(df: DataFrame, g: Groups, p: str, y: str = "label", min_sy
     sn = tables["nonoverlap_sector_neutral_cs_ic"]
     tables["monthly"] = summarise_series(sn, ["month"])
     tables["session"] = summarise_series(sn, ["session_type"])
+    if not sectors:
+        return tables
     # z values that agree up to rounding are ties, not an order
     d = d.withColumn("_snz", F.round("pred_sector_neutral_zscore", 9))
     tables["sector"] = merged_ic(d, "pred_sector_neutral_zscore", y, ["sector"]).join(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barwright.functions.expr import hash_uniform
 from barwright.plans import xsec
-from barwright.plans.ordinal import first_n, hash_slice, log_slice, with_ordinal
+from barwright.plans.ordinal import first_n, hash_slice, log_slice, with_ordinal, with_running_sum
 from barwright.plans.staging import stage
 from barwright.plans.xsec import Groups, scalars
 
@@ -110,14 +110,11 @@ def recency_sample(df: DataFrame, n: int, seed: int, half_life_days: float) -> D
 
 
 def whole_timestamps(df: DataFrame, budget: int, min_group: int, seed: int) -> DataFrame:
-    """Complete timestamps in hashed order while their rows fit the budget (stops at the first overflow).
-
-    The running sum is over distinct timestamps, a table bounded by the calendar.
-    """
+    """Complete timestamps in hashed order while their rows fit the budget (stops at the first overflow)."""
     t = df.groupBy("datetime").agg(F.count(F.lit(1)).alias("_n")).where(c_("_n") >= min_group)
     t = t.withColumn("_u", hash_uniform(seed, F.date_format("datetime", "yyyy-MM-dd HH:mm")))
-    run = Window.partitionBy(F.lit(0)).orderBy("_u", "datetime").rowsBetween(Window.unboundedPreceding, 0)
-    keep = t.withColumn("_cum", F.sum("_n").over(run)).where(c_("_cum") <= budget).select("datetime")
+    t = with_running_sum(t, ["_u", "datetime"], hash_slice("_u", 1024), "_n", "_total")
+    keep = t.where(c_("_total") <= budget).select("datetime")
     return df.join(keep, "datetime", "left_semi")
 
 

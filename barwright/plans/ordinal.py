@@ -42,6 +42,17 @@ def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
             .drop("_bk", "_start", "_rn"))
 
 
+def with_running_sum(df: DataFrame, order: Sequence[str | Column], bucket: Column, value: str, out: str) -> DataFrame:
+    """Running sum of a column over the whole frame, by the same two levels."""
+    cut = df.withColumn("_bk", bucket)
+    sizes = cut.groupBy("_bk").agg(F.sum(value).alias("_s"))
+    seq = Window.partitionBy(F.lit(0)).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)  # buckets only
+    starts = sizes.select("_bk", F.coalesce(F.sum("_s").over(seq), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (cut.withColumn("_cum", F.sum(value).over(inside)).join(starts, "_bk", "inner")
+            .withColumn(out, F.col("_start") + F.col("_cum")).drop("_bk", "_start", "_cum"))
+
+
 def hash_slice(u: str, slices: int = 1 << 16) -> Column:
     return F.floor(F.col(u) * F.lit(slices)).cast("long")
 

@@ -13,9 +13,10 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barwright.plans.staging import stage
+
 WINDOW_ROWS = 200_000
 EXACT_ROWS = 1_000_000
-RANGES = 256
 
 
 @dataclass(frozen=True)
@@ -58,24 +59,24 @@ def value_counts(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     """Distinct values with their count and the number of rows below them.
 
     Columns: keys, ``x``, ``_c`` (ties), ``_below`` and ``_n`` (non-null rows of the group).
+
+    Equal values are counted first, so a hot value is one row. The counts are then range-partitioned
+    by (keys, value): a large group spans several partitions, each with its own running count. The
+    ranges are sampled, so they are written once and every later step reads the same ones.
     """
     keys = list(keys)
     vals = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_c"))
-    probs = [i / RANGES for i in range(1, RANGES)]
-    cuts = vals.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(x, probs, RANGES * 40)).alias("_cuts"))
-    ranged = vals.join(cuts, keys, "inner") if keys else vals.transform(scalars(cuts))
-    ranged = ranged.withColumn(
-        "_r", F.size(F.filter("_cuts", lambda e: e <= F.col(x)))).drop("_cuts")
+    ranged = vals.repartitionByRange(*[F.col(k) for k in keys], F.col(x)).withColumn("_r", F.spark_partition_id())
+    inside = Window.partitionBy(*keys, "_r").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    counted = stage(ranged.withColumn("_cum", F.sum("_c").over(inside)), "value-counts")
+    # one row per (group, range): the number of ranges is the number of shuffle partitions
+    sizes = counted.groupBy(*keys, "_r").agg(F.max("_cum").alias("_s"))
     seq = Window.partitionBy(*keys).orderBy("_r")
-    sizes = ranged.groupBy(*keys, "_r").agg(F.sum("_c").alias("_s"))  # at most RANGES rows a group
     starts = sizes.select(
         *keys, "_r",
         F.coalesce(F.sum("_s").over(seq.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
         F.sum("_s").over(Window.partitionBy(*keys)).alias("_n"))
-    inside = Window.partitionBy(*keys, "_r").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    return (ranged.withColumn("_cum", F.sum("_c").over(inside))
-            .join(starts, keys + ["_r"], "inner")
+    return (counted.join(starts, keys + ["_r"], "inner")
             .select(*keys, x, "_c", (F.col("_start") + F.col("_cum") - F.col("_c")).alias("_below"), "_n"))
 
 
