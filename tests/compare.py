@@ -23,7 +23,7 @@ def session(cores: int = 8, partitions: int = 8):
              .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
              .config("spark.driver.memory", "12g")
              .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k").config("spark.sql.adaptive.enabled", "true")
+             .config("spark.sql.adaptive.coalescePartitions.enabled", "false").config("spark.sql.adaptive.enabled", "true")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

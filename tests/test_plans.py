@@ -182,6 +182,43 @@ def test_greedy_branches_gain():
     assert steps[1][1] == "b" and steps[-1][3] > steps[0][3]
 
 
+def test_edge_search_in_one_and_two_levels(data):
+    from barwright.functions.expr import edges_at_or_below, edges_below
+    pdf, d = data
+    for n in (5, 64, 65, 301):
+        e = sorted(set(np.round(np.linspace(-2, 2, n), 2)))
+        got = d.where("x is not null").select("x", edges_below("x", e).alias("l"), edges_at_or_below("x", e).alias("r")).toPandas()
+        assert (got["l"] == np.searchsorted(e, got["x"], side="left")).all()
+        assert (got["r"] == np.searchsorted(e, got["x"], side="right")).all()
+
+
+def test_running_sum_and_codes(data):
+    pdf, d = data
+    r = ordinal.with_running_sum(d.withColumn("one", F.lit(2)), ["z"], F.floor(F.col("z") * 3), "one", "t").toPandas()
+    assert (r.sort_values("z")["t"].to_numpy() == 2 * np.arange(1, len(pdf) + 1)).all()
+    c = ordinal.with_codes(d.select("symbol"), "symbol", "code").toPandas()
+    assert dict(zip(c["symbol"], c["code"])) == {s: i for i, s in enumerate(sorted(pdf["symbol"]))}
+
+
+def test_cache_is_reused_only_for_the_same_description(spark, tmp_path):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(3)
+
+    for meta, hit in (({"a": 1}, False), ({"a": 1}, True), ({"a": 2}, False)):
+        df, found = staging.reuse(spark, "t", meta, build, str(tmp_path))
+        assert found is hit and df.count() == 3
+    assert len(calls) == 2
+
+
+def test_bin_returns_paths_agree(data):
+    _, d = data
+    a, b = (evaluate.bin_returns(d, g, "x", "label", 10).orderBy("bin").toPandas() for g in (xsec.Groups(("datetime",), 5000), xsec.Groups(("datetime",))))
+    pd.testing.assert_frame_equal(a, b)
+
+
 def test_staging_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
     class Fake:
         conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})()

@@ -113,5 +113,11 @@ def test_csv_loader(spark, tmp_path):
     assert src.discover_symbols(got_frame(spark, got), excluded=("CD",)).toPandas()["symbol"].tolist() == ["AB"]
 
 
+def test_csv_loader_with_a_known_layout(spark, tmp_path):
+    (tmp_path / "ef.csv").write_text("datetime,close\n2020-01-02 09:00,5\n2020-01-02 09:01,bad\n")
+    got = src.read_csv_bars(spark, str(tmp_path / "*.csv"), columns=("datetime", "close")).orderBy("datetime").toPandas()
+    assert got["symbol"].tolist() == ["EF", "EF"] and got["close"].tolist()[0] == 5.0 and np.isnan(got["close"].tolist()[1])
+
+
 def got_frame(spark, pdf):
     return spark.createDataFrame(pdf[["symbol", "close"]])
