@@ -121,7 +121,8 @@ def _passed(edges: Sequence[float], passes) -> Column:
     blocks = [list(edges[i:i + k]) for i in range(0, len(edges), k)]
     whole = F.size(F.filter(literal_array([b[-1] for b in blocks]), passes))
     part = F.get(F.array(*[literal_array(b) for b in blocks]), whole)
-    return whole * k + F.when(part.isNotNull(), F.size(F.filter(part, passes))).otherwise(0)
+    inner = F.when(part.isNotNull(), F.size(F.filter(part, passes))).otherwise(0)
+    return F.least(whole * k + inner, F.lit(len(edges)))  # the last block may be short
 
 
 def edges_at_or_below(x: str | Column, edges: Sequence[float]) -> Column:
