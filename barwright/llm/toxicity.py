@@ -1,15 +1,18 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence scores sigmoid(bias + sum of the weights of its distinct words); the document scores
+A document is a bag of sentences. A sentence scores sigmoid(bias + sum of the weights of its distinct features); the document scores
 the noisy-or of its sentences, 1 - prod(1 - p). Weights are learned from document labels alone, by ascent on the likelihood,
 and then say which sentences offend.
 
-The classifier is fitted on at most ``SAMPLE`` labelled rows, those with the smallest hash of their id, and knows at most
-``VOCABULARY`` words, those whose presence says most about the label. Scoring reads every sentence of every text in one pass.
+The classifier is fitted on at most ``SAMPLE`` labelled rows, those with the smallest hash of their id. Its features are words and
+their stems (the first ``STEMS`` letters), so that inflected forms count together; it keeps at most ``VOCABULARY`` of them, those
+whose presence speaks most for toxicity. Scoring reads every sentence of every text in one pass.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,71 +24,94 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barwright.llm.shared import spare
 
-SAMPLE, LONGEST = 12_000, 200_000
-VOCABULARY, LEAST_DOCUMENTS = 4096, 3
-ROUNDS, STEP, DECAY = 300, 0.1, 2e-5
+SAMPLE, LONGEST = 10_000, 200_000
+STEMS = (3, 4, 5, 6)
+VOCABULARY, LEAST_DOCUMENTS = 2000, 6
+LEAST_TOLD = 4.5  # standard deviations between a feature's toxic documents and the expected number
+ROUNDS, STEP, DECAY = 400, 0.1, 0.03
+START = -10.0  # log-odds of a sentence without known features, before fitting
+CACHE = 300_000
 THRESHOLD = 0.3
 FOLDS, HELD = 4, 2
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-@dataclass(frozen=True)
-class Model:
-    words: dict[str, int]
-    weights: np.ndarray
-    bias: float
+def features(word: str) -> list[str]:
+    """A word, marked as whole, and its stems."""
+    return ["=" + word, *(word[:k] for k in STEMS if len(word) >= k)]
 
-    def sentences(self, text: str | None) -> np.ndarray:
-        """Log-odds of each sentence that has letters."""
-        return np.array([self.bias + sum(self.weights[k] for k in ids) for ids in sentence_ids(text, self.words)])
 
-    def score(self, text: str | None) -> float:
-        """Noisy-or of the sentences; the bias alone for a text without any."""
-        plain, z = 0, []
-        for ids in sentence_ids(text, self.words):
-            if ids:
-                z.append(self.bias + sum(self.weights[k] for k in ids))
-            else:
-                plain += 1
-        quiet = -np.logaddexp(0.0, self.bias) * (plain or (not z)) - float(np.logaddexp(0.0, np.array(z)).sum())
-        return float(-np.expm1(quiet))
+class Known(dict):
+    """From a word to the numbers of its features; remembers up to CACHE words."""
+
+    def __init__(self, number: dict[str, int]):
+        super().__init__()
+        self.number = number
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= CACHE:
+            self.clear()
+        out = self[word] = tuple(self.number[f] for f in features(word) if f in self.number)
+        return out
 
 
-def sentence_ids(text: str | None, words: dict[str, int]) -> list[set[int]]:
-    """The known words of each sentence; a sentence without letters is left out."""
+def sentence_ids(text: str | None, known: Known) -> list[set[int]]:
+    """The known features of each sentence; a sentence without letters is left out."""
     out = []
     for sentence in _SENTENCE.findall(text.lower() if text else ""):
-        found = _WORD.findall(sentence)
-        if found:
-            out.append({words[w] for w in found if w in words})
+        if found := _WORD.findall(sentence):
+            out.append({k for w in found for k in known[w]})
     return out
 
 
+@dataclass(frozen=True)
+class Model:
+    """``number`` names the features; ``weights`` and ``bias`` are their log-odds."""
+
+    number: dict[str, int]
+    weights: list[float]
+    bias: float
+
+    def sentences(self, text: str | None, known: Known | None = None) -> list[float]:
+        """Log-odds of each sentence that has letters."""
+        w = self.weights
+        return [self.bias + sum(w[k] for k in ids) for ids in sentence_ids(text, known or Known(self.number))]
+
+    def score(self, text: str | None, known: Known | None = None) -> float:
+        """Noisy-or of the sentences; the bias alone for a text without any."""
+        z = self.sentences(text, known) or [self.bias]
+        return -math.expm1(-float(np.logaddexp(0.0, z).sum()))
+
+
 def fit(texts: list[str], labels: np.ndarray, vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> Model:
     """Learn word weights. With labels of one kind or no rows, the model is the rate of the labels."""
     y = np.asarray(labels, np.float64)
     n = len(y)
     rate = float((y.sum() + 1) / (n + 2))
-    empty = Model({}, np.empty(0), float(np.log(rate / (1 - rate))))
+    empty = Model({}, [], float(np.log(rate / (1 - rate))))
     if not n or y.min() == y.max():
         return empty
     count: dict[str, list[int]] = {}
-    for text, label in zip(texts, y):
-        for w in set(_WORD.findall(text.lower())):
-            count.setdefault(w, [0, 0])[int(label)] += 1
-    names = sorted(w for w, c in count.items() if c[0] + c[1] >= min(LEAST_DOCUMENTS, n))
-    if not names:
-        return empty
-    c = np.array([count[w] for w in names], np.float64)
+    parts: dict[str, list[str]] = {}
+    for text, label in zip(texts, y.astype(int).tolist()):
+        for f in set(itertools.chain.from_iterable(parts[w] if w in parts else parts.setdefault(w, features(w)) for w in set(_WORD.findall(text.lower())))):
+            count.setdefault(f, [0, 0])[label] += 1
+    # a longer stem that occurs as often as the stem it extends says nothing more
+    names = sorted(f for f, c in count.items() if sum(c) >= min(LEAST_DOCUMENTS, n) and count.get(f[:-1] if f[0] != "=" else f[1:1 + STEMS[-1]]) != c)
+    c = np.array([count[f] for f in names], np.float64).reshape(-1, 2)
     total = c.sum(axis=1)
     spread = np.sqrt(np.maximum(total * rate * (1 - rate) * (1 - (total - 1) / max(n, 2)), 1e-9))
-    told = np.abs(c[:, 1] - total * rate) / spread
-    words = {names[k]: i for i, k in enumerate(sorted(np.argsort(-told, kind="stable")[:vocabulary].tolist()))}
+    told = (c[:, 1] - total * rate) / spread
+    best = [k for k in np.argsort(-told, kind="stable")[:vocabulary].tolist() if told[k] >= LEAST_TOLD]
+    if not best:
+        return empty
+    number = {names[k]: i for i, k in enumerate(sorted(best))}
+    known = Known(number)
 
     doc, plain, sent, word, at = [], np.zeros(n), [], [], 0
     for d, text in enumerate(texts):
-        for ids in sentence_ids(text, words):
+        for ids in sentence_ids(text, known):
             if ids:
                 doc.append(d)
                 word.extend(sorted(ids))
@@ -97,8 +123,8 @@ def fit(texts: list[str], labels: np.ndarray, vocabulary: int = VOCABULARY, roun
         return empty
     doc, sent, word = np.array(doc), np.array(sent), np.array(word)
     plain[(plain == 0) & (np.bincount(doc, minlength=n) == 0)] = 1
-    w = np.zeros(len(words) + 1)
-    w[-1] = np.log(rate / (1 - rate)) - np.log(max(1.0, at / n))
+    w = np.zeros(len(number) + 1)
+    w[-1] = START
     first, second = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, rounds + 1):
         z = w[-1] + np.bincount(sent, w[word], minlength=at)
@@ -106,11 +132,11 @@ def fit(texts: list[str], labels: np.ndarray, vocabulary: int = VOCABULARY, roun
         quiet = -np.bincount(doc, np.logaddexp(0, z), minlength=n) - plain * np.logaddexp(0, w[-1])
         lift = y * np.exp(quiet) / np.maximum(-np.expm1(quiet), 1e-12) - (1 - y)  # d log-likelihood / d p, over 1 - p
         gz = lift[doc] * p
-        grad = np.append(np.bincount(word, gz[sent], minlength=len(words)), gz.sum() + (lift * plain).sum() * p0) / n
-        grad[:-1] -= DECAY * w[:-1]
+        grad = np.append(np.bincount(word, gz[sent], minlength=len(number)), gz.sum() + (lift * plain).sum() * p0) / n
+        grad[:-1] -= DECAY / n * w[:-1]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
         w += STEP * (first / (1 - 0.9 ** k)) / (np.sqrt(second / (1 - 0.999 ** k)) + 1e-8)
-    return Model(words, w[:-1], float(w[-1]))
+    return Model(number, w[:-1].tolist(), float(w[-1]))
 
 
 def fold(doc_id: Column) -> Column:
@@ -139,8 +165,9 @@ def with_score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     own, text = spare(docs, "whole_row", "scored_text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(model.number)
         for batch in batches:
-            scores = [model.score(t.as_py()) for t in batch.column(1)]
+            scores = [model.score(t.as_py(), known) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], schema=pa.schema(
                 [batch.schema.field(0), pa.field(out, pa.float64())]))
 
@@ -152,11 +179,12 @@ def sentences(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
     """doc_id, sentence (position), text, score of the sentences that score ``threshold`` or more."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(model.number)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 spans = [s for s in _SENTENCE.findall(text.as_py() or "") if _WORD.search(s.lower())]
-                for k, (span, z) in enumerate(zip(spans, model.sentences(text.as_py()))):
+                for k, (span, z) in enumerate(zip(spans, model.sentences(text.as_py(), known))):
                     if (p := 1 / (1 + np.exp(-z))) >= threshold:
                         rows.append((doc_id, k, span.strip(), p))
             if rows:
