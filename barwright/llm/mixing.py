@@ -118,3 +118,20 @@ def draw(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     joined = rows.alias("b").join(found.alias("c"), F.expr("b.source <=> c.source"))
     repeated = joined.select(f"b.{own}", F.explode(F.array_repeat(F.lit(0), copies("b", "c").cast("int"))).alias(times))
     return repeated.select(f"{own}.*")
+
+
+ORACLE = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    length(coalesce(text, '')) AS chars, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(text), '')), 1, 15))::BIGINT::DOUBLE + 0.5) / 1152921504606846976.0 AS u
+    FROM documents),
+  k AS (SELECT *, -ln(u) / (6.0 / (6.0 + abs(chars / greatest(size, 1) - 6.0))) AS key FROM d),
+  s AS (SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size)::DOUBLE AS most,
+    [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM k GROUP BY source),
+  l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+  t AS (SELECT source, source_size, least(most, max(level) OVER () * weight) AS target FROM l),
+  e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
+  r AS (SELECT k.*, e.source_size, e.target, e.epochs, target - epochs * source_size AS rest,
+    sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total
+    FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+  SELECT doc_id, size, source_size, target,
+    (size * (epochs + CASE WHEN total - size < rest AND total - rest <= rest - (total - size) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r"""
