@@ -92,20 +92,15 @@ def _(t: Tables):
     return _names(t, [(k, float(v)) for k, v in rows], "k long, val_ic double")
 
 
-def _loo(t: Tables) -> list[tuple[str, float]]:
-    d = select.leave_one_out(_stats(t, train_rows()), _stats(t, ~train_rows()), 1.0)
-    return [(n, float(v)) for n, v in zip(FACTORS, d)]
-
-
 @query("fs07_leave_one_out")
 def _(t: Tables):
-    return _names(t, _loo(t), "factor string, delta_ic double")
+    return out(select.leave_one_out(panel_factors(t).where(F.col("label").isNotNull()), t.g, FACTORS, train_rows()), ("base_ic", "drop_ic", "delta_ic", "retained"), ("factor",), 9)
 
 
 @query("fs08_noise_importance")
 def _(t: Tables):
     s = _stats(t, train_rows())
-    return select.noise_importance(panel_factors(t).where(F.col("label").isNotNull()), FACTORS, select.ridge_weights(s, 1.0))
+    return select.noise_importance(panel_factors(t).where(F.col("label").isNotNull() & ~train_rows()), FACTORS, select.ridge_weights(s, 1.0))
 
 
 def _solo(n: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barwright.catalog.base import (BARS_D, BARS_H, GAP_D, GAP_H, HORIZON, KEY, MONTH, PANEL_D, PANEL_H, ROWS, SESS_D,
@@ -9,6 +11,7 @@ from barwright.catalog.base import (BARS_D, BARS_H, GAP_D, GAP_H, HORIZON, KEY,
                                     rs, sessions_sql, train_rows, z_sql)
 from barwright.operators import labels, sessions
 from barwright.plans import xsec
+from barwright.plans.staging import shared_dir
 from barwright.sources import bars as src
 
 OHLC = ("open", "high", "low", "close", "volume", "amount", "oi")
@@ -29,9 +32,9 @@ def _(t: Tables):
 
 
 @query("io01_symbols", f"""WITH {BARS_D} SELECT symbol FROM (SELECT DISTINCT symbol FROM bars)
-   WHERE symbol NOT IN ('S3', 'S7') ORDER BY symbol LIMIT 8""")
+   WHERE symbol NOT IN ('S3', 'S7')""")
 def _(t: Tables):
-    return src.discover_symbols(t.daily(), excluded=("S3", "S7"), cap=8)
+    return src.discover_symbols(t.daily(), excluded=("S3", "S7"))
 
 
 @query("io02_text_bars", """SELECT DISTINCT symbol, strftime(ts, '%Y-%m-%d %H:%M') AS dt, n_rows, lo, hi FROM (
@@ -50,6 +53,22 @@ def _(t: Tables):
     return out(agg.join(keys, ["symbol", "dt"], "inner"), ("n_rows", "lo", "hi"))
 
 
+@query("io02_csv_bars", f"""WITH {BARS_D} SELECT {KEY}, {rs(OHLC, 8)} FROM bars""")
+def _(t: Tables):
+    """Bars as CSV files in two layouts, read back by the loader."""
+    bars = t.daily()
+    odd = F.regexp_extract("symbol", "([0-9]+)$", 1).cast("int") % 2 == 1
+    text = lambda c: F.col(c).cast("string")
+    stamp = F.date_format("datetime", "yyyy-MM-dd HH:mm:ss")
+    path = f"{shared_dir(t.spark)}/csv-{uuid.uuid4().hex}"
+    one = bars.where(odd).select("symbol", stamp.alias("datetime"), *[text(c) for c in src.VALUES])
+    two = bars.where(~odd).select("symbol", text("close").alias(" Close "), stamp.alias("Trade Time"), text("oi").alias("Open Interest"),
+                                  *[text(c).alias(c.upper()) for c in src.VALUES if c not in ("close", "oi")])
+    for k, part in enumerate((one, two)):
+        part.write.option("header", True).partitionBy("symbol").csv(f"{path}/{k}")
+    return out(src.read_csv_bars(t.spark, f"{path}/*/*/*.csv", symbol="symbol=([^/]+)/"), OHLC, digits=8)
+
+
 @query("io03_range_with_warmup", f"""WITH {BARS_D}, f AS (SELECT * FROM bars WHERE datetime >= TIMESTAMP '1996-05-25'
    AND datetime < TIMESTAMP '1998-01-01'), x AS (SELECT *, avg(ln(close)) OVER (PARTITION BY symbol ORDER BY datetime
    ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS sma FROM f)

@@ -71,26 +71,31 @@ def _sums(x: str, y: str) -> list[Column]:
             F.sum(c_(x) * c_(x)).alias("sxx"), F.sum(c_(x) * c_(y)).alias("sxy")]
 
 
+def _centred(d: DataFrame) -> DataFrame:
+    """Means, variance and covariance from additive sums."""
+    d = d.withColumns({"mx": c_("sx") / c_("n"), "my": c_("sy") / c_("n")})
+    return d.withColumns({"vx": c_("sxx") / c_("n") - c_("mx") * c_("mx"), "cxy": c_("sxy") / c_("n") - c_("mx") * c_("my")})
+
+
 def _line(sums: DataFrame, keys: Sequence[str], min_rows: int) -> DataFrame:
-    """Global slope, intercept and variance from summed moments."""
-    vxx = c_("sxx") - c_("sx") * c_("sx") / c_("n")
-    vxy = c_("sxy") - c_("sx") * c_("sy") / c_("n")
-    slope = F.when((c_("n") < min_rows) | (vxx <= 1e-12), F.lit(1.0)).otherwise(F.try_divide(vxy, F.when(vxx > 1e-12, vxx)))
-    g = sums.withColumn("gs", slope)
-    return g.select(*keys, "gs", F.when(c_("n") < min_rows, F.lit(0.0)).otherwise((c_("sy") - c_("gs") * c_("sx")) / c_("n")).alias("gi"),
-                    F.when(c_("n") < min_rows, F.lit(1.0)).otherwise(F.greatest(vxx / c_("n"), F.lit(1e-12))).alias("gv"))
+    """The line of all rows, ``gs`` and ``gi``, and their variance ``gv``; the identity where rows are few or x is constant."""
+    g = _centred(sums)
+    enough, spread = c_("n") >= min_rows, c_("vx") * c_("n") > 1e-12
+    g = g.withColumn("gs", F.when(enough & spread, F.try_divide("cxy", "vx")).otherwise(F.lit(1.0)))
+    return g.select(*keys, "gs", F.when(enough, c_("my") - c_("gs") * c_("mx")).otherwise(F.lit(0.0)).alias("gi"),
+                    F.when(enough, F.greatest(c_("vx"), F.lit(1e-12))).otherwise(F.lit(1.0)).alias("gv"))
 
 
 def _shrunk(per: DataFrame, slope_shrink: float, intercept_shrink: float, min_rows: int, lo: float, hi: float) -> DataFrame:
-    vxx = c_("sxx") - c_("sx") * c_("sx") / c_("n")
-    vxy = c_("sxy") - c_("sx") * c_("sy") / c_("n")
-    den = vxx + F.lit(slope_shrink) * c_("gv")
-    s = clip(F.coalesce(F.try_divide(vxy + F.lit(slope_shrink) * c_("gv") * c_("gs"), den), c_("gs")), lo, hi)
-    d = per.withColumn("slope", s)
-    raw = c_("sy") / c_("n") - c_("slope") * c_("sx") / c_("n")
-    d = d.withColumn("icpt", (c_("n") * raw + F.lit(intercept_shrink) * c_("gi")) / (c_("n") + F.lit(intercept_shrink)))
-    weak = c_("n") < min_rows
-    return d.withColumns({"slope": F.when(weak, c_("gs")).otherwise(c_("slope")), "icpt": F.when(weak, c_("gi")).otherwise(c_("icpt"))})
+    """Lines per key, drawn towards the line of all rows as if it had been seen on that many further rows; few rows take it as it is."""
+    d = _centred(per).withColumn("pull", F.lit(slope_shrink) * c_("gv") / c_("n"))
+    own = F.try_divide(c_("cxy") + c_("pull") * c_("gs"), c_("vx") + c_("pull"))
+    d = d.withColumn("line", clip(F.coalesce(own, c_("gs")), lo, hi))
+    share = c_("n") / (c_("n") + F.lit(intercept_shrink))
+    level = share * (c_("my") - c_("line") * c_("mx")) + (F.lit(1.0) - share) * c_("gi")
+    known = c_("n") >= min_rows
+    d = d.withColumns({"slope": F.when(known, c_("line")).otherwise(c_("gs")), "icpt": F.when(known, level).otherwise(c_("gi"))})
+    return d.drop("pull", "line", "mx", "my", "vx", "cxy")
 
 
 def rolling_key_affine(df: DataFrame, keys: Sequence[str], x: str, y: str = "label", month: str = "month", lookback: int = 18,

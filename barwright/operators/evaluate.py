@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barwright.functions.expr import col, edges_below, hash_uniform, month_key
 from barwright.operators import views
 from barwright.plans import xsec
-from barwright.plans.ordinal import hash_slice, time_bucket, with_ordinal
+from barwright.plans.ordinal import hash_slice, time_bucket, with_ordinal, with_running_sum
 from barwright.plans.xsec import Groups
 from barwright.plans.xsec import scalars
 
@@ -152,22 +152,23 @@ def newey_west(series: DataFrame, x: str = "ic", lag: int = 5, bucket_seconds: i
 
 
 def bootstrap_ci(series: DataFrame, x: str = "ic", block: int = 20, draws: int = 1000, seed: int = 11,
-                 large: int = 20000, bucket_seconds: int = YEAR) -> DataFrame:
-    """95 % interval of the mean: normal beyond ``large`` values, else moving blocks.
+                 method: str = "blocks", bucket_seconds: int = YEAR) -> DataFrame:
+    """95 % interval of the mean: n, lo, hi. ``method`` is ``blocks`` (moving-block bootstrap, at any length) or ``normal``.
 
     Block starts are hashed draws; a block is read from running sums at its two ends, so each draw
-    costs its number of blocks, not the length of the series.
+    costs its number of blocks, not the length of the series. A series shorter than a block has no interval.
     """
     s = series.where(c_(x).isNotNull()).select("datetime", x)
-    one = s.agg(F.avg(x).alias("mu"), F.stddev_samp(x).alias("sd"), F.count(x).alias("n"))
-    normal = one.select("n", (c_("mu") - F.lit(1.96) * c_("sd") / F.sqrt("n")).alias("lo"), (c_("mu") + F.lit(1.96) * c_("sd") / F.sqrt("n")).alias("hi"))
-    # the block branch only ever sees a series of at most ``large`` values
-    small = one.where(c_("n") <= large)
-    pos = with_ordinal(s, [], ["datetime"], time_bucket("datetime", bucket_seconds), "i")
-    pos = pos.transform(scalars(one.select(c_("n").alias("_n")))).where(c_("_n") <= large)
-    cum = pos.select(c_("i").alias("at"), F.sum(x).over(Window.partitionBy(F.lit(0)).orderBy("i")).alias("cum"))
-    spark = series.sparkSession
-    grid = spark.range(draws).withColumnRenamed("id", "d").transform(scalars(small.select("n")))
+    if method == "normal":
+        half = F.lit(1.96) * F.stddev_samp(x) / F.sqrt(F.count(x))
+        return s.agg(F.count(x).alias("n"), (F.avg(x) - half).alias("lo"), (F.avg(x) + half).alias("hi"))
+    if method != "blocks":
+        raise ValueError(f"unknown method {method}")
+    one = s.agg(F.count(x).alias("n"))
+    bucket = time_bucket("datetime", bucket_seconds)
+    pos = with_ordinal(s, [], ["datetime"], bucket, "i")
+    cum = with_running_sum(pos, ["datetime"], bucket, x, "cum").select(c_("i").alias("at"), "cum")
+    grid = series.sparkSession.range(draws).withColumnRenamed("id", "d").transform(scalars(one)).where(c_("n") >= block)
     grid = grid.withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(c_("n") / F.lit(block)).cast("int") - 1)))
     grid = grid.withColumn("start", F.floor(hash_uniform(seed, "d", "b") * c_("n")).cast("long"))
     grid = grid.withColumn("stop", F.least(c_("start") + block, c_("n")))
@@ -175,8 +176,7 @@ def bootstrap_ci(series: DataFrame, x: str = "ic", block: int = 20, draws: int =
     ends = ends.join(cum.select((c_("at") + 1).alias("start"), c_("cum").alias("_lo")), "start", "left")
     means = ends.groupBy("d").agg((F.sum(c_("_hi") - F.coalesce(c_("_lo"), F.lit(0.0))) / F.sum(c_("stop") - c_("start"))).alias("m"))
     q = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    blocks = small.transform(scalars(q)).select("n", c_("q")[0].alias("lo"), c_("q")[1].alias("hi"))
-    return blocks.unionByName(normal.where(c_("n") > large))
+    return one.transform(scalars(q)).select("n", c_("q")[0].alias("lo"), c_("q")[1].alias("hi"))
 
 
 def evaluation_bundle(df: DataFrame, g: Groups, p: str, y: str = "label", min_symbols: int = 8, stride: int = 30,

@@ -58,7 +58,7 @@ def project(w: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def ic_weights(lo: float | Sequence[float] = 0.0, hi: float | Sequence[float] = 1.0, ridge_: float = 0.0, steps: int = 200) -> Solver:
-    """Sum-to-one weights inside bounds that maximise the IC: projected gradient from the best of several starts.
+    """Sum-to-one weights inside bounds that maximise the IC: projected gradient ascent.
 
     Where the blend's covariance with the label is positive the score is quasi-concave, so one
     ascent from the best start suffices.
@@ -68,13 +68,9 @@ def ic_weights(lo: float | Sequence[float] = 0.0, hi: float | Sequence[float] =
         k = len(s.c)
         low = np.broadcast_to(np.asarray(lo, float), (k,)).copy()
         high = np.maximum(np.broadcast_to(np.asarray(hi, float), (k,)), 1.0 / k)
-        d = np.sqrt(np.maximum(np.diag(s.g), 1e-18))
         g = s.g + ridge_ * np.trace(s.g) / k * np.eye(k)
-        single = s.c / d
-        starts = [np.full(k, 1.0 / k), np.eye(k)[int(np.argmax(single))], np.maximum(single, 1e-9) / np.maximum(single, 1e-9).sum()]
-        raw = np.linalg.solve(g + 1e-8 * np.trace(g) / k * np.eye(k), s.c)
-        if abs(raw.sum()) > 1e-12:
-            starts.append(raw / raw.sum())
+        # the middle of the box, and the unbounded optimum among non-negative weights
+        starts = [(low + high) / 2, best_direction(g, s.c)]
         value = lambda w: float(w @ s.c) / np.sqrt(max(float(w @ g @ w), 1e-30) * max(s.yy, 1e-30))
         w = max((project(v, low, high) for v in starts), key=value)
         v, step = value(w), 0.5
@@ -95,26 +91,56 @@ def ic_weights(lo: float | Sequence[float] = 0.0, hi: float | Sequence[float] =
     return solve
 
 
-def simplex() -> Solver:
-    """Best non-negative support by enumeration (k <= 6)."""
+def nonnegative(g: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Least squares with non-negative weights, from the Gram matrix: min w'gw / 2 - c'w.
 
-    def solve(s: Stats) -> Solved:
-        k = len(s.c)
-        best, best_v = np.full(k, 1.0 / k), s.ic(np.full(k, 1.0 / k))
-        for bits in range(1, 1 << k):
-            idx = [j for j in range(k) if bits >> j & 1]
-            w = np.linalg.lstsq(s.g[np.ix_(idx, idx)] / s.n + 1e-10 * np.eye(len(idx)), s.c[idx] / s.n, rcond=None)[0]
-            w = -w if np.all(w <= 0) else w
-            if np.any(w < -1e-12) or w.sum() <= 0:
-                continue
+    An active set: the weight with the steepest gain enters, the free ones are solved together, and a solution that leaves the
+    non-negative side is followed only up to the border, where the weight that reaches zero first goes.
+    """
+    k = len(c)
+    w, free = np.zeros(k), np.zeros(k, bool)
+    g = g + 1e-12 * max(float(np.trace(g)) / k, 1e-300) * np.eye(k)
+    for _ in range(10 * k + 10):
+        gain = np.where(free, -np.inf, c - g @ w)
+        j = int(np.argmax(gain))
+        if free.all() or gain[j] <= 1e-12 * max(float(np.abs(c).max()), 1e-300):
+            break
+        free[j] = True
+        while True:
             full = np.zeros(k)
-            full[idx] = np.maximum(w, 0) / np.maximum(w, 0).sum()
-            v = s.ic(full)
-            if v > best_v:
-                best, best_v = full, v
-        return best, 0.0
+            full[free] = np.linalg.lstsq(g[np.ix_(free, free)], c[free], rcond=None)[0]
+            under = free & (full <= 0)
+            if not under.any():
+                w = full
+                break
+            reach = np.where(under, w / np.maximum(w - full, 1e-300), np.inf)
+            first = int(np.argmin(reach))
+            w = w + reach[first] * (full - w)
+            free[first] = False
+            w[~free] = 0.0
+            if not free.any():
+                return w
+    return w
 
-    return solve
+
+def best_direction(g: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Non-negative weights of sum one with the highest c'w / sqrt(w'gw).
+
+    That is the direction of the least-squares solution. If no weight gains anything, the score is largest in a corner; without any
+    relation to the target (all c zero) the weights are equal.
+    """
+    k = len(c)
+    w = nonnegative(g, c)
+    if w.sum() > 0:
+        return w / w.sum()
+    if not np.any(c):
+        return np.full(k, 1.0 / k)
+    return np.eye(k)[int(np.argmax(c / np.sqrt(np.maximum(np.diag(g), 1e-18))))]
+
+
+def simplex() -> Solver:
+    """Non-negative weights of sum one with the best IC."""
+    return lambda s: (best_direction(s.g / s.n, s.c / s.n), 0.0)
 
 
 def equal() -> Solver:

@@ -21,11 +21,12 @@ def join_components(frames: Sequence[DataFrame], keys: Sequence[str] = KEY) -> D
 def checked_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Left join that fails when a right key repeats, so the row count cannot change.
 
-    Only rows of duplicated keys trip the error; the check rides along in the aggregation.
+    The check sits in the first join key, which no plan can leave out, whichever columns are used.
     """
     cols = [c for c in right.columns if c not in keys]
     one = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"), *[F.first(c).alias(c) for c in cols])
-    one = one.withColumn(cols[0], F.when(F.col("_k") > 1, F.raise_error(F.lit("duplicate key on the right side"))).otherwise(F.col(cols[0]))).drop("_k")
+    wrong = F.raise_error(F.lit("duplicate key on the right side")).cast(right.schema[keys[0]].dataType)
+    one = one.withColumn(keys[0], F.when(F.col("_k") > 1, wrong).otherwise(F.col(keys[0]))).drop("_k")
     return left.join(one, list(keys), "left")
 
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barwright.functions.expr import hash_uniform
+from barwright.functions.expr import edges_below, hash_uniform
 from barwright.plans import xsec
 from barwright.plans.ordinal import first_n, hash_slice, log_slice, with_ordinal, with_running_sum
 from barwright.plans.staging import stage
@@ -18,7 +18,7 @@ from barwright.plans.xsec import Groups, scalars
 
 c_ = F.col
 TIE = ("symbol", "datetime")
-EVENT_BOUND = 24.0
+SCORE_RANGES = 256
 
 
 def draw(seed: int) -> Column:
@@ -86,8 +86,9 @@ def event_tail(df: DataFrame, n: int, seed: int, q: float = 0.72, share: float =
     d = df.withColumn("event_score", F.coalesce("event_score", F.lit(0.0)))
     d = stage(d, "event-pool")  # read several times below
     high = c_("event_score") >= F.lit((xsec.edges(d, "event_score", [q]) or [0.0])[0])
-    falling = F.greatest(F.lit(1.0) - c_("event_score") / F.lit(EVENT_BOUND), F.lit(0.0))
-    top = with_ordinal(d.where(high).withColumn("_u", falling), [], ["_u", *TIE], hash_slice("_u"), "_pos").drop("_u")
+    # score ranges of about equal size, measured, so that scores of any scale keep their order
+    cuts = xsec.edges(d.where(high), "event_score", [k / SCORE_RANGES for k in range(1, SCORE_RANGES)], distinct=True)
+    top = with_ordinal(d.where(high).withColumn("_u", -c_("event_score")), [], ["_u", *TIE], -edges_below("event_score", cuts), "_pos").drop("_u")
     event = top.where(c_("_pos") < int(n * share)).drop("_pos")
     got = event.agg(F.count(F.lit(1)).alias("_g"))
     rest = top.where(c_("_pos") >= int(n * share)).drop("_pos").unionByName(d.where(~high))

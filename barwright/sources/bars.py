@@ -24,52 +24,59 @@ def discover_symbols(bars: DataFrame, excluded: Sequence[str] = EXCLUDED, only:
     return names.limit(cap) if cap else names
 
 
-def normalise_bars(raw: DataFrame, fill_missing: float | None = None) -> DataFrame:
+def normalise_bars(raw: DataFrame, fill_missing: float | None = None, position: str | None = None) -> DataFrame:
     """Lower-cased headers, aliases, minute-floored time, numeric coercion, one row a key.
 
     ``raw`` has string columns and a ``symbol``. Unparsable numbers become NULL; absent columns
-    become ``fill_missing``.
+    become ``fill_missing``. Of rows that share a key the one with the lowest ``position`` stays;
+    without a position, the one that is lowest by its values, so that every run keeps the same row.
     """
     df = raw.withColumnsRenamed({c: c.lower().strip() for c in raw.columns})
     df = df.withColumnsRenamed({a: "oi" for a in OI_ALIASES if a in df.columns})
-    named = [c for c in df.columns if "time" in c or "date" in c or c == "dt"]
-    time = named[0] if named else next(c for c in df.columns if c != "symbol")
+    own = {"symbol", position}
+    named = [c for c in df.columns if c not in own and ("time" in c or "date" in c or c == "dt")]
+    time = named[0] if named else next(c for c in df.columns if c not in own)
     stamp = F.try_to_timestamp(F.substring(F.col(time).cast("string"), 1, 16), F.lit("yyyy-MM-dd HH:mm"))
     absent = F.lit(fill_missing).cast("double")
-    return (df.select(
-        "symbol", stamp.cast("timestamp_ntz").alias("datetime"),
-        *[(F.expr(f"try_cast(`{c}` AS double)") if c in df.columns else absent).alias(c) for c in VALUES])
-        .where(F.col("datetime").isNotNull())
-        .dropDuplicates(["symbol", "datetime"]))
+    rows = df.select("symbol", stamp.cast("timestamp_ntz").alias("datetime"),
+                     F.struct(*[(F.expr(f"try_cast(`{c}` AS double)") if c in df.columns else absent).alias(c) for c in VALUES]).alias("v"),
+                     *([F.col(position)] if position else [])).where(F.col("datetime").isNotNull())
+    first = F.min_by("v", position) if position else F.min("v")
+    return rows.groupBy("symbol", "datetime").agg(first.alias("v")).select("symbol", "datetime", "v.*")
 
 
-def _csv_part(spark: SparkSession, files: str | Sequence[str], names: Sequence[str], fill_missing: float | None) -> DataFrame:
+def _csv_part(spark: SparkSession, files: str | Sequence[str], names: Sequence[str], fill_missing: float | None, symbol: str) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     raw = (spark.read.schema(schema).option("header", True).csv(files if isinstance(files, str) else list(files))
-           .withColumn("symbol", F.upper(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))))
-    return normalise_bars(raw, fill_missing)
+           .select("*", F.upper(F.regexp_extract(F.input_file_name(), symbol, 1)).alias("symbol"), place.alias("_place")))
+    return normalise_bars(raw, fill_missing, "_place")
 
 
 def read_csv_bars(spark: SparkSession, path: str, fill_missing: float | None = None,
-                  columns: Sequence[str] | None = None) -> DataFrame:
-    """One CSV file per symbol; the upper-cased file stem is the symbol.
+                  columns: Sequence[str] | None = None, symbol: str = r"([^/]+)\.csv$") -> DataFrame:
+    """Bar files, one or more per symbol; the symbol is what the pattern finds in the file's path (its stem), in upper case.
 
-    With ``columns`` all files share one layout and are read in a single scan. Otherwise files with
-    the same header are read together, after a pass over the text that finds the header lines.
+    With ``columns`` all files share one layout and are read in a single scan. Otherwise the first line of
+    every file is its header, whatever it says, and files with the same header are read together. A file
+    without a header line (an empty one) raises an error; none is left out. The driver holds the file names,
+    as Spark's own file index does.
     """
     if columns:
-        return _csv_part(spark, path, columns, fill_missing)
-    heads = (spark.read.option("wholetext", False).text(path)
-             .select(F.input_file_name().alias("f"), "value", F.col("_metadata.file_block_start").alias("at"))
-             .where((F.col("at") == 0) & F.col("value").rlike("(?i)(time|date|^dt|open)"))
-             .groupBy("value").agg(F.collect_set("f").alias("files")))
+        return _csv_part(spark, path, columns, fill_missing, symbol)
+    # rows of a block stand in file order
+    heads = (spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), "value", F.col("_metadata.file_block_start").alias("at"),
+                                          F.monotonically_increasing_id().alias("i"))
+             .where("at = 0").groupBy("f").agg(F.min_by("value", "i").alias("head")).groupBy("head").agg(F.collect_set("f").alias("files"))).collect()
+    listed = len(set(spark.read.text(path).inputFiles()))
+    read = sum(len(h["files"]) for h in heads)
+    if not read or read != listed:
+        raise ValueError(f"{listed - read} of {listed} bar files under {path} have no header line")
     parts: DataFrame | None = None
-    for head in heads.toLocalIterator():  # one row per distinct header line
-        names = [c.strip() for c in head["value"].split(",")]
-        part = _csv_part(spark, head["files"], names, fill_missing)
+    for head in sorted(heads, key=lambda h: h["head"]):  # one row per distinct header line
+        names = [c.strip() for c in head["head"].lstrip("\ufeff").split(",")]
+        part = _csv_part(spark, sorted(head["files"]), names, fill_missing, symbol)
         parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        raise FileNotFoundError(f"no bar files with a header under {path}")
     return parts
 
 
@@ -139,10 +146,12 @@ def hourly_bars(events: DataFrame, symbols: int = 12) -> DataFrame:
         ("ts", "event_id"), F.col("value"), F.count(F.lit(1)).cast("double"), F.sum("value"), F.sum(k))
 
 
-def write_month_parts(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Month-partitioned sink; ``salt`` spreads a month that is far larger than the others."""
-    (panel.withColumn("month_key", F.date_format("datetime", "yyyy-MM"))
-     .repartition(F.col("month_key"), F.pmod(F.xxhash64("symbol", "datetime"), F.lit(8)))
+def write_month_parts(panel: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int = 4_000_000) -> None:
+    """Month-partitioned sink. Months are counted first, and a month is cut into as many parts as its rows need."""
+    marked = panel.withColumn("month_key", F.date_format("datetime", "yyyy-MM"))
+    sizes = marked.groupBy("month_key").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).alias("_parts"))  # one row a month
+    part = F.pmod(F.xxhash64("symbol", "datetime"), F.col("_parts"))
+    (marked.join(sizes, "month_key").withColumn("_part", part).repartition("month_key", "_part").drop("_parts", "_part")
      .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("month_key").parquet(path))
 
 
@@ -177,18 +186,19 @@ def factor_columns(df: DataFrame, meta: Sequence[str], accepted: Sequence[str] |
     return names[:top_n] if top_n else names
 
 
-def audit_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Per path: readable, column count, row count. Unreadable paths become a row, not an error."""
-    out: DataFrame | None = None
+def audit_files(spark: SparkSession, paths: Sequence[str], deep: bool = False) -> DataFrame:
+    """Per path: readable, column count, row count. Unreadable paths become a row, not an error.
+
+    Every path is read on its own, so damage to one does not hide the others. Footers are read; with ``deep``, all columns of all rows.
+    """
+    rows = []
     for p in paths:  # a short list of assets, not of rows
+        name = p.rsplit("/", 1)[-1]
         try:
             df = spark.read.parquet(p)
-            row = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-                F.lit(p.rsplit("/", 1)[-1]).alias("asset"), F.lit(True).alias("readable"),
-                F.lit(len(df.columns)).cast("long").alias("n_columns"), "n_rows")
+            if deep:
+                df.write.format("noop").mode("overwrite").save()
+            rows.append((name, True, len(df.columns), df.count()))
         except Exception:
-            row = spark.range(1).select(
-                F.lit(p.rsplit("/", 1)[-1]).alias("asset"), F.lit(False).alias("readable"),
-                F.lit(None).cast("long").alias("n_columns"), F.lit(None).cast("long").alias("n_rows"))
-        out = row if out is None else out.unionByName(row)
-    return out
+            rows.append((name, False, None, None))
+    return spark.createDataFrame(rows, "asset string, readable boolean, n_columns long, n_rows long")

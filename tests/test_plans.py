@@ -1,11 +1,13 @@
 """The size-safe paths against the plain ones, and the statistics layer against NumPy."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barwright.operators import blend, evaluate, linear, memory, sampling, select
+from barwright.operators import blend, evaluate, linear, memory, relational, sampling, select
 from barwright.plans import moments, ordinal, staging, xsec
 from barwright.plans.moments import Stats, gram
 
@@ -125,17 +127,70 @@ def test_rolling_stats_paths_agree(spark):
     assert abs(half["2020-04"] - (by["2020-03"] + by["2020-02"] / 2 + by["2020-01"] / 4)) < 1e-9
 
 
-def test_leave_one_out_equals_refit():
+def test_leave_one_out_equals_refit(spark):
     rng = np.random.default_rng(9)
-    x, v = rng.normal(size=(400, 5)), rng.normal(size=(300, 5))
-    y, u = x @ rng.normal(size=5) + rng.normal(size=400), v @ rng.normal(size=5) + rng.normal(size=300)
-    a = Stats(400, 400, x.sum(0), x.T @ y, x.T @ x, y.sum(), float(y @ y))
-    b = Stats(300, 300, v.sum(0), v.T @ u, v.T @ v, u.sum(), float(u @ u))
-    got = select.leave_one_out(a, b, 3.0)
-    full = b.ic(select.ridge_weights(a, 3.0))
-    for j in range(5):
-        keep = [i for i in range(5) if i != j]
-        assert abs(got[j] - (full - b.take(keep).ic(select.ridge_weights(a.take(keep), 3.0)))) < 1e-9
+    x = rng.normal(size=(400, 4)) * [1, 5, 0.1, 2] + [0, 3, 1, -2]
+    y = x @ [1.0, 0.1, -4.0, 0.3] + rng.normal(size=400)
+    cols, t = list("abcd"), np.arange(400) // 10
+    pdf = pd.DataFrame(x, columns=cols).assign(label=y, datetime=pd.Timestamp("2020-01-01") + pd.to_timedelta(t, "D"), symbol=[f"S{k % 10}" for k in range(400)])
+    df = spark.createDataFrame(pdf)
+    got = select.leave_one_out(df, xsec.measure(df, ["datetime"]), cols, F.col("datetime") < "2020-01-25", 0.3).toPandas().set_index("factor")
+    a, b = pdf[t < 24], pdf[t >= 24]
+
+    def ic(keep):
+        z, v = ((d[keep] - a[keep].mean()) / a[keep].std(ddof=0) for d in (a, b))
+        w = np.linalg.solve(z.T @ z / len(z) + 0.3 * np.eye(len(keep)), z.T @ (a.label - a.label.mean()) / len(z))
+        p = pd.Series(v @ w, b.index)
+        p = p.groupby(b.datetime).transform(lambda q: (q - q.mean()) / (q.std() + 1e-8))
+        return float(p @ b.label) / np.sqrt(float(p @ p) * float(b.label @ b.label))
+
+    for c in cols:
+        drop = ic([k for k in cols if k != c])
+        assert abs(got.base_ic[c] - ic(cols)) < 1e-9 and abs(got.drop_ic[c] - drop) < 1e-9 and got.retained[c] == (drop < ic(cols))
+
+
+def test_simplex_is_the_best_direction():
+    rng = np.random.default_rng(3)
+    for trial in range(60):
+        k = int(rng.integers(1, 9))
+        x = rng.normal(size=(50, k)) @ rng.normal(size=(k, k))
+        g, c = x.T @ x, x.T @ rng.normal(size=50) - (30.0 if trial % 5 == 0 else 0.0)
+        w = linear.best_direction(g, c)
+        value = lambda v: float(v @ c) / np.sqrt(max(float(v @ g @ v), 1e-30))
+        assert abs(w.sum() - 1) < 1e-9 and (w >= 0).all()
+        for v in [*rng.dirichlet(np.full(k, 0.4), 300), *np.eye(k)]:
+            assert value(v) <= value(w) + 1e-7
+    assert linear.best_direction(np.eye(3), np.zeros(3)).tolist() == [1 / 3] * 3
+
+
+def test_event_tail_takes_the_highest_scores_of_any_scale(spark):
+    for scale in (1.0, 1e6):
+        d = spark.createDataFrame([(f"S{k % 7}", dt.datetime(2020, 1, 1) + dt.timedelta(hours=k), float(k) * scale, (k % 11) / 11 - 0.5) for k in range(200)],
+                                  "symbol string, datetime timestamp_ntz, event_score double, label_xrank double")
+        got = sampling.event_tail(d, 20, 1, share=0.7).toPandas()
+        assert len(got) == 20 and {k * scale for k in range(186, 200)} <= set(got["event_score"])
+
+
+def test_duplicate_keys_are_refused_whatever_is_selected(spark):
+    left = spark.createDataFrame([(1, 2)], "k long, v long")
+    right = spark.createDataFrame([(1, 5, 6), (1, 7, 8)], "k long, a long, b long")
+    for cols in (["a", "b"], ["b"], []):
+        joined = relational.checked_left_join(left, right.select("k", *cols), ["k"])
+        with pytest.raises(Exception, match="duplicate key"):
+            joined.select("v", *cols[-1:]).collect()
+    assert relational.checked_left_join(left, right.select("k").distinct(), ["k"]).count() == 1
+
+
+def test_bootstrap_methods(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(0.1, 1, 300)
+    s = spark.createDataFrame([(dt.datetime(2020, 1, 1) + dt.timedelta(days=k), float(v)) for k, v in enumerate(x)], "datetime timestamp_ntz, ic double")
+    normal, blocks = (evaluate.bootstrap_ci(s, method=m, block=5).first() for m in ("normal", "blocks"))
+    half = 1.96 * x.std(ddof=1) / np.sqrt(300)
+    assert abs(normal.lo - (x.mean() - half)) < 1e-9 and abs(normal.hi - (x.mean() + half)) < 1e-9
+    assert abs(blocks.lo - normal.lo) < 0.06 and abs(blocks.hi - normal.hi) < 0.06
+    short = evaluate.bootstrap_ci(s.limit(10), block=20).first()
+    assert (short.n, short.lo, short.hi) == (10, None, None)
 
 
 def test_greedy_decorrelation():

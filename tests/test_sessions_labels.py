@@ -113,6 +113,29 @@ def test_csv_loader(spark, tmp_path):
     assert src.discover_symbols(got_frame(spark, got), excluded=("CD",)).toPandas()["symbol"].tolist() == ["AB"]
 
 
+def test_csv_loader_reads_every_header_and_keeps_the_first_of_a_key(spark, tmp_path):
+    (tmp_path / "aa.csv").write_text("Time,Close\n2020-01-02 09:00,1\n2020-01-02 09:00,2\n2020-01-02 09:00,0\n")
+    (tmp_path / "bb.csv").write_text("ts,o,h,l,c\n2020-01-02 09:00,1,2,3,4\n2020-01-02 09:01,1,2,3,4\n")
+    got = src.read_csv_bars(spark, str(tmp_path / "*.csv")).orderBy("symbol", "datetime").collect()
+    assert [(r.symbol, r.close) for r in got] == [("AA", 1.0), ("BB", None), ("BB", None)]
+    (tmp_path / "cc.csv").write_text("")
+    with pytest.raises(ValueError, match="1 of 3"):
+        src.read_csv_bars(spark, str(tmp_path / "*.csv"))
+
+
+def test_audit_survives_a_damaged_file(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "good"))
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "bad"))
+    (part,) = (tmp_path / "bad").glob("part-*.parquet")
+    data = bytearray(part.read_bytes())
+    data[4:60] = bytes(56)
+    part.write_bytes(data)
+    for crc in (tmp_path / "bad").glob(".*.crc"):
+        crc.unlink()
+    got = src.audit_files(spark, [str(tmp_path / n) for n in ("good", "bad", "none")], deep=True).collect()
+    assert [(r.asset, r.readable) for r in got] == [("good", True), ("bad", False), ("none", False)]
+
+
 def test_csv_loader_with_a_known_layout(spark, tmp_path):
     (tmp_path / "ef.csv").write_text("datetime,close\n2020-01-02 09:00,5\n2020-01-02 09:01,bad\n")
     got = src.read_csv_bars(spark, str(tmp_path / "*.csv"), columns=("datetime", "close")).orderBy("datetime").toPandas()
