@@ -63,12 +63,12 @@ def cuts(base: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     slices = cut.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     aims = targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, limit)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    aims, _ = keep(aims.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "aims")
+    aims, _ = keep(aims.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "aims", 1)
     # slices are at most SLICES rows a source
     run = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
     found = slices.withColumn("upto", F.sum("words").over(run)).alias("s").join(aims.alias("a"), F.expr("s.source <=> a.source")).filter(
         "rest > 0 AND upto - words < rest AND upto >= rest")
-    ends, _ = keep(found.select(F.col("s.source").alias("source"), "slice", (F.col("upto") - F.col("words")).alias("before"), "rest"), "ends")
+    ends, _ = keep(found.select(F.col("s.source").alias("source"), "slice", (F.col("upto") - F.col("words")).alias("before"), "rest"), "ends", 1)
     inside = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
     last = (cut.alias("d").join(ends.alias("e"), F.expr("d.source <=> e.source AND d.slice = e.slice"))
             .select("e.source", "d.doc_id", "d.size", "d.key", "before", "rest")

@@ -113,7 +113,7 @@ def candidate_groups(nodes: DataFrame) -> DataFrame:
     forget(nodes.sparkSession, [path])
     tiles = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
     # a table of its own, so that the join below can split a group that has many members
-    sizes, _ = keep(members.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).select("pivot", tiles.alias("tiles")), "sizes")
+    sizes, _ = keep(members.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).select("pivot", tiles.alias("tiles")), "sizes", members.count())
     own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
     dealt = (members.join(sizes, "pivot").withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))))
@@ -197,17 +197,19 @@ def components(links: DataFrame) -> DataFrame:
     while last[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # a table of its own, so that the join can split a node with many neighbours
-        least, old = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least, old = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", 2 * last[0])
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             low.select("u", F.col("m").alias("v"))).distinct()
-        edges, new = keep(small, "links")
+        edges, new = keep(small, "links", 2 * last[0])
         forget(spark, [path, old])
         now, path = mark(edges), new
         if now == last:
             break
         last = now
+    if not last[0]:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
@@ -221,17 +223,18 @@ def components_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     rows, _ = keep(profiles(docs), "profiles")
     filled = rows.filter("n_shingles > 0")
-    nodes, _ = keep(filled.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.any_value("signature").alias("signature")), "nodes")
+    nodes, _ = keep(filled.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.any_value("signature").alias("signature")), "nodes", rows.count())
+    n = nodes.count()
     groups = candidate_groups(nodes)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
     # the groups grow with the documents, hence never a broadcast
     links = confirm(texts.join(groups.hint("merge"), "id"), percent)
-    found, _ = keep(components(links), "components")
+    found, _ = keep(components(links), "components", n)
     ids = nodes.select("set_id", "doc_id")
     of_set = ids.join(found, ids["set_id"] == found["node"], "left").select(
         "set_id", F.coalesce("root", "set_id").alias("root"), "doc_id")
-    least, _ = keep(of_set.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    labels, _ = keep(of_set.join(least, "root").select("set_id", "component_id"), "labels")
+    least, _ = keep(of_set.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least", n)
+    labels, _ = keep(of_set.join(least, "root").select("set_id", "component_id"), "labels", n)
     named = filled.join(labels, "set_id").select("doc_id", "text_key", "n_shingles", "component_id")
     alone = rows.filter("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     return named.union(alone).withColumn("kept", F.expr("doc_id <=> component_id"))

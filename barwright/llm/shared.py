@@ -29,10 +29,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder; the table read back and its path, for ``forget``."""
+ROWS_A_FILE = 50_000
+
+
+def keep(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder; the table read back and its path, for ``forget``.
+
+    ``rows``, where the caller knows about how many there are, keeps a small table from being cut into as many files as there are shuffle
+    partitions: only the number of files follows from it.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
