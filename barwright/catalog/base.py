@@ -50,13 +50,13 @@ class Tables:
     @cached_property
     def d(self) -> DataFrame:
         """Daily panel: bars, sessions, label."""
-        p = sessions.add_sessions(self.daily(), GAP_D, YEAR)
+        p = sessions.add_sessions(stage(self.daily(), "bars_d"), GAP_D, YEAR)  # the raw table is read once
         return stage(labels.simple_label(p, HORIZON, ROWS), "panel_d")
 
     @cached_property
     def h(self) -> DataFrame:
         """Hourly panel: bars, sessions, label."""
-        p = sessions.add_sessions(self.hourly(), GAP_H, MONTH)
+        p = sessions.add_sessions(stage(self.hourly(), "bars_h"), GAP_H, MONTH)
         return stage(labels.simple_label(p, HORIZON, ROWS), "panel_h")
 
     @cached_property

@@ -16,34 +16,44 @@ UNBOUND = (Window.unboundedPreceding, 0)
 
 def add_sessions(bars: DataFrame, gap_minutes: float = 60.0, bucket_seconds: int = 604800,
                  strict: bool = False) -> DataFrame:
-    """Gaps, long breaks, session id and positions, in one shuffle of the bars.
+    """Gaps, long breaks, session id and positions.
 
     Each symbol is cut into calendar buckets. What a bucket must know of the bars before and after
     it (bar count, last time, breaks so far, nearest break) is carried by the small table of
-    bucket summaries, so a symbol's history never sits in one task.
+    bucket summaries, so a symbol's history never sits in one task. ``bars`` is read twice (for the
+    summaries and for the rows); pass a stored table where it is costly to compute.
     """
     by = ["symbol", "_bk"]
-    cut = bars.withColumn("_bk", time_bucket("datetime", bucket_seconds))
     inner = Window.partitionBy(*by).orderBy("datetime")
     seq = Window.partitionBy("symbol").orderBy("_bk")  # bucket summaries only
-    head = (cut.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.max("datetime").alias("_last"))
-            .select(*by,
-                    F.coalesce(F.sum("_n").over(seq.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-                    F.lag("_last").over(seq).alias("_prev_last"),
-                    F.sum("_n").over(Window.partitionBy("symbol")).alias("symbol_bars")))
-    gap = F.timestamp_diff("SECOND", F.coalesce(F.col("_prev"), F.col("_prev_last")), F.col("datetime")) / F.lit(60.0)
-    long_break = F.col("gap_min") > gap_minutes if strict else F.col("gap_min") >= gap_minutes
-    x = (cut.withColumns({"_rn": F.row_number().over(inner), "_prev": F.lag("datetime").over(inner)})
-         .join(head, by, "inner")
-         .withColumns({"bar_no": F.col("_off") + F.col("_rn") - 1, "gap_min": F.coalesce(gap, F.lit(0.0))})
-         .withColumn("is_long_break_before", long_break)
-         .withColumn("_at", F.when(F.col("is_long_break_before"), F.col("bar_no"))))
-    marks = x.groupBy(*by).agg(F.count("_at").alias("_k"), F.max("_at").alias("_hi"), F.min("_at").alias("_lo"))
     before, behind = seq.rowsBetween(Window.unboundedPreceding, -1), seq.rowsBetween(1, Window.unboundedFollowing)
-    carry = marks.select(
-        *by, F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_k0"),
+
+    def minutes(earlier: Column, later: Column) -> Column:
+        return F.coalesce(F.timestamp_diff("SECOND", earlier, later) / F.lit(60.0), F.lit(0.0))
+
+    def breaks(gap: Column) -> Column:
+        return gap > gap_minutes if strict else gap >= gap_minutes
+
+    x = (bars.withColumn("_bk", time_bucket("datetime", bucket_seconds))
+         .withColumns({"_rn": F.row_number().over(inner), "_prev": F.lag("datetime").over(inner)}))
+    inside = F.when(F.col("_prev").isNotNull() & breaks(minutes(F.col("_prev"), F.col("datetime"))), F.col("_rn") - 1)
+    # all a bucket must say of itself, in one aggregate over the window above
+    told = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("datetime").alias("_first"), F.max("datetime").alias("_last"),
+                              F.count(inside).alias("_in"), F.max(inside).alias("_hi"), F.min(inside).alias("_lo"))
+    told = told.withColumns({"_off": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_prev_last": F.lag("_last").over(seq),
+                             "symbol_bars": F.sum("_n").over(Window.partitionBy("symbol"))})
+    told = told.withColumn("_cut", F.col("_prev_last").isNotNull() & breaks(minutes(F.col("_prev_last"), F.col("_first"))))
+    told = told.withColumns({"_k": F.col("_in") + F.col("_cut").cast("long"),
+                             "_hi": F.col("_off") + F.coalesce("_hi", F.when(F.col("_cut"), F.lit(0))),
+                             "_lo": F.col("_off") + F.when(F.col("_cut"), F.lit(0)).otherwise(F.col("_lo"))})
+    carry = told.select(
+        *by, "_off", "_prev_last", "symbol_bars", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_k0"),
         F.coalesce(F.max("_hi").over(before), F.lit(0)).alias("_s0"), F.min("_lo").over(behind).alias("_e0"))
     y = x.join(carry, by, "inner")
+    y = y.withColumns({"bar_no": F.col("_off") + F.col("_rn") - 1,
+                       "gap_min": minutes(F.coalesce("_prev", "_prev_last"), F.col("datetime"))})
+    y = y.withColumn("is_long_break_before", breaks(F.col("gap_min")))
+    y = y.withColumn("_at", F.when(F.col("is_long_break_before"), F.col("bar_no")))
     start = F.greatest(F.col("_s0"), F.coalesce(F.max("_at").over(inner.rowsBetween(*UNBOUND)), F.lit(0)))
     stop = F.least(F.min("_at").over(inner.rowsBetween(1, Window.unboundedFollowing)), F.col("_e0"),
                    F.col("symbol_bars"))
