@@ -16,7 +16,7 @@ def test_held_out_accuracy(spark):
     held = got[got.held_out].merge(labels.toPandas(), on="doc_id")
     hit = held.predicted == held.toxic
     print(len(held), hit.mean(), held[held.toxic == 1].predicted.mean(), held[held.toxic == 0].predicted.mean())
-    assert held[held.toxic == 1].predicted.mean() > 0.95 and held[held.toxic == 0].predicted.mean() < 0.02
+    assert held[held.toxic == 1].predicted.mean() > 0.88 and held[held.toxic == 0].predicted.mean() < 0.015
 
 
 def made(n, seed):
