@@ -228,8 +228,8 @@ def read(archives: DataFrame, folder: str, keep_body: bool = False) -> DataFrame
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [*kinds, pa.binary()])], names + extra)
 
-    # one archive a key: an archive is a few MB, so this deals out names only
-    return archives.select("archive").repartition("archive").mapInArrow(each, READ + (", body binary" if keep_body else ""))
+    # names are dealt out, so the number of tasks comes from the number of archives and not from bytes
+    return archives.select("archive").repartition(max(1, archives.count()), "archive").mapInArrow(each, READ + (", body binary" if keep_body else ""))
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
