@@ -25,6 +25,7 @@ from barwright.llm.shared import keep, scratch_path
 UNIT, WIDTH = 576, 576
 HEADER = 33  # signature and first chunk of a PNG
 SHARD_BYTES = 64 << 20
+STRETCH, TASK_BYTES = 4 << 20, 32 << 20
 MAGIC = b"\x89PNG\r\n\x1a\n"
 LEVEL = 6
 
@@ -131,8 +132,11 @@ def index(rows: DataFrame) -> DataFrame:
 
 
 def _near(rows: DataFrame) -> DataFrame:
-    """Rows dealt by stretches of shards, in the order of their offsets."""
-    return rows.withColumn("stretch", F.expr("offset div 4194304")).repartition("shard", "stretch").sortWithinPartitions("shard", "offset").drop("stretch")
+    """Rows dealt by stretches of shards, in the order of their offsets. The rows are small and the bytes they name are not, so the number of
+    tasks comes from the latter."""
+    stored = rows.agg(F.sum("length")).first()[0] or 0
+    return (rows.withColumn("stretch", F.expr(f"offset div {STRETCH}")).repartition(max(1, -(-stored // TASK_BYTES)), "shard", "stretch")
+            .sortWithinPartitions("shard", "offset").drop("stretch"))
 
 
 def with_metadata(rows: DataFrame, folder: str) -> DataFrame:
@@ -150,7 +154,7 @@ def with_metadata(rows: DataFrame, folder: str) -> DataFrame:
     return _near(rows).mapInArrow(each, kind + ", format string, width int, height int, bits int")
 
 
-def with_payload(rows: DataFrame, folder: str) -> DataFrame:
+def with_payload(rows: DataFrame, folder: str, dealt: bool = False) -> DataFrame:
     """``rows`` with what the stored bytes, read back and decoded, say: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
     feature. Fails where a stored payload is not the one its digest names."""
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -174,14 +178,14 @@ def with_payload(rows: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *names])
 
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return _near(rows).mapInArrow(
+    return (rows if dealt else _near(rows)).mapInArrow(
         each, kind + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Store, then fill metadata from headers and digests from whole payloads. One row per row of ``docs``."""
     folder = folder or scratch_path(docs.sparkSession, "shards")
-    return with_payload(with_metadata(store(docs, folder), folder), folder)
+    return with_payload(with_metadata(store(docs, folder), folder), folder, dealt=True)  # in the order that metadata left
 
 
 def members(data: bytes) -> list[str]:
