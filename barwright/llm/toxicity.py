@@ -15,6 +15,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from barwright.llm.shared import spare
 
 SAMPLE, LONGEST = 10_000, 200_000
 STEMS = (3, 4, 5, 6)
-VOCABULARY, LEAST_DOCUMENTS = 2000, 6
+VOCABULARY, LEAST_DOCUMENTS, LEAST_TOXIC = 2000, 6, 3
 LEAST_TOLD = 4.5  # standard deviations between a feature's toxic documents and the expected number
 ROUNDS, LAST, STEP, DECAY = 400, 100, 0.1, 0.03
 DROPPED, SEED = 0.5, 7
@@ -94,13 +95,18 @@ def fit(texts: list[str], labels: np.ndarray, vocabulary: int = VOCABULARY, roun
     empty = Model({}, [], float(np.log(rate / (1 - rate))))
     if not n or y.min() == y.max():
         return empty
-    count: dict[str, list[int]] = {}
-    parts: dict[str, list[str]] = {}
-    for text, label in zip(texts, y.astype(int).tolist()):
-        for f in set(itertools.chain.from_iterable(parts[w] if w in parts else parts.setdefault(w, features(w)) for w in set(_WORD.findall(text.lower())))):
-            count.setdefault(f, [0, 0])[label] += 1
+    # features of toxic documents first; the others are counted for those alone, so memory follows the toxic share of the sample
+    hits: Counter[str] = Counter()
+    for text in itertools.compress(texts, y):
+        hits.update({f for w in set(_WORD.findall(text.lower())) for f in features(w)})
+    held = sorted(f for f, k in hits.items() if k >= min(LEAST_TOXIC, n))
+    misses = np.zeros(len(held))
+    known = Known({f: k for k, f in enumerate(held)})
+    for text in itertools.compress(texts, 1 - y):
+        misses[list({k for w in set(_WORD.findall(text.lower())) for k in known[w]})] += 1
+    count = {f: (int(m), hits[f]) for f, m in zip(held, misses)}
     # a longer stem that occurs as often as the stem it extends says nothing more
-    names = sorted(f for f, c in count.items() if sum(c) >= min(LEAST_DOCUMENTS, n) and count.get(f[:-1] if f[0] != "=" else f[1:1 + STEMS[-1]]) != c)
+    names = [f for f, c in count.items() if sum(c) >= min(LEAST_DOCUMENTS, n) and count.get(f[:-1] if f[0] != "=" else f[1:1 + STEMS[-1]]) != c]
     c = np.array([count[f] for f in names], np.float64).reshape(-1, 2)
     total = c.sum(axis=1)
     spread = np.sqrt(np.maximum(total * rate * (1 - rate) * (1 - (total - 1) / max(n, 2)), 1e-9))
