@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barwright.catalog.base import BASE_D, KEY, ROWS, Tables, m_, out, query, r, w_
-from barwright.operators import factors
+from barwright.operators import build, factors
+from barwright.plans.staging import shared_dir, stage
 
 WS = (5, 13, 42)
 
@@ -136,3 +139,23 @@ def _(t: Tables):
     wide = factors.factor_panel(t.d, None, ALL_WS, pairs=((3, 13), (5, 21)), geometry_raw=True,
                                 lag_bases=("mom_21", "rv_21"), rows=ROWS)
     return out(wide, list(_ALL_SQL))
+
+
+@query("ts41_full_vocabulary")
+def _(t: Tables):
+    """All 1,034 columns."""
+    return build.vocabulary_report(t.d, ROWS)
+
+
+@query("pipeline_factor_build")
+def _(t: Tables):
+    """Screen, budget, decorrelate, build views, write them by month, and read the months back."""
+    wide = factors.factor_panel(t.d, None, ALL_WS, pairs=((3, 13), (5, 21)), keep=("symbol", "datetime", "label", "bar_no", "session_id"), rows=ROWS)
+    wide = stage(wide, "wide")
+    path = f"{shared_dir(t.spark)}/views-{uuid.uuid4().hex}"
+    chosen = build.factor_build(wide, t.g, path, {"tsz_": 8, "csz_": 6, "csr_": 4}, ("symbol", "datetime", "label", "bar_no", "session_id"), rows=ROWS)
+    names = [r["view"] + r["factor"] for r in chosen.collect()]
+    back = t.spark.read.parquet(path)
+    flat = back.agg(*[F.count(n).alias(f"n_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names])
+    told = flat.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"n_{n}").alias("n"), F.col(f"s_{n}").alias("sd")) for n in names])))
+    return chosen.join(told, F.concat("view", "factor") == F.col("name")).select("factor", "view", "place", "ic", "n", "sd")

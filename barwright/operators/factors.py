@@ -413,3 +413,26 @@ def factor_panel(panel: DataFrame, families: Sequence[str] | None = None,
         made.extend(lagged)
     return r.close().select(*keep, *made)
 
+
+
+GROUP_WINDOWS = 60
+LAG_FAMILIES = ("mom", "rv", "activity_z", "stoch", "rsi", "bollz", "cci", "mfi", "activity_corr", "geometry")
+RAW_GEOMETRY = ("bop", "body", "upsh", "losh", "cpos")
+
+
+def factor_groups(panel: DataFrame, keep: Sequence[str] = ("symbol", "datetime"), rows: int = chunks.CHUNK_ROWS) -> Iterator[DataFrame]:
+    """The whole vocabulary (1,034 columns) as frames of ``keep`` and some families each.
+
+    One frame of all columns costs the planner far more than the sum of its parts, since every stage carries the columns before it. Each
+    frame copies into its pieces only the bars that its own windows need, so the long exponential averages do not burden the rest.
+    """
+    group: list[str] = []
+    for name in FAMILIES:
+        alone = name in EWM_FAMILIES
+        if group and (alone or sum(len(FAMILIES[n][1]) for n in (*group, name)) > GROUP_WINDOWS):
+            yield factor_panel(panel, group, keep=keep, rows=rows)
+            group = []
+        group.append(name)
+    yield factor_panel(panel, group, keep=keep, rows=rows)
+    lagged = factor_panel(panel, LAG_FAMILIES, (13, 21, 34), lag_bases=LAG_BASES, geometry_raw=True, keep=keep, rows=rows)
+    yield lagged.select(*keep, *RAW_GEOMETRY, *[f"{b}_lag{k}" for b in LAG_BASES for k in LAGS])
