@@ -70,10 +70,16 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op8_source_mix, op9_noisy_or_toxicity, op10_rotated_bit_search, pipeline)}
 
 
-OP10 = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), pairs AS (
-    SELECT q.vec_id AS query_id, b.vec_id, list_distance(q.e, b.e) AS score FROM v q JOIN v b ON q.vec_id <> b.vec_id WHERE q.vec_id % 100 = 0)
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank, vec_id, score
-  FROM pairs QUALIFY rank <= 10"""
+OP3 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) END AS s FROM w),
+  n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s), x AS (SELECT doc_id, unnest(s) AS g FROM s),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * c >= 75 * (u.n + v.n - c)),
+  e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+  r(doc_id, reached) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.reached FROM r JOIN e ON r.doc_id = e.a)
+  SELECT doc_id, any_value(n) AS n_shingles, min(reached) AS component_id, doc_id = min(reached) AS kept FROM r JOIN n USING (doc_id) GROUP BY doc_id"""
 
 SQL: dict[str, str] = {
-    "op2_license_scan": licenses.oracle_sql(), "op7_chat_format": chat.ORACLE, "op8_source_mix": mixing.ORACLE}
+    "op2_license_scan": licenses.oracle_sql(), "op3_minhash_hamming_join": OP3, "op7_chat_format": chat.ORACLE, "op8_source_mix": mixing.ORACLE}
