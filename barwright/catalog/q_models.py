@@ -31,7 +31,53 @@ def _(t: Tables):
     return preds_out(linear.weighted_ridge(t.preds, train_rows(), P, alpha=5.0, weight=w, top_k=2, bound=4.0))
 
 
-@query("md02_ridge_variants")
+def sums3(src: str, keys: str = "", where: str = "") -> str:
+    """SQL for the additive statistics of three components, per ``keys``."""
+    cells = [f"sum({a} * {b}) AS g{i}{j}" for i, a in enumerate(P, 1) for j, b in enumerate(P, 1) if i <= j]
+    cols = ["count(*)::DOUBLE AS n", "sum(label) AS sy", *[f"sum({x}) AS s{i}" for i, x in enumerate(P, 1)], *[f"sum({x} * label) AS c{i}" for i, x in enumerate(P, 1)], *cells]
+    return f"SELECT {keys + ', ' if keys else ''}{', '.join(cols)} FROM {src} {where} {'GROUP BY ' + keys if keys else ''}"
+
+
+STATS3 = ["n", "sy", *[f"{k}{i}" for k in "sc" for i in (1, 2, 3)], "g11", "g12", "g13", "g22", "g23", "g33"]
+
+
+def ridge3_sql(src: str, alpha: float, keys: str = "", per_row: bool = False, intercept: bool = True) -> str:
+    """SQL for a ridge of three components by Cramer's rule: w1, w2, w3, b from a table of ``sums3`` columns."""
+    k = keys + ", " if keys else ""
+    if intercept:
+        m = ", ".join(f"s{i} / n AS m{i}, sqrt(g{i}{i} / n - (s{i} / n) * (s{i} / n)) AS d{i}" for i in (1, 2, 3))
+        z = ", ".join([f"(g{i}{j} - n * m{i} * m{j}) / (d{i} * d{j}) AS a{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j] + [f"(c{i} - m{i} * sy) / d{i} AS v{i}" for i in (1, 2, 3)])
+    else:
+        m = ", ".join(f"0.0 AS m{i}, 1.0 AS d{i}" for i in (1, 2, 3))
+        z = ", ".join([f"g{i}{j} AS a{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j] + [f"c{i} AS v{i}" for i in (1, 2, 3)])
+    by = "n" if per_row else "1.0"
+    e = ", ".join([f"a{i}{j} / {by} + {alpha if i == j else 0.0} AS e{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j] + [f"v{i} / {by} AS u{i}" for i in (1, 2, 3)])
+
+    def det(put: int = 0) -> str:
+        x = {(r, c): f"u{r}" if c == put else f"e{min(r, c)}{max(r, c)}" for r in (1, 2, 3) for c in (1, 2, 3)}
+        return " + ".join(f"{x[1, a]} * ({x[2, b]} * {x[3, c]} - {x[2, c]} * {x[3, b]})" for a, b, c in ((1, 2, 3), (2, 3, 1), (3, 1, 2)))
+
+    w = ", ".join(f"({det(i)}) / ({det()}) / d{i} AS w{i}" for i in (1, 2, 3))
+    b = "sy / n - w1 * m1 - w2 * m2 - w3 * m3" if intercept else "0.0"
+    return (f"SELECT *, {b} AS b FROM (SELECT {k}n, sy, m1, m2, m3, {w} FROM (SELECT {k}n, sy, m1, m2, m3, d1, d2, d3, {e} FROM "
+            f"(SELECT {k}n, sy, m1, m2, m3, d1, d2, d3, {z} FROM (SELECT *, {m} FROM {src}))))")
+
+
+def past_sql(name: str, src: str, lookback: int, by: str = "") -> str:
+    """SQL for sums over the ``lookback`` distinct months before each month that ``preds`` has (per ``by``)."""
+    add = ", ".join(f"sum(o.{c}) AS {c}" for c in STATS3)
+    k, on = (f", t.{by}", f" AND o.{by} = t.{by}") if by else ("", "")
+    return (f"mi AS (SELECT month, row_number() OVER (ORDER BY month) AS i FROM (SELECT DISTINCT month FROM preds)), "
+            if name == "past" else "") + (
+        f"{name} AS (SELECT t.month{k}, {add} FROM (SELECT DISTINCT month{', ' + by if by else ''} FROM preds) t JOIN mi a ON a.month = t.month "
+        f"JOIN mi z ON z.i BETWEEN a.i - {lookback} AND a.i - 1 JOIN {src} o ON o.month = z.month{on} GROUP BY t.month{k})")
+
+
+DOT3 = "{t}.b + {t}.w1 * p1 + {t}.w2 * p2 + {t}.w3 * p3"
+
+
+@query("md02_ridge_variants", f"""WITH {PREDS}, st AS ({sums3('preds', where='WHERE ' + TRAIN)}), a AS ({ridge3_sql('st', 0.1, per_row=True)}),
+   z AS ({ridge3_sql('st', 10.0, intercept=False)}) SELECT {KEY}, {r(DOT3.format(t='a'), 'signed')}, {r(DOT3.format(t='z'), 'raw_gram')} FROM preds, a, z""")
 def _(t: Tables):
     d = t.preds
     for name, solver in (("signed", linear.ridge(0.1, per_row=True)), ("raw_gram", linear.ridge(10.0, intercept=False))):
@@ -45,14 +91,18 @@ def _(t: Tables):
     return preds_out(linear.rank_gauss_ridge(t.preds, train_rows(), P, n=101))
 
 
-@query("md04_walk_forward")
+@query("md04_walk_forward", f"""WITH {PREDS}, ms AS ({sums3('preds', 'month')}), {past_sql('past', 'ms', 24)}, f AS ({ridge3_sql('past', 10.0, 'month')})
+   SELECT {KEY}, {r('label')}, {r(DOT3.format(t='f'), 'pred_out')} FROM preds LEFT JOIN f ON f.month = preds.month AND f.n >= 500""")
 def _(t: Tables):
-    return preds_out(linear.walk_forward(t.preds, P, linear.ridge(10.0), lookback=24, min_rows=500)[0].where("pred is not null"))
+    return preds_out(linear.walk_forward(t.preds, P, linear.ridge(10.0), lookback=24, min_rows=500)[0])
 
 
-@query("md05_group_experts")
+@query("md05_group_experts", f"""WITH {PREDS}, ms AS ({sums3('preds', 'month')}), gs AS ({sums3('preds', 'month, grp')}), {past_sql('past', 'ms', 24)}, {past_sql('gpast', 'gs', 24, 'grp')},
+   f AS ({ridge3_sql('past', 10.0, 'month')}), h AS ({ridge3_sql('gpast', 10.0, 'month, grp')})
+   SELECT {KEY}, {r('label')}, {r(f"coalesce({DOT3.format(t='h')}, {DOT3.format(t='f')})", 'pred_out')} FROM preds LEFT JOIN f ON f.month = preds.month AND f.n >= 500
+   LEFT JOIN h ON h.month = preds.month AND h.grp = preds.grp AND h.n >= 300""")
 def _(t: Tables):
-    return preds_out(linear.group_experts(t.preds, P, linear.ridge(10.0), "grp", lookback=24, min_rows=500, min_group=300).where("pred is not null"))
+    return preds_out(linear.group_experts(t.preds, P, linear.ridge(10.0), "grp", lookback=24, min_rows=500, min_group=300))
 
 
 @query("md06_boosted_trees")
