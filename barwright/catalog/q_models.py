@@ -41,7 +41,7 @@ def sums3(src: str, keys: str = "", where: str = "") -> str:
 STATS3 = ["n", "sy", *[f"{k}{i}" for k in "sc" for i in (1, 2, 3)], "g11", "g12", "g13", "g22", "g23", "g33"]
 
 
-def ridge3_sql(src: str, alpha: float, keys: str = "", per_row: bool = False, intercept: bool = True) -> str:
+def ridge3_sql(src: str, alpha: float, keys: str = "", per_row: bool = False, intercept: bool = True, bound: float = 1e300) -> str:
     """SQL for a ridge of three components by Cramer's rule: w1, w2, w3, b from a table of ``sums3`` columns."""
     k = keys + ", " if keys else ""
     if intercept:
@@ -57,7 +57,7 @@ def ridge3_sql(src: str, alpha: float, keys: str = "", per_row: bool = False, in
         x = {(r, c): f"u{r}" if c == put else f"e{min(r, c)}{max(r, c)}" for r in (1, 2, 3) for c in (1, 2, 3)}
         return " + ".join(f"{x[1, a]} * ({x[2, b]} * {x[3, c]} - {x[2, c]} * {x[3, b]})" for a, b, c in ((1, 2, 3), (2, 3, 1), (3, 1, 2)))
 
-    w = ", ".join(f"({det(i)}) / ({det()}) / d{i} AS w{i}" for i in (1, 2, 3))
+    w = ", ".join(f"least(greatest(({det(i)}) / ({det()}), -{bound}), {bound}) / d{i} AS w{i}" for i in (1, 2, 3))
     b = "sy / n - w1 * m1 - w2 * m2 - w3 * m3" if intercept else "0.0"
     return (f"SELECT *, {b} AS b FROM (SELECT {k}n, sy, m1, m2, m3, {w} FROM (SELECT {k}n, sy, m1, m2, m3, d1, d2, d3, {e} FROM "
             f"(SELECT {k}n, sy, m1, m2, m3, d1, d2, d3, {z} FROM (SELECT *, {m} FROM {src}))))")
@@ -120,7 +120,8 @@ def _(t: Tables):
     return preds_out(linear.residual_model(t.preds, train_rows(), "p3", ["p1", "p2"]))
 
 
-@query("md09_linear_calibration")
+@query("md09_linear_calibration", f"""WITH {PREDS}, st AS ({sums3('preds', where='WHERE ' + TRAIN)}), a AS ({ridge3_sql('st', 1e-4, bound=0.5)})
+   SELECT {KEY}, {r('label')}, {r(DOT3.format(t='a'), 'pred_out')} FROM preds, a""")
 def _(t: Tables):
     return preds_out(linear.linear_calibration(t.preds, train_rows(), P, bound=0.5), "pred_cal")
 
@@ -312,7 +313,21 @@ def _(t: Tables):
     return preds_out(t.preds.withColumn("pred", score(P, w)))
 
 
-@query("en05_simplex_fit")
+def simplex3_sql(src: str) -> str:
+    """SQL for the non-negative weights of sum one with the best IC: the seven supports of three components, each solved by Cramer's rule."""
+    one = [f"SELECT {', '.join(f'{float(i == j)} AS w{j}' for j in (1, 2, 3))} FROM {src}" for i in (1, 2, 3)]
+    two = []
+    for i, j in ((1, 2), (1, 3), (2, 3)):
+        w = {i: f"(c{i} * g{j}{j} - c{j} * g{i}{j}) / (g{i}{i} * g{j}{j} - g{i}{j} * g{i}{j})", j: f"(c{j} * g{i}{i} - c{i} * g{i}{j}) / (g{i}{i} * g{j}{j} - g{i}{j} * g{i}{j})"}
+        two.append(f"SELECT {', '.join(f'{w.get(k, 0.0)} AS w{k}' for k in (1, 2, 3))} FROM {src}")
+    three = f"SELECT w1, w2, w3 FROM ({ridge3_sql(src, 0.0, intercept=False)})"
+    quad = " + ".join(f"{1 if i == j else 2} * w{i} * w{j} * g{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j)
+    return (f"SELECT w1 / (w1 + w2 + w3) AS w1, w2 / (w1 + w2 + w3) AS w2, w3 / (w1 + w2 + w3) AS w3 FROM ({' UNION ALL '.join([*one, *two, three])}) q, {src} "
+            f"WHERE least(w1, w2, w3) >= 0 AND w1 + w2 + w3 > 0 ORDER BY (w1 * c1 + w2 * c2 + w3 * c3) / sqrt({quad}) DESC LIMIT 1")
+
+
+@query("en05_simplex_fit", f"""WITH {PREDS}, st AS ({sums3('preds', where='WHERE ' + TRAIN)}), b AS ({simplex3_sql('st')})
+   SELECT {KEY}, {r('label')}, {r('w1 * p1 + w2 * p2 + w3 * p3', 'pred_out')} FROM preds, b""")
 def _(t: Tables):
     w, _ = linear.simplex()(row_stats(t, train_rows()))
     return preds_out(t.preds.withColumn("pred", score(P, w)))
