@@ -282,7 +282,7 @@ def probit_sql(p: str) -> str:
 
 def uniform_sql(seed: int, *keys: str) -> str:
     text = " || '|' || ".join(f"({k})::VARCHAR" for k in keys)
-    return f"(('0x' || substr(md5({text} || '|{seed}'), 1, 8))::BIGINT / 4294967296.0)"
+    return f"(('0x' || substr(md5({text} || '|{seed}'), 1, 13))::BIGINT / 4503599627370496.0)"
 
 
 def ic_sql(a: str, y: str) -> str:

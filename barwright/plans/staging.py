@@ -56,3 +56,12 @@ def reuse(spark: SparkSession, name: str, meta: dict, build: Callable[[], DataFr
     except AnalysisException:  # absent, or a failed write that committed nothing
         build().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path), False
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables this application staged. Call it when no result that reads them is still to be computed.
+
+    Tables of ``reuse`` are kept: they are meant to outlive the application.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
