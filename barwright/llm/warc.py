@@ -24,7 +24,7 @@ ARCHIVE_BYTES = 16 << 20
 DATE = "1970-01-01T00:00:00Z"  # pages carry no time of capture
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
-STEP = 1 << 20
+FIRST, STEP = 1 << 14, 1 << 20
 _LINE = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
@@ -100,14 +100,14 @@ class Window:
 
 def one_member(window: Window, at: int) -> tuple[bytes, int] | None:
     """The content and end of the gzip member at ``at``, or None where it is damaged."""
-    z, out, pos = zlib.decompressobj(31), [], at
+    z, out, pos, step = zlib.decompressobj(31), [], at, FIRST
     try:
         while not z.eof:
-            part = window.upto(pos, pos + STEP)
+            part = window.upto(pos, pos + step)
             if not part:
                 return None
             out.append(z.decompress(part))
-            pos += len(part)
+            pos, step = pos + len(part), min(2 * step, STEP)
     except zlib.error:
         return None
     return b"".join(out), pos - len(z.unused_data)
