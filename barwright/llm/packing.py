@@ -60,7 +60,7 @@ def pack(docs: DataFrame, path: str | None = None, longest: int = MAX_LENGTH) ->
             yield pour()
 
     pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
-    return pieces.select("*", F.log2("length").cast("int").alias("bucket"),
+    return pieces.select("*", F.round(F.log2("length")).cast("int").alias("bucket"),
                          F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 
