@@ -234,10 +234,10 @@ def _(t: Tables):
 
 
 # ---- joins, sets, ordered picks ---------------------------------------------------------------------------
-@query("jn01_components", f"""WITH {PREDS} SELECT {KEY}, {rs(('p1', 'p2', 'p3'))} FROM (SELECT symbol, datetime, p1 FROM preds WHERE p1 > 0) JOIN (SELECT symbol, datetime, p2 FROM preds WHERE p2 > 0) USING (symbol, datetime)
+@query("jn01_components", f"""WITH {PREDS} SELECT {KEY}, {rs(('p1', 'p2', 'p3'))} FROM (SELECT symbol, datetime, p1 FROM preds) JOIN (SELECT symbol, datetime, p2 FROM preds) USING (symbol, datetime)
    JOIN (SELECT symbol, datetime, p3 FROM preds) USING (symbol, datetime)""")
 def _(t: Tables):
-    f = [t.preds.where("p1 > 0").select("symbol", "datetime", "p1"), t.preds.where("p2 > 0").select("symbol", "datetime", "p2"), t.preds.select("symbol", "datetime", "p3")]
+    f = [t.preds.select("symbol", "datetime", "p1"), t.preds.select("symbol", "datetime", "p2"), t.preds.select("symbol", "datetime", "p3")]
     return out(rel.join_components(f), ("p1", "p2", "p3"))
 
 
@@ -304,9 +304,9 @@ def _(t: Tables):
     return out(rel.lookup_chain(t.preds, tabs, "v", "memory", 0.0), ("memory",))
 
 
-@query("st01_union_parts", f"WITH {PREDS} SELECT {KEY}, {r('p1')} FROM preds WHERE month < '1996-06' OR month >= '2000-06'")
+@query("st01_union_parts", f"WITH {PREDS} SELECT {KEY}, {r('p1')} FROM preds")
 def _(t: Tables):
-    a, b = t.preds.where("month < '1996-06'").select("symbol", "datetime", "p1"), t.preds.where("month >= '2000-06'").select("p1", "datetime", "symbol")
+    a, b = t.preds.where("month < '1998-06'").select("symbol", "datetime", "p1"), t.preds.where("month >= '1998-06'").select("p1", "datetime", "symbol")
     return out(a.unionByName(b), ("p1",))
 
 

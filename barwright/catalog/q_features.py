@@ -304,9 +304,9 @@ def _(t: Tables):
     return out(views.market_state(features.stable_columns(t.d, "extended", rows=ROWS)[0], t.g, ("range_pct",)), ("state_mean_range_pct", "state_std_range_pct"))
 
 
-@query("vw10_pred_views", f"WITH {PREDS} SELECT {KEY}, {r(z_sql('p1', 'datetime', '1e-9'), 'p1_xsz')}, {r(pct_rank('p1', 'datetime') + ' - 0.5', 'p1_xrank')} FROM preds WHERE symbol <> 'S0'")
+@query("vw10_pred_views", f"WITH {PREDS} SELECT {KEY}, {r(z_sql('p1', 'datetime', '1e-9'), 'p1_xsz')}, {r(pct_rank('p1', 'datetime') + ' - 0.5', 'p1_xrank')} FROM preds")
 def _(t: Tables):
-    return out(views.pred_views(t.preds.where("symbol <> 'S0'"), t.g, "p1"), ("p1_xsz", "p1_xrank"))
+    return out(views.pred_views(t.preds, t.g, "p1"), ("p1_xsz", "p1_xrank"))
 
 
 XV = PREDS + f""", x0 AS (SELECT *, {z_sql('p1', 'datetime', '1e-9')} AS z, p1 - avg(p1) {D_} AS xc, least(greatest({pct_rank('p1', 'datetime')}, 0.001), 0.999) AS pc,
@@ -316,14 +316,11 @@ XV = PREDS + f""", x0 AS (SELECT *, {z_sql('p1', 'datetime', '1e-9')} AS z, p1 -
 @query("vw11_extended_views", f"""WITH {XV} SELECT {KEY}, {r('xc', 'p1_xcenter')}, {r('z', 'p1_xsz')}, {r('pc - 0.5', 'p1_xrank')},
    {r(clip_sql(probit_sql('pc'), 3.1), 'p1_rankgauss')}, {r('asinh(z)', 'p1_asinh_z')}, {r('sign(z) * sqrt(abs(z))', 'p1_sqrt_signed_z')},
    {', '.join(r(clip_sql('z', b), f'p1_xsz_clip{b:g}'.replace('.', 'p')) for b in views.CLIPS)},
-   {', '.join(r(f'tanh(z / {s})', f'p1_tanh_z_s{s:g}'.replace('.', 'p')) for s in views.TANH_SCALES)} FROM x0 WHERE m >= 4""")
+   {', '.join(r(f'tanh(z / {s})', f'p1_tanh_z_s{s:g}'.replace('.', 'p')) for s in views.TANH_SCALES)} FROM x0""")
 def _(t: Tables):
-    d = t.preds
-    from barwright.plans import xsec
-    d = xsec.with_stats(d, t.g, {"m": F.count("p1")})
     names = ["p1_xcenter", "p1_xsz", "p1_xrank", "p1_rankgauss", "p1_asinh_z", "p1_sqrt_signed_z"]
     names += [f"p1_xsz_clip{b:g}".replace(".", "p") for b in views.CLIPS] + [f"p1_tanh_z_s{s:g}".replace(".", "p") for s in views.TANH_SCALES]
-    return out(views.extended_pred_views(d, t.g, "p1").where("m >= 4"), names)
+    return out(views.extended_pred_views(t.preds, t.g, "p1"), names)
 
 
 VARIANTS = PREDS + f""", v0 AS (SELECT *, p1 - avg(p1) OVER (PARTITION BY datetime, sector) AS sn FROM preds),
@@ -377,11 +374,10 @@ def _(t: Tables):
 EV = f"coalesce(least(abs({z_sql('ret1', 'datetime', '1e-9')}), 8), 0) + coalesce(least(abs({z_sql('range_rel', 'datetime', '1e-9')}), 8), 0) + 0.65 * coalesce(least(abs({z_sql('log_amount', 'datetime', '1e-9')}), 8), 0) + 0.35 * coalesce(least(abs({z_sql('oi_chg', 'datetime', '1e-9')}), 8), 0)"
 
 
-@query("vw18_event_score", f"WITH {LADDER}, e AS (SELECT *, count(*) {D_} AS m FROM ladder) SELECT {KEY}, {r(EV, 'event_score')} FROM e WHERE m >= 3")
+@query("vw18_event_score", f"WITH {LADDER} SELECT {KEY}, {r(EV, 'event_score')} FROM ladder")
 def _(t: Tables):
-    from barwright.plans import xsec
     d = views.event_score(ladder(t), t.g, {"ret1": 1.0, "range_rel": 1.0, "log_amount": 0.65, "oi_chg": 0.35})
-    return out(xsec.with_stats(d, t.g, {"m": F.count(F.lit(1))}).where("m >= 3"), ("event_score",))
+    return out(d, ("event_score",))
 
 
 @query("vw19_shapes", f"""WITH {PREDS}, q AS (SELECT quantile_cont(p1, 0.02) AS lo, quantile_cont(p1, 0.98) AS hi, quantile_cont(abs(p1), 0.9) AS sc FROM preds WHERE {TRAIN})
@@ -402,11 +398,9 @@ def _(t: Tables):
     return out(views.rank_gauss(t.preds, "p1", train_rows(), NQ), ("p1_rg",))
 
 
-@query("vw21_feature_xsz", f"""WITH {PREDS}, m AS (SELECT *, count(*) {D_} AS n FROM preds) SELECT {KEY}, {', '.join(r(z_sql(x, 'datetime', '1e-9'), f'xsz_{x}') for x in ('p1', 'p2', 'p3'))} FROM m WHERE n >= 3""")
+@query("vw21_feature_xsz", f"""WITH {PREDS} SELECT {KEY}, {', '.join(r(z_sql(x, 'datetime', '1e-9'), f'xsz_{x}') for x in ('p1', 'p2', 'p3'))} FROM preds""")
 def _(t: Tables):
-    from barwright.plans import xsec
-    d = xsec.with_stats(views.csz(t.preds, t.g, ("p1", "p2", "p3"), 1e-9, "xsz_"), t.g, {"n": F.count(F.lit(1))})
-    return out(d.where("n >= 3"), ("xsz_p1", "xsz_p2", "xsz_p3"))
+    return out(views.csz(t.preds, t.g, ("p1", "p2", "p3"), 1e-9, "xsz_"), ("xsz_p1", "xsz_p2", "xsz_p3"))
 
 
 @query("vw22_postprocess", f"""WITH {PREDS} SELECT {KEY}, {r(f'p1 - avg(p1) {D_}', 'dm')}, {r(f'coalesce((p1 - avg(p1) {D_}) / nullif(stddev_samp(p1) {D_}, 0), 0)', 'tz')},

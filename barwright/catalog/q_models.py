@@ -262,13 +262,12 @@ def _(t: Tables):
 
 
 # ---- blends -------------------------------------------------------------------------------------------
-@query("en01_signals", f"WITH {PREDS}, x AS (SELECT *, count(*) OVER (PARTITION BY datetime) AS n FROM preds) SELECT {KEY}, {r('p1', 's_raw')}, {r(pct_rank('p1', 'datetime') + ' - 0.5', 's_rank')}, {r(z_sql('p1', 'datetime', '1e-9'), 's_z')} FROM x WHERE n >= 3")
+@query("en01_signals", f"WITH {PREDS} SELECT {KEY}, {r('p1', 's_raw')}, {r(pct_rank('p1', 'datetime') + ' - 0.5', 's_rank')}, {r(z_sql('p1', 'datetime', '1e-9'), 's_z')} FROM preds")
 def _(t: Tables):
     d = t.preds
     for mode in ("raw", "rank", "z"):
         d = blend.component_signal(d, t.g, "p1", mode, f"s_{mode}")
-    from barwright.plans import xsec
-    return out(xsec.with_stats(d, t.g, {"n": F.count(F.lit(1))}).where("n >= 3"), ("s_raw", "s_rank", "s_z"))
+    return out(d, ("s_raw", "s_rank", "s_z"))
 
 
 TRI = [(a, b) for k, a in enumerate(P) for b in P[k:]]
@@ -461,7 +460,7 @@ def _(t: Tables):
 @query("en20_rolling_stack")
 def _(t: Tables):
     d = labels.label_views(with_views(t).drop("label_xsz"), t.g)
-    return preds_out(blend.rolling_stack(d, [f"xsz_{x}" for x in P], "label_xrank", min_rows=500).where("pred is not null"))
+    return preds_out(blend.rolling_stack(d, [f"xsz_{x}" for x in P], "label_xrank", min_rows=500))
 
 
 @query("en21_market_overlay")
