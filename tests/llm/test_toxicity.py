@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 
 from barwright.llm import toxicity
 from odd_rows import ODD
@@ -51,3 +52,39 @@ def test_odd_rows(spark, docs_of):
     assert toxicity.drop_toxic(docs, labels).columns == docs.columns
     assert toxicity.classify(docs.limit(0), labels).count() == 0
     assert toxicity.classify(docs, labels.limit(0)).count() == len(ODD)
+
+
+def test_length_alone_does_not_make_toxic():
+    """Clean sentences of the real table, in texts of 10,000 sentences; one toxic sentence in such a text still counts."""
+    docs, labels = (pd.read_parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.merge(labels, on="doc_id").dropna(subset=["toxic"]).fillna({"text": ""})
+    held = np.array([zlib.crc32(str(d).encode()) % 4 == 2 for d in rows.doc_id])
+    model = toxicity.fit(rows.text[~held].tolist(), rows.toxic[~held].to_numpy())
+    fresh = rows[held]
+    clean = [t for t in fresh.text[fresh.toxic == 0] if model.score(t) < 0.3]
+    found = [t for t in fresh.text[fresh.toxic == 1] if model.score(t) >= 0.3]
+    rng = np.random.default_rng(0)
+    for k in range(10):
+        parts, n = [], 0
+        while n < 10_000:
+            parts.append(clean[rng.integers(len(clean))])
+            n += len(model.sentences(parts[-1]))
+        assert model.score("\n".join(parts)) < 0.3
+        assert model.score("\n".join([*parts, found[k]])) >= 0.3
+
+
+def test_no_features_no_length():
+    model = toxicity.fit(["a. b"] * 20, np.zeros(20))
+    assert model.score("x. " * 10_000) == model.score("x") < 0.3
+
+
+def test_long_texts_are_fitted(spark, docs_of, monkeypatch):
+    """Toxic words that occur in long texts alone are learned; reading in ranges gives the same model as reading at once."""
+    rows = made(300, 3)
+    long = [(d, ". ".join([t] * (210_000 // max(len(t), 1) + 1)) if y and d % 3 == 0 else t.replace("vile", "bago").replace("foul", "bago"), y) for d, t, y in rows]
+    long = [(d, t, y if len(t) > 200_000 else 0) for d, t, y in long]
+    docs, labels = docs_of([r[:2] for r in long]), spark.createDataFrame([(r[0], 1, r[2]) for r in long], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    assert any(f in model.number for f in ("=vile", "=foul", "vil", "fou"))
+    monkeypatch.setattr(toxicity.Stored.__init__, "__defaults__", (1 << 20,))
+    assert toxicity.train(docs, labels) == model
