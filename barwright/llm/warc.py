@@ -1,7 +1,8 @@
 """WARC archives: a writer with revisits, and a reader that salvages what follows damage.
 
 Pages are written as gzip members, one a record. Of records with equal payloads the one with the largest page_id is a response and the
-others are revisits that refer to it. The reader checks each member (gzip checksum, version line, block length, payload digest). After a
+others are revisits that refer to it. The reader takes records of any type and checks each member (gzip checksum, version line, block length,
+and block and payload digests of the ``ALGORITHMS``; absent and other digests are not checked). After a
 failed check it searches for the next member or version line that reads well, goes on from there, and logs the bytes it left out.
 Archives are cut at ``ARCHIVE_BYTES``; a task reads one archive through a window, so memory is bounded by a record.
 """
@@ -25,6 +26,9 @@ DATE = "1970-01-01T00:00:00Z"  # pages carry no time of capture
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 FIRST, STEP = 1 << 14, 1 << 20
+ALGORITHMS = ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")
+HTTP_TYPES = ("request", "response", "revisit")
+_BLANK, _CHUNK = re.compile(rb"\r?\n\r?\n"), re.compile(rb"([0-9A-Fa-f]+)[^\r\n]*\r\n")
 _LINE = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
@@ -50,6 +54,28 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def agrees(digest: str | None, content: bytes) -> bool:
+    """False where ``algorithm:value``, in hex, base32 or base64, is of a known algorithm and not that of ``content``."""
+    name, _, value = (digest or "").strip().partition(":")
+    name = name.lower().replace("-", "")
+    if name not in ALGORITHMS or not value:
+        return True
+    own, value = hashlib.new(name, content).digest(), value.strip().rstrip("=")
+    return value.lower() == own.hex() or value.upper() == base64.b32encode(own).decode().rstrip("=") or any(
+        value == code(own).decode().rstrip("=") for code in (base64.b64encode, base64.urlsafe_b64encode))
+
+
+def unchunked(body: bytes) -> bytes | None:
+    """The content of a body in chunked transfer encoding, or None where it is not one."""
+    out, at = [], 0
+    while m := _CHUNK.match(body, at):
+        if not (n := int(m[1], 16)):
+            return b"".join(out)
+        out.append(body[m.end():m.end() + n])
+        at = m.end() + n + 2
+    return None
+
+
 def parse(data: bytes) -> dict | None:
     """Fields of one whole uncompressed record, or None where a check fails."""
     end = data.find(b"\r\n\r\n")
@@ -64,19 +90,26 @@ def parse(data: bytes) -> dict | None:
     block = data[end + 4:end + 4 + n]
     if n < 0 or len(block) != n or data[end + 4 + n:] != b"\r\n\r\n":
         return None
-    if "warc-block-digest" in head and head["warc-block-digest"] != f"sha1:{payload_digest(block)}":
-        return None
-    http, split, body = block.partition(b"\r\n\r\n")
-    if not split:
-        return None
-    kind, digest = head.get("warc-type"), head.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind == "response" and digest != payload_digest(body):
+    if not agrees(head.get("warc-block-digest"), block):
         return None
-    fields = {k.lower(): v for k, v in _LINE.findall(http + b"\r\n")}
+    kind, digest, body, fields = head.get("warc-type"), head.get("warc-payload-digest"), block, {}
+    # a DNS answer is a response without HTTP; a revisit may come without headers
+    if kind in HTTP_TYPES and head.get("content-type", "application/http").lower().startswith("application/http") and (block or kind != "revisit"):
+        split = _BLANK.search(block)
+        if split is None:
+            return None
+        http, body = block[:split.start()], block[split.end():]
+        fields = {k.lower(): v for k, v in _LINE.findall(re.sub(rb"\r?\n", b"\r\n", http) + b"\r\n")}
+    # the payload of a revisit is elsewhere, that of a segment or a truncated record is not here as a whole
+    if kind in ("request", "response", "resource", "conversion") and "warc-segment-number" not in head and "warc-truncated" not in head:
+        whole = unchunked(body) if b"chunked" in fields.get(b"transfer-encoding", b"").lower() else None
+        if not agrees(digest, body) and (whole is None or not agrees(digest, whole)):
+            return None
     number = lambda key: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", head.get(key, ""))) else None
     length = fields.get(b"content-length", b"")
-    return {"page_id": number("warc-record-id"), "payload_bytes": len(body) if kind == "response" else int(length) if length.isdigit() else None,
-            "payload_digest": digest, "record_type": kind, "refers_to": number("warc-refers-to"), "url": head.get("warc-target-uri"), "body": body}
+    return {"page_id": number("warc-record-id"), "payload_bytes": len(body) if kind != "revisit" else int(length) if length.isdigit() else None,
+            "payload_digest": digest and digest.removeprefix("sha1:"), "record_type": kind, "refers_to": number("warc-refers-to"),
+            "url": head.get("warc-target-uri"), "body": body}
 
 
 class Window:

@@ -117,3 +117,40 @@ def test_damaged_archive_in_a_job(spark, tmp_path):
     path.write_bytes(data)
     records = warc.read(done, str(tmp_path))
     assert warc.gaps(records).count() == 1 and warc.pages_of(records).count() == 29
+
+
+def foreign(kind, block, *lines):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:00000000-0000-0000-0000-000000000001>", *lines, f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+CHUNKED = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+AS_HTTP = "Content-Type: application/http; msgtype=response"
+GOOD = [
+    (foreign("warcinfo", b"software: x\r\nformat: WARC\r\n", "Content-Type: application/warc-fields"), "warcinfo", b"software: x\r\nformat: WARC\r\n"),
+    (foreign("metadata", b"fetchTimeMs: 3\r\n", "Content-Type: application/warc-fields"), "metadata", b"fetchTimeMs: 3\r\n"),
+    (foreign("resource", b"plain\n\ntext", f"WARC-Payload-Digest: sha1:{sha(b'plain' + bytes([10, 10]) + b'text')}"), "resource", b"plain\n\ntext"),
+    (foreign("response", b"20260101\nexample.org. 60 IN A 192.0.2.1\n", "Content-Type: text/dns"), "response", b"20260101\nexample.org. 60 IN A 192.0.2.1\n"),
+    (foreign("conversion", b"text"), "conversion", b"text"),
+    (foreign("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", "Content-Type: application/http; msgtype=request"), "request", b""),
+    (foreign("revisit", b"", AS_HTTP), "revisit", b""),
+    (foreign("response", HTTP + b"b", AS_HTTP), "response", b"b"),
+    (foreign("response", HTTP + b"b", AS_HTTP, "WARC-Payload-Digest: sha256:" + hashlib.sha256(b"b").hexdigest(),
+             "WARC-Block-Digest: md5:" + hashlib.md5(HTTP + b"b").hexdigest().upper()), "response", b"b"),
+    (foreign("response", HTTP + b"b", AS_HTTP, f"WARC-Payload-Digest: SHA-1:{sha(b'b').lower()}", "WARC-Block-Digest: blake9:xyz"), "response", b"b"),
+    (foreign("response", CHUNKED + b"3\r\nabc\r\n0\r\n\r\n", AS_HTTP, f"WARC-Payload-Digest: sha1:{sha(b'abc')}"), "response", b"3\r\nabc\r\n0\r\n\r\n"),
+    (foreign("response", b"HTTP/1.0 200 OK\nServer: x\n\nb", AS_HTTP), "response", b"b"),
+]
+
+
+@pytest.mark.parametrize("form", [bytes, warc.member])
+def test_records_of_foreign_archives(form):
+    out = read(b"".join(form(g[0]) for g in GOOD))
+    assert [(o[0], o[3]["record_type"], o[3]["body"]) for o in out] == [("record", kind, body) for _, kind, body in GOOD]
+
+
+@pytest.mark.parametrize("line", ["WARC-Payload-Digest: sha256:" + hashlib.sha256(b"c").hexdigest(), "WARC-Block-Digest: md5:" + hashlib.md5(b"c").hexdigest(),
+                                  f"WARC-Payload-Digest: sha1:{sha(b'c')}"])
+def test_wrong_digests_of_foreign_archives(line):
+    assert [o[0] for o in read(warc.member(foreign("response", HTTP + b"b", AS_HTTP, line)))] == ["gap"]
