@@ -141,9 +141,9 @@ def park(r: Rolling, ws: Sequence[int]) -> Cols:
 def downside(r: Rolling, ws: Sequence[int]) -> Cols:
     out: Cols = {}
     for w in ws:
-        # sums of squares by running difference can be a rounding error below zero
-        dn = F.sqrt(F.when(r.sum("lr_sq_dn", w) > 1e-12, r.sum("lr_sq_dn", w)).otherwise(0.0))
-        up = F.sqrt(F.when(r.sum("lr_sq_up", w) > 1e-12, r.sum("lr_sq_up", w)).otherwise(0.0))
+        # running sums of squares never fall, and a frame of zeros differs by exactly zero
+        dn = F.sqrt(F.greatest(r.sum("lr_sq_dn", w), F.lit(0.0)))
+        up = F.sqrt(F.greatest(r.sum("lr_sq_up", w), F.lit(0.0)))
         out[f"dvol_{w}"] = masked(dn, w)
         out[f"volskew_{w}"] = masked((up - dn) / _eps(up + dn), w)
     return out
@@ -264,7 +264,7 @@ def amount_share(r: Rolling, ws: Sequence[int]) -> Cols:
 def mfi(r: Rolling, ws: Sequence[int]) -> Cols:
     out: Cols = {}
     for w in ws:
-        lost = F.when(r.sum("flow_dn", w) > 1e-6, r.sum("flow_dn", w)).otherwise(0.0)
+        lost = F.greatest(r.sum("flow_dn", w), F.lit(0.0))
         out[f"mfi_{w}"] = masked(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + r.sum("flow_up", w) / _eps(lost)), w)
     return out
 

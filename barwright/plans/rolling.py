@@ -23,6 +23,7 @@ from barwright.plans import chunks
 
 DIRECT_EXTREME = 32
 EWM_TAIL = 40.0
+ULP = 2.0 ** -52
 
 
 def _once(method: Callable) -> Callable:
@@ -147,7 +148,7 @@ class Rolling:
 
     @_once
     def corr(self, x: str, y: str, w: int, min_pairs: int | None = None) -> Column:
-        """Correlation over the pairs that have both values."""
+        """Correlation over the pairs that have both values; NULL where a sum of squares is within the rounding error of its running sums."""
         a, b = self._centre(x), self._centre(y)
         both = F.col(x).isNotNull() & F.col(y).isNotNull()
         tag = f"{x}_and_{y}"
@@ -161,8 +162,13 @@ class Rolling:
         sab = s("ab", lambda: F.col(a) * F.col(b))
         va, vb = saa - F.try_divide(sa * sa, n), sbb - F.try_divide(sb * sb, n)
         cov = sab - F.try_divide(sa * sb, n)
-        tiny = F.lit(1e-12)
-        ok = (n >= F.lit(float(min_pairs if min_pairs else w))) & (va > tiny) & (vb > tiny)
+
+        def rounding(name: str, frame: Column) -> Column:
+            # each of the w additions rounds by half an ulp of the running sum
+            top = F.col(f"__s_{tag}_{name}")
+            return F.lit(4.0 * w * ULP) * (F.col(f"__s_{tag}_{name * 2}") + F.abs(F.try_divide(frame, n)) * (F.abs(top) + F.abs(top - frame)))
+
+        ok = (n >= F.lit(float(min_pairs if min_pairs else w))) & (va > rounding("a", sa)) & (vb > rounding("b", sb))
         return F.try_divide(cov, F.when(ok, F.sqrt(va * vb)))
 
     # ---- extremes ------------------------------------------------------------------------

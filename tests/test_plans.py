@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barwright.operators import blend, evaluate, linear, memory, relational, sampling, select
+from barwright.operators import blend, evaluate, factors, linear, memory, relational, sampling, select, sessions
 from barwright.plans import moments, ordinal, staging, xsec
 from barwright.plans.moments import Stats, gram
 
@@ -295,3 +295,33 @@ def test_unique_visitors_on_a_stream(spark, tmp_path):
     q.stop()
     got = spark.table(out).toPandas()
     assert len(got) == 3 and got["visitor"].nunique() == 2 and got["visitor"].str.len().eq(16).all()
+
+
+def test_small_scales_are_kept(spark):
+    """Returns near 1e-7, alone and after returns near 1e-2 in the same piece; constant frames stay NULL and zero."""
+    rng, w, rows, want = np.random.default_rng(4), 13, [], {}
+    small = rng.normal(size=80) * 1e-7
+    series = {"a": small, "b": np.r_[rng.normal(size=120) * 1e-2, small, np.zeros(60)]}
+    for name, lr in series.items():
+        close = np.exp(np.cumsum(lr))
+        lr = np.diff(np.log(close), prepend=np.nan)
+        volume = 1e-9 * np.exp(rng.normal(size=len(lr)))
+        for k, (c, v) in enumerate(zip(close, volume)):
+            rows.append((name, dt.datetime(2020, 1, 1) + dt.timedelta(minutes=k), *[float(c)] * 4, float(v), float(v), 1.0))
+        p = pd.DataFrame({"lr": lr, "prev": np.r_[np.nan, lr[:-1]], "dn": np.where(lr < 0, lr * lr, 0.0)})
+        typ = close * volume
+        p["fu"], p["fd"] = (np.where(s * np.diff(close, prepend=close[0]) > 0, typ, 0.0) for s in (1, -1))
+        f = p.rolling(w)
+        want[name] = pd.DataFrame({"ac": [p.lr[i - w + 1:i + 1].corr(p.prev[i - w + 1:i + 1]) if i > w else np.nan for i in range(len(p))],
+                                   "dvol": np.sqrt(f.dn.sum().clip(lower=0)), "mfi": 100 - 100 / (1 + f.fu.sum() / (f.fd.sum() + 1e-9))})
+    bars = spark.createDataFrame(rows, "symbol string, datetime timestamp_ntz, open double, high double, low double, close double, volume double, amount double, oi double")
+    panel = sessions.add_sessions(bars, gap_minutes=60)
+    got = factors.factor_panel(panel, ["autocorr", "downside", "mfi"], (w,), keep=("symbol", "datetime")).orderBy("symbol", "datetime").toPandas()
+    for name in series:
+        g, e = got[got.symbol == name].reset_index(drop=True), want[name]
+        part = slice(20, 80) if name == "a" else slice(140, 200)
+        np.testing.assert_allclose(g[f"ret_ac1_{w}"].to_numpy(float)[part], e.ac.to_numpy()[part], atol=2e-2 if name == "b" else 1e-6)
+        np.testing.assert_allclose(g[f"dvol_{w}"].to_numpy(float)[part], e.dvol.to_numpy()[part], rtol=1e-2 if name == "b" else 1e-6)
+        np.testing.assert_allclose(g[f"mfi_{w}"].to_numpy(float)[part], e.mfi.to_numpy()[part], rtol=1e-6)
+    flat = got[got.symbol == "b"].iloc[-40:]
+    assert flat[f"ret_ac1_{w}"].isna().all() and (flat[f"dvol_{w}"] == 0).all()
