@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barwright.llm import ann, chat, licenses, media, mixing, near, packing, shared, token_files, toxicity, warc
+from barwright.llm import ann, chat, licenses, media, mixing, near, packing, shared, token_files, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,10 @@ def op9_noisy_or_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, folder).drop("ids")
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_power_of_two_packing, op2_license_scan, op3_minhash_hamming_join, op4_media_columns, op5_warc_salvage, op6_token_files, op7_chat_format,
-    op8_source_mix, op9_noisy_or_toxicity, op10_rotated_bit_search, pipeline)}
+    op8_source_mix, op9_noisy_or_toxicity, op10_rotated_bit_search, op11_embedding_whitening, pipeline)}
 
 
 OP3 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
