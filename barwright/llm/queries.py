@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barwright.llm import ann, chat, licenses, media, mixing, near, packing, shared, token_files, toxicity, warc, whitening
+from barwright.llm import ann, chat, licenses, media, merkle, mixing, near, packing, shared, token_files, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,10 @@ def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(_table(spark, folder, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.audit(_table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, folder).drop("ids")
@@ -71,7 +75,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_power_of_two_packing, op2_license_scan, op3_minhash_hamming_join, op4_media_columns, op5_warc_salvage, op6_token_files, op7_chat_format,
-    op8_source_mix, op9_noisy_or_toxicity, op10_rotated_bit_search, op11_embedding_whitening, pipeline)}
+    op8_source_mix, op9_noisy_or_toxicity, op10_rotated_bit_search, op11_embedding_whitening, op12_merkle_manifest, pipeline)}
 
 
 OP3 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -86,4 +90,5 @@ OP3 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coale
   SELECT doc_id, any_value(n) AS n_shingles, min(reached) AS component_id, doc_id = min(reached) AS kept FROM r JOIN n USING (doc_id) GROUP BY doc_id"""
 
 SQL: dict[str, str] = {
-    "op2_license_scan": licenses.oracle_sql(), "op3_minhash_hamming_join": OP3, "op7_chat_format": chat.ORACLE, "op8_source_mix": mixing.ORACLE}
+    "op2_license_scan": licenses.oracle_sql(), "op3_minhash_hamming_join": OP3, "op7_chat_format": chat.ORACLE, "op8_source_mix": mixing.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE}

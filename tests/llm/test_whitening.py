@@ -109,4 +109,6 @@ def test_order_does_not_matter(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     a, b = (whitening.whiten(d).toPandas().sort_values(["vec_id", "component"]).reset_index(drop=True)
             for d in (df, df.repartition(13).orderBy(df.vec_id.desc())))
-    assert a.equals(b)
+    exact = ["vec_id", "component", "n", "deviation"]
+    assert a[exact].equals(b[exact]) and np.allclose(a.explained, b.explained, rtol=1e-13)
+    assert np.abs(a.whitened - b.whitened).max() < 1e-12  # products of a block may be added in another order
