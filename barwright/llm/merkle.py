@@ -168,14 +168,14 @@ def _leaf_sql(text: str) -> str:
 
 
 def _tree_sql(name: str, rows: str) -> str:
-    """Levels of the trees of ``rows`` (grp, at, node, total) and the flanks of each node, as tables ``name`` and ``name``_side."""
-    run = "PARTITION BY grp, level, at // 3 ORDER BY at"
-    return f"""{name} AS (SELECT grp, 0 AS level, at, node, total FROM {rows} UNION ALL
-    SELECT grp, level + 1, at // 3, sha256(string_agg(node, '' ORDER BY at)), (total + 2) // 3 FROM {name} WHERE total > 1 GROUP BY grp, level, at // 3, total),
-  {name}_side AS (SELECT grp, level, at, {{'l': coalesce(lag(node, 2) OVER w, '') || coalesce(lag(node, 1) OVER w, ''),
+    """Levels of the trees of ``rows`` (grp, pos, node, total) and the flanks of each node, as tables ``name`` and ``name``_side."""
+    run = "PARTITION BY grp, level, pos // 3 ORDER BY pos"
+    return f"""{name} AS (SELECT grp, 0 AS level, pos, node, total FROM {rows} UNION ALL
+    SELECT grp, level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (total + 2) // 3 FROM {name} WHERE total > 1 GROUP BY grp, level, pos // 3, total),
+  {name}_side AS (SELECT grp, level, pos, {{'l': coalesce(lag(node, 2) OVER w, '') || coalesce(lag(node, 1) OVER w, ''),
     'r': coalesce(lead(node, 1) OVER w, '') || coalesce(lead(node, 2) OVER w, '')}} AS side FROM {name} WHERE total > 1 WINDOW w AS ({run})),
-  {name}_path AS (SELECT r.grp, r.at, coalesce(list(side ORDER BY level) FILTER (side IS NOT NULL), []) AS path FROM {rows} r LEFT JOIN {name}_side s
-    ON r.grp IS NOT DISTINCT FROM s.grp AND s.at = r.at // power(3, level)::BIGINT GROUP BY r.grp, r.at)"""
+  {name}_path AS (SELECT r.grp, r.pos, coalesce(list(side ORDER BY level) FILTER (side IS NOT NULL), []) AS path FROM {rows} r LEFT JOIN {name}_side s
+    ON r.grp IS NOT DISTINCT FROM s.grp AND s.pos = r.pos // power(3, level)::BIGINT GROUP BY r.grp, r.pos)"""
 
 
 CRC = ("""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: """
@@ -183,12 +183,12 @@ CRC = ("""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(st
 
 ORACLE = f"""WITH RECURSIVE f AS (SELECT doc_id, source AS grp, {_leaf_sql('text')} AS node,
     CASE WHEN doc_id IS NOT NULL AND {CRC} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql('text')} END AS checked FROM documents),
-  n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, node) - 1 AS at, count(*) OVER (PARTITION BY grp) AS total FROM f),
+  n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, node) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS total FROM f),
   {_tree_sql('t', 'n')},
-  s AS (SELECT 0 AS grp, grp AS source, node, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS at, count(*) OVER () AS total FROM t WHERE total = 1),
+  s AS (SELECT 0 AS grp, grp AS source, node, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS pos, count(*) OVER () AS total FROM t WHERE total = 1),
   {_tree_sql('u', 's')},
   p AS (SELECT n.doc_id, n.node AS leaf, n.checked, s.node AS subroot, (SELECT node FROM u WHERE total = 1) AS root, list_concat(t_path.path, u_path.path) AS path
-    FROM n JOIN t_path ON n.grp IS NOT DISTINCT FROM t_path.grp AND n.at = t_path.at JOIN s ON n.grp IS NOT DISTINCT FROM s.source JOIN u_path ON u_path.at = s.at),
+    FROM n JOIN t_path ON n.grp IS NOT DISTINCT FROM t_path.grp AND n.pos = t_path.pos JOIN s ON n.grp IS NOT DISTINCT FROM s.source JOIN u_path ON u_path.pos = s.pos),
   d AS (SELECT *, list_reduce(list_prepend({{'l': checked, 'r': ''}}, path), lambda x, y: {{'l': sha256(y.l || x.l || y.r), 'r': ''}}).l AS folded_root FROM p)
   SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(path, lambda x: x.l || x.r), ''), '')) AS proof_sha256, folded_root,
     folded_root = root AS verified FROM d"""
