@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barwright.llm import ann, chat, licenses, media, merkle, mixing, near, packing, shared, token_files, toxicity, warc, whitening
+from barwright.llm import ann, chat, licenses, media, merkle, mixing, near, packing, shared, token_files, toxicity, warc, weighted, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,10 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.audit(_table(spark, folder, "documents"))
 
 
+def op13_weighted_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return weighted.fingerprints(_table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, folder).drop("ids")
@@ -75,7 +79,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_power_of_two_packing, op2_license_scan, op3_minhash_hamming_join, op4_media_columns, op5_warc_salvage, op6_token_files, op7_chat_format,
-    op8_source_mix, op9_noisy_or_toxicity, op10_rotated_bit_search, op11_embedding_whitening, op12_merkle_manifest, pipeline)}
+    op8_source_mix, op9_noisy_or_toxicity, op10_rotated_bit_search, op11_embedding_whitening, op12_merkle_manifest,
+    op13_weighted_fingerprint, pipeline)}
 
 
 OP3 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
