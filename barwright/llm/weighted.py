@@ -1,6 +1,6 @@
 """Fingerprints of documents by consistent weighted sampling.
 
-The terms of a text are its words and pairs of neighbouring words, weighted by how often they occur. For each of ``SAMPLES`` places a term
+The terms of a text are its pairs of neighbouring words and its first word, weighted by how often they occur. For each of ``SAMPLES`` places a term
 draws r and c from Gamma(2, 1) and b from (0, 1), all from a hash of the term and the place; with weight w, t = floor(ln w / r + b) and
 ln a = ln c - r (t - b) - r. The term with the smallest a is sampled, and two texts sample the same (term, t) with a chance that equals their
 generalised Jaccard similarity, the sum of the smaller weights over the sum of the larger ones. A fingerprint keeps 16 bits of each sample.
@@ -23,48 +23,67 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 SAMPLES = 128
 LONG, PIECE = 32, 9          # bytes: a longer word counts by its pieces, as texts without spaces have no words
-CACHE, AT_ONCE = 1 << 15, 1 << 13  # vectors of draws kept, and gathered at a time
+CACHE, AT_ONCE, STEP = 1 << 15, 1 << 10, 128  # vectors of draws kept, gathered and made at a time
 SHARE = 3                    # the last of so many parts of a text is replaced
-_STREAMS = np.random.default_rng(20240607).integers(0, 1 << 63, (6, SAMPLES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOW = np.uint64(0xFFFF)
+_PLACES = np.random.default_rng(20240607).integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _gamma(steps: int = 1 << 16) -> np.ndarray:
+    """Quantiles of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x), by Newton's method."""
+    p = (np.arange(steps) + 0.5) / steps
+    x = np.where(p < 0.5, np.sqrt(2 * p), 2 - np.log1p(-p))
+    for _ in range(60):
+        x = np.maximum(x - (p - 1 + (1 + x) * np.exp(-x)) * -np.exp(x) / x, x / 2)
+    return x
+
+
+GAMMA = _gamma().astype(np.float32)
+LOG_GAMMA = np.log(_gamma()).astype(np.float32)
 
 
 def terms(text: bytes) -> Counter[bytes]:
     """Weights of the terms of a UTF-8 text: ASCII case folded, words cut at ASCII white space."""
     words = text.lower().split()
-    if text and max(map(len, words), default=0) <= LONG:
-        out = Counter(words)
-        out.update(map(b" ".join, zip(words, words[1:])))
-        return out
-    out = Counter(w for w in words if len(w) <= LONG)
-    out.update(b" ".join(p) for p in zip(words, words[1:]) if max(map(len, p)) <= LONG)
-    for w in words:
-        if len(w) > LONG:
-            out.update(w[i:i + PIECE] for i in range(len(w) - PIECE + 1))
+    if max(map(len, words), default=0) <= LONG:
+        out = Counter(map(b" ".join, zip(words, words[1:])))
+    else:
+        out = Counter(b" ".join(p) for p in zip(words, words[1:]) if max(map(len, p)) <= LONG)
+        for w in words:
+            if len(w) > LONG:
+                out.update(w[i:i + PIECE] for i in range(len(w) - PIECE + 1))
+    out.update(words[:1])
     return out
 
 
-def _mix(z: np.ndarray) -> np.ndarray:
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def uniforms(hashes: np.ndarray, stream: int) -> np.ndarray:
-    """Numbers in (0, 1) for each hash and place."""
-    return ((_mix(hashes[:, None] * _STREAMS[stream] + _STREAMS[stream]) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
+def lanes(hashes: np.ndarray) -> np.ndarray:
+    """Four numbers below 2^16 for each hash and place: a name, and the draws of b, c and r."""
+    z = hashes[:, None] * _PLACES
+    z ^= z >> np.uint64(32)
+    z *= np.uint64(0xD6E8FEB86659FD93)
+    z ^= z >> np.uint64(29)
+    return z.astype("<u8", copy=False).view("<u2").reshape(*z.shape, 4)
 
 
 def draws(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """For each term and place ln a, in the upper 48 bits so that integers compare as it does, and 16 bits, never 0, that name (term, t)."""
-    r = -np.log(uniforms(hashes, 0) * uniforms(hashes, 1))
-    log_c = np.log(-np.log(uniforms(hashes, 2) * uniforms(hashes, 3)))
-    b = uniforms(hashes, 4)
-    t = np.floor(np.log(weights)[:, None] / r + b)
-    bits = (log_c - r * (t - b) - r).view(np.uint64)
-    order = np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
-    name = _mix(hashes[:, None] * _STREAMS[5] + t.astype(np.int64).view(np.uint64)) >> np.uint64(48)
-    return (order & ~_LOW) | np.maximum(name, np.uint64(1))
+    """For each term and place ln a, in upper bits so that integers compare as it does, and 16 bits, never 0, that name (term, t).
+
+    The variates are quantiles at 2^16 steps, taken from tables; ln a has single precision.
+    """
+    lane = lanes(hashes)
+    r, log_c = (table.take(lane[..., k].astype(np.intp), mode="clip") for table, k in ((GAMMA, 3), (LOG_GAMMA, 2)))
+    b = (lane[..., 1] + np.float32(0.5)) * np.float32(2.0 ** -16)
+    name = lane[..., 0].astype(np.uint16)
+    log_a = log_c - r * (1 - b)  # of weight one: t is 0
+    more = np.flatnonzero(weights > 1)
+    if len(more):
+        t = np.floor(np.log(weights[more]).astype(np.float32)[:, None] / r[more] + b[more])
+        log_a[more] = log_c[more] - r[more] * (t - b[more]) - r[more]
+        name[more] = (name[more] + t.astype(np.int64) * 40503).astype(np.uint16)
+    bits = log_a.view(np.uint32)
+    order = bits ^ ((bits.view(np.int32) >> 31).view(np.uint32) | np.uint32(1 << 31))
+    out = np.empty((*order.shape, 2), "<u4")
+    out[..., 1], out[..., 0] = order, np.maximum(name, np.uint16(1))
+    return out.view("<u8")[..., 0]
 
 
 class Sampler:
@@ -73,19 +92,21 @@ class Sampler:
     def __init__(self) -> None:
         self.place: dict[tuple[bytes, int], int] = {}
         self.kept = np.empty((CACHE, SAMPLES), np.uint64)
+        self.gathered = np.empty((AT_ONCE, SAMPLES), np.uint64)
 
     def _rows(self, keys: list[tuple[bytes, int]]) -> np.ndarray:
         new = [k for k in keys if k not in self.place]
         if len(self.place) + len(new) > CACHE:
             self.place.clear()
             new = keys
-        for low in range(0, len(new), 1024):
-            part = new[low:low + 1024]
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(k) for k, _ in part), np.uint64, len(part))
-            first = len(self.place)
-            self.kept[first:first + len(part)] = draws(hashes, np.array([w for _, w in part], np.float64))
-            self.place.update(zip(part, range(first, first + len(part))))
-        return self.kept[[self.place[k] for k in keys]]
+        first = len(self.place)
+        self.place.update(zip(new, range(first, first + len(new))))
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(k) for k, _ in new), np.uint64, len(new))
+        weights = np.fromiter((w for _, w in new), np.float64, len(new))
+        for low in range(0, len(new), STEP):
+            self.kept[first + low:first + min(low + STEP, len(new))] = draws(hashes[low:low + STEP], weights[low:low + STEP])
+        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+        return self.kept.take(at, axis=0, out=self.gathered[:len(at)], mode="clip")
 
     def signature(self, weights: Counter[bytes]) -> np.ndarray:
         """The sample of each place; zeros where there is no term."""
@@ -93,7 +114,7 @@ class Sampler:
         if not keys:
             return np.zeros(SAMPLES, np.uint16)
         least = [self._rows(keys[i:i + AT_ONCE]).min(axis=0) for i in range(0, len(keys), AT_ONCE)]
-        return (np.minimum.reduce(least) & _LOW).astype(np.uint16)
+        return np.minimum.reduce(least).astype(np.uint16)
 
     def of(self, text: str) -> np.ndarray:
         return self.signature(terms(text.encode()))

@@ -15,26 +15,29 @@ FOLDER = "/root/testdata/sf0.01"
 def plain_signature(text):
     """The sampling formulas one number at a time."""
     words = text.encode().lower().split()
-    count = Counter(words) + Counter(a + b" " + b for a, b in zip(words, words[1:]))
+    count = Counter(words[:1]) + Counter(a + b" " + b for a, b in zip(words, words[1:]))
     if max(map(len, words), default=0) > weighted.LONG:
         short = lambda k: len(k) <= weighted.LONG
-        count = Counter(filter(short, words)) + Counter(a + b" " + b for a, b in zip(words, words[1:]) if short(a) and short(b))
+        count = Counter(words[:1]) + Counter(a + b" " + b for a, b in zip(words, words[1:]) if short(a) and short(b))
         count += Counter(w[i:i + weighted.PIECE] for w in words if not short(w) for i in range(len(w) - weighted.PIECE + 1))
     if not count:
         return "0000" * weighted.SAMPLES
     best = [(math.inf, 0)] * weighted.SAMPLES
     for term, w in count.items():
-        h = np.array([xxhash.xxh3_64_intdigest(term)], np.uint64)
-        u = [weighted.uniforms(h, k)[0].tolist() for k in range(5)]
-        name = weighted.draws(h, np.array([float(w)]))[0]
-        for k in range(weighted.SAMPLES):
-            r, c = -math.log(u[0][k] * u[1][k]), -math.log(u[2][k] * u[3][k])
-            t = math.floor(math.log(w) / r + u[4][k])
-            a = math.log(c) - r * (t - u[4][k]) - r
-            best[k] = min(best[k], (a, int(name[k]) & 0xFFFF))
+        lane = weighted.lanes(np.array([xxhash.xxh3_64_intdigest(term)], np.uint64))[0].tolist()
+        for k, (name, b, c, r) in enumerate(lane):
+            b, log_c, r = np.float32((b + 0.5) / 65536), weighted.LOG_GAMMA[c], weighted.GAMMA[r]
+            t = np.floor(np.float32(math.log(w)) / r + b)
+            a = log_c - r * (1 - b) if w == 1 else log_c - r * (t - b) - r
+            best[k] = min(best[k], (a, max(1, (name + int(t) * 40503) % 65536)))
     return "".join(f"{name:04x}" for _, name in best)
 
 
+def test_gamma_quantiles():
+    x = weighted._gamma()
+    assert np.allclose(1 - (1 + x) * np.exp(-x), (np.arange(len(x)) + 0.5) / len(x), rtol=1e-9) and (np.diff(x) > 0).all()
+
+
 def signed(x):
     return x - (1 << 64) if x >= 1 << 63 else x
 
