@@ -12,8 +12,8 @@ row of each range is also lent to the range before it.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 SAMPLES = 128
 LONG, PIECE = 32, 9          # bytes: a longer word counts by its pieces, as texts without spaces have no words
-CACHE, AT_ONCE, STEP = 1 << 15, 1 << 10, 128  # vectors of draws kept, gathered and made at a time
+KEPT, STEP = 1 << 13, 128    # terms of a text whose draws are kept for the next step, and made at a time
 SHARE = 3                    # the last of so many parts of a text is replaced
 _PLACES = np.random.default_rng(20240607).integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+_PAIR = np.array([0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15], np.uint64)
+
 
 def _gamma(steps: int = 1 << 16) -> np.ndarray:
     """Quantiles of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x), by Newton's method."""
@@ -41,18 +43,18 @@ GAMMA = _gamma().astype(np.float32)
 LOG_GAMMA = np.log(_gamma()).astype(np.float32)
 
 
-def terms(text: bytes) -> Counter[bytes]:
-    """Weights of the terms of a UTF-8 text: ASCII case folded, words cut at ASCII white space."""
+def terms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Rising hashes of the terms of a UTF-8 text and their weights: ASCII case folded, words cut at ASCII white space."""
     words = text.lower().split()
-    if max(map(len, words), default=0) <= LONG:
-        out = Counter(map(b" ".join, zip(words, words[1:])))
-    else:
-        out = Counter(b" ".join(p) for p in zip(words, words[1:]) if max(map(len, p)) <= LONG)
-        for w in words:
-            if len(w) > LONG:
-                out.update(w[i:i + PIECE] for i in range(len(w) - PIECE + 1))
-    out.update(words[:1])
-    return out
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    left = h[:-1] * _PAIR[0] + h[1:] * _PAIR[1]
+    pairs = left ^ (left >> np.uint64(32))
+    if max(map(len, words), default=0) > LONG:
+        short = np.fromiter((len(w) <= LONG for w in words), bool, len(words))
+        pieces = [xxhash.xxh3_64_intdigest(w[i:i + PIECE]) for w in words if len(w) > LONG for i in range(len(w) - PIECE + 1)]
+        pairs = np.concatenate([pairs[short[:-1] & short[1:]], np.array(pieces, np.uint64)])
+    hashes, count = np.unique(np.concatenate([h[:1], pairs]), return_counts=True)
+    return hashes, count.astype(np.float64)
 
 
 def lanes(hashes: np.ndarray) -> np.ndarray:
@@ -86,38 +88,41 @@ def draws(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out.view("<u8")[..., 0]
 
 
-class Sampler:
-    """Signatures of weighted terms; keeps the draws of at most ``CACHE`` (term, weight) pairs."""
-
-    def __init__(self) -> None:
-        self.place: dict[tuple[bytes, int], int] = {}
-        self.kept = np.empty((CACHE, SAMPLES), np.uint64)
-        self.gathered = np.empty((AT_ONCE, SAMPLES), np.uint64)
-
-    def _rows(self, keys: list[tuple[bytes, int]]) -> np.ndarray:
-        new = [k for k in keys if k not in self.place]
-        if len(self.place) + len(new) > CACHE:
-            self.place.clear()
-            new = keys
-        first = len(self.place)
-        self.place.update(zip(new, range(first, first + len(new))))
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(k) for k, _ in new), np.uint64, len(new))
-        weights = np.fromiter((w for _, w in new), np.float64, len(new))
-        for low in range(0, len(new), STEP):
-            self.kept[first + low:first + min(low + STEP, len(new))] = draws(hashes[low:low + STEP], weights[low:low + STEP])
-        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
-        return self.kept.take(at, axis=0, out=self.gathered[:len(at)], mode="clip")
-
-    def signature(self, weights: Counter[bytes]) -> np.ndarray:
-        """The sample of each place; zeros where there is no term."""
-        keys = list(weights.items())
-        if not keys:
-            return np.zeros(SAMPLES, np.uint16)
-        least = [self._rows(keys[i:i + AT_ONCE]).min(axis=0) for i in range(0, len(keys), AT_ONCE)]
-        return np.minimum.reduce(least).astype(np.uint16)
-
-    def of(self, text: str) -> np.ndarray:
-        return self.signature(terms(text.encode()))
+class Profile(NamedTuple):
+    """Terms of a text, their draws (None of a text with very many), and its signature."""
+    hashes: np.ndarray
+    weights: np.ndarray
+    values: np.ndarray | None
+    sign: np.ndarray
+
+
+def _least(hashes: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+    return [draws(hashes[i:i + STEP], weights[i:i + STEP]).min(axis=0) for i in range(0, len(hashes), STEP)]
+
+
+def _sign(least: list[np.ndarray]) -> np.ndarray:
+    """The names of the least draws; zeros where there is no term."""
+    return np.minimum.reduce(least).astype(np.uint16) if least else np.zeros(SAMPLES, np.uint16)
+
+
+def profile(hashes: np.ndarray, weights: np.ndarray) -> Profile:
+    if not 0 < len(hashes) <= KEPT:
+        return Profile(hashes, weights, None, _sign(_least(hashes, weights)))
+    values = np.concatenate([draws(hashes[i:i + STEP], weights[i:i + STEP]) for i in range(0, len(hashes), STEP)])
+    return Profile(hashes, weights, values, _sign([values.min(axis=0)]))
+
+
+def signature(hashes: np.ndarray, weights: np.ndarray, like: tuple[Profile, ...] = ()) -> np.ndarray:
+    """The signature of weighted terms. Draws of terms that a profile in ``like`` has with the same weight are taken from it."""
+    least = []
+    for p in like:
+        if p.values is not None:
+            at = np.minimum(np.searchsorted(p.hashes, hashes), len(p.hashes) - 1)
+            same = (p.hashes[at] == hashes) & (p.weights[at] == weights)
+            if same.any():
+                least.append(p.values.take(at[same], axis=0, mode="clip").min(axis=0))
+                hashes, weights = hashes[~same], weights[~same]
+    return _sign(least + _least(hashes, weights))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -179,7 +184,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     placed = dealt.repartitionById(2 * parts + 1, "part").sortWithinPartitions("part", "lent", F.desc_nulls_last("doc_id"), F.xxhash64("text").desc(), "text")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, at, held = Sampler(), None, None
+        at, held = None, None
         for batch in batches:
             out = []
             for part, lent, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -188,10 +193,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 if lent and held is None:
                     continue  # one of the lent rows has served
                 same = held is not None and held[1] == text
-                sign = held[2] if same else sampler.of(text)
+                own = held[2] if same else profile(*terms(text.encode()))
                 if held is not None:
-                    out.append(_row(sampler, *held, text, sign))
-                held = None if lent else (doc_id, text, sign)
+                    out.append(_row(*held, text, own))
+                held = None if lent else (doc_id, text, own)
             yield pa.RecordBatch.from_pylist(out, schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
@@ -200,9 +205,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                                     "near_edited double, near_next double")
 
 
-def _row(sampler: Sampler, doc_id: int | None, text: str, sign: np.ndarray, following: str, next_sign: np.ndarray) -> dict:
+def _row(doc_id: int | None, text: str, own: Profile, following: str, next_: Profile) -> dict:
     changed = edited(text, following)
-    after = sign if changed == text else sampler.of(changed)
+    raw = changed.encode()
+    after = own.sign if changed == text else signature(*terms(raw), (own, next_))
     code = lambda s: s.astype(">u2").tobytes().hex()
-    return {"doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(changed.encode()).hexdigest(), "fingerprint": code(sign),
-            "edited_fingerprint": code(after), "near_edited": likeness(sign, after), "near_next": likeness(sign, next_sign)}
+    return {"doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(raw).hexdigest(), "fingerprint": code(own.sign),
+            "edited_fingerprint": code(after), "near_edited": likeness(own.sign, after), "near_next": likeness(own.sign, next_.sign)}

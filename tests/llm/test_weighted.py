@@ -14,17 +14,21 @@ FOLDER = "/root/testdata/sf0.01"
 
 def plain_signature(text):
     """The sampling formulas one number at a time."""
-    words = text.encode().lower().split()
-    count = Counter(words[:1]) + Counter(a + b" " + b for a, b in zip(words, words[1:]))
-    if max(map(len, words), default=0) > weighted.LONG:
-        short = lambda k: len(k) <= weighted.LONG
-        count = Counter(words[:1]) + Counter(a + b" " + b for a, b in zip(words, words[1:]) if short(a) and short(b))
-        count += Counter(w[i:i + weighted.PIECE] for w in words if not short(w) for i in range(len(w) - weighted.PIECE + 1))
+    words, mask = text.encode().lower().split(), (1 << 64) - 1
+    hashes = [xxhash.xxh3_64_intdigest(w) for w in words]
+    count = Counter(hashes[:1])
+    for (a, x), (b, y) in zip(zip(hashes, words), zip(hashes[1:], words[1:])):
+        if len(x) <= weighted.LONG and len(y) <= weighted.LONG:
+            z = (a * 0xD6E8FEB86659FD93 + b * 0x9E3779B97F4A7C15) & mask
+            count[z ^ (z >> 32)] += 1
+    for w in words:
+        for i in range(len(w) - weighted.PIECE + 1 if len(w) > weighted.LONG else 0):
+            count[xxhash.xxh3_64_intdigest(w[i:i + weighted.PIECE])] += 1
     if not count:
         return "0000" * weighted.SAMPLES
     best = [(math.inf, 0)] * weighted.SAMPLES
     for term, w in count.items():
-        lane = weighted.lanes(np.array([xxhash.xxh3_64_intdigest(term)], np.uint64))[0].tolist()
+        lane = weighted.lanes(np.array([term], np.uint64))[0].tolist()
         for k, (name, b, c, r) in enumerate(lane):
             b, log_c, r = np.float32((b + 0.5) / 65536), weighted.LOG_GAMMA[c], weighted.GAMMA[r]
             t = np.floor(np.float32(math.log(w)) / r + b)
@@ -56,8 +60,8 @@ def brute(rows, signature):
     return sorted(out, key=str)
 
 
-def fast(sampler=weighted.Sampler()):
-    return lambda text: sampler.of(text).astype(">u2").tobytes().hex()
+def fast(text):
+    return weighted.signature(*weighted.terms(text.encode())).astype(">u2").tobytes().hex()
 
 
 def result(df):
@@ -66,15 +70,14 @@ def result(df):
 
 def test_whole_table(spark, documents):
     got = result(queries.op13_weighted_fingerprint(spark, FOLDER))
-    assert got == brute(zip(documents.doc_id, documents.text), fast())
+    assert got == brute(zip(documents.doc_id, documents.text), fast)
     near, other = np.array([r[5] for r in got]), np.array([r[6] for r in got])
     assert np.median(near) > 0.4 and np.median(other) < 0.2 and (near >= other).mean() > 0.95
 
 
 def test_formulas(documents):
-    of = fast()
     for text in [*documents.text[:12], "", "one", "x y x y x", "漢字" * 40 + " and a word", "a" * 500]:
-        assert of(text) == plain_signature(text)
+        assert fast(text) == plain_signature(text)
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -83,30 +86,33 @@ def test_collision_rate_is_generalised_jaccard(seed):
     hit, n = 0, 60
     a, b = rng.integers(0, 12, (2, 30))
     want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
-    sampler = weighted.Sampler()
     for k in range(n):  # other names of the terms, other draws
-        x, y = (Counter({f"{k}-{i}".encode(): int(w) for i, w in enumerate(v) if w}) for v in (a, b))
-        hit += weighted.likeness(sampler.signature(x), sampler.signature(y)) * weighted.SAMPLES
+        names = np.sort(np.random.default_rng(1000 * seed + k).integers(0, 1 << 63, 30).astype(np.uint64))
+        x, y = (weighted.signature(names[v > 0], v[v > 0].astype(float)) for v in (a, b))
+        hit += weighted.likeness(x, y) * weighted.SAMPLES
     total = n * weighted.SAMPLES
     assert abs(hit / total - want) < 4 * math.sqrt(want * (1 - want) / total)
 
 
-def test_cache_and_chunks(monkeypatch, documents):
-    want = [fast(weighted.Sampler())(t) for t in documents.text[:60]]
-    monkeypatch.setattr(weighted, "CACHE", 300)
-    monkeypatch.setattr(weighted, "AT_ONCE", 70)
-    assert [fast(weighted.Sampler())(t) for t in documents.text[:60]] == want
+@pytest.mark.parametrize("kept", [0, 50, 1 << 13])
+def test_draws_taken_from_profiles(monkeypatch, documents, kept):
+    monkeypatch.setattr(weighted, "KEPT", kept)
+    monkeypatch.setattr(weighted, "STEP", 33)
+    for a, b in zip(documents.text[:40], documents.text[1:41]):
+        p, q = (weighted.profile(*weighted.terms(t.encode())) for t in (a, b))
+        t = weighted.terms(weighted.edited(a, b).encode())
+        assert (weighted.signature(*t, (p, q)) == weighted.signature(*t)).all() and (p.sign == weighted.signature(*weighted.terms(a.encode()))).all()
 
 
 def test_odd_rows(docs_of):
     rows = ODD + [(None, f"nothing to name it {k}") for k in range(30)] + [(-9, "漢" * 100), (4, "one two"), (4, "another text")]
-    assert result(weighted.fingerprints(docs_of(rows))) == brute(rows, fast())
+    assert result(weighted.fingerprints(docs_of(rows))) == brute(rows, fast)
 
 
 @pytest.mark.parametrize("rows", [[(1, "a b c d e f")], [(None, "x y z")], [(1, "a b c"), (1, "a b c")], [(None, None), (None, "")]])
 def test_few_rows(docs_of, rows):
     docs = docs_of(rows)
-    assert result(weighted.fingerprints(docs)) == brute(rows, fast())
+    assert result(weighted.fingerprints(docs)) == brute(rows, fast)
     assert weighted.fingerprints(docs.limit(0)).collect() == []
 
 
@@ -116,6 +122,6 @@ def test_ranges_of_any_number(spark, docs_of):
     try:
         for parts in (1, 3, 40):
             spark.conf.set("spark.sql.shuffle.partitions", parts)
-            assert result(weighted.fingerprints(docs_of(rows))) == brute(rows, fast())
+            assert result(weighted.fingerprints(docs_of(rows))) == brute(rows, fast)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
