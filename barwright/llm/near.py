@@ -6,10 +6,11 @@ Two signatures that differ in fewer than CHUNKS * (ERRORS + 1) places have, by p
 differences, hence share an entry: every pair below that distance is found. At similarity 0.75 a pair misses all ten
 chunks with probability 0.262 ** 10 < 2e-6. All pairs found are confirmed on full sets.
 
-Equal sets are one node, so copies never meet in a bucket. Members of a bucket are gathered under the smallest of them; as all
-buckets of a group have few smallest members, a document goes to few groups. A group is cut into tiles, and pairs of tiles are
-compared inside tasks that put out a spanning forest of the confirmed links, never the pairs. Components are joined from
-those links by alternating large-star and small-star steps over tables in the shared folder.
+Equal sets are one node, so copies never meet in a bucket. In each bucket the most central member is the pivot: the others are
+compared with it alone, so a group ships as many texts as it has members. Confirmed links are contracted to components by alternating large-star
+and small-star steps over tables in the shared folder. Buckets whose members are then of one component are done; in others a new
+pivot is taken from the smallest component, and compared with the members of the others. What still stands apart after ``ROUNDS`` is refuted
+where it can be from what a set shares with no other one, and else compared pair by pair, in tiles.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from barwright.llm.shared import forget, keep, spare
 SHINGLE, CHUNKS, WIDTH, ERRORS = 5, 10, 4, 1
 PERCENT = 75
 TILE = 128
-NO_ID = -(1 << 63)  # stands for a null doc_id among the candidates only
+ROUNDS, CENTRAL = 4, 2  # rounds of pivots, of which the first take central ones
+NO_ID = -(1 << 63)  # stands for a null doc_id where texts are fetched; text_key tells such rows apart
 _draw = np.random.default_rng(20240607)
 _PLACE = _draw.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = _draw.integers(1, 1 << 63, CHUNKS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,8 +98,11 @@ def text_key(text):
     return F.xxhash64(text.cast("string")).alias("text_key")
 
 
-def candidate_groups(nodes: DataFrame) -> DataFrame:
-    """(pivot, id, a, b): document ids under the pivot of a bucket they share, dealt to pairs of tiles a <= b."""
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(key, node, rank): entries that more than one node has; the pivot of a bucket is the member of least rank.
+
+    The rank falls with the number of nodes met in all buckets: copies with few changes of their own meet the most.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,19 +110,129 @@ def candidate_groups(nodes: DataFrame) -> DataFrame:
                 raw = b"".join(part.column(1).to_pylist())
                 keys = entries(np.frombuffer(raw, np.uint16))
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "id"])
-
-    keys, path = keep(nodes.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "signature").mapInArrow(spread, "key long, id long"), "keys")
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).filter("n > 1").drop("n")
-    members, where = keep(keys.join(buckets, "key").select("pivot", "id").distinct(), "members")
-    forget(nodes.sparkSession, [path])
-    tiles = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
-    # a table of its own, so that the join below can split a group that has many members
-    sizes, _ = keep(members.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).select("pivot", tiles.alias("tiles")), "sizes", members.count())
-    own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "node"])
+
+    spark = nodes.sparkSession
+    keys, path = keep(nodes.select("node", "signature").mapInArrow(spread, "key long, node long"), "keys")
+    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members, where = keep(keys.join(many, "key"), "members")
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    out, _ = keep(members.drop("n").join(met, "node").select("key", "node", F.struct((-F.col("met")).alias("met"), "node").alias("rank")), "buckets")
+    forget(spark, [path, where])
+    return out
+
+
+def apart(members: DataFrame, found: DataFrame | None, central: bool) -> DataFrame:
+    """(key, node, rank, root, pivot, at): members of the buckets that still hold more than one component; ``at`` is the root of the pivot.
+
+    The pivot is the most central member, or that of the smallest component, so that one that stands apart is compared with all others at once.
+    """
+    if found is None:
+        rooted = members.withColumn("root", F.col("node"))
+        each = rooted.select("key", F.lit(1).cast("long").alias("n"), "rank", "root")
+    else:
+        rooted = members.join(found, "node", "left").select("key", "node", "rank", F.coalesce("root", "node").alias("root"))
+        each = rooted.groupBy("key", "root").agg(F.lit(0).alias("n") if central else F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank"))
+    of = each.groupBy("key").agg(F.min(F.struct("n", "rank", "root")).alias("first"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    return rooted.join(of.select("key", F.col("first.rank.node").alias("pivot"), F.col("first.root").alias("at")), "key")
+
+
+def spokes(pairs: DataFrame) -> DataFrame:
+    """(pivot, tile, node, spoke) from distinct (pivot, node): groups of at most about TILE members, each with a row for the pivot itself."""
+    # a table of its own, so that the join below can split a pivot that has many members
+    tiles, _ = keep(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("tiles")), "tiles")
+    dealt = pairs.join(tiles, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"), "node", F.lit(1).alias("spoke"))
+    hubs = tiles.select("pivot", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("pivot").alias("node"), F.lit(0).alias("spoke"))
+    return dealt.union(hubs)
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles): the sets of the ``wanted`` nodes, from the text of one of the documents that have it."""
+    at = nodes.join(wanted.hint("merge"), "node").select("node", "id", "text_key")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_key(F.col("text")), F.col("text").cast("string").alias("text"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text.as_py()).tobytes() for text in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    # the wanted rows grow with the documents, hence never a broadcast; of repeated rows one counts
+    chosen = texts.join(at.hint("merge"), ["id", "text_key"]).dropDuplicates(["id", "text_key"])
+    return chosen.select("node", "text").mapInArrow(each, "node long, shingles binary")
+
+
+def tied(grouped: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (u, v) of members to the pivot of their group. A task holds the pivot's set and that of one member."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, hub = None, None
+        for batch in batches:
+            u, v = [], []
+            for pivot, tile, node, spoke, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.frombuffer(raw, np.uint64)
+                if not spoke:
+                    at, hub = (pivot, tile), own
+                elif at == (pivot, tile) and similar(hub, own, percent):
+                    u.append(node)
+                    v.append(pivot)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return (grouped.select("pivot", "tile", "node", "spoke", "shingles").repartition("pivot", "tile").sortWithinPartitions("pivot", "tile", "spoke")
+            .mapInArrow(walk, "u long, v long"))
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def hopeful(sets: DataFrame, left: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Rows of ``left`` (key, node, ...) without those nodes that cannot be linked in their bucket.
+
+    A set of n shingles, u of which no other set of ``left`` has, shares at most n - u with another one of m shingles, so a link needs
+    100 (n - u) >= percent * (u + m). It is refuted where the smallest m of the bucket is too large.
+    """
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                x = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), node)), pa.array(np.full(len(x), len(x)))], ["shingle", "node", "n"])
+
+    own = sets.join(left.select("node").distinct(), "node").select("node", "shingles").mapInArrow(each, "shingle long, node long, n long")
+    alone = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).filter("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    size = own.groupBy("node").agg(F.max("n").alias("n")).join(alone, "node", "left").select("node", "n", F.coalesce("u", F.lit(0)).alias("u"))
+    sized, _ = keep(size, "sized")
+    known = left.join(sized, "node")
+    return known.join(known.groupBy("key").agg(F.min("n").alias("least")), "key").filter(
+        F.lit(100) * (F.col("n") - F.col("u")) >= F.lit(percent) * (F.col("u") + F.col("least"))).select(*left.columns)
+
+
+def odd_ones(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every comparison still to be made inside the buckets of ``left`` (key, node, root), as distinct (pivot, node) of spokes and of groups.
+
+    Where at most one member in ``TILE`` stands outside the largest component of its bucket, each such one is a pivot for the members of other
+    components. Other buckets are groups of which all pairs count; those with the same first member are one group.
+    """
+    roots = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    most, _ = keep(roots.groupBy("key").agg(F.max(F.struct("n", "root")).alias("big"), F.sum("n").alias("all")), "largest")
+    few = (F.col("all") - F.col("big.n")) * TILE <= F.col("all")
+    known = left.join(most.select("key", F.col("big.root").alias("big"), few.alias("few")), "key")
+    odd = known.filter("few AND root <> big").select("key", F.col("node").alias("pivot"), F.col("root").alias("at"))
+    pairs = known.filter("few").select("key", "node", "root").join(odd, "key").filter("root <> at").select("pivot", "node").distinct()
+    dense = known.filter("NOT few").select("key", "node")
+    return pairs, dense.join(dense.groupBy("key").agg(F.min("node").alias("pivot")), "key").select("pivot", "node").distinct()
+
+
+def in_tiles(members: DataFrame) -> DataFrame:
+    """(pivot, a, b, node) from distinct (pivot, node): members of a group, dealt to pairs of tiles a <= b."""
+    tiles = F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int")
+    sizes, _ = keep(members.groupBy("pivot").agg(tiles.alias("tiles")), "sizes")
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     dealt = (members.join(sizes, "pivot").withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))))
-    return dealt.select("pivot", "id", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    return dealt.select("pivot", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node")
 
 
 def linked(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
@@ -155,9 +270,9 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
 
 
 def confirm(grouped: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (u, v), u > v by set_id, that span the confirmed similarity graph inside each pair of tiles.
+    """Links (u, v) that span the confirmed similarity graph inside each pair of tiles.
 
-    ``grouped`` has pivot, a, b and text. Rows arrive sorted by group, so a task holds one pair of tiles at a time.
+    ``grouped`` has pivot, a, b, node and shingles. Rows arrive sorted by group, so a task holds one pair of tiles at a time.
     """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,24 +280,53 @@ def confirm(grouped: DataFrame, percent: int = PERCENT) -> DataFrame:
 
         def out() -> pa.RecordBatch | None:
             names, label = list(sets), linked(list(sets.values()), percent) if len(sets) > 1 else []
-            pairs = [sorted((names[i], names[k])) for i, k in enumerate(label) if i != k]
-            return pa.RecordBatch.from_arrays([pa.array([p[1] for p in pairs], pa.binary()), pa.array([p[0] for p in pairs], pa.binary())],
+            pairs = [(names[i], names[k]) for i, k in enumerate(label) if i != k]
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())],
                                               ["u", "v"]) if pairs else None
 
         for batch in batches:
-            for pivot, a, b, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3).cast(pa.binary())):
+            for pivot, a, b, node, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if (pivot, a, b) != at:
                     if (done := out()) is not None:
                         yield done
                     at, sets = (pivot, a, b), {}
-                s = shingle_set(text.as_py())
-                if len(s):
-                    sets[xxhash.xxh3_128_digest(s.tobytes())] = s
+                sets[node] = np.frombuffer(raw, np.uint64)
         if (done := out()) is not None:
             yield done
 
-    return (grouped.select("pivot", "a", "b", "text").repartition("pivot", "a", "b").sortWithinPartitions("pivot", "a", "b")
-            .mapInArrow(walk, "u binary, v binary"))
+    return (grouped.select("pivot", "a", "b", "node", "shingles").repartition("pivot", "a", "b").sortWithinPartitions("pivot", "a", "b")
+            .mapInArrow(walk, "u long, v long"))
+
+
+def joined(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame | None:
+    """(node, root) of every node that is linked with another one; None where there is none."""
+    members, found = buckets(nodes), None
+    sets, _ = keep(sets_of(docs, nodes, members.select("node").distinct()), "sets")
+
+    def contract(new: DataFrame) -> DataFrame | None:
+        more, _ = keep(new, "links-of-round")
+        if more.isEmpty():
+            return found
+        known = more if found is None else more.union(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        return keep(components(known), "components")[0]
+
+    for k in range(ROUNDS):
+        left, _ = keep(apart(members, found, central=k < CENTRAL), "apart")
+        pairs, _ = keep(left.filter("root <> at").select("pivot", "node").distinct(), "pairs")
+        if pairs.isEmpty():
+            return found
+        # the first round's groups grow with the documents; later ones are mostly small, and their measured size decides
+        groups = spokes(pairs)
+        found = contract(tied(sets.join(groups if k else groups.hint("merge"), "node"), percent))
+        members = left.filter("node <> pivot").select("key", "node", "rank")
+    left, _ = keep(apart(members, found, central=True), "apart")
+    if left.isEmpty():
+        return found
+    left, _ = keep(apart(hopeful(sets, left.select("key", "node", "rank"), percent), found, central=True), "hopeful")
+    pairs, dense = (keep(t, "rest")[0] for t in odd_ones(left))
+    if not pairs.isEmpty():
+        found = contract(tied(sets.join(spokes(pairs), "node"), percent))
+    return found if dense.isEmpty() else contract(confirm(sets.join(in_tiles(dense), "node"), percent))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -223,18 +367,15 @@ def components_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     rows, _ = keep(profiles(docs), "profiles")
     filled = rows.filter("n_shingles > 0")
-    nodes, _ = keep(filled.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.any_value("signature").alias("signature")), "nodes", rows.count())
-    n = nodes.count()
-    groups = candidate_groups(nodes)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    # the groups grow with the documents, hence never a broadcast
-    links = confirm(texts.join(groups.hint("merge"), "id"), percent)
-    found, _ = keep(components(links), "components", n)
-    ids = nodes.select("set_id", "doc_id")
-    of_set = ids.join(found, ids["set_id"] == found["node"], "left").select(
-        "set_id", F.coalesce("root", "set_id").alias("root"), "doc_id")
-    least, _ = keep(of_set.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least", n)
-    labels, _ = keep(of_set.join(least, "root").select("set_id", "component_id"), "labels", n)
+    one = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text_key")).alias("one")
+    grouped = filled.groupBy("set_id").agg(one, F.min("doc_id").alias("doc_id"), F.any_value("signature").alias("signature"))
+    nodes, _ = keep(grouped.select(F.monotonically_increasing_id().alias("node"), "set_id", "one.id", "one.text_key", "doc_id", "signature"), "nodes", rows.count())
+    found = joined(docs, nodes.select("node", "id", "text_key", "signature"), percent)
+    ids = nodes.select("set_id", "node", "doc_id")
+    root = F.col("node") if found is None else F.coalesce("root", "node")
+    of_set = (ids if found is None else ids.join(found, "node", "left")).select("set_id", root.alias("root"), "doc_id")
+    least, _ = keep(of_set.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least", rows.count())
+    labels, _ = keep(of_set.join(least, "root").select("set_id", "component_id"), "labels", rows.count())
     named = filled.join(labels, "set_id").select("doc_id", "text_key", "n_shingles", "component_id")
     alone = rows.filter("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     return named.union(alone).withColumn("kept", F.expr("doc_id <=> component_id"))

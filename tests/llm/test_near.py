@@ -76,6 +76,58 @@ def test_large_group_of_near_copies(docs_of):
     assert result(near.components_of(docs_of(rows))) == brute(rows)
 
 
+def near_copies(m, edits, words=120, seed=1):
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in rng.integers(0, 5000, words)]
+    rows = []
+    for d in range(m):
+        w = list(base)
+        for k in rng.integers(0, words, rng.integers(0, edits)):
+            w[k] = f"m{rng.integers(0, 10 ** 9)}"
+        rows.append((d, " ".join(w)))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_texts_shipped_are_linear_in_a_group(docs_of, monkeypatch):
+    """Members of one group of near copies: as many rows as members in a round, whatever the size of the group."""
+    shipped = []
+    spokes, tiles = near.spokes, near.in_tiles
+
+    def counted(make):
+        def run(pairs):
+            groups = make(pairs)
+            shipped.append(groups.count())
+            return groups
+        return run
+
+    monkeypatch.setattr(near, "spokes", counted(spokes))
+    monkeypatch.setattr(near, "in_tiles", counted(tiles))
+    figures = []
+    for m in (1000, 3000):
+        rows = near_copies(m, 4)
+        shipped.clear()
+        got = result(near.components_of(docs_of(rows)))
+        assert {c for _, c in got.values()} >= {0} and len(got) == m
+        figures.append(sum(shipped))
+    assert figures[0] < 8 * 1000 and figures[1] < 8 * 3000  # a few rows a member, in any number of rounds
+
+
+def test_apart_after_all_rounds(docs_of, monkeypatch):
+    """No rounds of pivots: what is left is refuted or compared in tiles; and with rounds, the same."""
+    rows = near_copies(300, 7, seed=4)
+    want = brute(rows)
+    for rounds in (0, 1, 4):
+        monkeypatch.setattr(near, "ROUNDS", rounds)
+        assert result(near.components_of(docs_of(rows))) == want
+
+
+def test_rows_without_an_id(docs_of):
+    rows = [(None, f"word{k} " + " ".join(f"w{j}" for j in range(60))) for k in range(40)] + [(7, " ".join(f"w{j}" for j in range(60)))]
+    got = near.components_of(docs_of(rows)).collect()
+    assert len(got) == 41 and {r.component_id for r in got} == {7} and sum(r.kept for r in got) == 1
+
+
 def test_odd_rows(docs_of):
     got = sorted(near.components_of(docs_of(ODD)).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
     assert [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got] == [
