@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from barwright.catalog.base import BASE_D, KEY, ROWS, Tables, m_, out, query, r, w_
+from barwright.catalog.base import BASE_D, KEY, ROWS, Tables, m_, out, pct_rank, query, r, w_, z_sql
 from barwright.operators import build, factors
 from barwright.plans.staging import shared_dir, stage
 
@@ -35,6 +35,10 @@ def _(t: Tables):
     return out(d, ("lr", "dloi", "logv", "loga", "turn", "body", "cpos"), digits=6)
 
 
+def tsz_sql(x: str, w: int, m: int) -> str:
+    return f"CASE WHEN count({x}) OVER {w_(w)} >= {m} THEN ({x} - avg({x}) OVER {w_(w)}) / (stddev_samp({x}) OVER {w_(w)} + 1e-9) END"
+
+
 ABS = "(abs(close) + 1e-9)"
 Z = "({x} - avg({x}) OVER {{W}}) / (stddev_samp({x}) OVER {{W}} + 1e-9)"
 CORR = ("CASE WHEN count({y}) OVER {{W}} >= {{w}} AND var_pop({x}) OVER {{W}} > 1e-9 AND var_pop({y}) OVER {{W}} > 1e-9 "
@@ -147,15 +151,47 @@ def _(t: Tables):
     return build.vocabulary_report(t.d, ROWS)
 
 
-@query("pipeline_factor_build")
+BUILD = {"mom": "sum(lr) OVER {W}", "rv": "sqrt(sum(lr * lr) OVER {W})", "bollz": Z.format(x="close"),
+         "rsi": "100 - 100 / (1 + avg(up) OVER {W} / (avg(dn) OVER {W} + 1e-9))"}
+BUILD_SQL = {k: v for n, e in BUILD.items() for k, v in per(e, n + "_{w}", (5, 8, 21)).items()}
+BUILD_BUDGETS = {"tsz_": 4, "csz_": 8, "csr_": 6}
+BUILD_META = ("symbol", "datetime", "label", "bar_no", "session_id")
+_views = {"": lambda n: n, "tsz_": lambda n: tsz_sql(n, 120, 30), "csz_": lambda n: z_sql(n, "datetime"), "csr_": lambda n: pct_rank(n, "datetime") + " - 0.5"}
+_names = [v + n for v in _views for n in BUILD_SQL]
+
+
+@query("pipeline_factor_build", f"""WITH RECURSIVE {BASE_D}, fr AS (SELECT symbol, datetime, label, session_id, bar_no, {', '.join(f'{e} AS {n}' for n, e in BUILD_SQL.items())} FROM base),
+  vw AS (SELECT symbol, datetime, label, {', '.join(f'coalesce({f(n)}, 0)::DOUBLE AS {v}{n}' for v, f in _views.items() for n in BUILD_SQL)} FROM fr),
+  lg AS (SELECT symbol, datetime, label, name, x FROM (UNPIVOT vw ON {', '.join(_names)} INTO NAME name VALUE x)),
+  sc AS (SELECT name, sum(x * label) / sqrt(greatest(sum(x * x) * sum(label * label), 1e-24)) AS ic, avg((x <> 0)::INT) AS coverage FROM lg WHERE label IS NOT NULL GROUP BY name),
+  raw AS (SELECT name, row_number() OVER (ORDER BY abs(ic) DESC) AS place FROM sc WHERE coverage >= 0.3 AND name[1:4] NOT IN ('tsz_', 'csz_', 'csr_')),
+  allowed AS (SELECT name FROM raw UNION ALL SELECT v.view || name FROM raw JOIN (VALUES {', '.join(f"('{v}', {n})" for v, n in BUILD_BUDGETS.items())}) v(view, most) ON place <= most),
+  cand AS (SELECT sc.*, row_number() OVER (ORDER BY abs(ic) DESC) AS j FROM sc JOIN allowed USING (name) WHERE coverage >= 0.3 AND abs(ic) >= 1e-4),
+  used AS (SELECT j, symbol, datetime, x FROM lg JOIN cand USING (name) WHERE label IS NOT NULL),
+  pair AS (SELECT a.j AS a, b.j AS b, corr(a.x, b.x) AS c FROM used a JOIN used b ON a.symbol = b.symbol AND a.datetime = b.datetime AND a.j > b.j GROUP BY 1, 2),
+  edge AS (SELECT a, list(b) AS before FROM pair WHERE abs(c) >= 0.9 GROUP BY a),
+  walk(j, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+    SELECT c.j, CASE WHEN list_has_any(kept, coalesce(e.before, [])) THEN kept ELSE list_append(kept, c.j) END
+    FROM walk w JOIN cand c ON c.j = w.j + 1 LEFT JOIN edge e ON e.a = c.j),
+  best AS (SELECT unnest(kept) AS j FROM (SELECT kept FROM walk ORDER BY j DESC LIMIT 1)),
+  told AS (SELECT name, count(*) AS n, stddev_pop(least(greatest(x, -20), 20)) AS sd FROM lg GROUP BY name)
+  SELECT name, row_number() OVER (ORDER BY j) AS place, {r('ic', 'ic', 6)}, {r('coverage', 'coverage', 6)}, n, {r('sd', 'sd', 4)} FROM best JOIN cand USING (j) JOIN told USING (name)""")
 def _(t: Tables):
-    """Screen, budget, decorrelate, build views, write them by month, and read the months back."""
-    wide = factors.factor_panel(t.d, None, ALL_WS, pairs=((3, 13), (5, 21)), keep=("symbol", "datetime", "label", "bar_no", "session_id"), rows=ROWS)
-    wide = stage(wide, "wide")
+    """Twelve raw columns, their views within budgets, all decorrelated together, written by month and read back."""
+    wide = factors.factor_panel(t.d, list(BUILD), (5, 8, 21), keep=BUILD_META, rows=ROWS).select(*BUILD_META, *BUILD_SQL)
+    return out(_built(t, [wide], BUILD_BUDGETS), ("place", "ic", "coverage", "n", "sd"), ("name",), 6).withColumn("sd", F.round("sd", 4))
+
+
+def _built(t: Tables, groups, budgets=None):
     path = f"{shared_dir(t.spark)}/views-{uuid.uuid4().hex}"
-    chosen = build.factor_build(wide, t.g, path, {"tsz_": 8, "csz_": 6, "csr_": 4}, ("symbol", "datetime", "label", "bar_no", "session_id"), rows=ROWS)
-    names = [r["view"] + r["factor"] for r in chosen.collect()]
+    chosen = build.factor_build(groups, t.g, path, budgets, BUILD_META, rows=ROWS)
+    names = [r["name"] for r in chosen.collect()]
     back = t.spark.read.parquet(path)
-    flat = back.agg(*[F.count(n).alias(f"n_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names])
-    told = flat.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"n_{n}").alias("n"), F.col(f"s_{n}").alias("sd")) for n in names])))
-    return chosen.join(told, F.concat("view", "factor") == F.col("name")).select("factor", "view", "place", "ic", "n", "sd")
+    told = None
+    for low in range(0, len(names), 100):
+        some = names[low:low + 100]
+        flat = back.agg(*[F.count(n).alias(f"n_{n}") for n in some], *[F.stddev_pop(n).alias(f"s_{n}") for n in some])
+        part = flat.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"n_{n}").alias("n"), F.col(f"s_{n}").alias("sd")) for n in some])))
+        told = part if told is None else told.unionByName(part)
+    return chosen.join(told, "name")
+

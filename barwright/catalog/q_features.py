@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barwright.catalog.base import (BARS_H, GAP_D, GAP_H, KEY, PANEL_D, PANEL_H, PREDS, ROWS, BASE_D, TRAIN, Tables, avg_rank, clip_sql, i, out,
                                     panel_sql, pct_rank, probit_sql, query, r, rs, train_rows, w_, z_sql)
 from barwright.operators import features, sessions, views
+from barwright.plans.staging import stage
 from barwright.sources import bars as src
 
 S = "(PARTITION BY symbol ORDER BY datetime)"
@@ -224,6 +225,131 @@ def _(t: Tables):
     return out(bank, list(_B))
 
 
+# ---- the whole banks, a pair of windows a query; the pairs cover all windows ----------------------------
+def bank_frame(t: Tables, name: str):
+    """Normalised inputs of a bank, written once per session: all groups of columns start from this table."""
+    if name not in t.__dict__:
+        if name == "bank_a":
+            z = views.causal_z(features.stable_columns(t.d, "extended", rows=ROWS)[0], A_IN, 40, 10, prefix="rz_", rows=ROWS)
+            z = z.select("symbol", "datetime", "bar_no", *[F.col(f"rz_{x}").alias(x) for x in A_IN])
+        else:
+            d = views.relative_features(features.base_features(t.d, ROWS), t.g, features.REL_FEATURES)
+            z = views.causal_z(d, features.Z_FEATURES, 40, 10, rows=ROWS)
+            z = z.select("symbol", "datetime", "bar_no", *[F.col(f"rz_{x}").alias(x) for x in features.Z_FEATURES], "close_pos",
+                         *[f"rel_{x}" for x in features.REL_FEATURES])
+        t.__dict__[name] = stage(z, name)
+    return t.__dict__[name]
+
+
+def _sd(x: str, f: str, floor: str) -> str:
+    return f"sqrt(greatest(var_pop({x}) OVER {f}, 0) + {floor})"
+
+
+def _bank_a_full(s: int, l: int) -> tuple[dict[str, str], dict[str, str]]:
+    """All operators of bank A for two windows: those of one stage, and those that read columns of it."""
+    lag = lambda x, k: f"coalesce(lag({x}, {k}) OVER {S}, 0)"
+    e = {"a_body": "close - open", "a_bop": "bop", "a_upper": "up_sh", "a_lower": "lo_sh", "a_turn": "turn", "a_ret_range": "log_ret_1 * range_pct",
+         "a_ret_cpos": "log_ret_1 * close_pos", "a_ret_dvol": "log_ret_1 * d_log1p_volume", "a_ret_doi": "log_ret_1 * d_log1p_oi",
+         "a_range_dvol": "range_pct * d_log1p_volume", "a_oc_vol": "oc_ret * log1p_volume", "a_ret_lag1": lag("log_ret_1", 1), "a_cpos_lag1": lag("close_pos", 1),
+         "a_typ": "typ", "a_abs_ret": "abs(log_ret_1)", "a_ret_sq": "log_ret_1 * log_ret_1", "a_dir_range": "sign(log_ret_1) * abs(range_pct)",
+         "a_dvol_doi": "d_log1p_volume - d_log1p_oi", "a_turn_dir": "turn * tanh(log_ret_1 * 4)"}
+    late: dict[str, str] = {}
+    for w in (s, l):
+        f = w_(w)
+        avg, tot = (lambda x: f"avg({x}) OVER {f}"), (lambda x: f"sum({x}) OVER {f}")
+        sd = lambda x: _sd(x, f, "1e-6")
+        root = lambda x: f"sqrt(greatest({avg(x)}, 0) + 1e-6)"
+        zed = lambda x: f"({x} - {avg(x)}) / ({sd(x)} + 1e-6)"
+        corr = lambda x, y: f"covar_pop({x}, {y}) OVER {f} / ({sd(x)} * {sd(y)} + 1e-6)"
+        hi, lo = f"max(high) OVER {f}", f"min(low) OVER {f}"
+        up, dn, mom, oim, rv = root("greatest(log_ret_1, 0) ^ 2"), root("greatest(-log_ret_1, 0) ^ 2"), tot("log_ret_1"), tot("d_log1p_oi"), root("log_ret_1 * log_ret_1")
+        thrust = f"greatest({hi} - min(close) OVER {f}, max(close) OVER {f} - {lo})"
+        stoch = f"(close - {lo}) / ({hi} - {lo} + 1e-4)"
+        one = {"mom": mom, "sharpe": f"{avg('log_ret_1')} / ({sd('log_ret_1')} + 1e-6)", "upratio": avg("1 / (1 + exp(-8 * log_ret_1))"), "maxret": f"max(log_ret_1) OVER {f}",
+               "minret": f"min(log_ret_1) OVER {f}", "rv": rv, "up": up, "down": dn, "volskew": f"({up} - {dn}) / ({up} + {dn} + 1e-6)", "volz": zed("log1p_volume"),
+               "amtz": zed("log1p_amount"), "oiz": zed("log1p_oi"), "oimom": oim, "stoch": stoch, "willr": f"1 - {stoch}", "bollz": zed("close"), "drawup": f"close - {lo}",
+               "drawdn": f"close - {hi}", "eff": f"abs({mom}) / ({tot('abs(log_ret_1)')} + 1e-6)", "pvcorr": corr("log_ret_1", "log1p_volume"),
+               "pacorr": corr("log_ret_1", "log1p_amount"), "oicorr": corr("log_ret_1", "d_log1p_oi"), "bop": avg("bop"), "cpos": avg("close_pos"), "shadow": avg("(lo_sh - up_sh)"),
+               "vol_flow": tot("tanh(log_ret_1 * 4) * log1p_volume"), "amt_flow": tot("tanh(log_ret_1 * 4) * log1p_amount"), "tr_dir": f"sign({mom}) * {avg('abs(range_pct)')}",
+               "mom_volz": f"{mom} * ({zed('log1p_volume')})", "mom_oimom": f"{mom} * {oim}", "rv_volz": f"{rv} * ({zed('log1p_volume')})",
+               "mfi": f"{tot('greatest(log_ret_1, 0) * log1p_volume')} / ({tot('abs(log_ret_1) * abs(log1p_volume)')} + 1e-6)", "px_ma": f"close - {avg('close')}",
+               "roc": f"close - {lag('close', w)}", "range_rms": root("range_pct * range_pct"), "range_mean": avg("abs(range_pct)"), "cci": zed("typ"),
+               "cmo": f"({tot('greatest(log_ret_1, 0)')} - {tot('greatest(-log_ret_1, 0)')}) / ({tot('abs(log_ret_1)')} + 1e-6)", "ac1": corr("log_ret_1", "l1"),
+               "ac2": corr("log_ret_1", "l2"), "volmom": f"log1p_volume - {lag('log1p_volume', w)}", "amtmom": f"log1p_amount - {lag('log1p_amount', w)}", "turnz": zed("turn"),
+               "illiq": avg("abs(log_ret_1) / (abs(log1p_amount) + 1)"), "updn_vol": f"{tot('sign(log_ret_1) * abs(log1p_volume)')} / ({tot('abs(log1p_volume)')} + 1e-6)",
+               "oi_dir": f"{oim} * sign({mom})", "shadow_sd": f"{sd('lo_sh')} - {sd('up_sh')}", "body_pos": avg("abs(close - open) * (close_pos - 0.5)"),
+               "thrust": f"(close - ({lo} + 0.5 * {thrust})) / (abs({thrust}) + 1e-6)"}
+        e |= {f"a{w}_{k}": v for k, v in one.items()} | {f"m{w}": avg("close")}
+        late |= {f"a{w}_stoch_dev": f"a{w}_stoch - avg(a{w}_stoch) OVER {w_(min(5, w))}"} | {f"a{w}_{x}_lag1": lag(f"a{w}_{x}", 1) for x in ("mom", "rv", "volz")}
+    p, q = f"a{s}_", f"a{l}_"
+    late |= {f"a{s}_{l}_trend": f"{p}mom - {q}mom", f"a{s}_{l}_volz": f"{p}volz - {q}volz", f"a{s}_{l}_rv": f"{p}rv / ({q}rv + 1e-6)",
+             f"a{s}_{l}_trend_volz": f"({p}mom - {q}mom) * {q}volz", f"a{s}_{l}_ma": f"m{s} - m{l}", f"a{s}_{l}_stoch": f"{p}stoch - {q}stoch",
+             f"a{s}_{l}_flow": f"{p}vol_flow - {q}vol_flow", f"a{s}_{l}_cci_rv": f"{p}cci * {q}rv"}
+    return e, late
+
+
+def _bank_b_full(s: int, l: int) -> dict[str, str]:
+    """All operators of bank B for two windows."""
+    safe = lambda a, b: f"({a}) / greatest(abs({b}), 1e-4)"
+    rel = [f"rel_{x}" for x in features.REL_FEATURES]
+    e = {f"b_{x}": x for x in ("ret_1", "oc_ret", "hl_range", "upper_shadow", "lower_shadow", "volume_change", "amount_change", "oi_change", "close_pos", *rel)}
+    e |= {"b_ret_vol": "ret_1 * volume_change", "b_ret_amt": "ret_1 * amount_change", "b_ret_oi": "ret_1 * oi_change",
+          "b_body_share": safe("abs(oc_ret)", "abs(hl_range) + abs(upper_shadow) + abs(lower_shadow) + 1e-3")}
+    for w in (s, l):
+        f, n = w_(w), f"b{w}_"
+        avg = lambda x: f"avg({x}) OVER {f}"
+        sd = lambda x: f"sqrt(greatest(var_pop({x}) OVER {f}, 1e-5))"
+        root = lambda x: f"sqrt(greatest({avg(x)}, 1e-5))"
+        corr = lambda x, y: safe(f"covar_pop({x}, {y}) OVER {f}", f"{sd(x)} * {sd(y)}")
+        for x in features.Z_FEATURES:
+            if x != "log1p_amount":
+                e |= {f"{n}{x}_mean": avg(x), f"{n}{x}_std": sd(x), f"{n}{x}_mom": f"{x} - coalesce(lag({x}, {w - 1}) OVER {S}, 0)"}
+        e |= {f"{n}{x}_z": safe(f"{x} - {avg(x)}", sd(x)) for x in ("ret_1", "oc_ret", "hl_range", "volume_change", "oi_change")}
+        e |= {n + k: v for k, v in {
+            "rv": root("ret_1 * ret_1"), "up_vol": root("greatest(ret_1, 0) ^ 2"), "down_vol": root("greatest(-ret_1, 0) ^ 2"), "abs_ret": avg("abs(ret_1)"),
+            "ret_vol": avg("ret_1 * volume_change"), "ret_amt": avg("ret_1 * amount_change"), "ret_oi": avg("ret_1 * oi_change"),
+            "corr_vol": corr("ret_1", "volume_change"), "corr_amt": corr("ret_1", "amount_change"), "corr_oi": corr("ret_1", "oi_change"),
+            "vol_pressure": f"log1p_volume - {avg('log1p_volume')}", "amt_pressure": f"amount_change - {avg('amount_change')}", "oi_pressure": f"log1p_oi - {avg('log1p_oi')}",
+            "stoch": avg("close_pos"), "bollinger": safe(f"close_pos - {avg('close_pos')}", sd("close_pos")), "mfi": avg("sign(ret_1) * log1p_volume"),
+            "trend": safe(f"abs({avg('ret_1')})", root("ret_1 * ret_1")), "range_vol": corr("hl_range", "volume_change")}.items()}
+    for x in ("ret_1", "oc_ret", "hl_range", "volume_change", "amount_change", "oi_change", "close_pos", "rel_ret_1"):
+        e[f"b{s}_{l}_{x}"] = f"avg({x}) OVER {w_(s)} - avg({x}) OVER {w_(l)}"
+    return e
+
+
+BANK_A_IN = BANK_A + f""", ax AS (SELECT *, (close - open) / (sp + 1e-4) AS bop, high - greatest(open, close) AS up_sh, least(open, close) - low AS lo_sh,
+    (high + low + close) / 3.0 AS typ, coalesce(lag(log_ret_1, 1) OVER {S}, 0) AS l1, coalesce(lag(log_ret_1, 2) OVER {S}, 0) AS l2 FROM ba)"""
+
+
+def _register_bank_a(s: int, l: int) -> None:
+    first, late = _bank_a_full(s, l)
+    names = [n for n in (*first, *late) if not n.startswith("m")]
+    sql = (f"WITH {BANK_A_IN}, a1 AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in first.items())} FROM ax), a2 AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in late.items())} FROM a1) "
+           f"SELECT {KEY}, {', '.join(r(clip_sql(n, 12), n) for n in names)} FROM a2")
+
+    @query(f"tf09_bank_a_{s}_{l}", sql)
+    def _(t: Tables):
+        bank, made = features.operator_bank_a(bank_frame(t, "bank_a"), (s, l), extra=True, rows=ROWS)
+        assert sorted(made) == sorted(names)
+        return out(bank, names)
+
+
+def _register_bank_b(s: int, l: int) -> None:
+    ops = _bank_b_full(s, l)
+
+    @query(f"tf10_bank_b_{s}_{l}", f"WITH {BANK_B} SELECT {KEY}, {', '.join(r(clip_sql(e, 8), n) for n, e in ops.items())} FROM bb")
+    def _(t: Tables):
+        bank, made = features.operator_bank_b(bank_frame(t, "bank_b"), (s, l), ((s, l),), rows=ROWS)
+        assert sorted(made) == sorted(ops)
+        return out(bank, list(ops))
+
+
+for _pair in features.BANK_A_PAIRS:
+    _register_bank_a(*_pair)
+for _pair in features.BANK_B_PAIRS:
+    _register_bank_b(*_pair)
+
+
 @query("tf12_window_summary", f"""WITH {STABLE} SELECT {KEY}, {', '.join(r(e, n) for n, e in (
    ('log_ret_1_last', 'log_ret_1'), ('log_ret_1_mean', f'avg(log_ret_1) OVER {w_(20)}'), ('log_ret_1_std', f'stddev_pop(log_ret_1) OVER {w_(20)}'),
    ('log_ret_1_min', f'min(log_ret_1) OVER {w_(20)}'), ('log_ret_1_max', f'max(log_ret_1) OVER {w_(20)}'), ('log_ret_1_chg', f'log_ret_1 - lag(log_ret_1, 19) OVER {S}')))}

@@ -314,8 +314,11 @@ def _(t: Tables):
     return picked(sampling.recency_sample(pool(t), 3000, 13, 200.0))
 
 
-@query("sm07_whole_timestamps", f"""WITH {SAMPLE}, ts AS (SELECT datetime, count(*) AS n FROM pool GROUP BY datetime HAVING count(*) >= 8),
-   o AS (SELECT *, sum(n) OVER (ORDER BY {uniform_sql(15, DT)}, datetime ROWS UNBOUNDED PRECEDING) AS cum FROM ts) SELECT {KEY}, {r('label')} FROM pool WHERE datetime IN (SELECT datetime FROM o WHERE cum <= 3000)""")
+@query("sm07_whole_timestamps", f"""WITH RECURSIVE {SAMPLE}, ts AS (SELECT datetime, count(*) AS n FROM pool GROUP BY datetime HAVING count(*) >= 8),
+   o AS (SELECT *, row_number() OVER (ORDER BY {uniform_sql(15, DT)}, datetime) AS k FROM ts),
+   walk(k, used, datetime) AS (SELECT 0::BIGINT, 0::HUGEINT, NULL::TIMESTAMP UNION ALL
+     SELECT o.k, CASE WHEN used = 0 OR used + n <= 3000 THEN used + n ELSE used END, CASE WHEN used = 0 OR used + n <= 3000 THEN o.datetime END FROM walk w JOIN o ON o.k = w.k + 1)
+   SELECT {KEY}, {r('label')} FROM pool WHERE datetime IN (SELECT datetime FROM walk)""")
 def _(t: Tables):
     return picked(sampling.whole_timestamps(pool(t), 3000, 8, 15))
 

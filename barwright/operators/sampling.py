@@ -111,12 +111,33 @@ def recency_sample(df: DataFrame, n: int, seed: int, half_life_days: float) -> D
 
 
 def whole_timestamps(df: DataFrame, budget: int, min_group: int, seed: int) -> DataFrame:
-    """Complete timestamps in hashed order while their rows fit the budget (stops at the first overflow)."""
-    t = df.groupBy("datetime").agg(F.count(F.lit(1)).alias("_n")).where(c_("_n") >= min_group)
-    t = t.withColumn("_u", hash_uniform(seed, F.date_format("datetime", "yyyy-MM-dd HH:mm")))
-    t = with_running_sum(t, ["_u", "datetime"], hash_slice("_u", 1024), "_n", "_total")
-    keep = t.where(c_("_total") <= budget).select("datetime")
-    return df.join(keep, "datetime", "left_semi")
+    """Complete timestamps in hashed order: each that still fits the budget is admitted, and the first one in any case.
+
+    Timestamps with fewer than ``min_group`` rows are not eligible; a frame that fits as a whole is returned as it is. Admission runs in rounds over a
+    table of timestamps: the longest prefix of running sums within what is left is admitted, then come those behind it that still fit.
+    """
+    t = df.groupBy("datetime").agg(F.count(F.lit(1)).alias("_n"))
+    t = stage(t.withColumn("_u", hash_uniform(seed, F.date_format("datetime", "yyyy-MM-dd HH:mm"))), "timestamps")
+    whole = t.agg(F.sum("_n")).first()[0] or 0
+    if whole <= budget:
+        return df
+    t = t.where(c_("_n") >= min_group)
+    at = F.struct("_u", "datetime")
+    first = t.agg(F.min(F.struct("_u", "datetime", "_n")).alias("f")).first().f
+    if first is None:
+        return df.limit(0)
+    taken = (c_("datetime") == F.lit(first.datetime))
+    left, last = budget - first["_n"], F.struct(F.lit(first["_u"]).alias("_u"), F.lit(first.datetime).alias("datetime"))
+    while left > 0:  # the table shrinks with every round: each admits a timestamp or ends
+        fits = (c_("_n") <= left) & (at > last)
+        total = with_running_sum(t.where(fits), ["_u", "datetime"], hash_slice("_u", 1024), "_n", "_total").where(c_("_total") <= left)
+        end = total.agg(F.max(at).alias("at"), F.max("_total").alias("total")).first()
+        if end.at is None:
+            break
+        new = F.struct(F.lit(end.at["_u"]).alias("_u"), F.lit(end.at.datetime).alias("datetime"))
+        taken = taken | (fits & (at <= new))
+        left, last = left - end.total, new
+    return df.join(t.where(taken).select("datetime"), "datetime", "left_semi")
 
 
 def timestamp_batches(df: DataFrame, g: Groups, per_batch: int, symbols: int, min_symbols: int, seed: int) -> DataFrame:

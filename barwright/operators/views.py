@@ -71,7 +71,12 @@ def selected_views(df: DataFrame, g: Groups, names: Sequence[str], bound: float
         df = csz(df, g, want["csz_"])
     if want["csr_"]:
         df = csr(df, g, want["csr_"])
-    return df.select("symbol", "datetime", *[clip(F.coalesce(finite(n), F.lit(0.0)), -bound, bound).alias(n) for n in names])
+    return df.select("symbol", "datetime", *[bounded(n, bound).alias(n) for n in names])
+
+
+def bounded(n: str, bound: float = 20.0) -> Column:
+    """A column as models read it: what is missing or not finite is 0, the rest clipped."""
+    return clip(F.coalesce(finite(n), F.lit(0.0)), -bound, bound)
 
 
 def causal_z(df: DataFrame, cols: Sequence[str], window: int = 240, min_periods: int = 60, bound: float = 8.0,
