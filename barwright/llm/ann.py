@@ -2,8 +2,9 @@
 
 A vector, less a centre, is scaled to length one, padded to ``bits`` dimensions and rotated at random; its code is the signs. With x the
 sign vector over sqrt(bits) and o the rotated vector, <o, q> is estimated by <x, q> / <x, o>; the scalar <x, o> is kept with the code. The
-error is below EPSILON * sqrt((1 - <x, o>^2) / <x, o>^2 / (bits - 1)) but for rare cases. Vectors whose least possible distance is not above
-the tenth-smallest greatest possible one are reranked on their original values in double precision.
+error is below EPSILON * sqrt((1 - <x, o>^2) / <x, o>^2 / (bits - 1)) but for rare cases. The vectors with the smallest estimates are reranked on their
+original values in double precision; then those whose least possible distance is not above the tenth-smallest found so far. Bounds that are not finite,
+as of vectors whose squares overflow, exclude nothing.
 
 Vectors are dealt into blocks by a hash of their id and queries into blocks of ``QUERIES``; each pair of blocks is one task group that puts out
 its k nearest for every query, so no list of a query grows with the data's size beyond k a block.
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from barwright.llm.shared import keep
 
 K, EVERY, EPSILON = 10, 100, 3.0
+FIRST = 4  # times k: vectors reranked for a first limit
 BLOCK, QUERIES = 8192, 4096
 CENTRE_SAMPLE, SEED = 4096, 20240607
 
@@ -43,7 +45,7 @@ def valid(vectors: DataFrame) -> DataFrame:
 
 
 def code_bits(dim: int) -> int:
-    return 64 * -(-max(dim, 256) // 64)
+    return 64 * -(-4 * dim // 64)
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -53,22 +55,36 @@ def rotation(dim: int) -> np.ndarray:
     return q.astype(np.float32)
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Euclidean lengths of rows; where squares leave the range of doubles, of the row over its largest entry."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        plain = np.sqrt((x * x).sum(axis=1))
+        far = ~((plain > 1e-140) & (plain < 1e150))
+        if far.any():
+            most = np.abs(x[far]).max(axis=1)
+            scale = np.where((most > 0) & np.isfinite(most), most, 1.0)
+            plain[far] = np.sqrt(((x[far] / scale[:, None]) ** 2).sum(axis=1)) * scale
+    return plain
+
+
 def encode(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed signs, lengths and corrections <x, o> of centred vectors."""
-    length = np.sqrt((x * x).sum(axis=1))
-    o = (x / np.where(length > 0, length, 1)[:, None]).astype(np.float32) @ turn.T
+    length = lengths(x)
+    with np.errstate(invalid="ignore"):
+        o = np.nan_to_num(x / np.where(length > 0, length, 1)[:, None]).astype(np.float32) @ turn.T
     signs = o > 0
     fit = np.abs(o).sum(axis=1, dtype=np.float64) / np.sqrt(turn.shape[0])
     return np.packbits(signs, axis=1), length, np.where(length > 0, fit, 1.0)
 
 
 def centres(rows: DataFrame) -> dict[int, np.ndarray]:
-    """Mean of the at most CENTRE_SAMPLE vectors with the smallest hash, per dimension. Any centre keeps the bounds true."""
+    """Median of each entry over the at most CENTRE_SAMPLE vectors with the smallest hash, per dimension. Any centre keeps the bounds true; a few
+    vectors far away do not move this one."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CENTRE_SAMPLE).select("dim", "vector").toArrow()
     out: dict[int, list[np.ndarray]] = {}
     for dim, raw in zip(sample.column("dim").to_pylist(), sample.column("vector").to_pylist()):
         out.setdefault(dim, []).append(np.frombuffer(raw, "<f8"))
-    return {dim: np.mean(v, axis=0) for dim, v in out.items()}
+    return {dim: np.median(v, axis=0) for dim, v in out.items()}
 
 
 def build_index(rows: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray]]:
@@ -102,18 +118,23 @@ def search_block(own: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.nd
     slack = EPSILON * np.sqrt(np.maximum(1 - fit * fit, 0) / (fit * fit) / (bits - 1))
     for low in range(0, len(own), 256):
         r = queries[low:low + 256] - centre
-        size = np.sqrt((r * r).sum(axis=1))
-        dots = (r / np.where(size > 0, size, 1)[:, None]).astype(np.float32) @ turn.T @ signs.T
+        size = lengths(r)
+        with np.errstate(invalid="ignore"):
+            dots = np.nan_to_num(r / np.where(size > 0, size, 1)[:, None]).astype(np.float32) @ turn.T @ signs.T
         for j in range(len(r)):
-            scale = 2 * size[j] * length
-            middle = length * length + size[j] ** 2 - scale * dots[j] / fit
-            other = ids != own[low + j]
-            least, most = (middle - scale * slack)[other], (middle + scale * slack)[other]
-            if not len(least):
-                continue
-            limit = np.partition(most, k - 1)[k - 1] if len(most) > k else np.inf
-            at = np.flatnonzero(other)[least <= limit * (1 + 1e-6) + 1e-9]
-            d = np.sqrt(((x[at] - queries[low + j]) ** 2).sum(axis=1))
+            at = np.flatnonzero(ids != own[low + j])
+            with np.errstate(over="ignore", invalid="ignore"):
+                scale = 2 * size[j] * length[at]
+                middle = length[at] ** 2 + size[j] ** 2 - scale * dots[j, at] / fit[at]
+                least = middle - scale * slack[at]
+            if len(at) > FIRST * k:
+                # not comparable bounds come first
+                rank = np.where(np.isfinite(least), middle, -np.inf)
+                first = np.argpartition(rank, FIRST * k)[:FIRST * k]
+                limit = np.partition(lengths(x[at[first]] - queries[low + j]), k - 1)[k - 1]
+                with np.errstate(over="ignore"):
+                    at = at[~(least > limit * limit * (1 + 1e-6))] if limit > 1e-140 else at
+            d = lengths(x[at] - queries[low + j])
             for i in np.lexsort((ids[at], d))[:k]:
                 yield int(own[low + j]), int(ids[at[i]]), float(d[i])
 

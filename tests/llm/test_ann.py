@@ -68,3 +68,31 @@ def test_bounds_hold():
     true = (x / length[:, None]) @ (q / np.linalg.norm(q))
     slack = ann.EPSILON * np.sqrt((1 - fit ** 2) / fit ** 2 / (turn.shape[0] - 1))
     assert (np.abs(estimate - true) <= slack).mean() > 0.99
+
+
+def test_squares_out_of_range(spark):
+    """Entries near 1e200 and 1e155 among plain vectors, and a table of entries near 1e-170: no row is lost."""
+    rng = np.random.default_rng(2)
+    for scale, few in ((1e200, 1), (1e155, 500), (1e-170, 500)):
+        x = rng.standard_normal((500, 16))
+        x[:few] *= scale
+        ids = np.arange(500) * 10
+        got = ann.search(table(spark, ids, x)).toPandas()
+        assert len(got) == 50 * 10 and np.isfinite(got.score).all()
+        q = np.flatnonzero(ids % 100 == 0)[3]
+        big = np.abs(x).max()
+        d = np.sqrt((((x - x[q]) / big) ** 2).sum(axis=1)) * big if few > 1 else np.sqrt(((x[1:] - x[q]) ** 2).sum(axis=1))
+        want = np.sort(d)[1:11]
+        assert np.allclose(got[got.query_id == ids[q]].sort_values("rank").score, want, rtol=1e-9, atol=0)
+
+
+def test_share_reranked(spark, monkeypatch):
+    t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    x, ids = np.stack(t.embedding).astype(float), t.vec_id.to_numpy()
+    centre, turn, seen = np.median(x, axis=0), ann.rotation(x.shape[1]), []
+    code, length, fit = ann.encode(x - centre, turn)
+    real = ann.lengths
+    monkeypatch.setattr(ann, "lengths", lambda v: (seen.append(len(v)), real(v))[1])
+    q = np.flatnonzero(ids % 100 == 0)
+    list(ann.search_block(ids[q], x[q], ids, x, code, length, fit, centre, turn, 10))
+    assert sum(seen) < 0.15 * len(q) * len(x)  # of 2,000 vectors; larger blocks rerank a smaller share
