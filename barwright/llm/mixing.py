@@ -5,7 +5,8 @@ a target of t words out of S takes floor(t / S) complete epochs first, then the
 their sizes reach what is left of t. The last one is taken if that comes nearer to the target.
 
 Only DataFrame functions. No source is sorted as a whole: sizes are summed per slice of the key order, and only the slice in
-which the budget ends is ordered. What comes out is one cut per source; whether a document is taken is then a comparison.
+which the budget ends is ordered. Slices are equal steps of the logarithm of the key: of rows of any one weight, a slice expects a share below
+ln 2 / (e * PER_OCTAVE), however small the weight. What comes out is one cut per source; whether a document is taken is then a comparison.
 """
 
 from __future__ import annotations
@@ -18,7 +19,11 @@ from barwright.llm.shared import hash_draw, keep, spare, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE, LIMIT = 1.5, 2.0
-SLICES = 4096
+PER_OCTAVE = 1024
+
+
+def key_slice(key: str) -> str:
+    return f"cast(floor(log2(greatest({key}, 1e-300D)) * {PER_OCTAVE}) AS int)"
 
 
 def quality(text: Column, size: Column) -> Column:
@@ -58,13 +63,12 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 def cuts(base: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
     """One row per source: source, source_size, target, epochs, and the last (cut_key, cut_id) taken once more."""
-    part = F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.lit(SLICES)).cast("int")
-    cut = base.withColumn("slice", part)
+    cut = base.withColumn("slice", F.expr(key_slice("key")))
     slices = cut.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     aims = targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, limit)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     aims, _ = keep(aims.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "aims", 1)
-    # slices are at most SLICES rows a source
+    # some ten thousand slices a source at most
     run = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
     found = slices.withColumn("upto", F.sum("words").over(run)).alias("s").join(aims.alias("a"), F.expr("s.source <=> a.source")).filter(
         "rest > 0 AND upto - words < rest AND upto >= rest")
@@ -76,18 +80,16 @@ def cuts(base: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
             .filter("total - size < rest AND total - rest <= rest - (total - size)")
             .groupBy("source").agg(F.max(F.struct("key", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"))).alias("last"))
             .select("source", F.col("last.key").alias("last_key"), F.col("last.id").alias("last_id")))
-    # where the ending slice gives no document, the cut is the slice's lower edge
-    edge = -F.log(F.lit(1.0) - F.col("e.slice") / F.lit(float(SLICES)))
     joined = (aims.alias("a").join(ends.alias("e"), F.expr("a.source <=> e.source"), "left")
               .join(last.alias("l"), F.expr("a.source <=> l.source"), "left"))
     return joined.select("a.source", "source_size", "target", "epochs", F.col("e.slice").alias("cut_slice"),
-                         F.coalesce("last_key", F.when(F.col("e.slice").isNotNull(), edge), F.lit(-1.0)).alias("cut_key"),
+                         F.coalesce("last_key", F.lit(-1.0)).alias("cut_key"),
                          F.coalesce("last_id", F.lit(-(1 << 63))).alias("cut_id"))
 
 
 def copies(base: str, cut: str) -> Column:
     """How often a document is taken, from its key and its source's cut."""
-    part = f"cast(floor((1.0D - exp(-{base}.key)) * {SLICES}) AS int)"
+    part = key_slice(f"{base}.key")
     once = (f"CASE WHEN {cut}.cut_slice IS NULL OR {part} > {cut}.cut_slice THEN 0 WHEN {part} < {cut}.cut_slice THEN 1 "
             f"WHEN {base}.key < {cut}.cut_key OR {base}.key = {cut}.cut_key AND coalesce({base}.doc_id, {(1 << 63) - 1}) <= {cut}.cut_id THEN 1 ELSE 0 END")
     return F.expr(f"CASE WHEN {base}.size = 0 THEN 0L ELSE {cut}.epochs + {once} END")

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import numpy as np
 import pytest
 
@@ -66,3 +67,12 @@ def test_odd_rows(docs_of):
     assert len(got) == len(ODD) and (got.taken <= 2 * got["size"]).all() and (got[got["size"] == 0].taken == 0).all()
     assert mixing.draw(docs).columns == docs.columns
     assert mixing.mix(docs.limit(0)).count() == 0 == mixing.draw(docs.limit(0)).count()
+
+
+def test_ending_slice_is_small_for_any_weight(spark):
+    """Weights near 0.01, as of base64: the largest slice, one of which is sorted, has few rows of the source."""
+    for weight in (0.01, 0.06, 1.0):
+        rows = spark.range(50000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), (F.length(F.md5(F.col("id").cast("string").cast("binary"))) * 3).alias("size"),
+                                         (-F.log(mixing.hash_draw(F.col("id").cast("string"))) / weight).alias("key"))
+        most = rows.groupBy(F.expr(mixing.key_slice("key"))).count().agg(F.max("count")).first()[0]
+        assert most < 50000 * 0.001
