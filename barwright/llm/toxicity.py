@@ -7,8 +7,8 @@ or 0 below q. The floor q is the least at which clean sentences of the sample le
 make a document toxic; it is at least the score of a sentence without known features.
 
 The classifier is fitted on at most ``SAMPLE`` labelled rows, those with the smallest hash of their id. Its features are words and
-their stems (the first ``STEMS`` letters), so that inflected forms count together; it keeps at most ``VOCABULARY`` of them, those
-whose presence speaks most for toxicity. Long texts are fitted as well: the sample is stored and gone through ``AT_ONCE`` bytes at a time. While it learns, half of the features are hidden in turn, so that a word is not left without
+their stems (the first ``STEMS`` letters), so that inflected forms count together; it keeps those that toxic documents have ``LEAST_TOLD``
+standard deviations more often than the rate of the labels would give them. Long texts are fitted as well: the sample is stored and gone through ``AT_ONCE`` bytes at a time. While it learns, half of the features are hidden in turn, so that a word is not left without
 weight because others next to it explain the label; in the last rounds all are seen and only the bias moves. Scoring reads every sentence of every text in one pass.
 """
 
@@ -31,7 +31,7 @@ from barwright.llm.shared import forget, keep, spare
 
 SAMPLE, FILES, AT_ONCE = 10_000, 8, 64 << 20
 STEMS = (3, 4, 5, 6)
-VOCABULARY, LEAST_DOCUMENTS, LEAST_TOXIC = 2000, 6, 3
+LEAST_DOCUMENTS, LEAST_TOXIC = 6, 3
 LEAST_TOLD = 4.5  # standard deviations between a feature's toxic documents and the expected number
 ROUNDS, LAST, STEP, DECAY = 400, 100, 0.1, 0.03
 DROPPED, SEED = 0.5, 7
@@ -106,7 +106,7 @@ def chance(values: np.ndarray, weights: np.ndarray, leak: float) -> float:
     return 0.0 if k >= len(v) else float(v[k] - max(leak * n[-1] - (over[k - 1] if k else 0.0), 0.0) / n[k])
 
 
-def fit(texts: Iterable[str], labels: np.ndarray, vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> Model:
+def fit(texts: Iterable[str], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Learn word weights; ``texts`` is gone through several times. With labels of one kind or no rows, the model is the rate of the labels."""
     y = np.asarray(labels, np.float64)
     n = len(y)
@@ -130,7 +130,7 @@ def fit(texts: Iterable[str], labels: np.ndarray, vocabulary: int = VOCABULARY,
     total = c.sum(axis=1)
     spread = np.sqrt(np.maximum(total * rate * (1 - rate) * (1 - (total - 1) / max(n, 2)), 1e-9))
     told = (c[:, 1] - total * rate) / spread
-    best = [k for k in np.argsort(-told, kind="stable")[:vocabulary].tolist() if told[k] >= LEAST_TOLD]
+    best = [k for k in np.argsort(-told, kind="stable").tolist() if told[k] >= LEAST_TOLD]
     if not best:
         return empty
     number = {names[k]: i for i, k in enumerate(sorted(best))}
