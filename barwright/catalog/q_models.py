@@ -549,10 +549,38 @@ def _(t: Tables):
     return preds_out(memory.symbol_guard_grid(t.preds, train_rows(), "p2", (0.0, 0.5, 1.0), ic_below=0.05))
 
 
-@query("en28_candidate_guard")
-def _(t: Tables):
-    return _names(t, memory.candidate_guard(t.preds, train_rows(), "p2", ["p1", "p3"], (-0.5, -0.25, 0.25, 0.5), min_count=100),
-                  "symbol string, candidate string, weight double, ic double")
+GUARD_W, GUARD_C = (-0.5, -0.25, 0.25, 0.5), ("p1", "p3")
+_gs = ", ".join(f"sum({c}) AS s_{c}, sum({c} * label) AS y_{c}, sum({c} * {c}) AS g_{c}, sum(p2 * {c}) AS c_{c}" for c in GUARD_C)
+_dev = lambda c: f"greatest(sqrt(greatest(g_{c} / n - (s_{c} / n) ^ 2, 0)), 1e-8)"
+_ab = ", ".join(f"{_dev('p2')} / {_dev(c)} AS a_{c}, s_p2 / n - {_dev('p2')} / {_dev(c)} * s_{c} / n AS b_{c}" for c in GUARD_C)
+_cc = " UNION ALL ".join(f"SELECT symbol, '{c}' AS candidate, a_{c} * y_{c} + b_{c} * sy AS cy, a_{c} ^ 2 * g_{c} + 2 * a_{c} * b_{c} * s_{c} + b_{c} ^ 2 * n AS cc, "
+                         f"a_{c} * c_{c} + b_{c} * s_p2 AS c0 FROM ab" for c in GUARD_C)
+
+
+@query("en28_candidate_guard", f"""WITH RECURSIVE {PREDS}, mo AS (SELECT symbol, count(*) AS n, sum(label) AS sy, sum(label * label) AS yy, sum(p2) AS s_p2, sum(p2 * label) AS y_p2, sum(p2 * p2) AS g_p2, {_gs}
+     FROM preds WHERE {TRAIN} GROUP BY symbol),
+   tot AS (SELECT sum(y_p2) AS xy, sum(g_p2) AS xx, sum(yy) AS yy FROM mo),
+   el AS (SELECT *, y_p2 / sqrt(g_p2 * yy) AS ic FROM mo WHERE n >= 100 AND symbol IN (SELECT symbol FROM preds WHERE NOT ({TRAIN}))),
+   ok AS (SELECT *, row_number() OVER (ORDER BY ic, symbol) AS k FROM el WHERE ic <= 0.05), ab AS (SELECT *, {_ab} FROM ok), cn AS ({_cc}),
+   bl AS (SELECT o.k, o.symbol, o.ic, o.yy, o.y_p2, o.g_p2, candidate, w, (1 - w) * y_p2 + w * cy AS ny, (1 - w) ^ 2 * g_p2 + 2 * w * (1 - w) * c0 + w ^ 2 * cc AS nx
+     FROM ok o JOIN cn USING (symbol), (VALUES {', '.join(f'({v}::DOUBLE)' for v in sorted((0.0, *GUARD_W)))}) g(w)),
+   walk AS (SELECT 0::BIGINT AS k, xy, xx, yy AS ally, ''::VARCHAR AS symbol, 0.0::DOUBLE AS ic, 0.0::DOUBLE AS before, NULL::STRUCT(f DOUBLE, g DOUBLE, c VARCHAR, w DOUBLE, dy DOUBLE, dx DOUBLE) AS best FROM tot
+     UNION ALL SELECT k, xy + coalesce(CASE WHEN best.w <> 0 THEN best.dy END, 0), xx + coalesce(CASE WHEN best.w <> 0 THEN best.dx END, 0), ally, symbol, ic, xy / sqrt(xx * ally), best
+     FROM (SELECT b.k, v.xy, v.xx, v.ally, b.symbol, b.ic, max({{'f': (v.xy + ny - y_p2) / sqrt((v.xx + nx - g_p2) * v.ally), 'g': ny / sqrt(nx * b.yy), 'c': candidate, 'w': w, 'dy': ny - y_p2, 'dx': nx - g_p2}})
+         FILTER (ny / sqrt(nx * b.yy) >= b.ic + 1e-4 AND (v.xy + ny - y_p2) / sqrt((v.xx + nx - g_p2) * v.ally) > v.xy / sqrt(v.xx * v.ally)) AS best
+       FROM walk v JOIN bl b ON b.k = v.k + 1 GROUP BY b.k, v.xy, v.xx, v.ally, b.symbol, b.ic))
+   SELECT symbol, best.c AS candidate, {r('best.w', 'weight')}, {r('ic', 'symbol_ic', 6)}, {r('best.g', 'symbol_ic_after', 6)}, {r('before', 'ic_before', 6)}, {r('best.f', 'ic_after', 6)}
+   FROM walk WHERE best.w <> 0""")
+def _(t: Tables):
+    chosen = memory.candidate_guard(t.preds, train_rows(), "p2", GUARD_C, GUARD_W, ic_lte=0.05, rescale=True, min_group=1e-4)
+    return out(chosen, ("weight", "symbol_ic", "symbol_ic_after", "ic_before", "ic_after"), ("symbol", "candidate"), 6)
+
+
+@query("en28_guarded_prediction")
+def _(t: Tables):
+    """The prediction with the candidates the guard chose."""
+    chosen = memory.candidate_guard(t.preds, train_rows(), "p2", GUARD_C, GUARD_W, ic_lte=0.05, rescale=True, min_group=1e-4)
+    return preds_out(memory.apply_candidate_guard(t.preds, chosen, "p2", GUARD_C))
 
 
 CSB = f"""cz AS (SELECT *, coalesce((p3 - avg(p3) OVER (PARTITION BY datetime)) / nullif(stddev_samp(p3) OVER (PARTITION BY datetime), 0), 0) AS z FROM preds),

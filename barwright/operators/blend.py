@@ -205,10 +205,10 @@ def daily_mixture(df: DataFrame, xs: Sequence[str], y: str = "label", lookback:
     """Weights refit every few days on decayed statistics of the days before; equal while history is short."""
     day = F.date_format("datetime", "yyyy-MM-dd")
     d = df.withColumn("_day", day)
-    past = linear.rolling_stats(gram(d, ["_day"], xs, y), "_day", lookback, half_life=half_life).where(c_("times") >= min_days)
+    past = linear.rolling_stats(gram(d, ["_day"], xs, y), "_day", lookback, half_life=half_life, every=every, times=d)
+    past = past.where(c_("times") >= min_days)
     # days between refits reuse the last refit; numbering runs over days only
     days = d.select("_day").distinct().withColumn("_i", F.row_number().over(Window.orderBy("_day")) - 1)
-    past = past.join(days.where(c_("_i") % every == 0), "_day", "left_semi")
     table = linear.solve_table(past, ["_day"], solver or linear.ic_weights(lo, hi))
     refit = days.withColumn("_at", c_("_i") - c_("_i") % every)
     table = refit.join(days.select(c_("_i").alias("_at"), c_("_day").alias("_fit")), "_at").join(

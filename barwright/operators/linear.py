@@ -148,24 +148,30 @@ def equal() -> Solver:
 
 
 # ---- solving tables of statistics ----------------------------------------------------------------
-def rolling_stats(stats: DataFrame, time: str, lookback: int, by: Sequence[str] = (), half_life: float | None = None) -> DataFrame:
+def rolling_stats(stats: DataFrame, time: str, lookback: int, by: Sequence[str] = (), half_life: float | None = None, every: int = 1,
+                  times: DataFrame | None = None) -> DataFrame:
     """Statistics of the ``lookback`` times before each time (0: all before), optionally decayed.
 
+    With ``every``, for the first time and each that many later. ``times`` has all times that count, if ``stats`` may lack some.
+
     ``stats`` has one row per time (and group): a calendar-sized table. Arrays are summed position
     by position, so one task never holds more than one position's series.
     """
     by = list(by)
-    t = stats.select(time).distinct().withColumn("_i", F.dense_rank().over(Window.orderBy(time)))  # times only
+    t = (times if times is not None else stats).select(time).distinct().withColumn("_i", F.dense_rank().over(Window.orderBy(time)))  # times only
     flat = stats.withColumn("_v", F.concat(F.array(c_("n").cast("double"), "w", "sy", "yy"), "sx", "c", "g", F.array(F.size("sx").cast("double"))))
     cells = flat.join(t, time).select("_i", *by, F.posexplode("_v").alias("_p", "_x"))
     if lookback and (half_life or lookback <= 64):
         age = c_("_t") - c_("_i")
         f = F.pow(F.lit(0.5), (age - 1) / F.lit(float(half_life))) if half_life else F.lit(1.0)
-        moved = cells.withColumn("_t", F.explode(F.sequence(c_("_i") + 1, c_("_i") + lookback)))
+        # only times that are asked for get a copy: lookback / every of them
+        asked = F.filter(F.sequence(c_("_i") + 1, c_("_i") + lookback), lambda u: (u - 1) % every == 0)
+        moved = cells.withColumn("_t", F.explode(asked))
         past = moved.groupBy("_t", *by, "_p").agg(F.sum(f * c_("_x")).alias("_x"), F.count(F.lit(1)).alias("_times"), F.max("_x").alias("_raw"))
     else:
         w = Window.partitionBy(*by, "_p").orderBy("_i").rowsBetween(Window.unboundedPreceding if not lookback else -lookback, -1)
         past = cells.select(c_("_i").alias("_t"), *by, "_p", F.sum("_x").over(w).alias("_x"), F.count("_x").over(w).alias("_times"), F.max("_x").over(w).alias("_raw"))
+        past = past.where((c_("_t") - 1) % every == 0)
     packed = past.where("_times > 0").groupBy("_t", *by).agg(
         F.max("_times").alias("times"), F.transform(F.array_sort(F.collect_list(F.struct("_p", "_x"))), lambda s: s["_x"]).alias("_v"),
         F.max_by("_raw", "_p").cast("int").alias("_k"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barwright.operators import calibrate, evaluate, relational
@@ -98,33 +99,85 @@ def symbol_guard_grid(df: DataFrame, val: Column, p: str, grid: Sequence[float],
     return df.join(table, "symbol", "left").withColumn(out, c_(p) * F.coalesce("_w", F.lit(1.0))).drop("_w")
 
 
-def candidate_guard(df: DataFrame, val: Column, current: str, candidates: Sequence[str], weights: Sequence[float], y: str = "label", min_count: int = 100) -> list[tuple[str, str, float, float]]:
-    """Per symbol, blend in the candidate that raises both the symbol's and the whole IC.
-
-    Moments per symbol come from one aggregate; the sequential pass runs over the symbol table.
-    """
+def guard_moments(df: DataFrame, val: Column, current: str, candidates: Sequence[str], y: str = "label") -> DataFrame:
+    """One row a symbol that has rows on both sides of ``val``: the sums from which any blend of a candidate into it is scored."""
     cols = [current, *candidates]
-    k = len(cols)
-    sums = [F.sum(c_(a) * c_(y)).alias(f"y{i}") for i, a in enumerate(cols)]
-    sums += [F.sum(c_(cols[i]) * c_(cols[j])).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    rows = list(df.where(val).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum(c_(y) * c_(y)).alias("yy"), *sums).orderBy("symbol").toLocalIterator())
-    xy, xx, yy, out = sum(r["y0"] for r in rows), sum(r["g0_0"] for r in rows), sum(r["yy"] for r in rows), []
-    for r in rows:
-        if r["n"] < min_count:
-            continue
-        own, whole, best = r["y0"] / np.sqrt(r["g0_0"] * r["yy"]), xy / np.sqrt(xx * yy), None
-        for j, name in enumerate(candidates, 1):
-            for w in weights:
-                a = (1 - w) * r["y0"] + w * r[f"y{j}"]
-                b = (1 - w) ** 2 * r["g0_0"] + 2 * w * (1 - w) * r[f"g0_{j}"] + w * w * r[f"g{j}_{j}"]
-                new_own = a / np.sqrt(max(b * r["yy"], 1e-30))
-                new = (xy - r["y0"] + a) / np.sqrt(max((xx - r["g0_0"] + b) * yy, 1e-30))
-                if new_own > own and new > whole and (best is None or new > best[0]):
-                    best = (new, name, w, a, b)
-        if best:
-            xy, xx = xy - r["y0"] + best[3], xx - r["g0_0"] + best[4]
-            out.append((r["symbol"], best[1], float(best[2]), float(best[0])))
-    return out
+    use = df.where(c_(y).isNotNull() & c_(current).isNotNull())
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(c_(y) * c_(y)).alias("yy")]
+    for j, v in enumerate(F.coalesce(c_(x), F.lit(0.0)) for x in cols):  # a missing candidate is 0
+        sums += [F.sum(v).alias(f"s{j}"), F.sum(v * c_(y)).alias(f"y{j}"), F.sum(v * v).alias(f"g{j}"), F.sum(c_(current) * v).alias(f"c{j}")]
+    return use.where(val).groupBy("symbol").agg(*sums).join(df.where(~val).select("symbol").distinct(), "symbol")
+
+
+def candidate_guard(df: DataFrame, val: Column, current: str, candidates: Sequence[str], weights: Sequence[float], y: str = "label", min_count: int = 100,
+                    ic_lte: float | None = -0.01, ic_gte: float | None = None, max_symbols: int = 0, rescale: bool = False, min_full: float = 0.0,
+                    min_group: float = 0.0, max_drop: float = 0.0) -> DataFrame:
+    """symbol, candidate, weight, scale, shift, symbol_ic, symbol_ic_after, ic_before, ic_after: where a candidate replaces part of a prediction.
+
+    Symbols with enough validation rows whose own IC is at most ``ic_lte`` or at least ``ic_gte`` are eligible, and are gone through by rising IC (by
+    falling IC if only ``ic_gte`` is given). Each takes the candidate and weight that raise the whole IC most, if the symbol's IC gains
+    ``min_group`` and the whole IC gains ``min_full`` and falls by no more than ``max_drop``; the next symbol sees what was taken. With ``rescale``, a candidate is first brought to the mean and deviation of
+    the prediction on the symbol. The walk is one task over a sorted table of symbols; it holds three sums and a batch.
+    """
+    names = sorted(candidates)
+    mo = guard_moments(df, val, current, names, y)
+    ic = F.when((c_("n") >= 2) & (c_("g0") * c_("yy") > 0), c_("y0") / F.sqrt(c_("g0") * c_("yy")))
+    low = F.lit(False) if ic_lte is None else c_("ic") <= ic_lte
+    high = F.lit(False) if ic_gte is None else c_("ic") >= ic_gte
+    whole = df.where(val & c_(y).isNotNull() & c_(current).isNotNull()).agg(
+        F.sum(c_(current) * c_(y)).alias("_xy"), F.sum(c_(current) * c_(current)).alias("_xx"), F.sum(c_(y) * c_(y)).alias("_yy"))
+    order = c_("ic").desc() if ic_lte is None else c_("ic").asc()
+    table = mo.withColumn("ic", ic).where((c_("n") >= min_count) & (low | high)).transform(scalars(whole))
+    if max_symbols:
+        table = table.orderBy(order, "symbol").limit(max_symbols)
+    grid = sorted({0.0, *map(float, weights)})
+
+    def walk(batches):
+        xy = xx = yy = None
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                if xy is None:
+                    xy, xx, yy = r["_xy"], r["_xx"], r["_yy"]
+                before, own, best = xy / np.sqrt(xx * yy), r["ic"], None
+                for j, name in enumerate(names, 1):
+                    a, b = _to_scale(r, j) if rescale else (1.0, 0.0)
+                    cy, cc, c0 = a * r[f"y{j}"] + b * r["sy"], a * a * r[f"g{j}"] + 2 * a * b * r[f"s{j}"] + b * b * r["n"], a * r[f"c{j}"] + b * r["s0"]
+                    for w in grid:
+                        new_y = (1 - w) * r["y0"] + w * cy
+                        new_x = (1 - w) ** 2 * r["g0"] + 2 * w * (1 - w) * c0 + w * w * cc
+                        all_x = xx - r["g0"] + new_x
+                        if new_x <= 0 or all_x <= 0:
+                            continue
+                        group, full = new_y / np.sqrt(new_x * r["yy"]), (xy - r["y0"] + new_y) / np.sqrt(all_x * yy)
+                        if group < own + min_group or full < before - max_drop or full < before + min_full:
+                            continue
+                        if (full, group) > ((before, own) if best is None else best[:2]):
+                            best = (full, group, name, w, a, b, new_y, new_x)
+                if best and best[3]:
+                    xy, xx = xy - r["y0"] + best[6], xx - r["g0"] + best[7]
+                    out.append((r["symbol"], best[2], best[3], best[4], best[5], own, best[1], before, best[0]))
+            yield pd.DataFrame(out, columns=["symbol", "candidate", "weight", "scale", "shift", "symbol_ic", "symbol_ic_after", "ic_before", "ic_after"])
+
+    return table.repartition(1).sortWithinPartitions(order, "symbol").mapInPandas(
+        walk, "symbol string, candidate string, weight double, scale double, shift double, symbol_ic double, symbol_ic_after double, ic_before double, ic_after double")
+
+
+def _to_scale(r: dict, j: int) -> tuple[float, float]:
+    """Factor and shift that bring a candidate to the mean and deviation of the prediction on a symbol."""
+    n = r["n"]
+    m0, m = r["s0"] / n, r[f"s{j}"] / n
+    d0, d = (np.sqrt(max(r[f"g{k}"] / n - v * v, 0.0)) for k, v in ((0, m0), (j, m)))
+    a = max(d0, 1e-8) / max(d, 1e-8)
+    return a, m0 - a * m
+
+
+def apply_candidate_guard(df: DataFrame, chosen: DataFrame, current: str, candidates: Sequence[str], out: str = "pred") -> DataFrame:
+    """The guarded prediction of every row: symbols without a choice keep theirs."""
+    own = F.coalesce(*[F.when(c_("candidate") == n, c_(n)) for n in candidates], F.lit(0.0))
+    mixed = (F.lit(1.0) - c_("weight")) * c_(current) + c_("weight") * (c_("scale") * own + c_("shift"))
+    d = df.join(chosen.select("symbol", "candidate", "weight", "scale", "shift"), "symbol", "left")
+    return d.withColumn(out, F.coalesce(mixed, c_(current))).drop("candidate", "weight", "scale", "shift")
 
 
 def month_offsets(df: DataFrame, month: str = "month", out: str = "offset") -> DataFrame:
