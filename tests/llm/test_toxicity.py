@@ -88,3 +88,24 @@ def test_long_texts_are_fitted(spark, docs_of, monkeypatch):
     assert any(f in model.number for f in ("=vile", "=foul", "vil", "fou"))
     monkeypatch.setattr(toxicity.Stored.__init__, "__defaults__", (1 << 20,))
     assert toxicity.train(docs, labels) == model
+
+
+def test_scores_are_those_of_the_weights(spark):
+    """Every score of a table again from the weights, one sentence at a time and without the operator's caches."""
+    import math
+    folder = FOLDER.replace("0.1", "0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    assert model.number and got.keys() == texts.keys()
+    for d, text in texts.items():
+        clean = 0.0  # log of the chance that no sentence offends
+        for sentence in toxicity._SENTENCE.findall((text or "").lower()):
+            words = toxicity._WORD.findall(sentence)
+            if words:
+                known = {model.number[f] for w in words for f in toxicity.features(w) if f in model.number}
+                z = model.bias + math.fsum(model.weights[k] for k in known)
+                clean -= max(math.log1p(math.exp(-abs(z))) + max(z, 0.0) - model.floor, 0.0)
+        want = 1 - math.exp(clean)
+        assert abs(got[d].score - want) < 1e-9 and got[d].predicted == int(want >= toxicity.THRESHOLD), d
