@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barwright.catalog.base import (BARS_D, BARS_H, GAP_D, GAP_H, HORIZON, KEY, MONTH, PANEL_D, PANEL_H, ROWS, SESS_D,
                                     SESS_H, YEAR, Tables, avg_rank, clip_sql, i, out, pct_rank, probit_sql, query, r,
-                                    rs, sessions_sql, train_rows, z_sql)
+                                    rs, sessions_sql, train_rows, uniform_sql, z_sql)
 from barwright.operators import labels, sessions
 from barwright.plans import xsec
 from barwright.plans.staging import shared_dir
@@ -324,6 +324,32 @@ def _(t: Tables):
                                                "coverage_ok"), ("symbol",))
 
 
+@query("se20_bar_contract", f"""WITH x AS (SELECT *, row_number() OVER () AS k FROM lineitem), b AS (SELECT k, 'S' || (l_suppkey % 12) AS symbol, l_shipdate AS datetime, l_extendedprice AS close, l_quantity AS amount FROM x),
+   f AS (SELECT symbol, sum((datetime < coalesce(p, datetime))::INT)::BIGINT AS falls FROM (SELECT *, lag(datetime) OVER (PARTITION BY symbol ORDER BY k) AS p FROM b) GROUP BY symbol),
+   g AS (SELECT symbol, datetime, count(*) AS n, count(close) AS c, count(amount) AS a FROM b GROUP BY 1, 2)
+   SELECT symbol, sum(n)::BIGINT AS n_rows, strftime(min(datetime), '%Y-%m-%d %H:%M') AS first_bar, strftime(max(datetime), '%Y-%m-%d %H:%M') AS last_bar, sum(n - 1)::BIGINT AS duplicate_keys,
+     0::BIGINT AS off_minute, 0::BIGINT AS off_second, {r('sum(c) / sum(n)', 'close_share')}, {r('sum(a) / sum(n)', 'amount_share')}, any_value(falls) AS falls,
+     'open,high,low,volume,oi' AS missing_columns, FALSE AS holds FROM g JOIN f USING (symbol) GROUP BY symbol""")
+def _(t: Tables):
+    """The raw table as it is stored, read as bars without prices other than the close."""
+    raw = t.table("lineitem").select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = raw.select(F.concat(F.lit("S"), F.col("l_suppkey") % 12).alias("symbol"), F.col("l_shipdate").cast("timestamp_ntz").alias("datetime"),
+                      F.col("l_extendedprice").alias("close"), F.col("l_quantity").alias("amount"), "file", "row")
+    d = sessions.bar_contract(rows, ("file", "row"))
+    d = d.withColumns({n: F.date_format(c, "yyyy-MM-dd HH:mm") for n, c in (("first_bar", "start"), ("last_bar", "end"))})
+    return out(d, ("n_rows", "first_bar", "last_bar", "duplicate_keys", "off_minute", "off_second", "close_share", "amount_share", "falls", "missing_columns", "holds"), ("symbol",))
+
+
+@query("se20_panel_contract", f"""WITH {PANEL_D}, n AS (SELECT *, CASE WHEN label IS NOT NULL THEN {uniform_sql(42, 'symbol', "strftime(datetime, '%Y-%m-%d %H:%M')")} - 0.5 END AS p FROM panel)
+   SELECT symbol, count(*) AS n_rows, (max(session_id) - min(session_id) + 1)::BIGINT AS sessions, sum((gap_min >= {GAP_D})::INT)::BIGINT AS long_breaks,
+     sum((gap_min > 1 AND gap_min < {GAP_D})::INT)::BIGINT AS short_breaks, {r('max(gap_min)', 'max_gap_min')}, {r('count(label) / count(*)', 'label_coverage')},
+     sum((bars_to_next_long_break < {HORIZON} AND label IS NOT NULL)::INT)::BIGINT AS labels_over_break, {r('sum(p * label) / sqrt(sum(p * p) * sum(label * label))', 'random_ic', 6)} FROM n GROUP BY symbol""")
+def _(t: Tables):
+    d = sessions.panel_contract(t.d, HORIZON, GAP_D)
+    return out(d.withColumn("random_ic", F.round("random_ic", 6)), ("n_rows", "sessions", "long_breaks", "short_breaks", "max_gap_min", "label_coverage", "labels_over_break", "random_ic"),
+               ("symbol",), 6).withColumns({c: F.round(c, 4) for c in ("max_gap_min", "label_coverage")})
+
+
 # ---- labels ---------------------------------------------------------------------------------------
 @query("lb01_simple_label", f"WITH {PANEL_D} SELECT {KEY}, {r('label')} FROM panel")
 def _(t: Tables):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barwright.functions.expr import ln_pos, minute_of_day
+from barwright.functions.expr import hash_uniform, ln_pos, minute_of_day
 from barwright.plans import chunks, xsec
 from barwright.plans.ordinal import time_bucket, with_codes
 from barwright.plans.rolling import Rolling
@@ -178,3 +180,72 @@ def quality_report(bars: DataFrame, bucket_seconds: int = 604800) -> DataFrame:
         F.sum("crossed").alias("crossed_bars"),
         (F.sum("closes") / F.sum("n")).alias("close_coverage"),
         (F.sum("closes") / F.sum("n") > 0.5).alias("coverage_ok"))
+
+
+REQUIRED = ("symbol", "datetime", "open", "high", "low", "close", "volume", "amount", "oi")
+
+
+def order_report(bars: DataFrame, place: Sequence[str]) -> DataFrame:
+    """symbol, falls: how often a bar is earlier than the one stored before it, without sorting the bars.
+
+    ``place`` names the columns (text, long) that tell where a row is stored: a file and its row there. Tasks read rows as they are stored and
+    report each symbol's first and last time in every stretch, and the falls inside; stretches are then compared at their edges.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = batch.to_pandas()
+            t["ns"] = t["datetime"].astype("int64")
+            if not len(t):
+                continue
+            keys = ["file", "symbol"]
+            t["fall"] = t.groupby(keys, dropna=False, sort=False)["ns"].diff().lt(0)
+            g = t.groupby(keys, dropna=False, sort=False)
+            one = g.agg(at=("row", "min"), first=("ns", "first"), last=("ns", "last"), falls=("fall", "sum")).reset_index()
+            yield pa.RecordBatch.from_pandas(one[["symbol", "file", "at", "first", "last", "falls"]].astype({"falls": np.int64}), preserve_index=False)
+
+    rows = bars.select("symbol", "datetime", F.col(place[0]).cast("string").alias("file"), F.col(place[1]).cast("long").alias("row")).where("datetime IS NOT NULL")
+    parts = rows.mapInArrow(each, "symbol string, file string, at long, first long, last long, falls long")
+    stored = Window.partitionBy("symbol").orderBy("file", "at")  # stretches only
+    edges = parts.withColumn("edge", F.coalesce((F.col("first") < F.lag("last").over(stored)).cast("long"), F.lit(0)))
+    return edges.groupBy("symbol").agg(F.sum(F.col("falls") + F.col("edge")).alias("falls"))
+
+
+def bar_contract(bars: DataFrame, place: Sequence[str] | None = None, min_coverage: float = 0.5) -> DataFrame:
+    """Per symbol what a bar table must fulfil: required columns, order, unique keys, whole minutes, closes, amounts and open interest.
+
+    ``bars`` may lack columns: the report then names them and leaves out what it cannot say. ``holds`` sums up all conditions. ``place`` as in
+    ``order_report``; without it the order is not reported.
+    """
+    absent = [c for c in REQUIRED if c not in bars.columns]
+    share = lambda c: (F.sum(f"_{c}") / F.sum("n")).alias(f"{c}_share")
+    have = [c for c in ("close", "amount", "oi") if c not in absent]
+    keyed = bars.groupBy("symbol", "datetime").agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"_{c}") for c in have])
+    out = keyed.groupBy("symbol").agg(
+        F.sum("n").alias("n_rows"), F.min("datetime").alias("start"), F.max("datetime").alias("end"), F.sum(F.col("n") - 1).alias("duplicate_keys"),
+        F.sum((F.second("datetime") != 0).cast("long")).alias("off_minute"),
+        F.sum((F.date_format("datetime", "SSSSSS") != "000000").cast("long")).alias("off_second"), *[share(c) for c in have])
+    holds = (F.lit(not absent) & (F.col("duplicate_keys") == 0) & (F.col("off_minute") == 0) & (F.col("off_second") == 0))
+    for c in have:
+        holds = holds & (F.col(f"{c}_share") > (min_coverage if c == "close" else 0.0))
+    if place is not None:
+        out = out.join(order_report(bars, place), "symbol")
+        holds = holds & (F.col("falls") == 0)
+    return out.withColumns({"missing_columns": F.lit(",".join(absent)), "holds": holds})
+
+
+def panel_contract(panel: DataFrame, horizon: int, gap_minutes: float, y: str = "label", seed: int = 42) -> DataFrame:
+    """Per symbol of a panel with sessions and labels: sessions, breaks, label coverage, labels that reach over a break, IC of a random prediction.
+
+    The prediction is a hash of symbol and time, so that any engine can make it.
+    """
+    noise = hash_uniform(seed, "symbol", F.date_format("datetime", "yyyy-MM-dd HH:mm")) - F.lit(0.5)
+    d = panel.withColumn("_p", F.when(F.col(y).isNotNull(), noise))
+    yes = lambda c: F.sum(c.cast("long"))
+    long_gap = F.col("gap_min") >= gap_minutes
+    return d.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n_rows"), (F.max("session_id") - F.min("session_id") + 1).alias("sessions"), yes(long_gap).alias("long_breaks"),
+        yes((F.col("gap_min") > 1) & ~long_gap).alias("short_breaks"), F.max("gap_min").alias("max_gap_min"),
+        (F.count(y) / F.count(F.lit(1))).alias("label_coverage"),
+        yes((F.col("bars_to_next_long_break") < horizon) & F.col(y).isNotNull()).alias("labels_over_break"),
+        F.try_divide(F.sum(F.col("_p") * F.col(y)), F.sqrt(F.sum(F.col("_p") * F.col("_p")) * F.sum(F.col(y) * F.col(y)))).alias("random_ic"))

@@ -12,7 +12,8 @@ SAMPLE = """io02_text_bars io04_sector_enrichment se01_05_sessions_daily se01_05
 lb06_07_xs_targets ts02_mom ts09_ema_macd ts13_skew_kurt ts21_autocorr ts35_dual_thrust tf03_lite_operators tf06_ohlcv_block vw01_csz_unbounded_groups
 vw03_tsz vw05_causal_z vw11_extended_views ev04_rank_ic ev08_stride_ics ev10_newey_west ev11_bootstrap_ci jn06_prior_months fs05_yearly_score
 sp03_quarterly_splits wn02_windows sm03_weighted_fill sm05_event_tail ca04_key_affine ca05_composite_keys en09_rolling_grid en11_rolling_group_alpha
-en23_regime_memory en29_cross_section_blend uv01_unique_visitors""".split()
+en23_regime_memory en29_cross_section_blend uv01_unique_visitors
+se20_bar_contract se20_panel_contract tf10_bank_b_3_13 sm07_whole_timestamps en28_candidate_guard""".split()
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("BARWRIGHT_ORACLE") == "all" else SAMPLE
 
 
