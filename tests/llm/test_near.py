@@ -104,20 +104,20 @@ def test_texts_shipped_are_linear_in_a_group(docs_of, monkeypatch):
     monkeypatch.setattr(near, "spokes", counted(spokes))
     monkeypatch.setattr(near, "in_tiles", counted(tiles))
     figures = []
-    for m in (1000, 3000):
+    for m in (600, 1800):
         rows = near_copies(m, 4)
         shipped.clear()
         got = result(near.components_of(docs_of(rows)))
         assert {c for _, c in got.values()} >= {0} and len(got) == m
         figures.append(sum(shipped))
-    assert figures[0] < 8 * 1000 and figures[1] < 8 * 3000  # a few rows a member, in any number of rounds
+    assert figures[0] < 8 * 600 and figures[1] < 8 * 1800  # a few rows a member, in any number of rounds
 
 
 def test_apart_after_all_rounds(docs_of, monkeypatch):
     """No rounds of pivots: what is left is refuted or compared in tiles; and with rounds, the same."""
     rows = near_copies(300, 7, seed=4)
     want = brute(rows)
-    for rounds in (0, 1, 4):
+    for rounds in (0, 1):
         monkeypatch.setattr(near, "ROUNDS", rounds)
         assert result(near.components_of(docs_of(rows))) == want
 
