@@ -523,9 +523,45 @@ def _(t: Tables):
 
 
 # ---- branches, guards, rules ----------------------------------------------------------------------------
-@query("en25_greedy_branches")
+BRANCH_GRID = (-0.5, -0.25, -0.1, 0.1, 0.25, 0.5)
+_xy, _xx = (f"({e})" for e in ("w1 * y1 + w2 * y2 + w3 * y3", "w1 * w1 * g11 + w2 * w2 * g22 + w3 * w3 * g33 + 2 * (w1 * w2 * g12 + w1 * w3 * g13 + w2 * w3 * g23)"))
+_new = lambda e: e.replace("w1", "n1").replace("w2", "n2").replace("w3", "n3")
+
+
+def branches_sql(start: int, positive: int, decline: float, last: float) -> str:
+    return f"""WITH RECURSIVE {PREDS}, gs AS (SELECT month, sum(label * label) AS yy, {', '.join(f'sum(p{k} * label) AS y{k}' for k in (1, 2, 3))},
+     {', '.join(f'sum(p{j} * p{k}) AS g{j}{k}' for j in (1, 2, 3) for k in (1, 2, 3) if j <= k)} FROM preds WHERE NOT ({TRAIN}) GROUP BY month),
+   ws AS (SELECT {', '.join(f'{float(k == start)}::DOUBLE AS w{k}' for k in (1, 2, 3))}),
+   walk AS (SELECT 0::BIGINT AS step, [{start}]::INT[] AS used, ws.*, (SELECT sum({_xy}) / sqrt(sum({_xx}) * sum(yy)) FROM gs, ws) AS ic,
+       NULL::STRUCT(ic DOUBLE, c INT, a DOUBLE, n1 DOUBLE, n2 DOUBLE, n3 DOUBLE, pos BIGINT, low DOUBLE, late DOUBLE) AS best FROM ws
+     UNION ALL SELECT step + 1, list_append(used, best.c), best.n1, best.n2, best.n3, best.ic, best FROM (
+       SELECT step, used, max({{'ic': ic_new, 'c': c, 'a': a, 'n1': n1, 'n2': n2, 'n3': n3, 'pos': pos, 'low': low, 'late': late}}) AS best FROM (
+         SELECT step, used, ic, c, a, n1, n2, n3, sum({_new(_xy)}) / sqrt(sum({_new(_xx)}) * sum(yy)) AS ic_new, count(*) FILTER (gain > 0) AS pos, count(*) AS n, min(gain) AS low, max_by(gain, month) AS late
+         FROM (SELECT *, {_new(_xy)} / sqrt({_new(_xx)} * yy) - {_xy} / sqrt({_xx} * yy) AS gain FROM (
+           SELECT v.step, v.used, v.ic, v.w1, v.w2, v.w3, c, a, {', '.join(f'(1 - a) * w{k} + a * (c = {k})::INT AS n{k}' for k in (1, 2, 3))}
+           FROM walk v, (VALUES (1), (2), (3)) q(c), (VALUES {', '.join(f'({x}::DOUBLE)' for x in BRANCH_GRID)}) g(a) WHERE NOT list_contains(v.used, c) AND v.step < 5) t, gs)
+         GROUP BY step, used, ic, c, a, n1, n2, n3)
+       WHERE pos >= least({positive}, n) AND low >= {decline} AND late >= {last} AND ic_new >= ic + 1e-4 GROUP BY step, used))
+   SELECT step, CASE WHEN step = 0 THEN 'p{start}' ELSE 'p' || best.c END AS candidate, {r('CASE WHEN step = 0 THEN 1 ELSE best.a END', 'weight')}, {r('ic', 'ic', 6)},
+     coalesce(best.pos, 0)::BIGINT AS positive_groups, {r('coalesce(best.low, 0)', 'min_group_delta', 6)}, {r('coalesce(best.late, 0)', 'last_group_delta', 6)} FROM walk"""
+
+
+def _branches(t: Tables, start: int, positive: int, decline: float, last: float):
+    rows = gram(t.preds.where(~train_rows()), ["month"], list(P), "label").orderBy("month").collect()  # one row a month
+    steps = blend.greedy_branches([Stats.of(x) for x in rows], P, BRANCH_GRID, start=start - 1, min_positive=positive, max_decline=decline, min_last=last)
+    d = t.spark.createDataFrame(steps, "step long, candidate string, weight double, ic double, positive_groups long, min_group_delta double, last_group_delta double")
+    return out(d, ("weight", "ic", "positive_groups", "min_group_delta", "last_group_delta"), ("step", "candidate"), 6)
+
+
+@query("en25_greedy_branches", branches_sql(2, 0, -1e9, -1e9))
+def _(t: Tables):
+    return _branches(t, 2, 0, -1e9, -1e9)
+
+
+@query("en25_stable_branches", branches_sql(2, 30, 0.01, 0.0))
 def _(t: Tables):
-    return _names(t, blend.greedy_branches(row_stats(t, ~train_rows()), P, (-0.5, -0.25, -0.1, 0.1, 0.25, 0.5), start=1), "step long, candidate string, weight double, ic double")
+    """The same with a gate: enough months gain, none loses much, nor does the last."""
+    return _branches(t, 2, 30, 0.01, 0.0)
 
 
 def _dl(x: str) -> str:

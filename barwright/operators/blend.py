@@ -320,27 +320,34 @@ def gate_features(df: DataFrame, train: Column, xs: Sequence[str], bound: float
 
 
 # ---- branch selection ---------------------------------------------------------------------------
-def greedy_branches(s: Stats, names: Sequence[str], grid: Sequence[float], start: int = 0, min_delta: float = 1e-4, max_steps: int = 5) -> list[tuple[int, str, float, float]]:
-    """From a start branch, mix in the candidate and weight with the best validation IC gain."""
+def greedy_branches(groups: Sequence[Stats], names: Sequence[str], grid: Sequence[float], start: int = 0, min_delta: float = 1e-4, max_steps: int = 5,
+                    min_positive: int = 0, max_decline: float = -np.inf, min_last: float = -np.inf) -> list[tuple]:
+    """(step, candidate, weight, ic, positive_groups, min_group_delta, last_group_delta): from a start branch, mix in what gains most.
+
+    ``groups`` are statistics of the validation groups in order (months, say); they add up to the whole, so a trial gives its IC and its gain in every
+    group without reading rows. A trial counts if at least ``min_positive`` groups gain (or all there are), none loses more than ``max_decline`` allows and
+    the last gains ``min_last``. Steps end where the best stable trial gains less than ``min_delta``. A candidate is mixed in once.
+    """
+    whole, order = total(groups), sorted(range(len(names)), key=lambda j: names[j])
     w = np.zeros(len(names))
     w[start] = 1.0
-    steps, used = [(0, names[start], 1.0, float(s.ic(w)))], {start}
+    steps, used = [(0, names[start], 1.0, float(whole.ic(w)), 0, 0.0, 0.0)], {start}
     while len(steps) <= max_steps:
-        best = (s.ic(w) + min_delta, None)
-        for j in range(len(names)):
-            if j in used:
-                continue
+        now, before = whole.ic(w), np.array([s.ic(w) for s in groups])
+        best = (now, None)
+        for j in (j for j in order if j not in used):
             for a in grid:
                 trial = (1 - a) * w
                 trial[j] += a
-                v = s.ic(trial)
-                if v > best[0]:
-                    best = (v, (j, a, trial))
-        if best[1] is None:
+                gain = np.array([s.ic(trial) for s in groups]) - before
+                stable = (gain > 0).sum() >= min(min_positive, len(gain)) and gain.min() >= max_decline and gain[-1] >= min_last
+                if stable and (v := whole.ic(trial)) > best[0]:
+                    best = (v, (j, a, trial, gain))
+        if best[1] is None or best[0] < now + min_delta:
             break
-        j, a, w = best[1]
+        j, a, w, gain = best[1]
         used.add(j)
-        steps.append((len(steps), names[j], float(a), float(best[0])))
+        steps.append((len(steps), names[j], float(a), float(best[0]), int((gain > 0).sum()), float(gain.min()), float(gain[-1])))
     return steps
 
 

@@ -232,9 +232,17 @@ def test_greedy_branches_gain():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(800, 3))
     y = x[:, 0] + x[:, 1] + rng.normal(size=800)
-    s = Stats(800, 800, x.sum(0), x.T @ y, x.T @ x, y.sum(), float(y @ y))
-    steps = blend.greedy_branches(s, ["a", "b", "c"], (0.25, 0.5), start=0)
-    assert steps[1][1] == "b" and steps[-1][3] > steps[0][3]
+    made = lambda x, y: Stats(len(y), len(y), x.sum(0), x.T @ y, x.T @ x, y.sum(), float(y @ y))
+    groups = [made(x[k::4], y[k::4]) for k in range(4)]
+    steps = blend.greedy_branches(groups, ["a", "b", "c"], (0.25, 0.5), start=0)
+    assert steps[1][1] == "b" and steps[-1][3] > steps[0][3] and steps[1][4] == 4
+    # in the last group the branch that pays elsewhere does harm: the gate keeps it out
+    y[3::4] = x[3::4, 0] - x[3::4, 1]
+    groups = [made(x[k::4], y[k::4]) for k in range(4)]
+    loose = blend.greedy_branches(groups, ["a", "b", "c"], (0.1, 0.25), start=0)
+    assert loose[1][1] == "b" and loose[1][6] < 0 and loose[1][4] == 3
+    assert len(blend.greedy_branches(groups, ["a", "b", "c"], (0.1, 0.25), start=0, min_positive=4)) == 1
+    assert all(s[1] != "b" for s in blend.greedy_branches(groups, ["a", "b", "c"], (0.1, 0.25), start=0, min_last=0.0))
 
 
 def test_edge_search_in_one_and_two_levels(data):
