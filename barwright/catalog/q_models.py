@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barwright.catalog.base import (COMPONENTS, KEY, PREDS, ROWS, TRAIN, Tables, clip_sql, i, ic_sql, out, pct_rank, query, r, rs, train_rows, z_sql)
 from barwright.catalog.q_select import _names
-from barwright.operators import blend, calibrate as cal, evaluate as ev, labels, linear, memory, relational as rel, sampling, splits, views
+from barwright.operators import blend, calibrate as cal, evaluate as ev, labels, linear, memory, relational as rel, sampling, select, splits, views
 from barwright.plans.moments import Stats, gram, score
 
 P = list(COMPONENTS)
@@ -654,14 +654,22 @@ def _(t: Tables):
     return _names(t, [(a, b, float(v)) for a, b, v in rows], "candidate string, fold string, ic double")
 
 
-@query("en33_candidate_catalog", f"""WITH {PREDS}, comp AS (SELECT DISTINCT CASE WHEN p1 > 0 THEN 'mom' ELSE 'rev' END AS component FROM preds), sets AS (SELECT unnest(['raw', 'xsz', 'xrank']) AS feature_set),
-   plain AS (SELECT feature_set, rule, '' AS calibration FROM sets, (VALUES ('equal'), ('top1'), ('simplex')) v(rule)),
-   calb AS (SELECT feature_set, rule, calibration FROM sets, (VALUES ('equal'), ('simplex')) v(rule), (VALUES ('time60_a0.25'), ('time90_a0.5')) w(calibration) WHERE feature_set IN ('raw', 'xrank'))
-   SELECT feature_set, rule, calibration, feature_set || '__' || rule || CASE WHEN calibration <> '' THEN '__' || calibration ELSE '' END AS candidate, (SELECT count(*) FROM comp) AS n_columns FROM (SELECT * FROM plain UNION ALL SELECT * FROM calb)""")
+_rows = lambda values: ", ".join(f"('{v}')" for v in values)
+
+
+@query("en33_candidate_catalog", f"""WITH {PREDS}, sc AS ({' UNION ALL '.join(f"SELECT '{x}' AS factor, sum({x} * label) / sqrt(sum({x} * {x}) * sum(label * label)) AS ic FROM preds WHERE {TRAIN}" for x in P)}),
+   o AS (SELECT list(factor ORDER BY abs(ic) DESC, factor) AS c FROM sc),
+   sets AS (SELECT s.name AS feature_set, flatten(list_transform(s.views, lambda v: list_transform(c[1:s.most], lambda x: CASE WHEN v = 'raw' THEN x ELSE x || '_' || v END))) AS columns
+     FROM o, (VALUES {', '.join(f"('{n}', {list(v)}, {k})" for n, v, k in blend.CATALOG_SETS)}) s(name, views, most)),
+   al AS (SELECT *, '' AS calibration FROM sets, (VALUES {_rows(blend.CATALOG_RULES)}) v(rule)
+     UNION ALL SELECT * FROM sets, (VALUES {_rows(blend.CALIBRATED_RULES)}) v(rule), (VALUES {_rows(f'time{m}_a{a:g}' for m, a in blend.CALIBRATIONS)}) w(calibration)
+     WHERE feature_set IN ({', '.join(f"'{n}'" for n in blend.CALIBRATED_SETS)}))
+   SELECT feature_set || '__' || rule || CASE WHEN calibration <> '' THEN '__' || calibration ELSE '' END AS candidate, feature_set, rule, calibration,
+     array_to_string(columns, ',') AS columns, len(columns)::BIGINT AS n_columns FROM al""")
 def _(t: Tables):
-    comp = t.preds.select(F.when(c_("p1") > 0, F.lit("mom")).otherwise(F.lit("rev")).alias("component")).distinct()
-    cat = blend.candidate_catalog(comp, ("raw", "xsz", "xrank"), ("equal", "top1", "simplex"), ((60, 0.25), (90, 0.5)), ("equal", "simplex"))
-    return cat.select("feature_set", "rule", "calibration", "candidate", F.size("columns").cast("long").alias("n_columns"))
+    """Eleven sets by seven rules and sixty calibrated ones, over the components of the score table."""
+    cat = blend.candidate_catalog(select.standalone(t.preds, P, train_rows()))
+    return cat.select("candidate", "feature_set", "rule", "calibration", F.array_join("columns", ",").alias("columns"), F.size("columns").cast("long").alias("n_columns"))
 
 
 @query("en34_family_combinations")

@@ -368,15 +368,37 @@ def cross_section_blend(df: DataFrame, g: Groups, val: Column, p: str, mode: str
     return d.transform(scalars(one)).withColumn("pred", (F.lit(1.0) - c_("cs_weight")) * c_(p) + c_("cs_weight") * c_("_cs")).drop("_cs")
 
 
-def candidate_catalog(components: DataFrame, views_: Sequence[str], rules: Sequence[str], calibrations: Sequence[tuple[int, float]], cal_rules: Sequence[str]) -> DataFrame:
-    """Component sets x rules, plus calibrated variants of some; a catalogue of names."""
-    suffixed = lambda v: lambda x: F.concat(x, F.lit("" if v == "raw" else f"_{v}"))
-    sets = components.select(F.array_sort(F.collect_set("component")).alias("_c")).select(F.explode(F.array(*[
-        F.struct(F.lit(v).alias("feature_set"), F.transform("_c", suffixed(v)).alias("columns")) for v in views_])).alias("s")).select("s.*")
-    plain = sets.withColumn("rule", F.explode(F.array(*[F.lit(r) for r in rules]))).withColumn("calibration", F.lit(""))
-    cal = (sets.where(c_("feature_set").isin("raw", views_[-1])).withColumn("rule", F.explode(F.array(*[F.lit(r) for r in cal_rules])))
-           .withColumn("calibration", F.explode(F.array(*[F.lit(f"time{m}_a{a:g}") for m, a in calibrations]))))
-    return plain.unionByName(cal).withColumn("candidate", F.concat_ws("__", "feature_set", "rule", F.when(c_("calibration") != "", c_("calibration"))))
+# Names of the candidate sets with their views and how many components, the rules, and the calibrated ones with (minutes, alpha)
+CATALOG_SETS = (("raw3", ("raw",), 3), ("xcenter3", ("xcenter",), 3), ("xsz3", ("xsz",), 3), ("xrank3", ("xrank",), 3), ("rankgauss3", ("rankgauss",), 3),
+                ("tanh3", ("tanh",), 3), ("raw_xsz6", ("raw", "xsz"), 3), ("xsz_rank6", ("xsz", "xrank"), 3), ("best_raw2", ("raw",), 2),
+                ("best_xsz2", ("xsz",), 2), ("best_rank2", ("rankgauss",), 2))
+CATALOG_RULES = ("equal", "top1", "icpos", "simplex", "signed_ridge_a001", "signed_ridge_a01", "signed_ridge_a1")
+CALIBRATED_SETS = ("raw3", "raw_xsz6", "best_raw2")
+CALIBRATED_RULES = ("equal", "simplex", "signed_ridge_a001", "signed_ridge_a01", "signed_ridge_a1")
+CALIBRATIONS = ((60, 0.25), (90, 0.25), (120, 0.25), (120, 0.5))
+
+
+def candidate_catalog(scores: DataFrame, name: str = "factor", score: str = "train_ic") -> DataFrame:
+    """candidate, feature_set, rule, calibration, columns: every set of component columns with every rule, and calibrated variants of some.
+
+    Components are the names of a score table, best |score| first (ties by name), so sets of two hold the two best. A table of names: 137 rows.
+    """
+    best = scores.agg(F.array_sort(F.collect_list(F.struct((-F.abs(score)).alias("_s"), c_(name).alias("name")))).alias("_b")).select(c_("_b")["name"].alias("_c"))
+
+    def suffixed(view: str):
+        return lambda x: F.concat(x, F.lit("" if view == "raw" else f"_{view}"))
+
+    def columns(views_: Sequence[str], most: int) -> Column:
+        return F.concat(*[F.transform(F.slice("_c", 1, most), suffixed(v)) for v in views_])
+
+    sets = best.select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature_set"), columns(v, k).alias("columns")) for n, v, k in CATALOG_SETS])))
+    literals = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
+    plain = sets.withColumn("rule", literals(CATALOG_RULES)).withColumn("calibration", F.lit(""))
+    calibrated = (sets.where(c_("feature_set").isin(*CALIBRATED_SETS)).withColumn("rule", literals(CALIBRATED_RULES))
+                  .withColumn("calibration", literals([f"time{m}_a{a:g}" for m, a in CALIBRATIONS])))
+    d = plain.unionByName(calibrated)
+    return d.select(F.concat_ws("__", "feature_set", "rule", F.when(c_("calibration") != "", c_("calibration"))).alias("candidate"),
+                    "feature_set", "rule", "calibration", "columns")
 
 
 def outer_harness(df: DataFrame, sets: dict[str, Sequence[str]], solvers: dict[str, linear.Solver], folds: Sequence[tuple[str, str]], audit_from: str,
