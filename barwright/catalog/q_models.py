@@ -6,9 +6,9 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from barwright.catalog.base import (COMPONENTS, KEY, PREDS, ROWS, TRAIN, Tables, clip_sql, i, ic_sql, out, pct_rank, query, r, rs, train_rows, z_sql)
+from barwright.catalog.base import (BASE_D, COMPONENTS, KEY, PANEL_D, PANEL_H, PREDS, ROWS, TRAIN, Tables, clip_sql, i, ic_sql, m_, out, pct_rank, query, r, rs, train_rows, w_, z_sql)
 from barwright.catalog.q_select import _names
-from barwright.operators import blend, calibrate as cal, evaluate as ev, labels, linear, memory, relational as rel, sampling, select, splits, views
+from barwright.operators import blend, calibrate as cal, evaluate as ev, factors, labels, linear, memory, relational as rel, sampling, select, splits, views
 from barwright.plans.moments import Stats, gram, score
 
 P = list(COMPONENTS)
@@ -188,6 +188,71 @@ def _(t: Tables):
     return out(d, cols[1:])
 
 
+STATE = "st AS (SELECT symbol, datetime, (high - low) / close AS state_range, ln(1 + volume) AS state_logvol, close / lag(close) OVER (PARTITION BY symbol ORDER BY datetime) - 1 AS ret1s FROM panel)"
+BIN_SQL = {"conf": "abs({p})", "range": "state_range", "vol": "state_logvol", "ret": "abs(ret1s)"}
+
+
+def rolling_edges_sql(parts: dict[str, int], p: str, back: int, src: str = "j") -> str:
+    """A table e_<part> per binned part: the distinct edges of every time ti that has enough values behind it."""
+    tables = []
+    for kind, n in parts.items():
+        x, probs = BIN_SQL[kind].format(p=p), ", ".join(repr(k / n) for k in range(1, n))
+        tables.append(f"e_{kind} AS (SELECT m.ti, list_distinct(quantile_cont({x}, [{probs}])) AS e FROM (SELECT DISTINCT ti FROM {src}) m JOIN {src} b ON b.ti < m.ti AND b.ti >= m.ti - {back} "
+                      f"WHERE {x} IS NOT NULL GROUP BY m.ti HAVING count(*) >= {max(1000, 100 * n)})")
+    return ", ".join(tables)
+
+
+def rolling_key_sql(kind: str, p: str) -> str:
+    # a quantile between equal values may come out an ulp above them in DuckDB
+    return f"coalesce(len(list_filter(e_{kind}.e, lambda v: v <= {BIN_SQL[kind].format(p=p)} + 1e-12)), 0)::BIGINT"
+
+
+def rolling_keys_sql(parts: dict[str, int], p: str, back: int, ti: str, more: str, src: str) -> str:
+    keys = ", ".join(f"{rolling_key_sql(k, p)} AS {k}{n}_key" for k, n in parts.items())
+    return (f"{STATE}, j AS (SELECT q.*, state_range, state_logvol, ret1s, {ti} AS ti FROM {src} q LEFT JOIN st USING (symbol, datetime)), {rolling_edges_sql(parts, p, back)} "
+            f"SELECT {KEY}, {more}, {keys} FROM j " + " ".join(f"LEFT JOIN e_{k} USING (ti)" for k in parts))
+
+
+BINS = {"conf": 4, "range": 3, "vol": 3, "ret": 5}
+HOURLY = BASE_D.replace(PANEL_D, PANEL_H) + f", hp AS (SELECT * FROM (SELECT symbol, datetime, label, {m_(f'sum(lr) OVER {w_(5)}', 5)} AS p1 FROM base) WHERE p1 IS NOT NULL)"
+
+
+@query("ca05_rolling_keys", f"WITH {PREDS}, " + rolling_keys_sql(BINS, "p1", 18, YM, f"{i('sign(p1)', 'sign_key')}", "preds"))
+def _(t: Tables):
+    d = rel.attach_state(t.preds, t.d, ROWS).withColumn("month_no", cal.month_number("month"))
+    d, cols = cal.rolling_keys(d, ["sign", "conf4", "range3", "vol3", "ret5"], "p1", "month_no")
+    return out(d, cols)
+
+
+@query("ca05_rolling_keys_hourly", f"WITH {HOURLY}, " + rolling_keys_sql(
+    BINS, "p1", 10, "date_diff('day', DATE '1970-01-01', datetime::DATE)",
+    f"{i('hour(datetime)', 'hour_key')}, {i('CASE WHEN hour(datetime) <= 10 THEN 0 WHEN hour(datetime) <= 12 THEN 1 WHEN hour(datetime) <= 14 THEN 2 ELSE 3 END', 'tod4_key')}, "
+    f"{i('sign(p1)', 'sign_key')}", "hp"))
+def _(t: Tables):
+    d = factors.factor_panel(t.h, ["mom"], (5,), keep=("symbol", "datetime", "label"), rows=ROWS).withColumnRenamed("mom_5", "p1")
+    d = rel.attach_state(d, t.h, ROWS).withColumn("day", F.unix_date(F.to_date("datetime")))
+    d, cols = cal.rolling_keys(d.where(F.col("p1").isNotNull()), ["hour", "tod4", "sign", "conf4", "range3", "vol3", "ret5"], "p1", "day", lookback=10)
+    return out(d, cols)
+
+
+RB = {"conf": 4, "range": 3}
+RB_KEYS = f"{rolling_key_sql('conf', 'p3')} AS ck, {rolling_key_sql('range', 'p3')} AS rk, sign(p3)::BIGINT AS sk"
+RB_SUMS = "sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy"
+RB_SQL = f"""{STATE}, j AS (SELECT q.*, state_range, state_logvol, ret1s, {YM} AS ti FROM preds q LEFT JOIN st USING (symbol, datetime)), {rolling_edges_sql(RB, 'p3', 18)},
+   w AS (SELECT m.tm, p3, label, {RB_KEYS} FROM (SELECT DISTINCT ti AS tm FROM j) m JOIN j b ON b.ti < m.tm AND b.ti >= m.tm - 18 LEFT JOIN e_conf ON e_conf.ti = m.tm LEFT JOIN e_range ON e_range.ti = m.tm),
+   per AS (SELECT tm AS ti, ck, rk, sk, count(*)::DOUBLE AS n, sum(p3) AS sx, sum(label) AS sy, sum(p3 * p3) AS sxx, sum(p3 * label) AS sxy FROM w GROUP BY ALL), tot AS (SELECT ti, {RB_SUMS} FROM per GROUP BY ti),
+   gl AS (SELECT ti, (sxy - sx * sy / n) / (sxx - sx * sx / n) AS gs, (sxx - sx * sx / n) / n AS gv, sy / n AS my, sx / n AS mx FROM tot WHERE n >= 1000), glo AS (SELECT *, my - gs * mx AS gi FROM gl),
+   par0 AS (SELECT ti, ck, rk, sk, gs, gi, n, sx, sy, least(greatest((sxy - sx * sy / n + 400 * gv * gs) / (sxx - sx * sx / n + 400 * gv), 0.5), 1.5) AS slope FROM per JOIN glo USING (ti)),
+   par AS (SELECT ti, ck, rk, sk, slope, (n * (sy / n - slope * sx / n) + 300 * gi) / (n + 300) AS icpt FROM par0),
+   k AS (SELECT symbol, datetime, ti, p3, {RB_KEYS} FROM j LEFT JOIN e_conf USING (ti) LEFT JOIN e_range USING (ti))"""
+
+
+@query("ca05_rolling_bucket_affine", f"WITH {PREDS}, {RB_SQL} SELECT {KEY}, {r('CASE WHEN gs IS NULL THEN p3 ELSE coalesce(slope, gs) * p3 + coalesce(icpt, gi) END', 'pred_cal')} FROM k LEFT JOIN glo USING (ti) LEFT JOIN par USING (ti, ck, rk, sk)")
+def _(t: Tables):
+    d = rel.attach_state(t.preds, t.d, ROWS).withColumn("month_no", cal.month_number("month"))
+    return out(cal.rolling_bucket_affine(d, ["conf4", "range3", "sign"], "p3", min_train=1000, output="label"), ("pred_cal",))
+
+
 @query("ca06_group_time_affine", f"""WITH {PREDS}, s AS (SELECT grp, count(*) AS n, avg(p3) AS mx, avg(label) AS my, covar_pop(p3, label) / var_pop(p3) AS own FROM preds WHERE {TRAIN} GROUP BY grp),
    g AS (SELECT covar_pop(p3, label) / var_pop(p3) AS gs FROM preds WHERE {TRAIN}), p AS (SELECT grp, n, n / (n + 2000.0) AS a, own, my - own * mx AS ic0 FROM s WHERE n >= 500),
    q AS (SELECT grp, (1 - a) * gs + a * least(greatest(own, 0.35), 1.85) AS slope, a * 0.35 * ic0 AS icpt FROM p, g)
@@ -196,11 +261,29 @@ def _(t: Tables):
     return out(cal.group_time_affine(t.preds, train_rows(), "grp", "p3", k=2000.0, min_rows=500), ("pred_cal",))
 
 
-@query("ca07_bucket_scales")
+def scales_sql(x: str, steps: int = 400) -> str:
+    """The fixed point of the two numbers, by plain steps."""
+    up, curve = "(gain * b.a + 0.02 * b.n / o.n)", "(price * b.b + 0.02 * b.n / o.n)"
+    s = f"CASE WHEN {curve} > 0 THEN least(greatest({up} / {curve}, 0.7), 1.3) WHEN {up} > {curve} THEN 1.3 ELSE 0.7 END"
+    return f"""WITH RECURSIVE {PREDS}, b AS MATERIALIZED (SELECT symbol, sum({x} * label) AS a, sum({x} * {x}) AS b, count(*)::DOUBLE AS n, sum(label * label) AS yy FROM preds WHERE {TRAIN} GROUP BY symbol),
+   o AS MATERIALIZED (SELECT sum(a) AS a, sum(b) AS b, sum(n) AS n, sum(yy) AS yy FROM b),
+   it AS (SELECT 0 AS k, 1 / sqrt(b * yy) AS gain, a / (sqrt(b * yy) * b) AS price FROM o
+          UNION ALL SELECT k + 1, 1 / sqrt(q * yy), num / (sqrt(q * yy) * q) FROM (
+            SELECT any_value(k) AS k, sum(s * a) AS num, sum(s * s * b) AS q, any_value(yy) AS yy FROM (SELECT k, b.a, b.b, o.yy, {s} AS s FROM it, b, o WHERE k < {steps})) WHERE k IS NOT NULL),
+   z AS (SELECT symbol, {s} AS s FROM it, b, o WHERE k = {steps})
+   SELECT {KEY}, {r('label')}, {r(f'{x} * coalesce(s, 1.0)', 'pred_out')} FROM preds LEFT JOIN z USING (symbol)"""
+
+
+@query("ca07_bucket_scales")  # the blend goes against the label: many local optima
 def _(t: Tables):
     return preds_out(cal.bucket_scales(t.preds, train_rows(), "symbol", "p3"), "pred_cal")
 
 
+@query("ca07_bucket_scales_reversal", scales_sql("(-p3)"))
+def _(t: Tables):
+    return preds_out(cal.bucket_scales(t.preds.withColumn("rev", -F.col("p3")), train_rows(), "symbol", "rev"), "pred_cal")
+
+
 SHIFT = f"""s AS (SELECT count(*)::DOUBLE AS n, sum(p2) AS sp, sum(label) AS sy, sum(p2 * p2) AS pp, sum(p2 * label) AS py, sum(label * label) AS yy FROM preds WHERE {TRAIN}),
    g AS (SELECT s.*, k AS step, -3.0::DOUBLE + 6.0::DOUBLE / 48 * k AS coef, (-3.0::DOUBLE + 6.0::DOUBLE / 48 * k) * abs(sp / n) AS sh FROM s, range(49) t(k)),
    v AS (SELECT step, coef, sh, (py - sh * sy) / sqrt((pp - 2 * sh * sp + n * sh * sh) * yy) AS ic FROM g)"""
@@ -363,6 +446,20 @@ def _(t: Tables):
     return preds_out(blend.rolling_blend(t.preds, P, min_months=12, anchor="p1", anchor_min=0.1)[0])
 
 
+@query("en09_remembered", f"""WITH {PREDS}, z AS (SELECT *, -p1 AS p, CASE WHEN month LIKE '%-07' THEN 0.0 ELSE -p3 END AS q FROM preds),
+   ms AS (SELECT month, row_number() OVER (ORDER BY month) AS k, sum(p * label) AS c1, sum(q * label) AS c2, sum(p * p) AS g1, sum(p * q) AS g12, sum(q * q) AS g2, stddev_pop(p) AS s1, stddev_pop(q) AS s2 FROM z GROUP BY month),
+   s AS (SELECT a.month, a.k - 1 AS times, any_value(a.s1) > 1e-10 AND max(b.s1) > 1e-10 AS on1, any_value(a.s2) > 1e-10 AND max(b.s2) > 1e-10 AS on2, {', '.join(f'sum(b.{x}) AS {x}' for x in ('c1', 'c2', 'g1', 'g12', 'g2'))}
+         FROM ms a LEFT JOIN ms b ON b.k < a.k GROUP BY a.month, a.k),
+   c AS (SELECT *, unnest([0.1, 0.9, least(greatest((c1 * g2 - c2 * g12) / (c1 * g2 - c2 * g12 + c2 * g1 - c1 * g12), 0.1), 0.9)]) AS a FROM s),
+   b AS (SELECT *, (a * c1 + (1 - a) * c2) / sqrt(a * a * g1 + 2 * a * (1 - a) * g12 + (1 - a) * (1 - a) * g2) AS v FROM c),
+   f AS (SELECT month, CASE WHEN times < 12 THEN 0.5 WHEN on1 AND NOT on2 THEN 1.0 WHEN on2 AND NOT on1 THEN 0.0 ELSE a END AS a FROM b QUALIFY row_number() OVER (PARTITION BY month ORDER BY v DESC NULLS LAST) = 1)
+   SELECT {KEY}, {r('a', 'weight', 3)}, {r('a * p + (1 - a) * q', 'pred', 3)} FROM z JOIN f USING (month)""")
+def _(t: Tables):
+    d = t.preds.withColumn("q", F.when(~F.col("month").endswith("-07"), -F.col("p3"))).withColumn("p", -F.col("p1"))  # q is missing in July
+    d, table = blend.remembered_blend(d, ["p", "q"], min_months=12, anchor="p", anchor_min=0.1)
+    return out(d.join(table.select("month", F.element_at("weights", 1).alias("weight")), "month"), ("weight", "pred"), digits=3)
+
+
 @query("en09_rolling_grid", f"""WITH {PREDS}, ms AS (SELECT month, {STAT} FROM preds GROUP BY month), o AS (SELECT *, row_number() OVER (ORDER BY month) AS k FROM ms),
    s AS (SELECT a.month, {', '.join(f'sum(b.{x}) AS {x}' for x in STAT_OUT)} FROM o a JOIN o b ON b.k < a.k AND b.k >= a.k - 12 GROUP BY a.month), {grid_sql(10)}
    SELECT month, {r('w1')}, {r('w2')}, {r('w3')}, {r('ic', 'ic', 6)} FROM grid QUALIFY row_number() OVER (PARTITION BY month ORDER BY ic DESC, w1, w2, w3) = 1""")

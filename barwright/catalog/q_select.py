@@ -219,6 +219,16 @@ def _(t: Tables):
     return out(w, ("length", "padded", "sum_volume", "first_oi", "last_volume"))
 
 
+@query("wn02_strided", f"""WITH {PANEL_D}, x AS (SELECT *, list(volume) OVER f AS v, list(oi) OVER f AS o FROM panel WINDOW f AS (PARTITION BY symbol, session_id ORDER BY datetime ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+   SELECT {KEY}, {i('session_pos')}, {i('30 - len(v)', 'padded')}, {r('list_sum(v)', 'sum_volume')}, {r('CASE WHEN len(o) = 30 THEN o[1] ELSE 0 END', 'first_oi')}, {r('v[len(v)]', 'last_volume')} FROM x WHERE label IS NOT NULL AND session_pos % 12 = 0""")
+def _(t: Tables):
+    w = splits.strided_windows(t.d, ("volume", "oi"), 30, 12, F.col("label").isNotNull())
+    w = w.select("symbol", "datetime", "session_pos", F.greatest(F.lit(29) - F.col("session_pos"), F.lit(0)).alias("padded"),
+                 F.aggregate("window", F.lit(0.0), lambda a, s: a + s["volume"]).alias("sum_volume"), F.element_at("window", 1)["oi"].alias("first_oi"),
+                 F.element_at("window", -1)["volume"].alias("last_volume"))
+    return out(w, ("session_pos", "padded", "sum_volume", "first_oi", "last_volume"))
+
+
 @query("wn03_train_scale", f"WITH {PREDS}, s AS (SELECT avg(label) AS m, stddev_pop(label) AS s FROM preds WHERE {TRAIN}) SELECT {KEY}, {r('(label - m) / greatest(s, 1e-8)', 'target_z')} FROM preds, s")
 def _(t: Tables):
     return out(splits.train_scale(t.preds, "label", train_rows()), ("target_z",))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barwright.functions.expr import clip, minute_of_day
+from barwright.functions.expr import clip, minute_of_day, scrub
 from barwright.operators import linear, relational, views
 from barwright.plans import xsec
 from barwright.plans.moments import Stats, add_up, gram, score, total
@@ -124,6 +124,45 @@ def rolling_blend(df: DataFrame, xs: Sequence[str], y: str = "label", month: str
     return linear.apply_table(df, table, [month], xs, "pred", eq), table
 
 
+def remembered_blend(df: DataFrame, xs: Sequence[str], y: str = "label", month: str = "month", lookback: int = 0, min_months: int = 24,
+                     lo: float = 0.0, hi: float = 0.9, anchor: str | None = None, anchor_min: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Bounded IC weights from the months strictly before, each month starting from the weights of the month before it.
+
+    A component takes part in a month if its values vary both in that month and in some month of the look-back (all take part if
+    none does). Months count whether labelled or not; missing components are 0, rows without a label enter no sum. With fewer than
+    ``min_months`` months before, weights are equal.
+    """
+    filled = df.withColumns({x: scrub(x) for x in xs})
+    spread = filled.groupBy(month).agg(F.array(*[F.coalesce(F.stddev_pop(x), F.lit(0.0)) for x in xs]).alias("spread"))
+    order = Window.orderBy(month)  # months only
+    back = order.rowsBetween(-lookback if lookback else Window.unboundedPreceding, -1)
+    before = spread.select(month, "spread", F.count(F.lit(1)).over(back).alias("times"),
+                           F.array(*[F.coalesce(F.max(c_("spread")[i]).over(back), F.lit(0.0)) for i in range(len(xs))]).alias("past"))
+    k = len(xs)
+    sizes = {"sx": k, "c": k, "g": k * (k + 1) // 2}
+    zero = {n: F.coalesce(n, F.lit(0.0)) for n in ("n", "w", "sy", "yy")} | {
+        n: F.coalesce(n, F.array_repeat(F.lit(0.0), size)) for n, size in sizes.items()}
+    # a month without labels still has a place in the order
+    stats = spread.select(month).join(gram(filled, [month], xs, y), month, "left").withColumns(zero)
+    past = before.join(linear.rolling_stats(stats, month, lookback).drop("times"), month, "left").withColumns(zero)
+
+    def step(s: Stats, last: Sequence[float] | None, row: dict) -> np.ndarray:
+        if row["times"] < min_months:
+            return np.full(k, 1.0 / k)
+        live = np.flatnonzero((np.asarray(row["spread"]) > 1e-10) & (np.asarray(row["past"]) > 1e-10))
+        live = live if len(live) else np.arange(k)
+        floor = [max(lo, anchor_min if xs[i] == anchor else 0.0) for i in live]
+        cap = [max(hi, 1.0 / len(live), f) for f in floor]
+        w = np.zeros(k)
+        # corners matter where every blend goes against the label: the score is then best at an end
+        more = [np.where(np.arange(len(live)) == j, cap, floor) for j in range(len(live))] + ([] if last is None else [[last[i] for i in live]])
+        w[live] = linear.ic_weights(floor, cap, more=more)(s.take(live))[0]
+        return w
+
+    table = linear.fold_table(past, month, step)
+    return apply_weights(filled, table, [month], xs), table
+
+
 def rolling_grid_blend(df: DataFrame, xs: Sequence[str], y: str = "label", month: str = "month", lookback: int = 12, step: float = 0.1) -> DataFrame:
     """Best grid weights of every month from the months before it."""
     past = linear.rolling_stats(gram(df, [month], xs, y), month, lookback)

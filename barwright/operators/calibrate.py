@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barwright.functions.expr import clip, edges_at_or_below, minute_of_day
 from barwright.plans import xsec
+from barwright.plans.rolling_quantiles import rolling_quantiles
+from barwright.plans.staging import stage
 from barwright.plans.xsec import scalars
 
 c_ = F.col
@@ -31,6 +31,11 @@ def abs_key(df: DataFrame, p: str, train: Column, bins: int, out: str, signed: b
     return d.withColumn(out, c_(out) * 2 + (c_(p) >= 0).cast("long")) if signed else d
 
 
+def month_number(month: str) -> Column:
+    """Months since year 0 of a yyyy-MM text."""
+    return F.substring(month, 1, 4).cast("int") * 12 + F.substring(month, 6, 2).cast("int")
+
+
 def strength_key(xrank: str, bins: int) -> Column:
     return F.least(F.floor(F.abs(F.coalesce(c_(xrank), F.lit(0.0))) * bins), F.lit(bins - 1)).cast("long")
 
@@ -106,10 +111,15 @@ def rolling_key_affine(df: DataFrame, keys: Sequence[str], x: str, y: str = "lab
     Rows are summed by (month, key) once; every month's sums are then handed to the months that
     may look back at it, so the panel is never replicated.
     """
-    ym = F.substring(month, 1, 4).cast("int") * 12 + F.substring(month, 6, 2).cast("int")
-    d = df.withColumn("_t", ym)
+    d = df.withColumn("_t", month_number(month))
     cells = d.where(c_(x).isNotNull() & c_(y).isNotNull()).groupBy("_t", *keys).agg(*_sums(x, y))
     ahead = cells.withColumn("_t", F.explode(F.sequence(c_("_t") + 1, c_("_t") + lookback)))
+    return _affine(d, ahead, keys, x, slope_shrink, intercept_shrink, min_rows, min_train, lo, hi, output, out).drop("_t")
+
+
+def _affine(d: DataFrame, ahead: DataFrame, keys: Sequence[str], x: str, slope_shrink: float, intercept_shrink: float, min_rows: int,
+            min_train: int, lo: float, hi: float, output: str, out: str) -> DataFrame:
+    """Lines from sums already handed to the times ``_t`` that look back at them, applied to the rows of those times."""
     add = [F.sum(s).alias(s) for s in ("n", "sx", "sy", "sxx", "sxy")]
     per = ahead.groupBy("_t", *keys).agg(*add)
     whole = _line(per.groupBy("_t").agg(*add).where(c_("n") >= min_train), ["_t"], 0)
@@ -117,14 +127,21 @@ def rolling_key_affine(df: DataFrame, keys: Sequence[str], x: str, y: str = "lab
     j = d.join(whole, "_t", "left").join(table, ["_t", *keys], "left")
     hat = F.coalesce(c_("slope"), c_("gs")) * c_(x) + F.coalesce(c_("icpt"), c_("gi"))
     val = F.when(F.abs("gs") > 1e-12, F.try_divide(hat - c_("gi"), c_("gs"))).otherwise(hat) if output == "score" else hat
-    return j.withColumn(out, F.when(c_("gs").isNull(), c_(x)).otherwise(val)).drop("_t", "gs", "gi", "gv", "slope", "icpt")
+    return j.withColumn(out, F.when(c_("gs").isNull(), c_(x)).otherwise(val)).drop("gs", "gi", "gv", "slope", "icpt")
+
+
+BINNED = ("conf", "range", "vol", "ret")
+
+
+def bin_source(kind: str, p: str) -> Column:
+    """What a binned token cuts: the size of the prediction, or the state of the market at the bar."""
+    return {"conf": F.abs(p), "range": c_("state_range"), "vol": c_("state_logvol"), "ret": F.abs("state_ret1")}[kind]
 
 
 def composite_keys(df: DataFrame, parts: Sequence[str], p: str, train: Column) -> tuple[DataFrame, list[str]]:
     """Key columns from tokens: symbol, group, hour, tod4, sign, confN, rangeN, volN, retN."""
     cols: list[str] = []
     m = minute_of_day("datetime")
-    source = {"conf": lambda: F.abs(p), "range": lambda: c_("state_range"), "vol": lambda: c_("state_logvol"), "ret": lambda: F.abs("state_ret1")}
     for part in parts:
         name = f"{part}_key"
         if part == "symbol":
@@ -140,11 +157,79 @@ def composite_keys(df: DataFrame, parts: Sequence[str], p: str, train: Column) -
             df = df.withColumn(name, F.signum(p).cast("long"))
         else:
             kind = part.rstrip("0123456789")
-            df = with_bins(df, source[kind](), train, int(part[len(kind):]), name).withColumn(name, F.coalesce(name, F.lit(0)))
+            df = with_bins(df, bin_source(kind, p), train, int(part[len(kind):]), name).withColumn(name, F.coalesce(name, F.lit(0)))
         cols.append(name)
     return df, cols
 
 
+def rolling_edges(df: DataFrame, parts: Sequence[str], p: str, time: str, lookback: int, least: int = 1000) -> DataFrame:
+    """One row per time with an array of distinct edges for each binned part, cut from the rows of the ``lookback`` times before.
+
+    A window with fewer than ``max(least, 100 * bins)`` finite values has no edges.
+    """
+    bins = {q: int(q[len(q.rstrip("0123456789")):]) for q in parts}
+    tall = F.inline(F.array(*[F.struct(F.lit(q).alias("part"), bin_source(q.rstrip("0123456789"), p).cast("double").alias("x")) for q in bins]))
+    edges = rolling_quantiles(df.select(c_(time).alias("time"), tall), lookback, {q: [k / n for k in range(1, n)] for q, n in bins.items()})
+    need = F.element_at(F.create_map(*[F.lit(v) for q, n in bins.items() for v in (q, max(least, 100 * n))]), c_("part"))
+    kept = edges.where(c_("n") >= need).withColumn("edges", F.array_sort(F.array_distinct("edges")))
+    return kept.groupBy(c_("time").alias(time)).agg(*[F.first(F.when(c_("part") == q, c_("edges")), ignorenulls=True).alias(f"_e_{q}") for q in bins])
+
+
+def _passed_edges(edges: str, x: Column) -> Column:
+    """Number of edges at or below x; 0 where x or the edges are missing."""
+    known = F.when(~F.isnan(x), x)
+    return F.when(known.isNotNull() & c_(edges).isNotNull(), F.size(F.filter(edges, lambda e: e <= known))).otherwise(0).cast("long")
+
+
+def _last_cut(cuts: str, x: Column) -> Column:
+    """The largest cut at or below x."""
+    known = F.when(~F.isnan(x), x)
+    return F.array_max(F.filter(cuts, lambda e: e <= known))
+
+
+def _split_parts(parts: Sequence[str]) -> tuple[list[str], list[str]]:
+    binned = [q for q in parts if q.rstrip("0123456789") in BINNED and q[-1].isdigit()]
+    return [q for q in parts if q not in binned], binned
+
+
+def rolling_keys(df: DataFrame, parts: Sequence[str], p: str, time: str, lookback: int = 18, least: int = 1000) -> tuple[DataFrame, list[str]]:
+    """Key columns as ``composite_keys`` makes them, but with the edges of each time's own look-back.
+
+    ``time`` is an integer column (months, days). The table of edges has one row per time; missing and not-a-number values fall into key 0.
+    """
+    plain, binned = _split_parts(parts)
+    df, cols = composite_keys(df, plain, p, F.lit(True))
+    if binned:
+        df = df.join(rolling_edges(df, binned, p, time, lookback, least), time, "left")
+        df = df.withColumns({f"{q}_key": _passed_edges(f"_e_{q}", bin_source(q.rstrip("0123456789"), p)) for q in binned}).drop(*[f"_e_{q}" for q in binned])
+    return df, ["symbol" if q == "symbol" else f"{q}_key" for q in parts]
+
+
+def rolling_bucket_affine(df: DataFrame, parts: Sequence[str], p: str, y: str = "label", time: str = "month_no", lookback: int = 18,
+                          least: int = 1000, slope_shrink: float = 400.0, intercept_shrink: float = 300.0, min_rows: int = 0,
+                          min_train: int = 5000, lo: float = 0.5, hi: float = 1.5, output: str = "score", out: str = "pred_cal") -> DataFrame:
+    """A shrunk line per composite key and time, where the bins of a key are cut anew at every time.
+
+    A past row's key depends on the time that looks back at it. Rows are therefore summed by the last cut of any time at or
+    below their value: that cut stands for the row under every time's edges, so sums, not rows, go to the times that use them.
+    """
+    plain, binned = _split_parts(parts)
+    d, _ = composite_keys(df, plain, p, F.lit(True))
+    names = ["symbol" if q == "symbol" else f"{q}_key" for q in parts]
+    fixed = [n for q, n in zip(parts, names) if q in plain]
+    edges = stage(rolling_edges(d, binned, p, time, lookback, least), "rolling-edges")
+    cuts = edges.agg(*[F.array_distinct(F.flatten(F.collect_list(f"_e_{q}"))).alias(f"_c_{q}") for q in binned])  # times x bins values
+    source = {q: bin_source(q.rstrip("0123456789"), p).cast("double") for q in binned}
+    snap = {f"_s_{q}": _last_cut(f"_c_{q}", source[q]) for q in binned}
+    rows = d.where(c_(p).isNotNull() & c_(y).isNotNull()).transform(scalars(cuts)).withColumns(snap)
+    cells = rows.groupBy(c_(time).alias("_t"), *fixed, *snap).agg(*_sums(p, y))
+    ahead = cells.withColumn("_t", F.explode(F.sequence(c_("_t") + 1, c_("_t") + lookback))).join(edges.withColumnRenamed(time, "_t"), "_t", "left")
+    ahead = ahead.withColumns({f"{q}_key": _passed_edges(f"_e_{q}", c_(f"_s_{q}")) for q in binned})
+    d = d.join(edges, time, "left").withColumns({f"{q}_key": _passed_edges(f"_e_{q}", source[q]) for q in binned} | {"_t": c_(time)})
+    d = d.drop(*[f"_e_{q}" for q in binned])
+    return _affine(d, ahead, names, p, slope_shrink, intercept_shrink, min_rows, min_train, lo, hi, output, out).drop("_t")
+
+
 def group_time_affine(df: DataFrame, train: Column, group: str, p: str, y: str = "label", k: float = 100_000.0, min_rows: int = 25_000,
                       lo: float = 0.35, hi: float = 1.85, out: str = "pred_cal") -> DataFrame:
     """A line per group and part of the day mixed with the global slope by n / (n + k)."""
@@ -163,44 +248,56 @@ def group_time_affine(df: DataFrame, train: Column, group: str, p: str, y: str =
 
 
 # ---- scales and shifts --------------------------------------------------------------------------
-def solve_scales(a: np.ndarray, b: np.ndarray, n: np.ndarray, yy: float, penalty: float, lo: float, hi: float, steps: int = 500) -> np.ndarray:
-    """Bucket scales that raise the IC less a penalty on (s - 1)^2, inside bounds: projected gradient."""
-    w = n / max(n.sum(), 1.0)
-
-    def value(s: np.ndarray) -> float:
-        return float(s @ a) / np.sqrt(max(float(s * s @ b), 1e-18) * max(yy, 1e-18)) - penalty * float(w @ (s - 1) ** 2)
+def bucket_scales(df: DataFrame, train: Column, key: str, p: str, y: str = "label", penalty: float = 0.01, lo: float = 0.7, hi: float = 1.3,
+                  min_rows: int = 0, steps: int = 200, out: str = "pred_cal") -> DataFrame:
+    """Bucket scales that raise the IC less a penalty on (s - 1)^2, inside bounds; all 1 with fewer than ``min_rows`` train rows.
 
-    s, step = np.ones(len(a)), 0.25
-    v = value(s)
+    At the optimum each bucket's scale follows from two numbers alone, the gain of the blend's covariance and the price of its
+    size: s = (gain * a + 2 * penalty * w) / (price * b + 2 * penalty * w), clipped. So a step is one aggregate over the table of
+    buckets, which also judges shorter and longer steps, and no task ever holds that table.
+    """
+    rows = df.where(train & c_(key).isNotNull() & c_(p).isNotNull() & c_(y).isNotNull())
+    per = stage(rows.groupBy(key).agg(F.sum(c_(p) * c_(y)).alias("a"), F.sum(c_(p) * c_(p)).alias("b"), F.count(F.lit(1)).cast("double").alias("n"),
+                                      F.sum(c_(y) * c_(y)).alias("yy")), "buckets")
+    n, yy, num, q = per.agg(F.sum("n"), F.sum("yy"), F.sum("a"), F.sum("b")).head()
+    if not n or n < min_rows or not yy or not q:
+        return df.withColumn("scale", F.lit(1.0)).withColumn(out, c_(p))
+    pull = F.lit(2.0 * penalty / n) * c_("n")
+
+    def scale(gain: float, price: float) -> Column:
+        up, curve = F.lit(gain) * c_("a") + pull, F.lit(price) * c_("b") + pull
+        # without curvature, or with the wrong one (a blend of negative covariance), the better bound
+        end = F.when((up == 0) & (curve == 0), F.lit(1.0)).when(up > curve * F.lit((lo + hi) / 2), F.lit(float(hi))).otherwise(F.lit(float(lo)))
+        return F.when(curve > 0, clip(up / curve, lo, hi)).otherwise(end)
+
+    def rate(num: float, q: float) -> tuple[float, float]:
+        den = (q * yy) ** 0.5
+        return 1.0 / den, num / (den * q)
+
+    def judge(tries: Sequence[tuple[float, float]]) -> list[tuple[float, float, float]]:
+        sums = []
+        for at in tries:
+            s = scale(*at)
+            sums += [F.sum(s * c_("a")), F.sum(s * s * c_("b")), F.sum(pull / 2 * (s - 1) * (s - 1))]
+        v = per.agg(*sums).head()
+        return [(v[k] / (v[k + 1] * yy) ** 0.5 - v[k + 2], v[k], v[k + 1]) if v[k + 1] else (float("-inf"), 0.0, 0.0) for k in range(0, len(v), 3)]
+
+    at = rate(num, q)
+    (best, num, q), = judge([at])
     for _ in range(steps):
-        q = max(float(s * s @ b), 1e-18)
-        den = np.sqrt(q * yy)
-        g = a / den - float(s @ a) * s * b / (den * q) - 2 * penalty * w * (s - 1)
-        m = np.abs(g).max()
-        if m < 1e-14 or step < 1e-10:
+        to = rate(num, q)
+        if max(abs(u - v) / max(abs(v), 1e-300) for u, v in zip(to, at)) < 1e-10:
             break
-        nxt = np.clip(s + step * g / m, lo, hi)
-        nv = value(nxt)
-        if nv > v + 1e-15:
-            s, v, step = nxt, nv, min(step * 1.5, 0.25)
-        else:
-            step *= 0.5
-    return s
-
-
-def bucket_scales(df: DataFrame, train: Column, key: str, p: str, y: str = "label", penalty: float = 0.01, lo: float = 0.7, hi: float = 1.3,
-                  out: str = "pred_cal") -> DataFrame:
-    """Sums per bucket in Spark, the bucket-sized solve in one small task."""
-    per = df.where(train).groupBy(key).agg(F.sum(c_(p) * c_(y)).alias("a"), F.sum(c_(p) * c_(p)).alias("b"), F.count(F.lit(1)).alias("n"), F.sum(c_(y) * c_(y)).alias("yy"))
-    kind = dict(per.dtypes)[key]
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = solve_scales(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["n"].to_numpy(float), float(pdf["yy"].sum()), penalty, lo, hi)
-        return pd.DataFrame({key: pdf[key], "scale": s})
-
-    # one row per bucket, so the single group holds the bucket table and nothing else
-    table = per.groupBy().applyInPandas(solve, f"{key} {kind}, scale double")
-    return df.join(table, key, "left").withColumn(out, c_(p) * F.coalesce("scale", F.lit(1.0)))
+        # the step itself, shorter and longer ones, judged by one aggregate; a blend against the label has many local optima, so no longer ones
+        reach = (1.0, 0.0625, 0.25, 0.5) + ((2.0, 4.0, 8.0, 16.0, 32.0) if to[1] > 0 else ())
+        tries = [(at[0] + f * (to[0] - at[0]), at[1] + f * (to[1] - at[1])) for f in reach]
+        seen = judge(tries)
+        k = 0 if to[1] <= 0 and seen[0][0] >= best - 1e-15 else max(range(len(seen)), key=lambda j: seen[j][0])
+        if seen[k][0] < best - 1e-15:
+            break
+        at, (best, num, q) = tries[k], seen[k]
+    d = df.join(per.select(key, scale(*at).alias("scale")), key, "left")
+    return d.withColumn(out, c_(p) * F.coalesce("scale", F.lit(1.0)))
 
 
 def shift_grid(df: DataFrame, val: Column, p: str, y: str = "label", lo: float = -3.0, hi: float = 3.0, steps: int = 49) -> DataFrame:

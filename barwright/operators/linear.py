@@ -57,9 +57,12 @@ def project(w: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.clip(w + b, lo, hi)
 
 
-def ic_weights(lo: float | Sequence[float] = 0.0, hi: float | Sequence[float] = 1.0, ridge_: float = 0.0, steps: int = 200) -> Solver:
+def ic_weights(lo: float | Sequence[float] = 0.0, hi: float | Sequence[float] = 1.0, ridge_: float = 0.0, steps: int = 200,
+               more: Sequence[Sequence[float]] = ()) -> Solver:
     """Sum-to-one weights inside bounds that maximise the IC: projected gradient ascent.
 
+    ``more`` are further places to begin at, such as the weights of the month before. The ascent starts from the best place.
+
     Where the blend's covariance with the label is positive the score is quasi-concave, so one
     ascent from the best start suffices.
     """
@@ -71,6 +74,7 @@ def ic_weights(lo: float | Sequence[float] = 0.0, hi: float | Sequence[float] =
         g = s.g + ridge_ * np.trace(s.g) / k * np.eye(k)
         # the middle of the box, and the unbounded optimum among non-negative weights
         starts = [(low + high) / 2, best_direction(g, s.c)]
+        starts += [np.asarray(v, float) for v in more]
         value = lambda w: float(w @ s.c) / np.sqrt(max(float(w @ g @ w), 1e-30) * max(s.yy, 1e-30))
         w = max((project(v, low, high) for v in starts), key=value)
         v, step = value(w), 0.5
@@ -199,6 +203,26 @@ def solve_table(stats: DataFrame, keys: Sequence[str], solver: Solver) -> DataFr
     return stats.mapInPandas(run, schema)
 
 
+def fold_table(stats: DataFrame, time: str, step: Callable[[Stats, Sequence[float] | None, dict], np.ndarray]) -> DataFrame:
+    """One solve per time in order, each knowing the weights of the one before: time, times, weights.
+
+    ``stats`` is calendar-sized, one small row per time; the rows stream in order through one task, which holds one at a time.
+    """
+    kind = dict(stats.dtypes)[time]
+
+    def run(batches):
+        last = None
+        for pdf in batches:
+            found = []
+            for row in pdf.to_dict("records"):
+                last = [float(v) for v in step(Stats.of(row), last, row)]
+                found.append({time: row[time], "times": int(row["times"]), "weights": last})
+            yield pd.DataFrame(found, columns=[time, "times", "weights"])
+
+    # one row per time: the order is the fold's, so a single partition
+    return stats.coalesce(1).sortWithinPartitions(time).mapInPandas(run, f"{time} {kind}, times long, weights array<double>")
+
+
 def dot(xs: Sequence[str], weights: str = "weights", intercept: str = "intercept") -> Column:
     out = c_(intercept)
     for i, x in enumerate(xs):

@@ -121,6 +121,26 @@ def materialise_windows(panel: DataFrame, cols: Sequence[str], length: int, anch
     return d.withColumn("window", F.concat(F.array_repeat(zero, F.lit(length) - F.size("_w")), c_("_w"))).drop("_w")
 
 
+def strided_windows(panel: DataFrame, cols: Sequence[str], length: int, stride: int, anchor: Column, scope: str = "session") -> DataFrame:
+    """The windows of ``materialise_windows`` for the anchors on the stride alone.
+
+    Each bar goes to the anchors whose window holds it, at most ``length / stride`` of them rounded up, instead of every bar
+    getting an array. Anchors are the bars on the stride for which ``anchor`` is true; a group never holds more than ``length`` bars.
+    """
+    keys = ["symbol", "session_id"] if scope == "session" else ["symbol"]
+    pos = c_("session_pos") if scope == "session" else c_("bar_no")
+    item = F.struct(pos.alias("_pos"), *[F.coalesce(c_(x).cast("double"), F.lit(0.0)).alias(x) for x in cols])
+    first = F.expr(f"({'session_pos' if scope == 'session' else 'bar_no'} + {stride - 1}) div {stride} * {stride}")
+    held = F.when(first <= pos + (length - 1), F.sequence(first, pos + (length - 1), F.lit(stride).cast("long")))
+    rest = F.when((c_("_at") == pos) & anchor, F.struct(*[c_(x) for x in panel.columns if x not in keys]))
+    d = panel.withColumn("_at", F.explode(held))
+    d = d.groupBy(*keys, "_at").agg(F.array_sort(F.collect_list(item)).alias("_w"), F.first(rest, ignorenulls=True).alias("_row"))
+    zero = F.struct(*[F.lit(0.0).alias(x) for x in cols])
+    values = F.transform("_w", lambda s: F.struct(*[s[x].alias(x) for x in cols]))
+    window = F.concat(F.array_repeat(zero, F.lit(length) - F.size("_w")), values)
+    return d.where(c_("_row").isNotNull()).select(*keys, "_row.*", window.alias("window"))
+
+
 def train_scale(index: DataFrame, target: str, train: Column) -> DataFrame:
     """Target standardised with the mean and deviation of the train anchors."""
     one = index.where(train).agg(F.avg(target).alias("_m"), F.stddev_pop(target).alias("_s"))
